@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The pricing study this library rebuilds is a batch pipeline: monthly extracts
+are cleaned, consolidated and modelled as whole tables.  There are no
+watermarks, windows over event time or stateful stream operators to rebuild,
+so this package is intentionally left empty (see README, "Not built").
+"""
