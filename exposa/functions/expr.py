@@ -14,7 +14,7 @@ __all__ = [
     "col_of", "sprinkler_level", "yn_flag", "floor_small_expr", "safe_div",
     "occupation_prefix", "cancelled", "claim_type", "building_info_na",
     "recency_weight_expr", "mean_strict", "count_if", "any_true",
-    "recode_map_expr", "patch_codes", "floor_small", "fill_unknown",
+    "recode_map_expr", "patch_codes", "floor_small", "fill_unknown", "freq_sev_cols",
 ]
 
 
@@ -120,3 +120,16 @@ def floor_small(df: DataFrame, cols: Iterable[str], limit: float = 10.0) -> Data
 
 def fill_unknown(df: DataFrame, cols: Iterable[str], label: str = "Unknown") -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(label)) for c in cols})
+
+
+def freq_sev_cols(lines=("prop", "lossofinc")) -> dict[str, Column]:
+    """freq = count/exposure, sev = incurred/count (NaN/NULL -> 0); logs of
+    positive amounts (0 -> NULL first); log severity = log(incurred/count)."""
+    out = {}
+    for ln in lines:
+        n, a = F.col(f"claimcount_{ln}"), F.col(f"grossincurred_{ln}")
+        out[f"freq_{ln}"] = F.coalesce(safe_div(n, "exposure"), F.lit(0.0))
+        out[f"sev_{ln}"] = F.coalesce(safe_div(a, n), F.lit(0.0))
+        out[f"log_incurred_{ln}"] = F.log(F.nullif(a, F.lit(0.0)))
+        out[f"log_severity_{ln}"] = F.log(safe_div(a, n))
+    return out

@@ -158,3 +158,31 @@ def lossofinc_nulls(df: DataFrame, mode: str = "main") -> DataFrame:
             "indem_per_grp": F.when(~cover, F.lit("LoI_NULL")).otherwise(F.col("indem_per_grp")),
         })
     raise ValueError(mode)
+
+
+def with_sum_insured(df: DataFrame, line: str = "prop") -> DataFrame:
+    """Row filters on sums insured: 'prop' (> 0), 'loi' (both > 0),
+    'nonzero' (property sum != 0, the main path and tree data)."""
+    p, b = F.col("suminsured_prop"), F.col("suminsured_lossofinc")
+    if line == "prop":
+        return df.filter(p > 0)
+    if line == "loi":
+        return df.filter((p > 0) & (b > 0))
+    if line == "nonzero":
+        return df.filter(p != 0)
+    raise ValueError(line)
+
+
+def split_by_cover(df: DataFrame, lossofinc: bool) -> DataFrame:
+    """Cover-line view with ``has_claim``.
+
+    Loss of income: both sums > 0, has_claim = claimcount_lossofinc > 0.
+    Property: every column whose name contains lossofinc / loi / indem
+    (any case) dropped, property sum > 0, has_claim = claimcount_prop > 0.
+    """
+    if lossofinc:
+        return with_sum_insured(df, "loi").withColumn(
+            "has_claim", F.col("claimcount_lossofinc") > 0)
+    drop = [c for c in df.columns if any(t in c.lower() for t in ("lossofinc", "loi", "indem"))]
+    return with_sum_insured(df.drop(*drop), "prop").withColumn(
+        "has_claim", F.col("claimcount_prop") > 0)

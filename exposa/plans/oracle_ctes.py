@@ -263,3 +263,5 @@ FROM policy_claims_hasna
 WHERE suminsured_prop <> 0
   AND (CASE WHEN NOT LossofIncome_cover THEN 0.0 ELSE suminsured_lossofinc END) IS NOT NULL""",
     "policy_claims_hasna")
+cte("policy_claims_monthly", """
+SELECT *, epy * date_weights AS exposure FROM std_monthly""", "std_monthly")

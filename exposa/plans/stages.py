@@ -93,6 +93,13 @@ def postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_postcodes(spark, df=fixtures.postcodes_raw(spark, sf_dir))
 
 
+def postcode_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reconciled dimension the claims are joined to."""
+    from exposa.operators.postcode import postcode_dim, reconcile_state
+    cc = claims_clean(spark, sf_dir)
+    return reconcile_state(cc, postcode_dim(postcodes(spark, sf_dir), cc))[1]
+
+
 def claims_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "claims_geo", lambda: add_postcode_details(
         claims_clean(spark, sf_dir), postcodes(spark, sf_dir)))
@@ -125,6 +132,23 @@ def claims_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "claims_encoded", build)
 
 
+def standardize_hasna(rf: DataFrame, base: float = WEIGHT_BASE_MAIN,
+                      sums_mode: str = "literal") -> DataFrame:
+    """Policy versions before the NULL rules (study's policy_claims_hasNA)."""
+    details = C.representative(rf, DETAIL_COLS)
+    sums = C.representative_sums(rf, mode=sums_mode)
+    monthly = C.recency_weight(rf, "start", base)
+    pc = (C.consolidate(monthly)
+          .join(details, VERSION_KEYS, "left")
+          .join(sums, VERSION_KEYS, "left"))
+    pc = C.policy_version(pc).drop("effectdate", "expirydate")
+    return pc.withColumn("building_info_na", F.col("building_age").isNull())
+
+
+def policy_claims_hasna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return standardize_hasna(claims_encoded(spark, sf_dir))
+
+
 def standardize(rf: DataFrame, base: float = WEIGHT_BASE_MAIN,
                 sums_mode: str = "literal") -> DataFrame:
     """Study step 6-7: one row per policy version with its representative
@@ -133,14 +157,7 @@ def standardize(rf: DataFrame, base: float = WEIGHT_BASE_MAIN,
     The three per-version aggregates are all hash-partitioned on the version
     key, so the two left joins between them add no shuffle.
     """
-    details = C.representative(rf, DETAIL_COLS)
-    sums = C.representative_sums(rf, mode=sums_mode)
-    monthly = C.recency_weight(rf, "start", base)
-    pc = (C.consolidate(monthly)
-          .join(details, VERSION_KEYS, "left")
-          .join(sums, VERSION_KEYS, "left"))
-    pc = C.policy_version(pc).drop("effectdate", "expirydate")
-    pc = pc.withColumn("building_info_na", F.col("building_age").isNull())
+    pc = standardize_hasna(rf, base, sums_mode)
     pc = pc.filter(F.col("suminsured_prop") != 0)
     pc = C.lossofinc_nulls(pc, "main")
     return fill_unknown(pc, BUILDING_COLS)
