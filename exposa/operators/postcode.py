@@ -58,6 +58,12 @@ def unique_mode(df: DataFrame, group: str, value: str, out: str | None = None) -
             .select(group, F.col(f"_top.{value}").alias(out)))
 
 
+def restricted_dim(raw: DataFrame, used: DataFrame, patches: Sequence = POSTCODE_PATCHES) -> DataFrame:
+    """Dimension rows of postcodes in use (semi join), then patched."""
+    used_pc = used.select(F.col("riskpostcode").alias("postcode")).distinct()
+    return _patch(raw.join(used_pc, "postcode", "left_semi"), patches)
+
+
 def postcode_dim(raw: DataFrame, used: DataFrame,
                  patches: Sequence = POSTCODE_PATCHES,
                  sa3_keep: Mapping[str, str] = SA3_KEEP,
@@ -69,8 +75,7 @@ def postcode_dim(raw: DataFrame, used: DataFrame,
     electorate rating is the postcode's own, else the unambiguous mode of its
     SA3, else of its SA4 (modes over the restricted dimension rows).
     """
-    used_pc = used.select(F.col("riskpostcode").alias("postcode")).distinct()
-    post = _patch(raw.join(used_pc, "postcode", "left_semi"), patches)
+    post = restricted_dim(raw, used, patches)
     sa3 = _one_area(post, "sa3name", sa3_keep)
     sa4 = _one_area(post, "sa4name", sa4_keep)
     own = (post.filter(F.col("electoraterating").isNotNull())

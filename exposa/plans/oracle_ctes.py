@@ -28,10 +28,13 @@ def with_ctes(sql: str, *names: str) -> str:
 
     for n in names:
         visit(n)
+    sql = sql.strip()
     if not order:
-        return sql.strip()
+        return sql
     body = ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order)
-    return f"WITH {body}\n{sql.strip()}"
+    if sql[:4].upper() == "WITH":
+        return f"WITH {body},\n{sql[4:].lstrip()}"
+    return f"WITH {body}\n{sql}"
 
 
 cte("customer_geo", CUSTOMER_GEO_SQL)
