@@ -15,6 +15,7 @@ __all__ = [
     "occupation_prefix", "cancelled", "claim_type", "building_info_na",
     "recency_weight_expr", "mean_strict", "count_if", "any_true",
     "recode_map_expr", "patch_codes", "floor_small", "fill_unknown", "freq_sev_cols",
+    "money_sum",
 ]
 
 
@@ -122,6 +123,13 @@ def fill_unknown(df: DataFrame, cols: Iterable[str], label: str = "Unknown") ->
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(label)) for c in cols})
 
 
+def money_sum(c, scale: int = 4) -> Column:
+    """Exact sum of a money column (values with <= ``scale`` decimals):
+    summed as DECIMAL, returned as the nearest double - independent of the
+    order rows arrive in, so every engine gets the same value."""
+    return F.sum(col_of(c).cast(f"decimal(38,{scale})")).cast("double")
+
+
 def freq_sev_cols(lines=("prop", "lossofinc")) -> dict[str, Column]:
     """freq = count/exposure, sev = incurred/count (NaN/NULL -> 0); logs of
     positive amounts (0 -> NULL first); log severity = log(incurred/count)."""

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposa.functions.expr import count_if, recency_weight_expr
+from exposa.functions.expr import count_if, money_sum, recency_weight_expr
 from exposa.sources.schema import VERSION_KEYS
 
 
@@ -119,8 +119,8 @@ def consolidate(df: DataFrame, keys: Sequence[str] = VERSION_KEYS) -> DataFrame:
         F.avg("date_weights").alias("date_weights"),
         count_if(p > 0).alias("claimcount_prop"),
         count_if(b > 0).alias("claimcount_lossofinc"),
-        F.coalesce(F.sum(p), F.lit(0.0)).alias("grossincurred_prop"),
-        F.coalesce(F.sum(b), F.lit(0.0)).alias("grossincurred_lossofinc"),
+        F.coalesce(money_sum(p), F.lit(0.0)).alias("grossincurred_prop"),
+        F.coalesce(money_sum(b), F.lit(0.0)).alias("grossincurred_lossofinc"),
         F.bool_or("LossofIncome_cover").alias("LossofIncome_cover"),
     )
 

@@ -118,7 +118,7 @@ def pool_rare(train: DataFrame, cols: Sequence[str], threshold: float = 0.25,
 
 
 def level_order(df: DataFrame, col: str, weight: str = "exposure",
-                how: str = "median_asc") -> DataFrame:
+                how: str = "median_asc", digits: int | None = 6) -> DataFrame:
     """(level, stat, level_rank); rank 1 first.  The base level is the
     heaviest: last for ``median_asc`` (R fct_reorder), first for ``sum_desc``.
     """
@@ -130,6 +130,8 @@ def level_order(df: DataFrame, col: str, weight: str = "exposure",
         w = Window.orderBy(F.desc("stat"), F.asc(col))
     else:
         raise ValueError(how)
+    if digits is not None:  # equal statistics must tie whatever the summation order
+        lv = lv.withColumn("stat", F.round("stat", digits))
     return lv.withColumn("level_rank", F.row_number().over(w))
 
 

@@ -238,8 +238,9 @@ cte("std_consolidated", f"""
 SELECT {_KEYS}, sum(epy) AS exposure, avg(date_weights) AS date_weights,
        count(*) FILTER (WHERE grossincurred_prop > 0) AS claimcount_prop,
        count(*) FILTER (WHERE grossincurred_lossofinc > 0) AS claimcount_lossofinc,
-       coalesce(sum(grossincurred_prop), 0.0) AS grossincurred_prop,
-       coalesce(sum(grossincurred_lossofinc), 0.0) AS grossincurred_lossofinc,
+       coalesce(CAST(sum(CAST(grossincurred_prop AS DECIMAL(38,4))) AS DOUBLE), 0.0) AS grossincurred_prop,
+       coalesce(CAST(sum(CAST(grossincurred_lossofinc AS DECIMAL(38,4))) AS DOUBLE), 0.0)
+         AS grossincurred_lossofinc,
        bool_or(LossofIncome_cover) AS LossofIncome_cover
 FROM std_monthly GROUP BY {_KEYS}""", "std_monthly")
 cte("policy_claims_hasna", f"""
