@@ -122,17 +122,13 @@ def restrict_to(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
-def reconcile_state(claims: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Make claim states and dimension states agree; returns (claims, dim).
+def reconcile_dim(claims: DataFrame, dim: DataFrame) -> DataFrame:
+    """Step 1 of the state reconciliation (dimension side).
 
-    1. Dimension pairs with no claim: every dimension row of that postcode
-       takes the claims' state for the postcode (smallest if several), then
-       one row per (postcode, state) is kept (the row that already had that
-       state first, then smallest areas).
-    2. Claim pairs still unmatched whose postcode IS in the dimension: every
-       claim row of that postcode takes the dimension's state (smallest).
-    Postcodes unknown to the dimension stay as they are (dropped later by
-    the inner join and counted by the join-loss gate).
+    Dimension pairs with no claim: every dimension row of that postcode
+    takes the claims' state for the postcode (smallest if several), then
+    one row per (postcode, state) is kept (the row that already had that
+    state first, then smallest areas).
     """
     claim_pairs = claims.select(F.col("riskpostcode").alias("postcode"), "state").distinct()
     dim_pairs = dim.select("postcode", "state").distinct()
@@ -144,19 +140,38 @@ def reconcile_state(claims: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataF
         "state", F.coalesce("_new_state", "state"))
     other = [c for c in dim.columns if c not in ("postcode", "state")]
     pick = F.struct((~F.col("_had")).alias("_not_had"), *_nulls_last_fields(other))
-    d = d.groupBy("postcode", "state").agg(F.min(pick).alias("_p")).select(
+    return d.groupBy("postcode", "state").agg(F.min(pick).alias("_p")).select(
         "postcode", "state", *[F.col(f"_p.{c}").alias(c) for c in other])
 
-    new_dim_pairs = d.select("postcode", "state")
-    known = d.select("postcode").distinct()
-    still_bad = (unmatched(claim_pairs, new_dim_pairs, ["postcode", "state"])
+
+def claim_state_fixes(claims: DataFrame, dim: DataFrame) -> DataFrame:
+    """Step 2 (claims side): (riskpostcode, dim_state) for postcodes whose
+    claim pair is unmatched although the postcode IS in the dimension; the
+    dimension's state (smallest if several) replaces the claims' state."""
+    claim_pairs = claims.select(F.col("riskpostcode").alias("postcode"), "state").distinct()
+    pairs = dim.select("postcode", "state")
+    known = dim.select("postcode").distinct()
+    still_bad = (unmatched(claim_pairs, pairs, ["postcode", "state"])
                  .join(known, "postcode", "left_semi").select("postcode").distinct())
-    dim_state = (new_dim_pairs.join(still_bad, "postcode", "left_semi")
-                 .groupBy("postcode").agg(F.min("state").alias("_dim_state"))
-                 .withColumnRenamed("postcode", "riskpostcode"))
-    c = (claims.join(dim_state, "riskpostcode", "left")
-         .withColumn("state", F.coalesce("_dim_state", "state")).drop("_dim_state"))
-    return c.select(*claims.columns), d
+    return (pairs.join(still_bad, "postcode", "left_semi")
+            .groupBy("postcode").agg(F.min("state").alias("dim_state"))
+            .withColumnRenamed("postcode", "riskpostcode"))
+
+
+def apply_state_fixes(claims: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Claims with the fixed states (fixes: one row per postcode, small)."""
+    return (claims.join(fixes, "riskpostcode", "left")
+            .withColumn("state", F.coalesce("dim_state", "state")).select(*claims.columns))
+
+
+def reconcile_state(claims: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Make claim states and dimension states agree; returns (claims, dim).
+
+    Postcodes unknown to the dimension stay as they are (dropped later by
+    the inner join and counted by the join-loss gate).
+    """
+    d = reconcile_dim(claims, dim)
+    return apply_state_fixes(claims, claim_state_fixes(claims, d)), d
 
 
 def _nulls_last_fields(cols):

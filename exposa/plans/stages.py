@@ -27,7 +27,7 @@ from exposa.functions.expr import (fill_unknown, floor_small, patch_codes,
 from exposa.operators import consolidate as C
 from exposa.operators import geo as G
 from exposa.operators import grouping as GR
-from exposa.operators.postcode import CLAIM_PATCHES, add_postcode_details
+from exposa.operators.postcode import CLAIM_PATCHES
 from exposa.sources import fixtures
 from exposa.sources.schema import AMOUNT_COLS, BUILDING_COLS, DETAIL_COLS, VERSION_KEYS
 from exposa.sources.tables import read_postcodes
@@ -90,19 +90,33 @@ def claims_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_postcodes(spark, df=fixtures.postcodes_raw(spark, sf_dir))
+    """Postcode dimension source (stand-in written once), padded on read."""
+    raw = stage(spark, sf_dir, "postcodes_raw", lambda: fixtures.postcodes_raw(spark, sf_dir))
+    return read_postcodes(spark, df=raw)
 
 
 def postcode_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reconciled dimension the claims are joined to."""
-    from exposa.operators.postcode import postcode_dim, reconcile_state
+    """The reconciled dimension the claims are joined to (small stage: one
+    row per postcode and state)."""
+    from exposa.operators.postcode import postcode_dim, reconcile_dim
     cc = claims_clean(spark, sf_dir)
-    return reconcile_state(cc, postcode_dim(postcodes(spark, sf_dir), cc))[1]
+    return stage(spark, sf_dir, "postcode_dim", lambda: reconcile_dim(
+        cc, postcode_dim(postcodes(spark, sf_dir), cc)))
 
 
 def claims_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "claims_geo", lambda: add_postcode_details(
-        claims_clean(spark, sf_dir), postcodes(spark, sf_dir)))
+    """Study step 3: claims with reconciled states joined to the dimension.
+
+    The dimension and the per-postcode state fixes are small stages, so the
+    claim rows are read once and joined by broadcast hash joins."""
+    from exposa.operators.postcode import apply_state_fixes, attach_postcode, claim_state_fixes
+
+    def build():
+        cc = claims_clean(spark, sf_dir)
+        dim = postcode_dimension(spark, sf_dir)
+        fixes = stage(spark, sf_dir, "claim_state_fixes", lambda: claim_state_fixes(cc, dim))
+        return attach_postcode(apply_state_fixes(cc, fixes), dim)
+    return stage(spark, sf_dir, "claims_geo", build)
 
 
 def encodings(geo: DataFrame, threshold: float = POSTCODE_THRESHOLD,

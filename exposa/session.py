@@ -48,14 +48,24 @@ def get_spark(master: str | None = None, partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) a scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session (the cluster's shared
+    folder).  Only when nothing is configured (local tests) a scratch folder
+    is created and registered with the SparkContext.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(d)
+        return d
+    d = sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="exposa-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        global _LOCAL_CKPT
+        if _LOCAL_CKPT is None:
+            _LOCAL_CKPT = tempfile.mkdtemp(prefix="exposa-ckpt-")
+        sc.setCheckpointDir(_LOCAL_CKPT)
+        d = _LOCAL_CKPT
     return d
+
+
+_LOCAL_CKPT: str | None = None
