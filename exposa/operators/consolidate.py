@@ -115,7 +115,7 @@ def consolidate(df: DataFrame, keys: Sequence[str] = VERSION_KEYS) -> DataFrame:
     """One row per policy version from monthly rows."""
     p, b = F.col("grossincurred_prop"), F.col("grossincurred_lossofinc")
     return df.groupBy(*keys).agg(
-        F.sum("epy").alias("exposure"),
+        money_sum("epy", 12).alias("exposure"),     # exact: order-independent
         F.avg("date_weights").alias("date_weights"),
         count_if(p > 0).alias("claimcount_prop"),
         count_if(b > 0).alias("claimcount_lossofinc"),

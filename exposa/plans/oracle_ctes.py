@@ -235,7 +235,8 @@ SELECT *, pow(0.9996, date_diff('day', start, (SELECT max(start) FROM claims_enc
           AS date_weights
 FROM claims_encoded""", "claims_encoded")
 cte("std_consolidated", f"""
-SELECT {_KEYS}, sum(epy) AS exposure, avg(date_weights) AS date_weights,
+SELECT {_KEYS}, CAST(sum(CAST(epy AS DECIMAL(38,12))) AS DOUBLE) AS exposure,
+       avg(date_weights) AS date_weights,
        count(*) FILTER (WHERE grossincurred_prop > 0) AS claimcount_prop,
        count(*) FILTER (WHERE grossincurred_lossofinc > 0) AS claimcount_lossofinc,
        coalesce(CAST(sum(CAST(grossincurred_prop AS DECIMAL(38,4))) AS DOUBLE), 0.0) AS grossincurred_prop,
