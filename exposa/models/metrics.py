@@ -102,3 +102,55 @@ def premium_report(prop: DataFrame, loi: DataFrame, keys: Sequence[str]) -> Data
     return j.withColumns({
         "pred_premium_total": F.col("pred_premium_prop") + F.col("pred_premium_loi"),
         "actual_premium_total": F.col("actual_premium_prop") + F.col("actual_premium_loi")})
+
+
+def poisson_draw(u, mu: float = 1.0, kmax: int = 20):
+    """Inverse-CDF Poisson(mu) draw from a uniform column ``u`` (small mu):
+    number of k with CDF(k) < u."""
+    import math
+    cdf, terms = 0.0, []
+    for k in range(kmax):
+        cdf += math.exp(-mu) * mu ** k / math.factorial(k)
+        terms.append(F.when(u > F.lit(cdf), 1).otherwise(0))
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def hash_uniform(cols, seed) -> "Column":
+    """Deterministic U(0,1) from md5(seed|cols) (first 13 hex digits)."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13)
+
+
+def bootstrap_rmse(df: DataFrame, actual: str, pred: str, key, n: int = 20, seed: int = 123):
+    """RMSE on n bootstrap resamples, Poisson(1) frequency weights per row
+    and replicate (seeded hash): one explode + one aggregation."""
+    r = df.select(actual, pred, *key, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate"))
+    w = poisson_draw(hash_uniform(list(key) + ["replicate"], seed))
+    r = r.withColumn("_w", w)
+    return r.groupBy("replicate").agg(
+        F.sqrt(F.sum(F.col("_w") * F.pow(F.col(actual) - F.col(pred), 2)) / F.sum("_w")).alias("rmse"),
+        F.sum("_w").alias("n_resampled"))
+
+
+def poisson_pit(df: DataFrame, y: str, mu: str, key, seed: int = 7) -> DataFrame:
+    """Randomised quantile residual u = F(y-1) + V f(y) of a Poisson fit
+    (uniform if the model is right); the CDF is an exact finite sum."""
+    yy = F.col(y).cast("int")
+    pmf = lambda k: F.exp(-F.col(mu) + k * F.log(F.col(mu)) - F.aggregate(
+        F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")),
+        F.lit(0.0), lambda a, j: a + F.log(j.cast("double"))))
+    below = F.aggregate(F.when(yy > 0, F.sequence(F.lit(0), yy - 1)).otherwise(F.array().cast("array<int>")),
+                        F.lit(0.0), lambda a, k: a + pmf(k))
+    v = hash_uniform(key, seed)
+    return df.withColumn("pit", below + v * pmf(yy))
+
+
+def qq_uniform(df: DataFrame, col: str, n_q: int = 20) -> DataFrame:
+    """Empirical quantiles of ``col`` against uniform ones (bounded sketch)."""
+    probs = [(i + 0.5) / n_q for i in range(n_q)]
+    q = df.agg(F.percentile_approx(col, probs, 10000).alias("q")).select(
+        F.posexplode("q").alias("i", "empirical"))
+    return q.withColumn("theoretical", (F.col("i") + 0.5) / n_q)

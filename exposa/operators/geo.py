@@ -138,6 +138,20 @@ def geo_grid(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure"
     return counts.join(first, ["n_geo_code", "grid_id"], "left_semi")
 
 
+def geo_grid_maps(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure",
+                  state_only: Sequence[str] = STATE_ONLY, scale: float = 1.0) -> DataFrame:
+    """(grid_id, state, riskpostcode, geo_code) for every threshold triple in
+    one job (postcode-grain table exploded over the parameter list)."""
+    pe = postcode_exposure(df, weight)
+    scaled = [(g, a * scale, b * scale, c * scale) for g, a, b, c in grid_rows]
+    pe = pe.withColumn("_g", F.explode(_grid_structs(scaled))).select(*GEO_KEYS, "_w", "_g.*")
+    th = {"riskpostcode": F.col("t_riskpostcode"), "sa3name": F.col("t_sa3name"),
+          "sa4name": F.col("t_sa4name")}
+    out = _rollup3_passes(pe, th, part=["grid_id"])
+    code = F.when(F.col("state").isin(list(state_only)), F.col("state")).otherwise(F.col("geo_code"))
+    return out.select("grid_id", "state", "riskpostcode", code.alias("geo_code")).distinct()
+
+
 def attach_geo(df: DataFrame, geo_map: DataFrame, train_levels: DataFrame | None = None,
                fallback: str = "state") -> DataFrame:
     """Left join the (riskpostcode, geo_code) map; a code missing from the map

@@ -79,8 +79,13 @@ def main():
         if names and name not in names:
             continue
         if name not in ORACLE:
-            df = fn(spark, sf_dir)
-            print(f"{name}: no oracle, {df.count()} rows")
+            try:
+                t0 = time.time()
+                n = fn(spark, sf_dir).count()
+                print(f"ROWS {name}: no oracle, {n} rows {time.time() - t0:.1f}s", flush=True)
+            except Exception as e:  # noqa: BLE001
+                ok_all = False
+                print(f"FAIL {name}: ERROR {type(e).__name__}: {str(e)[:400]}", flush=True)
             continue
         try:
             ok, info = compare(spark, con, name, fn, ORACLE[name], sf_dir)
