@@ -420,3 +420,89 @@ def save_model(spark, sf_dir):
     b = fit.predict(pc, "p").select(F.sum("p").alias("original_sum"))
     return a.select("reloaded_sum", b.select("original_sum").scalar().alias("original_sum"),
                     F.lit(path).alias("path"))
+
+
+@register("geo_grid_params")
+def geo_grid_params(spark, sf_dir):
+    """Geo grid with its three thresholds nested into one struct column."""
+    g = G.geo_grid(S.claims_geo(spark, sf_dir), _grid_rows(), weight="epy", scale=S.sf_scale(sf_dir))
+    return G.pack_params(g, ["t_riskpostcode", "t_sa3name", "t_sa4name"])
+
+
+@register("rose_balance")
+def rose_balance(spark, sf_dir):
+    """ROSE-style smoothed bootstrap of the loss-of-income claim classes
+    (balanced sample; numeric columns jittered); class counts and means."""
+    v = C.split_by_cover(S.policy_claims(spark, sf_dir), True)
+    r = SM.rose(v, "has_claim", ["exposure", "suminsured_prop"], _KEY, seed=123)
+    return r.groupBy("has_claim").agg(F.count(F.lit(1)).alias("n_rows"),
+                                      F.avg("exposure").alias("mean_exposure"),
+                                      F.avg("suminsured_prop").alias("mean_suminsured_prop"))
+
+
+@register("minmax_invert")
+def minmax_invert(spark, sf_dir):
+    """Predictions made on the min-max scale (scaled test sums insured used as
+    a stand-in prediction) mapped back with the TRAINING bounds."""
+    from exposa.operators.prep import MinMax
+    sp = _split(spark, sf_dir)
+    mm = MinMax(["suminsured_prop"]).fit(sp.filter("split = 'train'"))
+    te = mm.transform(sp.filter("split = 'test'")).withColumn("pred_scaled", F.col("suminsured_prop"))
+    back = mm.invert(te, "pred_scaled", "suminsured_prop")
+    return back.select(*_KEY, F.col("pred_scaled").alias("pred_original_scale"))
+
+
+@register("interaction_tweedie")
+def interaction_tweedie(spark, sf_dir):
+    """Tweedie pure-premium fits per line on the training rows; on a held-out
+    half of the covered test rows: total ~ prop + bi + prop:bi (least
+    squares) and the one-regressor residual ~ bi:prop slope."""
+    sp = _split(spark, sf_dir)
+    tr = sp.filter("split = 'train'")
+    te = sp.filter("split = 'test'").filter("LossofIncome_cover")
+    fp = M.fit_tweedie(tr, "grossincurred_prop", ["geo_code", "building_type"], power=1.5)
+    fb = M.fit_tweedie(tr.filter("LossofIncome_cover"), "grossincurred_lossofinc",
+                       ["geo_code", "indem_per_grp"], power=1.5)
+    sc = fb.predict(fp.predict(te, "prop"), "bi").withColumns({
+        "prop_bi": F.col("prop") * F.col("bi"),
+        "total": F.col("grossincurred_prop") + F.col("grossincurred_lossofinc")})
+    sc = SM.stratified_split(sc.drop("split"), 0.5, ["LossofIncome_cover"], _KEY, 321)
+    fit_part = sc.filter("split = 'train'")
+    from pyspark.ml.feature import VectorAssembler
+    x = VectorAssembler(inputCols=["prop", "bi", "prop_bi"], outputCol="x").transform(fit_part)
+    m = LinearRegression(featuresCol="x", labelCol="total", solver="normal").fit(x)
+    resid = fit_part.withColumn("r", F.col("total") - F.col("prop") - F.col("bi"))
+    slope = resid.select(F.regr_slope("r", "prop_bi")).first()[0]
+    rows = [("(Intercept)", float(m.intercept))] + list(zip(["prop", "bi", "prop:bi"],
+                                                            map(float, m.coefficients)))
+    rows.append(("residual ~ bi:prop slope", float(slope) if slope is not None else None))
+    return spark.createDataFrame(rows, "term string, estimate double")
+
+
+@register("coef_smoothing")
+def coef_smoothing(spark, sf_dir):
+    """Rating factors of the tariff classes of log sum insured (Poisson GLM
+    on the class factor) smoothed by an exposure-weighted quadratic in the
+    class midpoints; the smoothed factor is joined back to every version as
+    a fixed offset column."""
+    from pyspark.ml.feature import Bucketizer, VectorAssembler
+    classes = tariff_classes(spark, sf_dir).select("cls", "x_min", "x_max").collect()
+    bounds = sorted({r["x_min"] for r in classes})[1:]
+    splits = [-math.inf] + bounds + [math.inf]
+    pc = S.policy_claims(spark, sf_dir).withColumn("x", F.round(F.log("suminsured_prop"), 1))
+    pc = Bucketizer(splits=splits, inputCol="x", outputCol="cls").transform(pc).withColumn(
+        "cls", F.col("cls").cast("int").cast("string"))
+    fit = M.fit_poisson(pc, "claimcount_prop", ["cls"])
+    rf = M.rating_factors(spark, {"glm": fit}, pc)
+    mid = pc.groupBy("cls").agg(F.avg("x").alias("mid"))
+    t = rf.join(mid, F.col("level") == F.col("cls")).withColumns({
+        "log_rf": F.log("rf_glm"), "mid2": F.col("mid") ** 2})
+    lr = LinearRegression(featuresCol="v", labelCol="log_rf", weightCol="exposure", solver="normal")
+    m = lr.fit(VectorAssembler(inputCols=["mid", "mid2"], outputCol="v").transform(t))
+    b1, b2 = map(float, m.coefficients)
+    smooth = F.exp(F.lit(float(m.intercept)) + b1 * F.col("mid") + b2 * F.col("mid2"))
+    table = t.select("cls", "mid", "rf_glm", smooth.alias("rf_smooth"))
+    with_offset = pc.join(table.select("cls", F.log("rf_smooth").alias("offset_smooth")), "cls")
+    per_class = with_offset.groupBy("cls").agg(F.count(F.lit(1)).alias("n_rows"),
+                                              F.max("offset_smooth").alias("offset_smooth"))
+    return table.join(per_class, "cls")
