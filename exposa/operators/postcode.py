@@ -45,17 +45,19 @@ def _one_area(dim: DataFrame, area: str, keep: Mapping[str, str]) -> DataFrame:
 
 
 def unique_mode(df: DataFrame, group: str, value: str, out: str | None = None) -> DataFrame:
-    """Most frequent non-NULL ``value`` per ``group``; tied modes give no row."""
+    """Most frequent non-NULL ``value`` per ``group``; tied modes give no row.
+
+    Counts per (group, value) are a partial aggregate; the mode test runs on
+    that count table (one row per group and value) with group windows.
+    """
+    from pyspark.sql import Window
     out = out or value
-    counts = (df.filter(F.col(value).isNotNull())
+    counts = (df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
               .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")))
-    best = counts.groupBy(group).agg(
-        F.max(F.struct("_n", F.col(value))).alias("_top"),
-        F.max("_n").alias("_max_n"))
-    ties = counts.join(best.select(group, "_max_n"), group).filter(
-        F.col("_n") == F.col("_max_n")).groupBy(group).agg(F.count(F.lit(1)).alias("_k"))
-    return (best.join(ties, group).filter(F.col("_k") == 1)
-            .select(group, F.col(f"_top.{value}").alias(out)))
+    w = Window.partitionBy(group)
+    top = counts.withColumn("_max", F.max("_n").over(w)).filter(F.col("_n") == F.col("_max"))
+    top = top.withColumn("_k", F.count(F.lit(1)).over(w)).filter(F.col("_k") == 1)
+    return top.select(group, F.col(value).alias(out))
 
 
 def restricted_dim(raw: DataFrame, used: DataFrame, patches: Sequence = POSTCODE_PATCHES) -> DataFrame:
@@ -71,21 +73,27 @@ def postcode_dim(raw: DataFrame, used: DataFrame,
     """(postcode, state, sa3name, sa4name, electoraterating), one row per pair.
 
     ``raw`` is the padded dimension; ``used`` holds a ``riskpostcode`` column
-    (the claims) and restricts the dimension to postcodes in use.  The
-    electorate rating is the postcode's own, else the unambiguous mode of its
-    SA3, else of its SA4 (modes over the restricted dimension rows).
+    (the claims) and restricts the dimension to postcodes in use.  Per pair:
+    the SA3 and SA4 (NULLs dropped, the study's hand fix applied, smallest
+    name if several) and the own rating come from ONE aggregation; pairs
+    without both areas are dropped.  The electorate rating is the pair's
+    own, else the unambiguous mode of its SA3, else of its SA4.
     """
     post = restricted_dim(raw, used, patches)
-    sa3 = _one_area(post, "sa3name", sa3_keep)
-    sa4 = _one_area(post, "sa4name", sa4_keep)
-    own = (post.filter(F.col("electoraterating").isNotNull())
-           .groupBy("postcode", "state").agg(F.min("electoraterating").alias("own_rating")))
+
+    def kept(area, keep):
+        ok = F.col(area).isNotNull()
+        for pc, name in keep.items():
+            ok = ok & ~((F.col("postcode") == pc) & (F.col(area) != name))
+        return F.min(F.when(ok, F.col(area)))
+
+    pairs = (post.groupBy("postcode", "state")
+             .agg(kept("sa3name", sa3_keep).alias("sa3name"), kept("sa4name", sa4_keep).alias("sa4name"),
+                  F.min("electoraterating").alias("own_rating"))
+             .filter(F.col("sa3name").isNotNull() & F.col("sa4name").isNotNull()))
     m3 = unique_mode(post, "sa3name", "electoraterating", "sa3_rating")
     m4 = unique_mode(post, "sa4name", "electoraterating", "sa4_rating")
-    return (sa3.join(sa4, ["postcode", "state"])
-            .join(own, ["postcode", "state"], "left")
-            .join(m3, "sa3name", "left")
-            .join(m4, "sa4name", "left")
+    return (pairs.join(m3, "sa3name", "left").join(m4, "sa4name", "left")
             .select("postcode", "state", "sa3name", "sa4name",
                     F.coalesce("own_rating", "sa3_rating", "sa4_rating").alias("electoraterating")))
 

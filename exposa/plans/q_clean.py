@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from exposa.session import app_id
+
 from pyspark.sql import functions as F
 
 from exposa.functions import expr as E
@@ -17,7 +19,7 @@ from exposa.sources.schema import AMOUNT_COLS, BUILDING_COLS
 def _scratch(spark, name: str) -> str:
     from exposa.session import checkpoint_dir
     return (f"{checkpoint_dir(spark).rstrip('/')}/exposa-io/"
-            f"{spark.sparkContext.applicationId}/{name}")
+            f"{app_id(spark)}/{name}")
 
 
 def _round(df, cols, d=6):

@@ -6,6 +6,8 @@ tests/test_models.py checks the numbers against numpy IRLS / closed forms.
 
 from __future__ import annotations
 
+from exposa.session import app_id
+
 import math
 
 from pyspark.ml.classification import LogisticRegression
@@ -410,7 +412,7 @@ def save_model(spark, sf_dir):
     from exposa.sources.tables import save_model as save
     pc = S.policy_claims(spark, sf_dir)
     fit = M.fit_poisson(pc, "claimcount_prop", ["geo_code"])
-    path = f"{checkpoint_dir(spark).rstrip('/')}/exposa-models/{spark.sparkContext.applicationId}/poisson"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/exposa-models/{app_id(spark)}/poisson"
     save(fit.model, path)
     fit.design.model.write().overwrite().save(path + "_design")
     m2 = GeneralizedLinearRegressionModel.load(path)

@@ -17,6 +17,8 @@ downstream plan small, as the study's saved stages do.
 
 from __future__ import annotations
 
+from exposa.session import app_id
+
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +48,7 @@ _MEMO: dict = {}
 def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Materialise ``build()`` once per (application, sf_dir, stage name)."""
     from exposa.session import checkpoint_dir
-    app = spark.sparkContext.applicationId
+    app = app_id(spark)
     key = (app, sf_dir.rstrip("/"), name)
     path = _MEMO.get(key)
     if path is None:

@@ -45,6 +45,14 @@ def get_spark(master: str | None = None, partitions: int | None = None,
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Id of the running Spark application (stages are scoped to it)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no SparkContext
+        return spark.conf.get("spark.app.id", None) or "app"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster.
 
@@ -52,8 +60,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder).  Only when nothing is configured (local tests) a scratch folder
     is created and registered with the SparkContext.
     """
-    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: the server owns the context
+        return d or tempfile.gettempdir()
     if d:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
