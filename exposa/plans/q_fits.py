@@ -26,7 +26,7 @@ from exposa.operators import consolidate as C
 from exposa.operators import geo as G
 from exposa.operators import sampling as SM
 from exposa.plans import stages as S
-from exposa.plans.q_geo import _KEY, _grid_rows
+from exposa.plans.q_geo import _KEY, _grid_rows, _split_sql
 from exposa.plans.registry import register
 
 FREQ_FACTORS = ["geo_code", "occupation_risk", "building_type", "sprinkler_type"]
@@ -280,13 +280,51 @@ def ensemble_error(spark, sf_dir):
     return a.unionByName(b).unionByName(c)
 
 
-@register("score_geo_grid")
+from exposa.plans.q_geo import _PE_GRID, rollup3_sql  # noqa: E402
+
+_SCORE_GRID_SQL = f"""
+WITH maps AS (
+  SELECT DISTINCT grid_id, state, riskpostcode,
+         CASE WHEN state IN ('ACT', 'NT') THEN state ELSE geo_code END AS geo_code
+  FROM {rollup3_sql(_PE_GRID, ("t_riskpostcode", "t_sa3name", "t_sa4name"), part="grid_id")}),
+c AS (SELECT grid_id, count(DISTINCT geo_code) AS n_geo_code FROM maps GROUP BY grid_id),
+keep AS (SELECT n_geo_code, min(grid_id) AS grid_id FROM c GROUP BY n_geo_code),
+last_pc AS (SELECT policyno, situation_num, riskpostcode FROM (
+  SELECT policyno, situation_num, riskpostcode, row_number() OVER (
+    PARTITION BY policyno, situation_num ORDER BY ym DESC, xm DESC, riskpostcode DESC) AS rn
+  FROM claims_geo) WHERE rn = 1),
+pcl AS (SELECT p.*, l.riskpostcode FROM policy_claims p JOIN last_pc l USING (policyno, situation_num)),
+sp AS ({_split_sql("pcl", "LossofIncome_cover", 0.8, 123)}),
+grain AS (SELECT riskpostcode, state, split, sum(CAST(claimcount_prop AS DOUBLE)) AS sy,
+                 sum(exposure) AS se, sum(CAST(claimcount_prop AS DOUBLE) * claimcount_prop) AS syy,
+                 sum(claimcount_prop * exposure) AS sye, sum(exposure * exposure) AS see,
+                 count(*) AS n
+          FROM sp GROUP BY ALL),
+g AS (SELECT grain.*, m.grid_id, m.geo_code FROM grain JOIN maps m USING (riskpostcode)
+      WHERE m.grid_id IN (SELECT grid_id FROM keep)),
+r AS (SELECT grid_id, geo_code, sum(sy) / sum(se) AS r FROM g WHERE split = 'train' GROUP BY ALL),
+rs AS (SELECT grid_id, state, sum(sy) / sum(se) AS rs FROM g WHERE split = 'train' GROUP BY ALL),
+ro AS (SELECT grid_id, sum(sy) / sum(se) AS ro FROM g WHERE split = 'train' GROUP BY ALL),
+te AS (SELECT g.*, coalesce(r.r, rs.rs, ro.ro) AS rate FROM g
+       LEFT JOIN r USING (grid_id, geo_code) LEFT JOIN rs USING (grid_id, state)
+       LEFT JOIN ro USING (grid_id) WHERE g.split = 'test')
+SELECT e.grid_id, k.n_geo_code, 'poisson' AS family, round(e.rmse, 9) AS rmse
+FROM (SELECT grid_id, sqrt(sum(syy - 2 * rate * sye + rate * rate * see) / sum(n)) AS rmse
+      FROM te GROUP BY grid_id) e JOIN keep k USING (grid_id)"""
+
+
+@register("score_geo_grid", _SCORE_GRID_SQL, ("claims_geo", "policy_claims"))
 def score_geo_grid(spark, sf_dir):
-    """Every distinct geo encoding of the threshold grid scored in ONE job:
-    codes attached per grid id, the one-factor Poisson frequency model fitted
-    on the training rows (its maximum-likelihood fit is the level claim rate,
-    so all encodings fit in one aggregation), RMSE on the test rows; codes
-    unseen in training fall back to the state, then to the overall rate."""
+    """Every distinct geo encoding of the threshold grid scored in ONE job.
+
+    The one-factor Poisson frequency fit of an encoding is the claim rate of
+    each code (its maximum-likelihood solution) on the training rows, and the
+    test squared error of rate r on a postcode is
+    sum(y^2) - 2 r sum(y e) + r^2 sum(e^2).  So policies are reduced ONCE to
+    postcode-grain sums per split; the per-encoding maps (one row per grid id
+    and postcode) join that small table - no per-encoding pass over rows.
+    Codes unseen in training fall back to the state rate, then the overall.
+    """
     k = S.sf_scale(sf_dir)
     geo = S.claims_geo(spark, sf_dir)
     grid = G.geo_grid(geo, _grid_rows(), weight="epy", scale=k)
@@ -297,22 +335,23 @@ def score_geo_grid(spark, sf_dir):
         F.max(F.struct("ym", "xm", "riskpostcode")).alias("_l")).select(
         "policyno", "situation_num", F.col("_l.riskpostcode").alias("riskpostcode"))
     pc = S.policy_claims(spark, sf_dir).join(last_pc, ["policyno", "situation_num"])
-    base = SM.stratified_split(pc, 0.8, ["LossofIncome_cover"], _KEY, 123).select(
-        *_KEY, "riskpostcode", "state", "exposure", "claimcount_prop", "split")
-    d = base.join(maps.drop("state"), "riskpostcode")            # rows x encodings
-    tr = d.filter("split = 'train'")
-    rates = tr.groupBy("grid_id", "geo_code").agg(
-        (F.sum("claimcount_prop") / F.sum("exposure")).alias("_r"))
-    state_rates = tr.groupBy("grid_id", "state").agg(
-        (F.sum("claimcount_prop") / F.sum("exposure")).alias("_rs"))
-    overall = tr.groupBy("grid_id").agg((F.sum("claimcount_prop") / F.sum("exposure")).alias("_ro"))
-    te = (d.filter("split = 'test'").join(rates, ["grid_id", "geo_code"], "left")
+    sp = SM.stratified_split(pc, 0.8, ["LossofIncome_cover"], _KEY, 123)
+    y, e = F.col("claimcount_prop").cast("double"), F.col("exposure")
+    grain = sp.groupBy("riskpostcode", "state", "split").agg(
+        F.sum(y).alias("sy"), F.sum(e).alias("se"), F.sum(y * y).alias("syy"),
+        F.sum(y * e).alias("sye"), F.sum(e * e).alias("see"), F.count(F.lit(1)).alias("n"))
+    g = grain.join(maps.drop("state"), "riskpostcode")        # postcodes x encodings
+    tr = g.filter("split = 'train'")
+    rates = tr.groupBy("grid_id", "geo_code").agg((F.sum("sy") / F.sum("se")).alias("_r"))
+    state_rates = tr.groupBy("grid_id", "state").agg((F.sum("sy") / F.sum("se")).alias("_rs"))
+    overall = tr.groupBy("grid_id").agg((F.sum("sy") / F.sum("se")).alias("_ro"))
+    te = (g.filter("split = 'test'").join(rates, ["grid_id", "geo_code"], "left")
           .join(state_rates, ["grid_id", "state"], "left").join(overall, "grid_id", "left"))
-    te = te.withColumn("p", F.col("exposure") * F.coalesce("_r", "_rs", "_ro"))
-    err = te.groupBy("grid_id").agg(
-        F.sqrt(F.avg(F.pow(F.col("claimcount_prop") - F.col("p"), 2))).alias("rmse"))
+    r = F.coalesce("_r", "_rs", "_ro")
+    sse = F.col("syy") - 2 * r * F.col("sye") + r * r * F.col("see")
+    err = te.groupBy("grid_id").agg(F.sqrt(F.sum(sse) / F.sum("n")).alias("rmse"))
     return (err.join(keep, "grid_id").select("grid_id", "n_geo_code", F.lit("poisson").alias("family"),
-                                              "rmse").orderBy("rmse", "grid_id"))
+                                              F.round("rmse", 9).alias("rmse")).orderBy("rmse", "grid_id"))
 
 
 _TREE_FACTORS = ["geo_code", "occupation_risk", "building_type", "construction_floor"]
