@@ -79,16 +79,26 @@ def recode(df: DataFrame, col: str, mapping: Mapping[str, str] | DataFrame,
 
 def occupation_map(df: DataFrame, col: str = "occupation", weight: str = "epy",
                    excluded: Sequence[str] = OCCUPATION_EXCLUDED, top_keep: int = 10,
-                   top_n: int = 15, other: str = "Other") -> DataFrame:
+                   top_n: int = 15, other: str = "Other", severity_top: int = 0,
+                   severity_cols: Sequence[str] = ("grossincurred_prop", "grossincurred_lossofinc")
+                   ) -> DataFrame:
     """(occupation, occupation_risk) map.
 
-    Excluded names map to themselves.  The rest, by exposure desc (name
-    breaks ties): the top ``top_keep`` stay, others become '<letter>_General';
-    then only the ``top_n`` heaviest resulting groups stay, the rest 'Other'.
-    Built from the unmerged occupations, so every name has an entry.
+    Excluded names map to themselves; with ``severity_top`` > 0 the
+    ``severity_top`` occupations of highest mean positive amount per line
+    (name breaks ties) are excluded too (the second path).  The rest, by
+    exposure desc (name breaks ties): the top ``top_keep`` stay, others
+    become '<letter>_General'; then only the ``top_n`` heaviest resulting
+    groups stay (ties kept), the rest 'Other'.  Built from the unmerged
+    occupations, so every name has an entry.
     """
     lv = level_weights(df, col, weight, "exposure").filter(F.col(col).isNotNull())
-    rest = lv.filter(~F.col(col).isin(list(excluded)))
+    spark = df.sparkSession
+    excl = spark.createDataFrame([(e,) for e in excluded] or [], f"{col} string")
+    for c in (severity_cols if severity_top > 0 else ()):
+        excl = excl.unionByName(top_severity(df, col, c, severity_top).select(col))
+    excl = excl.distinct()
+    rest = lv.join(excl, col, "left_anti")
     order = Window.orderBy(F.desc("exposure"), F.asc(col))
     step1 = rest.withColumn("_rn", F.row_number().over(order)).withColumn(
         "_grp", F.when(F.col("_rn") > top_keep,
@@ -97,9 +107,8 @@ def occupation_map(df: DataFrame, col: str = "occupation", weight: str = "epy",
     kept = lump_n_levels(grp_w, "_grp", "_gw", top_n, other, "occupation_risk")
     mapped = step1.join(kept.select("_grp", "occupation_risk"), "_grp").select(
         col, "occupation_risk")
-    excl = lv.filter(F.col(col).isin(list(excluded))).select(
-        col, F.col(col).alias("occupation_risk"))
-    return mapped.unionByName(excl)
+    excl_map = lv.join(excl, col, "left_semi").select(col, F.col(col).alias("occupation_risk"))
+    return mapped.unionByName(excl_map)
 
 
 def pool_rare(train: DataFrame, cols: Sequence[str], threshold: float = 0.25,

@@ -63,55 +63,57 @@ SELECT policyno, situation_num, effectdate, expirydate, ym, xm, start, epy,
        occupation, indem_per_grp
 FROM claims_monthly WHERE property_cover = 'Y'""", "claims_monthly")
 
-# --- postcode dimension -----------------------------------------------------
-cte("pc_post", """
+# --- postcode dimension + state reconciliation + join, for any source ------
+
+def postcode_ctes(p: str, src: str, joined: str) -> None:
+    """Register the dimension / reconciliation / join CTEs for ``src`` (a
+    table with riskpostcode and state) under prefix ``p``; the joined rows
+    are CTE ``joined``."""
+    cte(f"{p}pc_post", f"""
 SELECT CASE WHEN postcode = '002309' THEN '002083' ELSE postcode END AS postcode,
        CASE WHEN postcode = '004375' THEN 'QLD' ELSE state END AS state,
        sa3name, sa4name, electoraterating
-FROM postcodes WHERE postcode IN (SELECT riskpostcode FROM claims_clean)""",
-    "postcodes", "claims_clean")
-cte("pc_sa3", """
+FROM postcodes WHERE postcode IN (SELECT riskpostcode FROM {src})""", "postcodes", src)
+    cte(f"{p}pc_sa3", f"""
 SELECT postcode, state, min(sa3name) AS sa3name
-FROM (SELECT DISTINCT postcode, state, sa3name FROM pc_post
+FROM (SELECT DISTINCT postcode, state, sa3name FROM {p}pc_post
       WHERE sa3name IS NOT NULL AND NOT (postcode = '002304' AND sa3name <> 'Shoalhaven'))
-GROUP BY postcode, state""", "pc_post")
-cte("pc_sa4", """
+GROUP BY postcode, state""", f"{p}pc_post")
+    cte(f"{p}pc_sa4", f"""
 SELECT postcode, state, min(sa4name) AS sa4name
-FROM (SELECT DISTINCT postcode, state, sa4name FROM pc_post
+FROM (SELECT DISTINCT postcode, state, sa4name FROM {p}pc_post
       WHERE sa4name IS NOT NULL
         AND NOT (postcode = '002304' AND sa4name <> 'Southern Highlands and Shoalhaven'))
-GROUP BY postcode, state""", "pc_post")
-cte("pc_own", """
-SELECT postcode, state, min(electoraterating) AS own_rating FROM pc_post
-WHERE electoraterating IS NOT NULL GROUP BY postcode, state""", "pc_post")
-for _lvl in ("sa3", "sa4"):
-    cte(f"pc_m{_lvl[-1]}", f"""
-SELECT c.{_lvl}name, min(c.electoraterating) AS {_lvl}_rating
-FROM (SELECT {_lvl}name, electoraterating, count(*) AS n FROM pc_post
-      WHERE electoraterating IS NOT NULL GROUP BY {_lvl}name, electoraterating) c
-JOIN (SELECT {_lvl}name, max(n) AS mx
-      FROM (SELECT {_lvl}name, electoraterating, count(*) AS n FROM pc_post
-            WHERE electoraterating IS NOT NULL GROUP BY {_lvl}name, electoraterating)
-      GROUP BY {_lvl}name) m ON c.{_lvl}name = m.{_lvl}name AND c.n = m.mx
-GROUP BY c.{_lvl}name HAVING count(*) = 1""", "pc_post")
-cte("pc_dim", """
+GROUP BY postcode, state""", f"{p}pc_post")
+    cte(f"{p}pc_own", f"""
+SELECT postcode, state, min(electoraterating) AS own_rating FROM {p}pc_post
+WHERE electoraterating IS NOT NULL GROUP BY postcode, state""", f"{p}pc_post")
+    for lvl in ("sa3", "sa4"):
+        cte(f"{p}pc_m{lvl[-1]}", f"""
+SELECT c.{lvl}name, min(c.electoraterating) AS {lvl}_rating
+FROM (SELECT {lvl}name, electoraterating, count(*) AS n FROM {p}pc_post
+      WHERE electoraterating IS NOT NULL GROUP BY {lvl}name, electoraterating) c
+JOIN (SELECT {lvl}name, max(n) AS mx
+      FROM (SELECT {lvl}name, electoraterating, count(*) AS n FROM {p}pc_post
+            WHERE electoraterating IS NOT NULL GROUP BY {lvl}name, electoraterating)
+      GROUP BY {lvl}name) m ON c.{lvl}name = m.{lvl}name AND c.n = m.mx
+GROUP BY c.{lvl}name HAVING count(*) = 1""", f"{p}pc_post")
+    cte(f"{p}pc_dim", f"""
 SELECT postcode, state, sa3name, sa4name,
        coalesce(own_rating, sa3_rating, sa4_rating) AS electoraterating
-FROM pc_sa3 JOIN pc_sa4 USING (postcode, state)
-LEFT JOIN pc_own USING (postcode, state)
-LEFT JOIN pc_m3 USING (sa3name)
-LEFT JOIN pc_m4 USING (sa4name)""", "pc_sa3", "pc_sa4", "pc_own", "pc_m3", "pc_m4")
-
-# --- state reconciliation ---------------------------------------------------
-cte("rc_claim_pairs", "SELECT DISTINCT riskpostcode AS postcode, state FROM claims_clean",
-    "claims_clean")
-cte("rc_claim_state", """
-SELECT postcode, min(state) AS new_state FROM rc_claim_pairs
-WHERE postcode IN (SELECT d.postcode FROM pc_dim d
-                   WHERE NOT EXISTS (SELECT 1 FROM rc_claim_pairs c
+FROM {p}pc_sa3 JOIN {p}pc_sa4 USING (postcode, state)
+LEFT JOIN {p}pc_own USING (postcode, state)
+LEFT JOIN {p}pc_m3 USING (sa3name)
+LEFT JOIN {p}pc_m4 USING (sa4name)""", f"{p}pc_sa3", f"{p}pc_sa4", f"{p}pc_own", f"{p}pc_m3",
+        f"{p}pc_m4")
+    cte(f"{p}rc_claim_pairs", f"SELECT DISTINCT riskpostcode AS postcode, state FROM {src}", src)
+    cte(f"{p}rc_claim_state", f"""
+SELECT postcode, min(state) AS new_state FROM {p}rc_claim_pairs
+WHERE postcode IN (SELECT d.postcode FROM {p}pc_dim d
+                   WHERE NOT EXISTS (SELECT 1 FROM {p}rc_claim_pairs c
                                      WHERE c.postcode = d.postcode AND c.state = d.state))
-GROUP BY postcode""", "rc_claim_pairs", "pc_dim")
-cte("pc_dim2", """
+GROUP BY postcode""", f"{p}rc_claim_pairs", f"{p}pc_dim")
+    cte(f"{p}pc_dim2", f"""
 SELECT postcode, state, sa3name, sa4name, electoraterating FROM (
   SELECT d.postcode, coalesce(cs.new_state, d.state) AS state, d.sa3name, d.sa4name,
          d.electoraterating,
@@ -119,22 +121,25 @@ SELECT postcode, state, sa3name, sa4name, electoraterating FROM (
                             ORDER BY (d.state = coalesce(cs.new_state, d.state)) DESC,
                                      d.sa3name ASC NULLS LAST, d.sa4name ASC NULLS LAST,
                                      d.electoraterating ASC NULLS LAST) AS rn
-  FROM pc_dim d LEFT JOIN rc_claim_state cs USING (postcode)) WHERE rn = 1""",
-    "pc_dim", "rc_claim_state")
-cte("rc_dim_state", """
-SELECT postcode AS riskpostcode, min(state) AS dim_state FROM pc_dim2
-WHERE postcode IN (SELECT c.postcode FROM rc_claim_pairs c
-                   WHERE NOT EXISTS (SELECT 1 FROM pc_dim2 d
+  FROM {p}pc_dim d LEFT JOIN {p}rc_claim_state cs USING (postcode)) WHERE rn = 1""",
+        f"{p}pc_dim", f"{p}rc_claim_state")
+    cte(f"{p}rc_dim_state", f"""
+SELECT postcode AS riskpostcode, min(state) AS dim_state FROM {p}pc_dim2
+WHERE postcode IN (SELECT c.postcode FROM {p}rc_claim_pairs c
+                   WHERE NOT EXISTS (SELECT 1 FROM {p}pc_dim2 d
                                      WHERE d.postcode = c.postcode AND d.state = c.state)
-                     AND c.postcode IN (SELECT postcode FROM pc_dim2))
-GROUP BY postcode""", "pc_dim2", "rc_claim_pairs")
-cte("claims_geo", """
+                     AND c.postcode IN (SELECT postcode FROM {p}pc_dim2))
+GROUP BY postcode""", f"{p}pc_dim2", f"{p}rc_claim_pairs")
+    cte(joined, f"""
 SELECT c.* EXCLUDE (state), coalesce(s.dim_state, c.state) AS state,
        d.sa3name, d.sa4name, d.electoraterating
-FROM claims_clean c
-LEFT JOIN rc_dim_state s USING (riskpostcode)
-JOIN pc_dim2 d ON d.postcode = c.riskpostcode AND d.state = coalesce(s.dim_state, c.state)""",
-    "claims_clean", "rc_dim_state", "pc_dim2")
+FROM {src} c
+LEFT JOIN {p}rc_dim_state s USING (riskpostcode)
+JOIN {p}pc_dim2 d ON d.postcode = c.riskpostcode AND d.state = coalesce(s.dim_state, c.state)""",
+        src, f"{p}rc_dim_state", f"{p}pc_dim2")
+
+
+postcode_ctes("", "claims_clean", "claims_geo")
 
 
 def occupation_map_sql(src: str, excluded: list[str], top_keep: int = 10, top_n: int = 15) -> str:
@@ -270,3 +275,109 @@ WHERE suminsured_prop <> 0
     "policy_claims_hasna")
 cte("policy_claims_monthly", """
 SELECT *, epy * date_weights AS exposure FROM std_monthly""", "std_monthly")
+
+# --- second path ---------------------------------------------------------------
+cte("s2_clean", """
+SELECT policyno, situation_num, effectdate, expirydate, ym, xm, start, epy,
+       LossofIncome_cover = 'Y' AS LossofIncome_cover,
+       CASE WHEN suminsured_prop < 10 THEN 0.0 ELSE suminsured_prop END AS suminsured_prop,
+       CASE WHEN suminsured_lossofinc < 10 THEN 0.0 ELSE suminsured_lossofinc END
+         AS suminsured_lossofinc,
+       CASE WHEN grossincurred_prop < 10 THEN 0.0 ELSE grossincurred_prop END AS grossincurred_prop,
+       CASE WHEN grossincurred_lossofinc < 10 THEN 0.0 ELSE grossincurred_lossofinc END
+         AS grossincurred_lossofinc,
+       riskpostcode, state, building_age, building_type, construction_walls, construction_floor,
+       CAST(CAST(CASE WHEN sprinkler_type = 'None' THEN 0.0
+            ELSE CAST(NULLIF(regexp_extract(sprinkler_type, '[0-9]', 0), '') AS DOUBLE) END
+            AS INTEGER) AS VARCHAR) AS sprinkler_type,
+       occupation, indem_per_grp
+FROM claims_monthly WHERE property_cover = 'Y'""", "claims_monthly")
+
+
+def _top_sev(col: str, n: int = 2) -> str:
+    return (f"(SELECT occupation FROM s2_clean WHERE {col} > 0 GROUP BY occupation "
+            f"ORDER BY avg({col}) DESC, occupation LIMIT {n})")
+
+
+cte("s2_excl", f"""
+SELECT 'Unknown' AS occupation UNION SELECT * FROM {_top_sev("grossincurred_prop")}
+UNION SELECT * FROM {_top_sev("grossincurred_lossofinc")}""", "s2_clean")
+cte("s2_occ_lv", """
+SELECT occupation, sum(epy) AS exposure FROM s2_clean WHERE occupation IS NOT NULL
+GROUP BY occupation""", "s2_clean")
+cte("s2_occ_step1", """
+SELECT occupation, exposure,
+       CASE WHEN row_number() OVER (ORDER BY exposure DESC, occupation ASC) > 10
+            THEN substr(occupation, 1, 1) || '_General' ELSE occupation END AS grp
+FROM s2_occ_lv WHERE occupation NOT IN (SELECT occupation FROM s2_excl)""", "s2_occ_lv", "s2_excl")
+cte("s2_occ", """
+SELECT s.occupation, k.occupation_risk FROM s2_occ_step1 s
+JOIN (SELECT grp, CASE WHEN rank() OVER (ORDER BY gw DESC) <= 13 THEN grp ELSE 'Other' END
+             AS occupation_risk
+      FROM (SELECT grp, sum(exposure) AS gw FROM s2_occ_step1 GROUP BY grp)) k USING (grp)
+UNION ALL
+SELECT occupation, occupation FROM s2_occ_lv WHERE occupation IN (SELECT occupation FROM s2_excl)""",
+    "s2_occ_step1", "s2_occ_lv", "s2_excl")
+cte("s2_tidy", """
+SELECT * EXCLUDE (construction_walls, construction_floor, building_age, building_type,
+                  sprinkler_type, indem_per_grp, occupation, suminsured_lossofinc,
+                  grossincurred_lossofinc, to_),
+       coalesce(CASE WHEN construction_walls IN ('Polystyrene', 'Glass',
+                  'Aluminum/Fibro/Iron/Steel (on Steel Frame)') THEN 'Other'
+                ELSE construction_walls END, 'Unknown') AS construction_walls,
+       coalesce(CASE WHEN construction_floor IN ('Timber', 'Other') THEN 'Other'
+                ELSE construction_floor END, 'Unknown') AS construction_floor,
+       coalesce(CASE WHEN building_age = 'Less than 2 Years' THEN 'Less Than 20 Years'
+                     WHEN building_age IN ('1960 - 1980', 'Before 1960') THEN 'Before 1980'
+                ELSE building_age END, 'Unknown') AS building_age,
+       coalesce(CASE WHEN building_type IN ('Medium rise', 'High rise') THEN 'Mid-High rise'
+                ELSE building_type END, 'Unknown') AS building_type,
+       coalesce(CASE WHEN sprinkler_type IN ('1', '2', '3') THEN '>0' ELSE sprinkler_type END,
+                'Unknown') AS sprinkler_type,
+       CASE WHEN NOT LossofIncome_cover THEN 'LoI_NULL'
+            ELSE coalesce(CASE WHEN indem_per_grp = 'UNKNOWN' THEN '<12 mths'
+                          ELSE indem_per_grp END, 'Unknown') END AS indem_per_grp,
+       coalesce(coalesce(to_, occupation), 'Unknown') AS occupation_risk,
+       CASE WHEN LossofIncome_cover AND suminsured_lossofinc IS NULL THEN 0.0
+            ELSE suminsured_lossofinc END AS suminsured_lossofinc,
+       CASE WHEN LossofIncome_cover AND grossincurred_lossofinc IS NULL THEN 0.0
+            ELSE grossincurred_lossofinc END AS grossincurred_lossofinc
+FROM (SELECT c.*, o.occupation_risk AS to_ FROM s2_clean c
+      LEFT JOIN s2_occ o ON o.occupation = c.occupation)""", "s2_clean", "s2_occ")
+_S2_DET = ["riskpostcode", "state", "building_age", "building_type", "construction_walls",
+           "construction_floor", "sprinkler_type", "occupation_risk"]
+cte("s2_details", representative_sql("s2_tidy", _S2_DET), "s2_tidy")
+cte("s2_prop", representative_sql("s2_tidy", ["suminsured_prop"]), "s2_tidy")
+cte("s2_loi", representative_sql("(SELECT * FROM s2_tidy WHERE LossofIncome_cover)",
+                                 ["suminsured_lossofinc", "indem_per_grp"]), "s2_tidy")
+cte("s2_cons", f"""
+SELECT {_KEYS}, CAST(sum(CAST(epy AS DECIMAL(38,12))) AS DOUBLE) AS exposure,
+       avg(pow(0.9998, date_diff('day', start, (SELECT max(start) FROM s2_tidy)))) AS date_weights,
+       count(*) FILTER (WHERE grossincurred_prop > 0) AS claimcount_prop,
+       count(*) FILTER (WHERE grossincurred_lossofinc > 0) AS claimcount_lossofinc,
+       coalesce(CAST(sum(CAST(grossincurred_prop AS DECIMAL(38,4))) AS DOUBLE), 0.0) AS grossincurred_prop,
+       coalesce(CAST(sum(CAST(grossincurred_lossofinc AS DECIMAL(38,4))) AS DOUBLE), 0.0)
+         AS grossincurred_lossofinc,
+       bool_or(LossofIncome_cover) AS LossofIncome_cover
+FROM s2_tidy GROUP BY {_KEYS}""", "s2_tidy")
+cte("s2_versions", f"""
+SELECT c.*, d.* EXCLUDE (policyno, situation_num, effectdate, expirydate, riskpostcode, state),
+       CASE WHEN d.riskpostcode = '002309' THEN '002083' ELSE d.riskpostcode END AS riskpostcode,
+       CASE WHEN d.riskpostcode = '004375' THEN 'QLD' ELSE d.state END AS state,
+       p.suminsured_prop, l.suminsured_lossofinc, l.indem_per_grp
+FROM s2_cons c
+LEFT JOIN s2_details d USING ({_KEYS})
+LEFT JOIN s2_prop p USING ({_KEYS})
+LEFT JOIN s2_loi l ON l.policyno = c.policyno AND l.situation_num = c.situation_num
+  AND l.effectdate = c.effectdate AND l.expirydate = c.expirydate AND c.LossofIncome_cover""",
+    "s2_cons", "s2_details", "s2_prop", "s2_loi")
+postcode_ctes("s2_", "s2_versions", "s2_joined")
+cte("policy_claims_second", """
+SELECT * EXCLUDE (effectdate, expirydate, indem_per_grp, suminsured_lossofinc),
+       CAST(dense_rank() OVER (PARTITION BY policyno, situation_num
+                               ORDER BY effectdate, expirydate) AS INTEGER) AS policy_version,
+       building_age IS NULL AS building_info_na,
+       CASE WHEN NOT LossofIncome_cover THEN 'LoI_NULL' ELSE indem_per_grp END AS indem_per_grp,
+       CASE WHEN NOT LossofIncome_cover THEN 0.0 ELSE suminsured_lossofinc END
+         AS suminsured_lossofinc
+FROM s2_joined""", "s2_joined")

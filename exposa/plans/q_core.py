@@ -62,3 +62,27 @@ def policy_claims(spark, sf_dir):
         "exposure": F.round("exposure", 6), "date_weights": F.round("date_weights", 9),
         "grossincurred_prop": F.round("grossincurred_prop", 6),
         "grossincurred_lossofinc": F.round("grossincurred_lossofinc", 6)})
+
+
+@register("claims_second", "SELECT * EXCLUDE (occupation_risk), occupation_risk AS occupation FROM s2_tidy",
+          ("s2_tidy",))
+def claims_second(spark, sf_dir):
+    """Second-path cleaning and encodings: fixed recodes, occupation map with
+    top-severity exclusions, 'Unknown' levels, loss-of-income NULL rules."""
+    return S.claims_second(spark, sf_dir)
+
+
+@register("policy_claims_second", """
+SELECT * EXCLUDE (exposure, date_weights, grossincurred_prop, grossincurred_lossofinc),
+       round(exposure, 6) AS exposure, round(date_weights, 9) AS date_weights,
+       round(grossincurred_prop, 6) AS grossincurred_prop,
+       round(grossincurred_lossofinc, 6) AS grossincurred_lossofinc
+FROM policy_claims_second""", ("policy_claims_second",))
+def policy_claims_second(spark, sf_dir):
+    """Second-path policy versions (base 0.9998, postcode join after
+    consolidation, BI sums by mode over covered rows)."""
+    pc = S.policy_claims_second(spark, sf_dir)
+    return pc.withColumns({
+        "exposure": F.round("exposure", 6), "date_weights": F.round("date_weights", 9),
+        "grossincurred_prop": F.round("grossincurred_prop", 6),
+        "grossincurred_lossofinc": F.round("grossincurred_lossofinc", 6)})

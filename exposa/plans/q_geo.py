@@ -245,3 +245,36 @@ def distinct_geo_codes(spark, sf_dir):
     """Number of distinct codes of the two-level map."""
     m = G.geo_rollup(S.claims_geo(spark, sf_dir), 30.0 * S.sf_scale(sf_dir))
     return m.agg(F.count_distinct("geo_code").alias("n_geo_code"))
+
+
+_PE2 = ("(SELECT state, sa4name, sa3name, riskpostcode, sum(exposure) AS w "
+        "FROM policy_claims_second GROUP BY ALL)")
+_PE2_GRID = (f"(SELECT p.*, g.* FROM {_PE2} p, (VALUES {_GRID_VALUES}) "
+             "g(grid_id, t_riskpostcode, t_sa3name, t_sa4name))")
+
+
+@register("geo_grid_policies", f"""
+WITH c AS (
+  SELECT grid_id, t_riskpostcode, t_sa3name, t_sa4name,
+         count(DISTINCT CASE WHEN state IN ('ACT', 'NT') THEN state ELSE geo_code END) AS n_geo_code
+  FROM {rollup3_sql(_PE2_GRID, ("t_riskpostcode", "t_sa3name", "t_sa4name"), part="grid_id")}
+  GROUP BY ALL)
+SELECT c.* FROM c JOIN (SELECT n_geo_code, min(grid_id) AS grid_id FROM c GROUP BY ALL) f
+  USING (n_geo_code, grid_id)""", ("policy_claims_second",))
+def geo_grid_policies(spark, sf_dir):
+    """The 80-triple geo grid on the second-path policy table, weighted by
+    policy exposure (as the study runs it)."""
+    return G.geo_grid(S.policy_claims_second(spark, sf_dir), _grid_rows(), weight="exposure",
+                      scale=S.sf_scale(sf_dir))
+
+
+@register("geo_rollup3_policies", f"""
+SELECT DISTINCT riskpostcode,
+       CASE WHEN state IN ('ACT', 'NT') THEN state ELSE geo_code END AS geo_code
+FROM {rollup3_sql(_PE2, ("50.0", "100.0", "200.0"))}""", ("policy_claims_second",))
+def geo_rollup3_policies(spark, sf_dir):
+    """Three-level roll-up with the study's default thresholds (50 / 100 /
+    200) on policy exposure."""
+    k = S.sf_scale(sf_dir)
+    return G.geo_rollup3(S.policy_claims_second(spark, sf_dir), 50.0 * k, 100.0 * k, 200.0 * k,
+                         weight="exposure")

@@ -189,3 +189,90 @@ def policy_claims_monthly(spark: SparkSession, sf_dir: str,
     """Monthly rows with recency weight and weighted exposure."""
     rf = claims_encoded(spark, sf_dir)
     return C.weighted_exposure(C.recency_weight(rf, "start", base))
+
+
+# ---------------------------------------------------------------------------
+# Second path (geo-code study): its own cleaning encodings and policy table.
+# ---------------------------------------------------------------------------
+
+# Fixed values of the study's second path: recode maps (unknown values kept).
+SECOND_RECODES = {
+    "construction_walls": {"Polystyrene": "Other", "Glass": "Other",
+                           "Aluminum/Fibro/Iron/Steel (on Steel Frame)": "Other"},
+    "construction_floor": {"Timber": "Other", "Other": "Other"},
+    "building_age": {"Less than 2 Years": "Less Than 20 Years", "1960 - 1980": "Before 1980",
+                     "Before 1960": "Before 1980"},
+    "building_type": {"Medium rise": "Mid-High rise", "High rise": "Mid-High rise"},
+    "sprinkler_type": {"1": ">0", "2": ">0", "3": ">0"},
+    "indem_per_grp": {"UNKNOWN": "<12 mths"},
+}
+SECOND_DETAILS = ["riskpostcode", "state", "building_age", "building_type", "construction_walls",
+                  "construction_floor", "sprinkler_type", "occupation_risk"]
+
+
+def clean_second(raw: DataFrame) -> DataFrame:
+    """Second-path cleaning: as the main path but without the code patches
+    (applied at the postcode join) and the sprinkler level kept as text."""
+    df = raw.withColumns({
+        "sprinkler_type": sprinkler_level("sprinkler_type").cast("int").cast("string"),
+        "property_cover": yn_flag("property_cover"),
+        "LossofIncome_cover": yn_flag("LossofIncome_cover"),
+    })
+    df = df.filter(F.col("property_cover")).drop("property_cover")
+    return floor_small(df, AMOUNT_COLS, SMALL_AMOUNT)
+
+
+def encode_second(clean: DataFrame) -> DataFrame:
+    """Fixed recodes, occupation map (top-2 severity per line excluded, top
+    10 kept, 13 groups), NULL -> 'Unknown', then loss-of-income NULL rules:
+    covered rows with NULL amounts -> 0, uncovered indemnity 'LoI_NULL'."""
+    occ = GR.occupation_map(clean, excluded=["Unknown"], top_keep=10, top_n=13, severity_top=2)
+    df = clean
+    for c, m in SECOND_RECODES.items():
+        df = GR.recode(df, c, m)
+    df = GR.recode(df, "occupation", occ, strict=False)
+    df = fill_unknown(df, list(SECOND_RECODES) + ["occupation"])
+    cover = F.col("LossofIncome_cover")
+    df = df.withColumns({c: F.when(cover & F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c))
+                         for c in ("suminsured_lossofinc", "grossincurred_lossofinc")})
+    return df.withColumn("indem_per_grp", F.when(~cover, F.lit("LoI_NULL"))
+                         .otherwise(F.col("indem_per_grp")))
+
+
+def claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "claims_second",
+                 lambda: encode_second(clean_second(claims_monthly(spark, sf_dir))))
+
+
+def standardize_second(enc: DataFrame, raw_dim: DataFrame,
+                       base: float = WEIGHT_BASE_SECOND) -> DataFrame:
+    """Second-path policy table: representative details (incl. postcode),
+    property sum by mode, BI sum + indemnity by mode over covered rows (joined
+    to covered versions only), recency weights, consolidation; the postcode
+    dimension is joined AFTER consolidation; versions, NULL rules."""
+    from exposa.operators.postcode import (apply_state_fixes, attach_postcode,
+                                           claim_state_fixes, postcode_dim, reconcile_dim)
+    tidy = enc.withColumnRenamed("occupation", "occupation_risk")
+    details = C.representative(tidy, SECOND_DETAILS)
+    prop = C.representative(tidy, ["suminsured_prop"])
+    loi = C.representative(tidy.filter("LossofIncome_cover"),
+                           ["suminsured_lossofinc", "indem_per_grp"]).withColumn(
+        "LossofIncome_cover", F.lit(True))
+    monthly = C.recency_weight(tidy, "start", base)
+    pc = (C.consolidate(monthly).join(details, VERSION_KEYS, "left")
+          .join(prop, VERSION_KEYS, "left")
+          .join(loi, VERSION_KEYS + ["LossofIncome_cover"], "left"))
+    pc = patch_codes(pc, CLAIM_PATCHES)
+    dim = reconcile_dim(pc, postcode_dim(raw_dim, pc))
+    pc = attach_postcode(apply_state_fixes(pc, claim_state_fixes(pc, dim)), dim)
+    pc = C.policy_version(pc).drop("effectdate", "expirydate")
+    pc = pc.withColumn("building_info_na", F.col("building_age").isNull())
+    cover = F.col("LossofIncome_cover")
+    return pc.withColumns({
+        "indem_per_grp": F.when(~cover, F.lit("LoI_NULL")).otherwise(F.col("indem_per_grp")),
+        "suminsured_lossofinc": F.when(~cover, F.lit(0.0)).otherwise(F.col("suminsured_lossofinc"))})
+
+
+def policy_claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "policy_claims_second",
+                 lambda: standardize_second(claims_second(spark, sf_dir), postcodes(spark, sf_dir)))
