@@ -200,7 +200,8 @@ def _grid_rows():
     return rows
 
 
-_GRID_VALUES = ", ".join(f"({g}, {a}, {b}, {c})" for g, a, b, c in _grid_rows())
+_GRID_VALUES = ", ".join(f"({g}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))"
+                         for g, a, b, c in _grid_rows())
 _PE_GRID = (f"(SELECT p.*, g.* FROM {_PE} p, (VALUES {_GRID_VALUES}) "
             "g(grid_id, t_riskpostcode, t_sa3name, t_sa4name))")
 

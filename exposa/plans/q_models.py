@@ -93,7 +93,7 @@ g AS (SELECT score, sum(CAST(y AS BIGINT)) AS n_pos, count(*) - sum(CAST(y AS BI
 c AS (SELECT *, coalesce(sum(n_neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
                                            AND 1 PRECEDING), 0) AS neg_below FROM g)
 SELECT round(sum(n_pos * (neg_below + 0.5 * n_neg)) / (sum(n_pos) * sum(n_neg)), 12) AS auc,
-       sum(n_pos) AS n_pos, sum(n_neg) AS n_neg FROM c"""
+       CAST(sum(n_pos) AS BIGINT) AS n_pos, CAST(sum(n_neg) AS BIGINT) AS n_neg FROM c"""
 
 
 @register("roc_auc", _AUC_SQL, ("policy_claims",))

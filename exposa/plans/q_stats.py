@@ -46,7 +46,7 @@ def corr_matrix(spark, sf_dir):
 @register("linear_trend_cost", """
 SELECT LossofIncome_cover, round(regr_slope(y, x), 9) AS slope,
        round(regr_intercept(y, x), 9) AS intercept, round(regr_r2(y, x), 9) AS r2,
-       regr_count(y, x) AS n
+       CAST(regr_count(y, x) AS BIGINT) AS n
 FROM (SELECT LossofIncome_cover, ln(grossincurred_prop) AS y, ln(suminsured_prop) AS x
       FROM policy_claims WHERE grossincurred_prop > 0) GROUP BY LossofIncome_cover""",
           ("policy_claims",))
@@ -61,7 +61,7 @@ def linear_trend_cost(spark, sf_dir):
 
 @register("linear_trend_bi_on_prop", """
 SELECT round(regr_slope(y, x), 9) AS slope, round(regr_intercept(y, x), 9) AS intercept,
-       round(regr_r2(y, x), 9) AS r2, regr_count(y, x) AS n
+       round(regr_r2(y, x), 9) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n
 FROM (SELECT ln(grossincurred_lossofinc / claimcount_lossofinc) AS y,
              ln(grossincurred_prop / claimcount_prop) AS x
       FROM policy_claims WHERE grossincurred_prop > 0 AND grossincurred_lossofinc > 0)""",
@@ -146,8 +146,10 @@ def density_claim_type(spark, sf_dir):
 @register("histbin_amount", """
 SELECT CAST(least(floor(least(grossincurred_prop, 20000.0) / 1000.0), 19) AS INTEGER) AS bin,
        count(*) AS n,
-       CAST(least(floor(least(grossincurred_prop, 20000.0) / 1000.0), 19) AS INTEGER) * 1000.0 AS bin_lo,
-       (CAST(least(floor(least(grossincurred_prop, 20000.0) / 1000.0), 19) AS INTEGER) + 1) * 1000.0 AS bin_hi
+       CAST(CAST(least(floor(least(grossincurred_prop, 20000.0) / 1000.0), 19) AS INTEGER) * 1000.0
+            AS DOUBLE) AS bin_lo,
+       CAST((CAST(least(floor(least(grossincurred_prop, 20000.0) / 1000.0), 19) AS INTEGER) + 1) * 1000.0
+            AS DOUBLE) AS bin_hi
 FROM claims_encoded WHERE grossincurred_prop > 0 GROUP BY 1""", ("claims_encoded",))
 def histbin_amount(spark, sf_dir):
     """Claim sizes in 20 equal bins up to 20,000, the rest in the last bin."""

@@ -48,9 +48,18 @@ def frame_rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+          "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
+    st = {c: _TYPES.get(t, t) for c, t in sdf.dtypes}
+    dt = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if st != dt:
+        diff = sorted((c, st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c))
+        return False, f"{name}: TYPES differ {diff}"
     s = sdf.toPandas()
     t1 = time.time()
     d = con.execute(sql).df()
