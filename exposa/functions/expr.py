@@ -15,7 +15,7 @@ __all__ = [
     "occupation_prefix", "cancelled", "claim_type", "building_info_na",
     "recency_weight_expr", "mean_strict", "count_if", "any_true",
     "recode_map_expr", "patch_codes", "floor_small", "fill_unknown", "freq_sev_cols",
-    "money_sum",
+    "money_sum", "join_null_safe",
 ]
 
 
@@ -141,3 +141,16 @@ def freq_sev_cols(lines=("prop", "lossofinc")) -> dict[str, Column]:
         out[f"log_incurred_{ln}"] = F.log(F.nullif(a, F.lit(0.0)))
         out[f"log_severity_{ln}"] = F.log(safe_div(a, n))
     return out
+
+
+def join_null_safe(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` treating NULL = NULL as a match (<=>), keeping
+    one copy of each key column - so rows with a NULL key are never lost."""
+    keys = list(keys)
+    b2 = b.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
+                  *[c for c in b.columns if c not in keys])
+    cond = None
+    for k in keys:
+        e = a[k].eqNullSafe(b2[f"__r_{k}"])
+        cond = e if cond is None else cond & e
+    return a.join(b2, cond, how).drop(*[f"__r_{k}" for k in keys])

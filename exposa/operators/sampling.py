@@ -38,7 +38,8 @@ def exact_rank(df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: i
         "_off": F.sum("_bc").over(w) - F.col("_bc"),
         total: F.sum("_bc").over(Window.partitionBy(*strata))}).drop("_bc")
     local = Window.partitionBy(*strata, "_b").orderBy("_h", *key)
-    return (d.join(counts, strata + ["_b"])
+    from exposa.functions.expr import join_null_safe
+    return (join_null_safe(d, counts, strata + ["_b"])
             .withColumn(out, F.col("_off") + F.row_number().over(local))
             .drop("_b", "_off"))
 

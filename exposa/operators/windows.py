@@ -59,9 +59,10 @@ def with_group_stats(df: DataFrame, group: Sequence[str], n_col: str = "n") -> D
     Aggregate then join back on the group key: skew-safe (partial
     aggregation), and AQE broadcasts the aggregate when it is small.
     """
+    from exposa.functions.expr import join_null_safe
     stats = df.groupBy(*group).agg(F.count(F.lit(1)).alias("row_count"),
                                    F.max(n_col).alias("max_n"))
-    return df.join(stats, list(group))
+    return join_null_safe(df, stats, list(group))
 
 
 def with_group_mean(df: DataFrame, group: str, x: str, out: str | None = None) -> DataFrame:

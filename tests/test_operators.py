@@ -104,3 +104,21 @@ def test_claim_type_null_bi(spark):
     df = spark.createDataFrame([(5.0, None), (0.0, None), (5.0, 3.0), (0.0, 2.0)], "p double, b double")
     got = [r[0] for r in df.select(E.claim_type("p", "b")).collect()]
     assert got == ["Only Prop", "No Claim", "Both", "Only BI"]
+
+
+def test_exact_rank_keeps_null_stratum(spark):
+    df = spark.createDataFrame([(str(i), None if i % 3 == 0 else i % 2) for i in range(60)],
+                               "k string, s int")
+    r = SM.exact_rank(df, ["s"], ["k"], 5)
+    assert r.count() == 60
+    got = sorted(x["_rank"] for x in r.filter(F.col("s").isNull()).collect())
+    assert got == list(range(1, 21))
+
+
+def test_split_keeps_every_row(spark):
+    df = spark.createDataFrame([(str(i), i % 2 == 0 if i % 5 else None) for i in range(100)],
+                               "k string, c boolean")
+    out = SM.stratified_split(df, 0.8, ["c"], ["k"], 123)
+    assert out.count() == 100
+    counts = {(r["c"], r["split"]): r["count"] for r in out.groupBy("c", "split").count().collect()}
+    assert counts[(None, "train")] == 16 and counts[(None, "test")] == 4
