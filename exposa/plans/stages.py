@@ -244,14 +244,11 @@ def claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
                  lambda: encode_second(clean_second(claims_monthly(spark, sf_dir))))
 
 
-def standardize_second(enc: DataFrame, raw_dim: DataFrame,
-                       base: float = WEIGHT_BASE_SECOND) -> DataFrame:
-    """Second-path policy table: representative details (incl. postcode),
+def consolidate_second(enc: DataFrame, base: float = WEIGHT_BASE_SECOND) -> DataFrame:
+    """Second-path versions: representative details (incl. postcode),
     property sum by mode, BI sum + indemnity by mode over covered rows (joined
-    to covered versions only), recency weights, consolidation; the postcode
-    dimension is joined AFTER consolidation; versions, NULL rules."""
-    from exposa.operators.postcode import (apply_state_fixes, attach_postcode,
-                                           claim_state_fixes, postcode_dim, reconcile_dim)
+    to covered versions only), recency-weighted consolidation; the claim-side
+    code patches are applied to the version's postcode."""
     tidy = enc.withColumnRenamed("occupation", "occupation_risk")
     details = C.representative(tidy, SECOND_DETAILS)
     prop = C.representative(tidy, ["suminsured_prop"])
@@ -262,9 +259,14 @@ def standardize_second(enc: DataFrame, raw_dim: DataFrame,
     pc = (C.consolidate(monthly).join(details, VERSION_KEYS, "left")
           .join(prop, VERSION_KEYS, "left")
           .join(loi, VERSION_KEYS + ["LossofIncome_cover"], "left"))
-    pc = patch_codes(pc, CLAIM_PATCHES)
-    dim = reconcile_dim(pc, postcode_dim(raw_dim, pc))
-    pc = attach_postcode(apply_state_fixes(pc, claim_state_fixes(pc, dim)), dim)
+    return patch_codes(pc, CLAIM_PATCHES)
+
+
+def finish_second(versions: DataFrame, dim: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Postcode details joined AFTER consolidation, versions numbered, NULL
+    rules for uncovered versions."""
+    from exposa.operators.postcode import apply_state_fixes, attach_postcode
+    pc = attach_postcode(apply_state_fixes(versions, fixes), dim)
     pc = C.policy_version(pc).drop("effectdate", "expirydate")
     pc = pc.withColumn("building_info_na", F.col("building_age").isNull())
     cover = F.col("LossofIncome_cover")
@@ -273,6 +275,25 @@ def standardize_second(enc: DataFrame, raw_dim: DataFrame,
         "suminsured_lossofinc": F.when(~cover, F.lit(0.0)).otherwise(F.col("suminsured_lossofinc"))})
 
 
+def standardize_second(enc: DataFrame, raw_dim: DataFrame,
+                       base: float = WEIGHT_BASE_SECOND) -> DataFrame:
+    """Whole second-path standardisation as one lazy plan."""
+    from exposa.operators.postcode import claim_state_fixes, postcode_dim, reconcile_dim
+    v = consolidate_second(enc, base)
+    dim = reconcile_dim(v, postcode_dim(raw_dim, v))
+    return finish_second(v, dim, claim_state_fixes(v, dim))
+
+
 def policy_claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "policy_claims_second",
-                 lambda: standardize_second(claims_second(spark, sf_dir), postcodes(spark, sf_dir)))
+    """Second-path policy table; versions, the small dimension and the state
+    fixes are stages of their own, so the final join is one pass."""
+    from exposa.operators.postcode import claim_state_fixes, postcode_dim, reconcile_dim
+
+    def build():
+        v = stage(spark, sf_dir, "versions_second",
+                  lambda: consolidate_second(claims_second(spark, sf_dir)))
+        dim = stage(spark, sf_dir, "postcode_dim_second",
+                    lambda: reconcile_dim(v, postcode_dim(postcodes(spark, sf_dir), v)))
+        fixes = stage(spark, sf_dir, "state_fixes_second", lambda: claim_state_fixes(v, dim))
+        return finish_second(v, dim, fixes)
+    return stage(spark, sf_dir, "policy_claims_second", build)

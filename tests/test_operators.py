@@ -122,3 +122,20 @@ def test_split_keeps_every_row(spark):
     assert out.count() == 100
     counts = {(r["c"], r["split"]): r["count"] for r in out.groupBy("c", "split").count().collect()}
     assert counts[(None, "train")] == 16 and counts[(None, "test")] == 4
+
+
+def test_occupation_map_severity_exclusions(spark):
+    rows = []
+    # 14 occupations; A1 and B1 have the highest mean property claim
+    for i, (occ, w, amt) in enumerate([("A1", 1.0, 900.0), ("B1", 1.0, 800.0), ("C1", 50.0, 10.0)]
+                                      + [(f"D{j}", 40.0 - j, 5.0) for j in range(11)]):
+        rows.append((occ, w, amt, 0.0))
+    df = spark.createDataFrame(rows, "occupation string, epy double, grossincurred_prop double, "
+                                     "grossincurred_lossofinc double")
+    m = {r[0]: r[1] for r in GR.occupation_map(df, excluded=["Unknown"], top_keep=10, top_n=13,
+                                               severity_top=2, severity_cols=["grossincurred_prop"]
+                                               ).collect()}
+    assert m["A1"] == "A1" and m["B1"] == "B1"          # excluded: kept as themselves
+    assert m["C1"] == "C1"                              # heaviest of the rest
+    assert m["D10"] == "D_General" and m["D9"] == "D_General"
+    assert len(m) == 14
