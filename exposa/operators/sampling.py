@@ -26,11 +26,23 @@ def hash_key(key: Sequence[str], seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
+def prefix_for(n_rows: int, target: int = 200_000) -> int:
+    """Hex digits of the hash prefix so a (stratum, prefix) window holds about
+    ``target`` rows even if one stratum has all ``n_rows``: 2..10 digits."""
+    import math
+    need = max(1.0, n_rows / target)
+    return int(min(10, max(2, math.ceil(math.log(need, 16)))))
+
+
 def exact_rank(df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: int | str,
-               prefix: int = 4, out: str = "_rank", total: str = "_n") -> DataFrame:
+               prefix: int | None = None, out: str = "_rank", total: str = "_n") -> DataFrame:
     """Row rank (1-based) by md5(seed|key) inside each stratum, plus the
-    stratum size.  Ties (equal keys) are broken by the key columns."""
+    stratum size.  Ties (equal keys) are broken by the key columns.  The
+    result does not depend on ``prefix``; by default it is sized from the
+    row count (one count job) so windows stay ~200k rows at any scale."""
     strata = list(strata)
+    if prefix is None:
+        prefix = prefix_for(df.count())
     d = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", F.substring("_h", 1, prefix))
     counts = d.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     w = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -139,3 +139,9 @@ def test_occupation_map_severity_exclusions(spark):
     assert m["C1"] == "C1"                              # heaviest of the rest
     assert m["D10"] == "D_General" and m["D9"] == "D_General"
     assert len(m) == 14
+
+
+def test_prefix_for_scales():
+    assert SM.prefix_for(1000) == 2
+    assert SM.prefix_for(10 ** 12) == 6          # 16^6 windows of ~60k rows, worst case
+    assert SM.prefix_for(10 ** 15) == 9
