@@ -107,6 +107,15 @@ def upsample(df: DataFrame, cls: str, key: Sequence[str], ratio: float = 0.05,
     return r.filter(keep).drop("_h", "_rank", "_n")
 
 
+def hash_normal(cols: Sequence[str], seed) -> Column:
+    """Standard normal draw from md5(seed|cols) by Box-Muller: the same row
+    always gets the same value, even when a lost partition is recomputed."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+    u1 = (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / float(16 ** 13)
+    u2 = F.conv(F.substring(h, 14, 13), 16, 10).cast("double") / float(16 ** 13)
+    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+
+
 def rose(df: DataFrame, cls: str, numeric: Sequence[str], key: Sequence[str],
          n_out: int | None = None, seed: int = 123) -> DataFrame:
     """Smoothed bootstrap to balance classes (ROSE-style).
@@ -114,7 +123,8 @@ def rose(df: DataFrame, cls: str, numeric: Sequence[str], key: Sequence[str],
     Each class is resampled to n_out/2 rows (whole copies plus a hash-ordered
     part copy, as in ``upsample``); numeric columns get Gaussian noise with
     the class's Silverman scale h = (4/((d+2) n))^(1/(d+4)) * sd; categories
-    are copied.  Not SQL-exact (random noise); seeded.
+    are copied.  Noise comes from a hash of (key, copy), so it is seeded and
+    stable under recomputation.
     """
     sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_cn"))
     n_tot = sizes.select(F.sum("_cn")).scalar()
@@ -129,5 +139,6 @@ def rose(df: DataFrame, cls: str, numeric: Sequence[str], key: Sequence[str],
     r = r.join(sds, cls)
     scale = F.pow(F.lit(4.0) / ((d + 2) * F.col("_cn")), F.lit(1.0 / (d + 4)))
     for i, c in enumerate(numeric):
-        r = r.withColumn(c, F.col(c) + F.randn(seed + i) * scale * F.coalesce(F.col(f"_sd_{c}"), F.lit(0.0)))
+        z = hash_normal(list(key) + ["_copy"], f"{seed}|{c}")
+        r = r.withColumn(c, F.col(c) + z * scale * F.coalesce(F.col(f"_sd_{c}"), F.lit(0.0)))
     return r.drop("_h", "_rank", "_n", "_copy", "_cn", *[f"_sd_{c}" for c in numeric])

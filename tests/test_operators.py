@@ -145,3 +145,12 @@ def test_prefix_for_scales():
     assert SM.prefix_for(1000) == 2
     assert SM.prefix_for(10 ** 12) == 6          # 16^6 windows of ~60k rows, worst case
     assert SM.prefix_for(10 ** 15) == 9
+
+
+def test_hash_normal_moments(spark):
+    df = spark.range(20000).select(F.col("id").cast("string").alias("k"))
+    z = df.select(SM.hash_normal(["k"], 9).alias("z"))
+    m, sd = z.agg(F.avg("z"), F.stddev("z")).first()
+    assert abs(m) < 0.03 and abs(sd - 1) < 0.03
+    again = df.select(SM.hash_normal(["k"], 9).alias("z"))
+    assert z.exceptAll(again).count() == 0
