@@ -367,7 +367,7 @@ def fit_tree(spark, sf_dir):
     """Regression tree of property frequency, 3-fold CV over depth;
     variable importance of the best tree."""
     cvm, names, _ = TR.fit_tree(_tree_data(spark, sf_dir), "freq_prop", _TREE_FACTORS,
-                                ["suminsured_prop"])
+                                ["suminsured_prop"], key=_KEY)
     return TR.tree_importance(spark, cvm, names, "freq_prop")
 
 
@@ -376,7 +376,7 @@ def fit_forest(spark, sf_dir):
     """Random forest (10 trees) of property frequency, mtry 1..3 by 3-fold
     CV; variable importance of the best forest."""
     cvm, names, _ = TR.fit_forest(_tree_data(spark, sf_dir), "freq_prop", _TREE_FACTORS,
-                                  ["suminsured_prop"])
+                                  ["suminsured_prop"], key=_KEY)
     return TR.tree_importance(spark, cvm, names, "freq_prop")
 
 
