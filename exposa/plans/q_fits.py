@@ -325,12 +325,17 @@ def score_geo_grid(spark, sf_dir):
     and postcode) join that small table - no per-encoding pass over rows.
     Codes unseen in training fall back to the state rate, then the overall.
     """
+    from exposa.session import checkpoint_dir
+    checkpoint_dir(spark)
     k = S.sf_scale(sf_dir)
     geo = S.claims_geo(spark, sf_dir)
-    grid = G.geo_grid(geo, _grid_rows(), weight="epy", scale=k)
-    keep = grid.select("grid_id", "n_geo_code")
-    maps = G.geo_grid_maps(geo, _grid_rows(), weight="epy", scale=k).join(
-        keep.select("grid_id"), "grid_id", "left_semi")
+    # grid x postcode maps: small (80 x postcodes); checkpointed so the
+    # branches below do not recompute the 80-way roll-up
+    maps_all = G.geo_grid_maps(geo, _grid_rows(), weight="epy", scale=k).checkpoint()
+    counts = maps_all.groupBy("grid_id").agg(F.count_distinct("geo_code").alias("n_geo_code"))
+    first = counts.groupBy("n_geo_code").agg(F.min("grid_id").alias("grid_id"))
+    keep = counts.join(first, ["n_geo_code", "grid_id"], "left_semi")
+    maps = maps_all.join(keep.select("grid_id"), "grid_id", "left_semi")
     last_pc = geo.groupBy("policyno", "situation_num").agg(
         F.max(F.struct("ym", "xm", "riskpostcode")).alias("_l")).select(
         "policyno", "situation_num", F.col("_l.riskpostcode").alias("riskpostcode"))
@@ -339,7 +344,8 @@ def score_geo_grid(spark, sf_dir):
     y, e = F.col("claimcount_prop").cast("double"), F.col("exposure")
     grain = sp.groupBy("riskpostcode", "state", "split").agg(
         F.sum(y).alias("sy"), F.sum(e).alias("se"), F.sum(y * y).alias("syy"),
-        F.sum(y * e).alias("sye"), F.sum(e * e).alias("see"), F.count(F.lit(1)).alias("n"))
+        F.sum(y * e).alias("sye"), F.sum(e * e).alias("see"),
+        F.count(F.lit(1)).alias("n")).checkpoint()              # postcode grain: small
     g = grain.join(maps.drop("state"), "riskpostcode")        # postcodes x encodings
     tr = g.filter("split = 'train'")
     rates = tr.groupBy("grid_id", "geo_code").agg((F.sum("sy") / F.sum("se")).alias("_r"))
