@@ -97,13 +97,20 @@ def postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_postcodes(spark, df=raw)
 
 
+def claim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (riskpostcode, state) of the cleaned claims - everything the
+    dimension build needs from the big table, read once (small stage)."""
+    return stage(spark, sf_dir, "claim_pairs", lambda: claims_clean(spark, sf_dir).select(
+        "riskpostcode", "state").distinct())
+
+
 def postcode_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reconciled dimension the claims are joined to (small stage: one
-    row per postcode and state)."""
+    row per postcode and state), built from the claim pairs only."""
     from exposa.operators.postcode import postcode_dim, reconcile_dim
-    cc = claims_clean(spark, sf_dir)
+    pairs = claim_pairs(spark, sf_dir)
     return stage(spark, sf_dir, "postcode_dim", lambda: reconcile_dim(
-        cc, postcode_dim(postcodes(spark, sf_dir), cc)))
+        pairs, postcode_dim(postcodes(spark, sf_dir), pairs)))
 
 
 def claims_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +123,8 @@ def claims_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         cc = claims_clean(spark, sf_dir)
         dim = postcode_dimension(spark, sf_dir)
-        fixes = stage(spark, sf_dir, "claim_state_fixes", lambda: claim_state_fixes(cc, dim))
+        fixes = stage(spark, sf_dir, "claim_state_fixes",
+                      lambda: claim_state_fixes(claim_pairs(spark, sf_dir), dim))
         return attach_postcode(apply_state_fixes(cc, fixes), dim)
     return stage(spark, sf_dir, "claims_geo", build)
 
@@ -292,8 +300,10 @@ def policy_claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         v = stage(spark, sf_dir, "versions_second",
                   lambda: consolidate_second(claims_second(spark, sf_dir)))
+        pairs = stage(spark, sf_dir, "version_pairs_second",
+                      lambda: v.select("riskpostcode", "state").distinct())
         dim = stage(spark, sf_dir, "postcode_dim_second",
-                    lambda: reconcile_dim(v, postcode_dim(postcodes(spark, sf_dir), v)))
-        fixes = stage(spark, sf_dir, "state_fixes_second", lambda: claim_state_fixes(v, dim))
+                    lambda: reconcile_dim(pairs, postcode_dim(postcodes(spark, sf_dir), pairs)))
+        fixes = stage(spark, sf_dir, "state_fixes_second", lambda: claim_state_fixes(pairs, dim))
         return finish_second(v, dim, fixes)
     return stage(spark, sf_dir, "policy_claims_second", build)
