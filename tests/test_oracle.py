@@ -29,3 +29,16 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _rows_only():
+    from exposa.plans.catalog import ORACLE, QUERIES
+    return sorted(n for n in QUERIES if n not in ORACLE)
+
+
+@pytest.mark.parametrize("name", _rows_only())
+def test_model_query_runs(spark, name):
+    """Queries without an oracle (iterative fits) run and return rows on the
+    smallest data; their numbers are checked in test_models.py."""
+    from exposa.plans.catalog import QUERIES
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
