@@ -9,6 +9,8 @@ driver's rows-only check and numeric tests in tests/test_models.py.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from exposa.functions import expr as E
@@ -227,3 +229,66 @@ def premium_report(spark, sf_dir):
     rep = MT.premium_report(prop, loi, _KEY)
     # same arithmetic rounding on both engines (round() differs at exact ties)
     return rep.select(*_KEY, *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in _REPORT_COLS])
+
+
+def _cdf_list(mu: float = 1.0, kmax: int = 20):
+    cdf, out = 0.0, []
+    for k in range(kmax):
+        cdf += math.exp(-mu) * mu ** k / math.factorial(k)
+        out.append(cdf)
+    return out
+
+
+_U_SQL = ("(CAST(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', policyno, "
+          "CAST(situation_num AS VARCHAR), CAST(policy_version AS VARCHAR){extra})), {start}, 13)) "
+          "AS BIGINT) AS DOUBLE) / 4503599627370496.0)")
+
+
+@register("bootstrap_rmse_one_factor", f"""
+WITH p AS (SELECT p.policyno, p.situation_num, p.policy_version, p.claimcount_prop AS y,
+                  p.exposure * g.r AS mu
+           FROM policy_claims p JOIN {_rate_sql("geo_code")} g USING (geo_code)),
+b AS (SELECT p.*, CAST(unnest(generate_series(1, 20)) AS INTEGER) AS replicate FROM p),
+w AS (SELECT replicate, y, mu, {" + ".join(f"CAST(u > {c!r} AS INTEGER)" for c in _cdf_list())} AS w
+      FROM (SELECT *, CAST({_U_SQL.format(seed=123, extra=", CAST(replicate AS VARCHAR)", start=1)}
+            AS DOUBLE) AS u FROM b))
+SELECT replicate, round(sqrt(sum(w * pow(y - mu, 2)) / sum(w)), 9) AS rmse,
+       CAST(sum(w) AS BIGINT) AS n_resampled
+FROM w GROUP BY replicate""", ("policy_claims",))
+def bootstrap_rmse_one_factor(spark, sf_dir):
+    """RMSE of the one-factor (geo code) Poisson frequency fit on 20
+    Poisson(1)-weight bootstrap resamples (seeded hash draws)."""
+    p = _one_factor_preds(S.policy_claims(spark, sf_dir), ("geo_code",))
+    t = MT.bootstrap_rmse(p, "claimcount_prop", "pred_geo", _KEY, 20, seed=123)
+    return t.select(F.col("replicate").cast("int").alias("replicate"),
+                    F.round("rmse", 9).alias("rmse"), F.col("n_resampled").cast("long"))
+
+
+_PROBS = [(i + 0.5) / 20 for i in range(20)]
+
+
+@register("simulated_residuals_one_factor", f"""
+WITH p AS (SELECT p.policyno, p.situation_num, p.policy_version, p.claimcount_prop AS y,
+                  p.exposure * g.r AS mu
+           FROM policy_claims p JOIN {_rate_sql("geo_code")} g USING (geo_code)),
+u AS (SELECT *, {_U_SQL.format(seed=7, extra="", start=1)} AS v FROM p),
+f AS (SELECT *,
+        list_sum(list_transform(range(0, CAST(y AS BIGINT)),
+          lambda k: exp(-mu + k * ln(mu) - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln(j))), 0.0))))
+          AS below,
+        exp(-mu + y * ln(mu) - coalesce(list_sum(list_transform(range(1, CAST(y AS BIGINT) + 1),
+          lambda j: ln(j))), 0.0)) AS pmf
+      FROM u)
+SELECT CAST(i AS INTEGER) AS i, round(q, 9) AS empirical, CAST((i + 0.5) / 20 AS DOUBLE) AS theoretical
+FROM (SELECT unnest(range(0, 20)) AS i,
+             unnest(quantile_cont(coalesce(below, 0.0) + v * pmf, {_PROBS})) AS q FROM f)""",
+          ("policy_claims",))
+def simulated_residuals_one_factor(spark, sf_dir):
+    """Exact quantiles of randomised quantile residuals (Poisson PIT) of the
+    one-factor frequency fit against uniform quantiles."""
+    p = _one_factor_preds(S.policy_claims(spark, sf_dir), ("geo_code",))
+    pit = MT.poisson_pit(p, "claimcount_prop", "pred_geo", _KEY, seed=7)
+    q = pit.agg(F.percentile("pit", F.array(*[F.lit(x) for x in _PROBS])).alias("q")).select(
+        F.posexplode("q").alias("i", "empirical"))
+    return q.select(F.col("i").cast("int").alias("i"), F.round("empirical", 9).alias("empirical"),
+                    ((F.col("i") + 0.5) / 20).alias("theoretical"))
