@@ -154,3 +154,26 @@ def test_hash_normal_moments(spark):
     assert abs(m) < 0.03 and abs(sd - 1) < 0.03
     again = df.select(SM.hash_normal(["k"], 9).alias("z"))
     assert z.exceptAll(again).count() == 0
+
+
+def test_second_path_encoding_rules(spark):
+    from exposa.plans import stages as S
+    e, x = dt.date(2020, 1, 1), dt.date(2021, 1, 1)
+    base = ("p1", 1, e, x, 2020, 1, e, 1.0, "Y")
+    rows = [
+        base + ("Y", 100.0, None, 0.0, None, "002000", "S", None, "High rise", "Glass", "Timber",
+                "Type 2", "A_x", None),                       # covered, NULL BI amounts
+        base + ("N", 100.0, None, 50.0, None, "002000", "S", "Before 1960", None, None, None,
+                "None", "A_x", None),                         # uncovered
+    ]
+    from exposa.sources.schema import CLAIMS_MONTHLY
+    df = spark.createDataFrame(rows, CLAIMS_MONTHLY)
+    out = {r["LossofIncome_cover"]: r for r in S.encode_second(S.clean_second(df)).collect()}
+    cov, unc = out[True], out[False]
+    assert cov["suminsured_lossofinc"] == 0.0 and cov["grossincurred_lossofinc"] == 0.0
+    assert cov["indem_per_grp"] == "Unknown" and unc["indem_per_grp"] == "LoI_NULL"
+    assert unc["suminsured_lossofinc"] is None                       # uncovered: stays NULL
+    assert cov["building_type"] == "Mid-High rise" and cov["construction_walls"] == "Other"
+    assert cov["construction_floor"] == "Other" and cov["sprinkler_type"] == ">0"
+    assert unc["building_age"] == "Before 1980" and unc["building_type"] == "Unknown"
+    assert unc["sprinkler_type"] == "0" and cov["building_age"] == "Unknown"
