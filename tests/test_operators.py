@@ -177,3 +177,18 @@ def test_second_path_encoding_rules(spark):
     assert cov["construction_floor"] == "Other" and cov["sprinkler_type"] == ">0"
     assert unc["building_age"] == "Before 1980" and unc["building_type"] == "Unknown"
     assert unc["sprinkler_type"] == "0" and cov["building_age"] == "Unknown"
+
+
+def test_geo_rollup3_levels_and_state_only(spark):
+    rows = [("NSW", "A4", "A3", "000001", 60.0), ("NSW", "A4", "A3", "000002", 10.0),   # -> state
+            ("ACT", "C4", "C3", "000003", 1000.0),                                       # ACT -> state
+            ("VIC", "V4", "V3", "000004", 500.0),                 # big, but its SA4 has small codes
+            ("VIC", "V4", "W3", "000005", 60.0), ("VIC", "V4", "W3", "000006", 60.0),
+            ("QLD", "Q4", "Q3", "000007", 500.0)]                 # stays a postcode
+    df = spark.createDataFrame(rows, "state string, sa4name string, sa3name string, riskpostcode string, exposure double")
+    got = {r["riskpostcode"]: r["geo_code"] for r in G.geo_rollup3(df, 50, 100, 200).collect()}
+    assert got["000001"] == "NSW" and got["000002"] == "NSW"
+    assert got["000003"] == "ACT"
+    # SA3 step: codes 000005 / 000006 (60 < 100) move their WHOLE SA4 V4
+    assert got["000004"] == "V4" and got["000005"] == "V4" and got["000006"] == "V4"
+    assert got["000007"] == "000007"
