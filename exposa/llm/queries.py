@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposa.llm import bpe
+from exposa.llm import bpe, decontam, langid, lm, shards, simhash
 from exposa.llm.tables import table
 
 QUERIES: dict = {}
@@ -39,3 +39,46 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@register("op2_simhash_near_dups")
+def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of 3-word shingles and component (2 bits or fewer) of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, bits=2)
+
+
+@register("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontam.overlaps(docs, table(spark, sf_dir, "benchmark"), window=10)
+    o = got.select("doc_id", "overlap.*")
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return o.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                    F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest",
+                    "longest_at", "longest_item")
+
+
+@register("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; the model sees no held-out row."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    got = langid.identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred",
+                      F.col("lang_score").alias("score"))
+
+
+@register("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the bigram automaton of the training rows."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=2)
+
+
+@register("op7_sampled_shards")
+def op7_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of near equal bytes, contiguous in doc_id."""
+    got = shards.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    return got.select("doc_id", "size", F.coalesce("text_crc32", F.lit(0)).cast("bigint").alias("text_crc32"),
+                      F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
