@@ -16,6 +16,8 @@ Null texts have size ``overhead``; null keys come first.  An empty table has an
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,16 +28,20 @@ RANGE_ROWS = 250_000
 ROUNDS = 24
 
 
-def _range(key: Column, splitters: list) -> Column:
-    """Number of splitters that are not above the key: found among groups, then in the group."""
+def _range(key: Column, splitters: list, kind: str) -> Column:
+    """Number of splitters that are not above the key: found among groups, then in the group.
+
+    kind: the key's type as a DDL string."""
     if not splitters:
         return F.lit(0)
     step = max(1, int(len(splitters) ** 0.5))
-    groups = [splitters[i:i + step] for i in range(0, len(splitters), step)]
-    literal = lambda rows: F.array(*[F.struct(*[F.lit(v) for v in r]) for r in rows])
+    names = ("has", "id", "crc", "tie")
+    groups = [[dict(zip(names, k, strict=True)) for k in splitters[i:i + step]]
+              for i in range(0, len(splitters), step)]
+    literal = lambda v, of: F.from_json(F.lit(json.dumps(v)), of)
     below = lambda rows: F.size(F.filter(rows, lambda s: s <= key))
-    at = below(literal([g[0] for g in groups]))
-    inner = F.element_at(F.array(*[literal(g) for g in groups]), F.greatest(at, F.lit(1)))
+    at = below(literal([g[0] for g in groups], f"array<{kind}>"))
+    inner = F.element_at(literal(groups, f"array<array<{kind}>>"), F.greatest(at, F.lit(1)))
     return F.when(at == 0, 0).otherwise((at - 1) * step + below(inner))
 
 
@@ -72,11 +78,12 @@ def assign(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text",
     numeric = rows.withColumn("key", F.struct(
         F.col("id").isNotNull().cast("int").alias("has"), F.coalesce("id", F.lit(0).cast(rows.schema["id"].dataType))
         .alias("id"), F.coalesce("crc", F.lit(-1)).alias("crc"), "tie"))
+    kind = numeric.schema["key"].dataType.simpleString()
     ranges = min(max(40 * shards, -(-n // RANGE_ROWS)), max(n, 1))
     most_bytes, most_rows = 2 * size / ranges, 2 * n / ranges
     splitters = _quantiles(_draw(numeric, F.col("size") * (ranges * draws / max(size, 1)), 0), ranges)
     for attempt in range(1, ROUNDS + 1):
-        dealt = numeric.withColumn("range", _range(F.col("key"), splitters))
+        dealt = numeric.withColumn("range", _range(F.col("key"), splitters, kind))
         sums = {r["range"]: (r["b"], r["n"]) for r in
                 dealt.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
         over = {k: max(b / most_bytes, c / most_rows) for k, (b, c) in sums.items()
