@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposa.llm import bpe, decontam, langid, lm, shards, simhash
+from exposa.llm import bpe, decontam, embed, langid, lm, shards, simhash
 from exposa.llm.tables import table
 
 QUERIES: dict = {}
@@ -82,3 +82,9 @@ def op7_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shards.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return got.select("doc_id", "size", F.coalesce("text_crc32", F.lit(0)).cast("bigint").alias("text_crc32"),
                       F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op3_embedding_near_dups")
+def op3_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more, and components, over all vectors whatever their labels."""
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
