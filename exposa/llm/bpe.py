@@ -243,6 +243,12 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                                          ("decoded_sha256", "string")], _RoundTrip())
 
 
+def tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with token_ids, n_tokens, ids_sha256 and decoded_sha256."""
+    return _map_texts(docs, path, text, [("token_ids", "array<int>"), ("n_tokens", "bigint"),
+                                         ("ids_sha256", "string"), ("decoded_sha256", "string")], _RoundTrip(True))
+
+
 def _map_texts(docs, path, column, added, make) -> DataFrame:
     """Run ``make`` over one column; the others pass through under names that cannot clash."""
     keep = [c for c in docs.columns if c not in {n for n, _ in added}]
@@ -271,7 +277,7 @@ def _map_texts(docs, path, column, added, make) -> DataFrame:
 class _EncodeIds:
     def __call__(self, texts, vocab):
         import pyarrow as pa
-        return [pa.array([i.tolist() for i in encode_texts(texts, vocab)], pa.list_(pa.int32()))]
+        return [pa.array([*encode_texts(texts, vocab)], pa.list_(pa.int32()))]
 
 
 class _DecodeIds:
@@ -281,15 +287,21 @@ class _DecodeIds:
 
 
 class _RoundTrip:
+    def __init__(self, with_ids: bool = False):
+        self.with_ids = with_ids
+
     def __call__(self, texts, vocab):
         import hashlib
 
         import pyarrow as pa
         number = list(map(str, range(vocab.size)))
-        count, of_ids, of_text = [], [], []
+        count, of_ids, of_text, lists = [], [], [], []
         for ids in encode_texts(texts, vocab):
             plain = ids.tolist()
+            if self.with_ids:
+                lists.append(ids)
             count.append(len(plain))
             of_ids.append(hashlib.sha256(",".join(map(number.__getitem__, plain)).encode()).hexdigest())
             of_text.append(hashlib.sha256(decode_ids(plain, vocab).encode()).hexdigest())
-        return [pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        first = [pa.array(lists, pa.list_(pa.int32()))] if self.with_ids else []
+        return [*first, pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]

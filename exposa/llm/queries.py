@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposa.llm import bpe, decontam, embed, langid, lm, shards, simhash
+from exposa.llm import bpe, decontam, embed, langid, lm, quotes, shards, simhash, urls, warc
 from exposa.llm.tables import table
 
 QUERIES: dict = {}
@@ -88,3 +88,115 @@ def op7_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.95 or more, and components, over all vectors whatever their labels."""
     return embed.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
+# The rules of the URL filter's query.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+@register("op4_url_filter", r"""
+WITH cut AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                          ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path,
+       (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1) AS rule,
+       coalesce((SELECT v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1), 'allow') AS verdict
+FROM cut""")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by the longest listed host and path that fits it."""
+    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+_CAPTURES = 4
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in archive: four captures of every page, full answers and 304s with validators."""
+    take = table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(_CAPTURES - 1))).alias("k")) \
+        .withColumn("record_id", F.col("page_id") * _CAPTURES + F.col("k")) \
+        .withColumn("dice", F.md5(F.concat_ws(":", "page_id", "k"))) \
+        .withColumn("at", 1700000000 + F.col("page_id") * 37 % 100000 + F.col("k") * 86400)
+    version = F.substring(F.md5(F.concat(F.col("url"), F.when(F.col("k") < 2, "a").otherwise("b"))), 1, 12)
+    is_full = (F.col("k") == 0) | (F.substring("dice", 1, 1) < "5")
+    etag = F.when(F.substring("dice", 2, 1) < "c", F.concat(F.lit('ETag: "'), version, F.lit('"\r\n'))).otherwise("")
+    common = F.concat(F.lit("Cache-Control: max-age="), F.substring("dice", 3, 1), F.lit("\r\n"), etag)
+    full = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"), common, F.lit("\r\n"))
+    again = F.concat(F.lit("HTTP/1.1 304 Not Modified\r\nContent-Length: 0\r\n"), common, F.lit("\r\n"))
+    return take.select("record_id", F.when(is_full, "response").otherwise("revisit").alias("warc_type"),
+                       F.col("url").alias("target_uri"), F.col("at").alias("warc_date"),
+                       F.when(is_full, full).otherwise(again).alias("http"),
+                       F.when(is_full, F.concat("html", F.lit("<!-- "), F.col("k"), F.lit(" -->"))).alias("payload"))
+
+
+@register("op6_warc_revisits", r"""
+WITH take AS (
+  SELECT page_id, url, html, k, page_id * 4 + k AS record_id, md5(page_id::VARCHAR || ':' || k::VARCHAR) AS dice,
+         1700000000 + page_id * 37 % 100000 + k * 86400 AS at
+  FROM pages, (SELECT unnest([0, 1, 2, 3]) AS k)),
+rec AS (
+  SELECT *, (k = 0 OR substr(dice, 1, 1) < '5') AS is_full,
+    CASE WHEN substr(dice, 2, 1) < 'c'
+         THEN '"' || substr(md5(url || CASE WHEN k < 2 THEN 'a' ELSE 'b' END), 1, 12) || '"' END AS etag,
+    'max-age=' || substr(dice, 3, 1) AS cc,
+    regexp_replace(url, '#.*$', '') AS bare
+  FROM take),
+canon AS (
+  SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
+    CASE WHEN lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) = 'http'
+         THEN regexp_replace(lower(regexp_extract(bare, '^[^:/?#]+://([^/?#]*)', 1)), ':80$', '')
+         ELSE regexp_replace(lower(regexp_extract(bare, '^[^:/?#]+://([^/?#]*)', 1)), ':443$', '') END ||
+    CASE WHEN starts_with(regexp_extract(bare, '^[^:/?#]+://[^/?#]*(.*)$', 1), '/') THEN '' ELSE '/' END ||
+    regexp_extract(bare, '^[^:/?#]+://[^/?#]*(.*)$', 1) AS canonical_url
+  FROM rec),
+found AS (
+  SELECT r.record_id, r.canonical_url, r.at AS warc_date, r.etag AS etag, r.cc AS cc,
+         max(struct_pack(at := f.at, id := f.record_id)) AS f
+  FROM canon r LEFT JOIN canon f ON f.is_full AND f.canonical_url = r.canonical_url AND f.at < r.at
+  WHERE NOT r.is_full GROUP BY ALL),
+judged AS (
+  SELECT g.*, o.etag AS o_etag, md5(o.html || '<!-- ' || o.k::VARCHAR || ' -->') AS md5_,
+    CASE WHEN g.f IS NULL THEN 'no_earlier_response'
+         WHEN g.etag IS NOT NULL AND g.etag IS DISTINCT FROM o.etag THEN 'validator_mismatch'
+         ELSE 'resolved' END AS outcome
+  FROM found g LEFT JOIN canon o ON o.record_id = g.f.id)
+SELECT record_id, canonical_url, warc_date, outcome,
+  CASE WHEN outcome = 'resolved' THEN f.id END AS response_id,
+  CASE WHEN outcome = 'resolved' THEN md5_ END AS payload_md5,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control: ' || cc || chr(10) || 'content-type: text/html' ||
+       coalesce(chr(10) || 'etag: ' || coalesce(etag, o_etag), '') END AS headers
+FROM judged""")
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit of the archive, resolved to the response it stands for."""
+    return warc.resolve(archive(spark, sf_dir))
+
+
+def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in mail: each turn quotes the turn before it, and that one's own quote one level deeper."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    one, two = turns.alias("m"), turns.alias("q")
+    quoted = lambda text, mark: F.regexp_replace(text, "(?m)^", mark)
+    joined = one.join(two, (F.col("m.conv_id") == F.col("q.conv_id")) & (F.col("m.turn") == F.col("q.turn") + 1), "left") \
+        .join(turns.alias("d"), (F.col("m.conv_id") == F.col("d.conv_id")) & (F.col("m.turn") == F.col("d.turn") + 2),
+              "left")
+    head = F.concat(F.lit("A reader wrote:\n"), quoted(F.col("q.text"), "> "), F.lit("\n"))
+    deep = F.concat(quoted(F.col("d.text"), ">> "), F.lit("\n"))
+    return joined.select(F.concat_ws("-", F.lpad(F.col("m.conv_id").cast("string"), 12, "0"), "m.turn").alias("msg_id"),
+                         (F.col("m.turn") * 100000000 + F.col("m.conv_id")).alias("sent"),
+                         F.concat(F.coalesce(head, F.lit("")), F.coalesce(deep, F.lit("")), F.col("m.text"))
+                         .alias("text"))
+
+
+@register("op9_quotation_threads")
+def op9_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered conversations of the mailbox, every message without its quotes."""
+    return quotes.conversations(mailbox(spark, sf_dir))

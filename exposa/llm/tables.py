@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _scratch: str | None = None
 
@@ -47,3 +48,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def with_row_key(df: DataFrame, to: str) -> DataFrame:
+    """``df`` with a column that tells its rows apart, the same whenever the plan runs again.
+
+    Rows read from files are known by file and place in it; others by a number given once."""
+    from pyspark.errors import AnalysisException
+    if to in df.columns:
+        raise ValueError(f"column {to} is there already")
+    try:
+        return df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(to))
+    except AnalysisException:
+        return cut(df.withColumn(to, F.monotonically_increasing_id()))
