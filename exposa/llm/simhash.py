@@ -24,10 +24,11 @@ from itertools import combinations, repeat
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from exposa.llm import words
 from exposa.llm.components import components
-from exposa.llm.tables import cut, shuffle_partitions, unused
+from exposa.llm.tables import cut, shuffle_partitions, unused, with_row_key
 
 BLOCK_BYTES = 4 << 20
 SHORT_LIST = 32
@@ -89,7 +90,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3,
     keep = [c for c in docs.columns if c not in (text, to)]
     value, made = unused(docs, "_value", "_print")
     frame = docs.select(*[docs[c] for c in keep], docs[text].alias(value))
-    schema = frame.drop(value).schema.add(made, "bigint")
+    schema = frame.drop(value).schema.add(made, T.LongType())
 
     def run(batches):
         import pyarrow as pa
@@ -197,3 +198,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         hexed.alias("fingerprint"), F.coalesce("least_of_all", "least").alias("component_id"))
     return printed.select(F.col("id").alias(id), hexed.alias("fingerprint")).join(classes, "fingerprint") \
         .select(id, "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """One row of every component: that with the least id (ties: the first file and place)."""
+    key, who = unused(docs, "row_key", "who")
+    keyed = with_row_key(docs, key)
+    named = keyed.select(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(key).alias("row"))
+                         .alias(who), F.col(text).alias("text"))
+    kept = near_duplicates(named, who, "text", shingle, bits).where(F.col(who) == F.col("component_id"))
+    return keyed.join(kept.select(F.col(f"{who}.row").alias(key)), key, "left_semi").select(*docs.columns)
