@@ -222,7 +222,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "t
 
 
 def _pass(docs: DataFrame, found: str, text: str, block: list, window: int) -> DataFrame:
-    kind = docs.schema[found].dataType
+    kind, columns = docs.schema[found].dataType, docs.columns
 
     def run(batches):
         import pyarrow as pa
@@ -237,8 +237,8 @@ def _pass(docs: DataFrame, found: str, text: str, block: list, window: int) -> D
             old = batch.column(found).to_pylist() if batch.column(found).null_count < batch.num_rows else []
             new = [_both(a, b) if a else b for a, b in zip(old, new, strict=True)] if old else new
             yield pa.RecordBatch.from_arrays(
-                [pa.array(new, to_arrow_type(kind)) if c == found else batch.column(c) for c in docs.columns],
-                names=docs.columns)
+                [pa.array(new, to_arrow_type(kind)) if c == found else batch.column(c) for c in columns],
+                names=columns)
 
     return docs.mapInArrow(run, docs.schema)
 
