@@ -87,7 +87,7 @@ def interaction_frame(df: DataFrame, pair: dict[str, str]) -> DataFrame:
 
 def premium_report(prop: DataFrame, loi: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Predicted / actual frequency, severity, pure premium and residuals
-    per line, joined on the keys (missing loss-of-income scores -> 0) with
+    (predicted minus actual) per line, joined on the keys (missing loss-of-income scores -> 0) with
     the total premium over lines."""
     def line(df, sfx):
         return df.select(*keys, *[F.col(c).alias(f"{c}_{sfx}") for c in
@@ -98,7 +98,8 @@ def premium_report(prop: DataFrame, loi: DataFrame, keys: Sequence[str]) -> Data
         j = j.withColumns({
             f"pred_premium_{s}": F.col(f"pred_freq_{s}") * F.col(f"pred_sev_{s}"),
             f"actual_premium_{s}": F.col(f"actual_freq_{s}") * F.col(f"actual_sev_{s}")})
-        j = j.withColumn(f"residual_{s}", F.col(f"actual_premium_{s}") - F.col(f"pred_premium_{s}"))
+        j = j.withColumns({n: F.col(f"pred_{m}_{s}") - F.col(f"actual_{m}_{s}") for n, m in (
+            (f"residual_{s}", "premium"), (f"freq_residual_{s}", "freq"), (f"sev_residual_{s}", "sev"))})
     return j.withColumns({
         "pred_premium_total": F.col("pred_premium_prop") + F.col("pred_premium_loi"),
         "actual_premium_total": F.col("actual_premium_prop") + F.col("actual_premium_loi")})

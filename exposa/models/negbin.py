@@ -58,6 +58,7 @@ class NegBinFit:
     _exposure: str | None = None
     offset: str | None = "_log_exposure"
     family: str = "negbin"
+    converged: bool = True
 
     @property
     def coefficients(self) -> dict[str, float]:
@@ -79,9 +80,11 @@ class NegBinFit:
 
 
 def fit_negbin(df: DataFrame, response: str, factors: Sequence[str], exposure: str | None = "exposure",
-               weight: str | None = None, max_iter: int = 25, tol: float = 1e-8) -> NegBinFit:
-    """NB2 GLM started from the Poisson fit (theta -> infinity)."""
-    pois = fit_poisson(df, response, factors, exposure=exposure, weight=weight)
+               weight: str | None = None, max_iter: int = 25, tol: float = 1e-8,
+               numeric: Sequence[str] = ()) -> NegBinFit:
+    """NB2 GLM started from the Poisson fit (theta -> infinity).  ``converged`` of the
+    result tells whether the likelihood settled within ``max_iter`` steps."""
+    pois = fit_poisson(df, response, factors, exposure=exposure, weight=weight, numeric=numeric)
     d = df.withColumn("_log_exposure", F.log(F.col(exposure))) if exposure else df
     w = F.col(weight) if weight else F.lit(1.0)
     x = pois.design.transform(d).select(
@@ -97,7 +100,7 @@ def fit_negbin(df: DataFrame, response: str, factors: Sequence[str], exposure: s
     m = x.withColumn("_mu", mu_col(coef, b0))
     n, s = m.agg(F.sum(pw), F.sum(pw * F.pow(y / F.col("_mu") - 1, 2))).first()
     theta = float(n / s) if s and s > 0 else 1.0
-    ll_old, it = -math.inf, 0
+    ll_old, it, converged = -math.inf, 0, False
     for it in range(1, max_iter + 1):
         m = x.withColumn("_mu", mu_col(coef, b0))
         # theta: Newton steps on the profile likelihood
@@ -118,6 +121,7 @@ def fit_negbin(df: DataFrame, response: str, factors: Sequence[str], exposure: s
             mu = F.col("_mu")
             ll_old = m.agg(F.sum(pw * (y * F.log(mu) - mu - F.aggregate(
                 _kseq(y), F.lit(0.0), lambda a, k: a + F.log(k + 1.0))))).first()[0]
+            converged = True
             break
         # IRLS step for beta given theta
         mu = F.col("_mu")
@@ -133,9 +137,9 @@ def fit_negbin(df: DataFrame, response: str, factors: Sequence[str], exposure: s
                        - (y + theta) * F.log(theta + mu))
         ll = m.agg(F.sum(ll_row)).first()[0]
         if abs(ll - ll_old) < tol * (abs(ll) + tol):
-            ll_old = ll
+            ll_old, converged = ll, True
             break
         ll_old = ll
     n_rows = x.count()
     x.unpersist()
-    return NegBinFit(response, pois.design, coef, b0, theta, ll_old, n_rows, it, exposure)
+    return NegBinFit(response, pois.design, coef, b0, theta, ll_old, n_rows, it, exposure, converged=converged)

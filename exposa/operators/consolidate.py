@@ -143,7 +143,8 @@ def lossofinc_nulls(df: DataFrame, mode: str = "main") -> DataFrame:
 
     ``main``: no cover -> sum insured 0 and indemnity 'LoI_NULL'; rows still
     NULL in the sum insured are then removed.
-    ``second``: covered with NULL sum -> 0, uncovered indemnity 'LoI_NULL'.
+    ``second``: covered rows with a NULL sum insured or incurred amount -> 0 there;
+    uncovered rows keep their amounts and get indemnity 'LoI_NULL'.
     """
     cover = F.col("LossofIncome_cover")
     if mode == "main":
@@ -154,7 +155,8 @@ def lossofinc_nulls(df: DataFrame, mode: str = "main") -> DataFrame:
         return out.filter(F.col("suminsured_lossofinc").isNotNull())
     if mode == "second":
         return df.withColumns({
-            "suminsured_lossofinc": F.coalesce(F.col("suminsured_lossofinc"), F.lit(0.0)),
+            **{c: F.when(cover & F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c))
+               for c in ("suminsured_lossofinc", "grossincurred_lossofinc")},
             "indem_per_grp": F.when(~cover, F.lit("LoI_NULL")).otherwise(F.col("indem_per_grp")),
         })
     raise ValueError(mode)

@@ -97,17 +97,12 @@ def geo_rollup3(df: DataFrame, t_postcode: float = 50.0, t_sa3: float = 100.0,
     return out.select("riskpostcode", code.alias("geo_code")).distinct()
 
 
-def threshold_grid(spark, postcode_steps: Sequence[float] = (10, 20, 30, 40, 50),
+def threshold_grid(postcode_steps: Sequence[float] = (10, 20, 30, 40, 50),
                    sa3_mult: Sequence[float] = (1.5, 2, 3, 4),
-                   sa4_mult: Sequence[float] = (2, 3, 4, 5)) -> DataFrame:
-    """Parameter grid (grid_id, t_riskpostcode, t_sa3name, t_sa4name)."""
-    rows = []
-    for a in postcode_steps:
-        for m3 in sa3_mult:
-            for m4 in sa4_mult:
-                rows.append((len(rows) + 1, float(a), float(a * m3), float(a * m3 * m4)))
-    return spark.createDataFrame(rows, "grid_id int, t_riskpostcode double, "
-                                       "t_sa3name double, t_sa4name double")
+                   sa4_mult: Sequence[float] = (2, 3, 4, 5)) -> list[tuple]:
+    """Parameter grid: (grid_id, postcode, SA3 and SA4 threshold) triples."""
+    return [(n, float(a), float(a * m3), float(a * m3 * m4)) for n, (a, m3, m4) in
+            enumerate(((a, m3, m4) for a in postcode_steps for m3 in sa3_mult for m4 in sa4_mult), 1)]
 
 
 def _grid_structs(grid_rows):
@@ -117,17 +112,16 @@ def _grid_structs(grid_rows):
 
 
 def geo_grid(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure",
-             state_only: Sequence[str] = STATE_ONLY, scale: float = 1.0) -> DataFrame:
+             state_only: Sequence[str] = STATE_ONLY) -> DataFrame:
     """Number of geo codes for every threshold triple, one job.
 
     ``grid_rows``: (grid_id, t_postcode, t_sa3, t_sa4) - a parameter list of
-    fixed size; ``scale`` multiplies every threshold.  Keeps the first grid
+    fixed size.  Keeps the first grid
     row (lowest id) per distinct number of codes.  Output: (grid_id,
     thresholds, n_geo_code).
     """
     pe = postcode_exposure(df, weight)
-    scaled = [(g, a * scale, b * scale, c * scale) for g, a, b, c in grid_rows]
-    pe = pe.withColumn("_g", F.explode(_grid_structs(scaled))).select(*GEO_KEYS, "_w", "_g.*")
+    pe = pe.withColumn("_g", F.explode(_grid_structs(grid_rows))).select(*GEO_KEYS, "_w", "_g.*")
     th = {"riskpostcode": F.col("t_riskpostcode"), "sa3name": F.col("t_sa3name"),
           "sa4name": F.col("t_sa4name")}
     out = _rollup3_passes(pe, th, part=["grid_id"])
@@ -139,12 +133,11 @@ def geo_grid(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure"
 
 
 def geo_grid_maps(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure",
-                  state_only: Sequence[str] = STATE_ONLY, scale: float = 1.0) -> DataFrame:
+                  state_only: Sequence[str] = STATE_ONLY) -> DataFrame:
     """(grid_id, state, riskpostcode, geo_code) for every threshold triple in
     one job (postcode-grain table exploded over the parameter list)."""
     pe = postcode_exposure(df, weight)
-    scaled = [(g, a * scale, b * scale, c * scale) for g, a, b, c in grid_rows]
-    pe = pe.withColumn("_g", F.explode(_grid_structs(scaled))).select(*GEO_KEYS, "_w", "_g.*")
+    pe = pe.withColumn("_g", F.explode(_grid_structs(grid_rows))).select(*GEO_KEYS, "_w", "_g.*")
     th = {"riskpostcode": F.col("t_riskpostcode"), "sa3name": F.col("t_sa3name"),
           "sa4name": F.col("t_sa4name")}
     out = _rollup3_passes(pe, th, part=["grid_id"])
@@ -152,11 +145,17 @@ def geo_grid_maps(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "expo
     return out.select("grid_id", "state", "riskpostcode", code.alias("geo_code")).distinct()
 
 
+def one_code(geo_map: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """One entry per postcode (the study looks codes up by postcode): a postcode
+    that lies in two states, and so has two codes, gets the least one."""
+    return geo_map.groupBy(*within, "riskpostcode").agg(F.min("geo_code").alias("geo_code"))
+
+
 def attach_geo(df: DataFrame, geo_map: DataFrame, train_levels: DataFrame | None = None,
                fallback: str = "state") -> DataFrame:
-    """Left join the (riskpostcode, geo_code) map; a code missing from the map
+    """Left join the (riskpostcode, geo_code) map, one code per postcode; a code missing from the map
     or unseen in training falls back to the ``fallback`` column."""
-    m = geo_map.select("riskpostcode", F.col("geo_code").alias("_gc"))
+    m = one_code(geo_map).withColumnRenamed("geo_code", "_gc")
     out = df.join(m, "riskpostcode", "left")
     if train_levels is not None:
         seen = train_levels.select(F.col(train_levels.columns[0]).alias("_gc")).distinct() \

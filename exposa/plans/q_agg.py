@@ -37,7 +37,7 @@ GROUP BY e.geo_code""", ("claims_geo", "enc_geo"))
 def attach_geo_codes(spark, sf_dir):
     """Inner join of monthly rows to their geo code on (postcode, state)."""
     geo = S.claims_geo(spark, sf_dir)
-    gm = S.encodings(geo, S.POSTCODE_THRESHOLD * S.sf_scale(sf_dir))["geo_code"]
+    gm = S.encodings(geo)["geo_code"]
     j = geo.join(gm.select("state", "riskpostcode", "geo_code").distinct(),
                  ["riskpostcode", "state"])
     return j.groupBy("geo_code").agg(F.count(F.lit(1)).alias("n_rows"),
@@ -109,9 +109,8 @@ def small_member_groups(spark, sf_dir):
     from pyspark.sql import Window
     pe = S.claims_geo(spark, sf_dir).groupBy("state", "sa4name", "sa3name", "riskpostcode").agg(
         F.sum("epy").alias("w"))
-    t = 30.0 * S.sf_scale(sf_dir)
     mw = F.min("w").over(Window.partitionBy("state", "sa4name", "sa3name"))
-    return pe.withColumn("mw", mw).filter(F.col("mw") < t).select(
+    return pe.withColumn("mw", mw).filter(F.col("mw") < S.POSTCODE_THRESHOLD).select(
         "state", "sa4name", "sa3name", "riskpostcode", F.round("w", 6).alias("exposure"))
 
 

@@ -207,13 +207,19 @@ def lossofinc_nulls_main(spark, sf_dir):
 SELECT LossofIncome_cover,
        CASE WHEN NOT LossofIncome_cover THEN 'LoI_NULL' ELSE indem_per_grp END AS indem_per_grp,
        count(*) AS n_rows,
-       round(sum(coalesce(suminsured_lossofinc, 0.0)), 2) AS suminsured_lossofinc
-FROM policy_claims_hasna GROUP BY ALL""", ("policy_claims_hasna",))
+       count(CASE WHEN LossofIncome_cover THEN coalesce(suminsured_lossofinc, 0.0)
+                  ELSE suminsured_lossofinc END) AS n_sums,
+       count(CASE WHEN LossofIncome_cover THEN coalesce(grossincurred_lossofinc, 0.0)
+                  ELSE grossincurred_lossofinc END) AS n_incurred,
+       round(sum(suminsured_lossofinc), 2) AS suminsured_lossofinc
+FROM claims_clean GROUP BY 1, 2""", ("claims_clean",))
 def lossofinc_nulls_second(spark, sf_dir):
-    """Second-path rules: NULL sum -> 0, uncovered indemnity 'LoI_NULL'."""
-    df = C.lossofinc_nulls(S.policy_claims_hasna(spark, sf_dir), "second")
+    """Second-path rules on the monthly rows: covered rows with a NULL sum or
+    incurred amount -> 0 (uncovered rows keep NULLs), uncovered 'LoI_NULL'."""
+    df = C.lossofinc_nulls(S.claims_clean(spark, sf_dir), "second")
     return df.groupBy("LossofIncome_cover", "indem_per_grp").agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.lit(1)).alias("n_rows"), F.count("suminsured_lossofinc").alias("n_sums"),
+        F.count("grossincurred_lossofinc").alias("n_incurred"),
         F.round(F.sum("suminsured_lossofinc"), 2).alias("suminsured_lossofinc"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from exposa.functions import expr as E
 from exposa.models import glm as M
+from exposa.models import interaction as IA
 from exposa.models import metrics as MT
 from exposa.models import negbin as NB
 from exposa.models import trees as TR
@@ -196,84 +197,99 @@ def logistic_claim(spark, sf_dir):
     return auc.select("auc", "n_pos", "n_neg", sens.select("sensitivity").scalar().alias("sensitivity"))
 
 
-def _scored_test(spark, sf_dir):
-    """Test rows (covered) with prop / BI frequency and severity predictions
-    from Poisson and Gamma fits on the training rows."""
-    sp = _split(spark, sf_dir)
-    tr = sp.filter("split = 'train'")
-    te = sp.filter("split = 'test'").filter("LossofIncome_cover")
-    out = te
-    for ln, src in (("prop", tr), ("lossofinc", tr.filter("LossofIncome_cover"))):
-        f = M.fit_poisson(src, f"claimcount_{ln}", ["geo_code", "building_type"])
-        sev = src.filter(F.col(f"claimcount_{ln}") > 0).withColumn(
-            "sev", F.col(f"grossincurred_{ln}") / F.col(f"claimcount_{ln}"))
-        g = M.fit_gamma(sev, "sev", ["building_type"])
-        out = g.predict(f.predict(out, f"freq_{ln}"), f"sev_{ln}")
-    tot = F.col("grossincurred_prop") + F.col("grossincurred_lossofinc")
-    out = out.withColumn("residual_loss", tot - F.col("freq_prop") * F.col("sev_prop")
-                         - F.col("freq_lossofinc") * F.col("sev_lossofinc"))
-    return MT.interaction_frame(out, {"bi_freq": "freq_lossofinc", "prop_freq": "freq_prop",
-                                      "bi_sev": "sev_lossofinc", "prop_sev": "sev_prop"})
+# The study's formulas: log(sum insured) and these factors (severity takes the state
+# instead of the geo code; the BI severity leaves the walls out).
+_RISK = ["building_age", "building_type", "construction_walls", "construction_floor", "sprinkler_type",
+         "occupation_risk"]
+# The four pairs of (BI, property) frequency models.
+_PAIRS = {f"{b}_{p}": (f"freq_lossofinc_{b}", f"freq_prop_{p}") for b in ("pois", "nb") for p in ("pois", "nb")}
 
 
-def _interaction_lr():
-    return LinearRegression(featuresCol="x", labelCol="residual_loss", solver="normal", regParam=0.0)
+def _line_fits(tr, ln):
+    """Poisson, NB and Gamma fits of one line on its training rows."""
+    x = f"log_suminsured_{ln}"
+    rows = tr.filter(F.col(f"suminsured_{ln}") > 0).withColumn(x, F.log(f"suminsured_{ln}"))
+    sev = rows.filter((F.col(f"grossincurred_{ln}") > 0) & (F.col(f"claimcount_{ln}") > 0)).withColumn(
+        "sev", F.col(f"grossincurred_{ln}") / F.col(f"claimcount_{ln}"))
+    y, factors = f"claimcount_{ln}", ["geo_code", *_RISK]
+    sev_factors = ["state", *[c for c in _RISK if ln == "prop" or c != "construction_walls"]]
+    return {"pois": M.fit_poisson(rows, y, factors, numeric=[x], weight="date_weights"),
+            "nb": NB.fit_negbin(rows, y, factors, numeric=[x], weight="date_weights"),
+            "sev": M.fit_gamma(sev, "sev", sev_factors, numeric=[x], weight="date_weights")}
 
 
-def _x(df):
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=["freq_x", "sev_x", "all_x"], outputCol="x").transform(df)
+def _scored_test(spark, sf_dir):
+    """All test rows with both lines' frequency (Poisson and NB) and severity predictions.
+
+    BI predictions are 0 outside the BI cover (and where its sum insured is not positive).
+    The fits are made once per application: their scores are a stage."""
+    def build():
+        sp = _split(spark, sf_dir)
+        tr, out = sp.filter("split = 'train'"), sp.filter("split = 'test'").filter("suminsured_prop > 0")
+        out = out.withColumns({f"log_suminsured_{ln}": F.log(F.greatest(f"suminsured_{ln}", F.lit(1.0)))
+                               for ln in ("prop", "lossofinc")})
+        for ln in ("prop", "lossofinc"):
+            fits = _line_fits(tr if ln == "prop" else tr.filter("LossofIncome_cover"), ln)
+            for m in ("pois", "nb"):
+                out = fits[m].predict(out, f"freq_{ln}_{m}")
+            out = fits["sev"].predict(out, f"sev_{ln}")
+        covered = F.col("LossofIncome_cover") & (F.col("suminsured_lossofinc") > 0)
+        bi = ["freq_lossofinc_pois", "freq_lossofinc_nb", "sev_lossofinc"]
+        out = out.withColumns({c: F.when(covered, F.col(c)).otherwise(F.lit(0.0)) for c in bi})
+        return out.withColumn("total", F.col("grossincurred_prop") + F.col("grossincurred_lossofinc")).select(
+            *_KEY, "LossofIncome_cover", "grossincurred_prop", "grossincurred_lossofinc", "total",
+            "freq_prop_pois", "freq_prop_nb", "sev_prop", *bi)
+    return S.stage(spark, sf_dir, "ensemble_scored", build)
+
+
+def _cv(spark, sf_dir):
+    """pair -> (moments by fold, cross-validated errors), and the pair with the least error."""
+    covered = _scored_test(spark, sf_dir).filter("LossofIncome_cover")
+    folds = SM.stratified_folds(covered, 10, ["LossofIncome_cover"], _KEY, 123)
+    sums = IA.moments(folds, _PAIRS, "fold")
+    errors = {p: IA.cross_validated(m) for p, m in sums.items()}
+    return sums, errors, min(errors, key=lambda p: (errors[p]["mse_adjusted"], p))
 
 
 @register("interaction_model")
 def interaction_model(spark, sf_dir):
-    """Gaussian model of the residual loss on the freq x freq, sev x sev and
-    four-way products (fitted on a held-out half of the covered test rows)."""
-    sc = SM.stratified_split(_scored_test(spark, sf_dir), 0.5, ["LossofIncome_cover"], _KEY, 321)
-    m = _interaction_lr().fit(_x(sc.filter("split = 'train'")))
-    rows = [("(Intercept)", float(m.intercept))] + list(zip(["freq_x", "sev_x", "all_x"],
-                                                            map(float, m.coefficients)))
-    return spark.createDataFrame(rows, "term string, estimate double")
+    """Gaussian models of the residual loss on the freq x freq, sev x sev and
+    four-way products, for the four pairs of frequency models; the pair with
+    the least cross-validated error is flagged."""
+    sums, _, best = _cv(spark, sf_dir)
+    rows = [(p, t, float(e), p == best) for p, m in sums.items()
+            for t, e in zip(IA.TERMS, IA.solve(sum(m.values())))]
+    return spark.createDataFrame(rows, "pair string, term string, estimate double, chosen boolean")
 
 
 @register("cv_error")
 def cv_error(spark, sf_dir):
-    """10-fold cross-validated MSE of the interaction model; bias-adjusted
-    (cv + full - mean full-data error of the fold fits) and R^2."""
-    sc = _x(SM.stratified_folds(_scored_test(spark, sf_dir), 10, ["LossofIncome_cover"], _KEY, 123))
-    sc = sc.cache()
-    rows, full_errs = [], []
-    var = sc.select(F.var_pop("residual_loss")).first()[0]
-    for k in range(1, 11):
-        m = _interaction_lr().fit(sc.filter(F.col("fold") != k))
-        p = m.transform(sc)
-        e_fold = p.filter(F.col("fold") == k).select(
-            F.avg(F.pow(F.col("residual_loss") - F.col("prediction"), 2))).first()[0]
-        e_full = p.select(F.avg(F.pow(F.col("residual_loss") - F.col("prediction"), 2))).first()[0]
-        rows.append((k, float(e_fold)))
-        full_errs.append(e_full)
-    full = _interaction_lr().fit(sc)
-    e_all = full.transform(sc).select(F.avg(F.pow(F.col("residual_loss") - F.col("prediction"), 2))).first()[0]
-    cv = sum(e for _, e in rows) / len(rows)
-    adj = cv + e_all - sum(full_errs) / len(full_errs)
-    sc.unpersist()
-    rows = [(f"fold_{k}", e) for k, e in rows] + [("cv", cv), ("cv_adjusted", adj),
-                                                  ("r2", 1 - cv / var if var else None)]
-    return spark.createDataFrame(rows, "measure string, value double")
+    """10-fold cross-validated MSE of the four interaction models, plain and
+    bias-adjusted (cv + full - mean full-data error of the fold fits), with
+    RMSE and R^2; the best pair is flagged."""
+    _, errors, best = _cv(spark, sf_dir)
+    rows = [(p, m, float(v), p == best) for p, e in errors.items() for m, v in e.items()]
+    return spark.createDataFrame(rows, "pair string, measure string, value double, chosen boolean")
 
 
 @register("ensemble_error")
 def ensemble_error(spark, sf_dir):
-    """Test RMSE of total loss with and without the interaction term, and per
-    line; rows outside the BI cover get 0 for the BI part."""
-    sc = SM.stratified_split(_scored_test(spark, sf_dir), 0.5, ["LossofIncome_cover"], _KEY, 321)
-    m = _interaction_lr().fit(_x(sc.filter("split = 'train'")))
-    ev = m.transform(_x(sc.filter("split = 'test'"))).withColumns({
-        "prem_prop": F.col("freq_prop") * F.col("sev_prop"),
-        "prem_loi": F.col("freq_lossofinc") * F.col("sev_lossofinc")})
-    ev = ev.withColumns({"total": F.col("grossincurred_prop") + F.col("grossincurred_lossofinc"),
-                         "base": F.col("prem_prop") + F.col("prem_loi")})
-    ev = ev.withColumn("with_interaction", F.col("base") + F.col("prediction"))
+    """Test RMSE of total loss with and without the interaction term of the
+    chosen pair, and per line, over ALL evaluated rows: those outside the BI
+    cover count with interaction 0.  The interaction is fitted on one half of
+    the covered rows; errors are taken on the other half and all uncovered rows."""
+    _, _, best = _cv(spark, sf_dir)
+    halves = SM.stratified_split(_scored_test(spark, sf_dir), 0.5, ["LossofIncome_cover"], _KEY, 321)
+    part = IA.moments(halves.filter("LossofIncome_cover AND split = 'train'"), {best: _PAIRS[best]}, "split")
+    b = IA.solve(part[best]["train"])
+    x, _ = IA.regressors(*_PAIRS[best])
+    inter = sum((F.lit(float(c)) * v for c, v in zip(b, x)), F.lit(0.0))
+    bi, prop = _PAIRS[best]
+    ev = halves.filter("split = 'test' OR NOT LossofIncome_cover").withColumns({
+        "prem_prop": F.col(prop) * F.col("sev_prop"), "prem_loi": F.col(bi) * F.col("sev_lossofinc"),
+        "interaction": F.when(F.col("LossofIncome_cover"), inter).otherwise(F.lit(0.0))})
+    ev = ev.withColumn("base", F.col("prem_prop") + F.col("prem_loi"))
+    ev = ev.withColumn("with_interaction", F.col("base") + F.col("interaction"))
     a = MT.error_metrics(ev, "total", ["base", "with_interaction"])
     b = MT.error_metrics(ev, "grossincurred_prop", ["prem_prop"])
     c = MT.error_metrics(ev, "grossincurred_lossofinc", ["prem_loi"])
@@ -300,7 +316,8 @@ grain AS (SELECT riskpostcode, state, split, sum(CAST(claimcount_prop AS DOUBLE)
                  sum(claimcount_prop * exposure) AS sye, sum(exposure * exposure) AS see,
                  count(*) AS n
           FROM sp GROUP BY ALL),
-g AS (SELECT grain.*, m.grid_id, m.geo_code FROM grain JOIN maps m USING (riskpostcode)
+g AS (SELECT grain.*, m.grid_id, m.geo_code FROM grain
+      JOIN (SELECT grid_id, riskpostcode, min(geo_code) AS geo_code FROM maps GROUP BY ALL) m USING (riskpostcode)
       WHERE m.grid_id IN (SELECT grid_id FROM keep)),
 r AS (SELECT grid_id, geo_code, sum(sy) / sum(se) AS r FROM g WHERE split = 'train' GROUP BY ALL),
 rs AS (SELECT grid_id, state, sum(sy) / sum(se) AS rs FROM g WHERE split = 'train' GROUP BY ALL),
@@ -327,11 +344,10 @@ def score_geo_grid(spark, sf_dir):
     """
     from exposa.session import checkpoint_dir
     checkpoint_dir(spark)
-    k = S.sf_scale(sf_dir)
     geo = S.claims_geo(spark, sf_dir)
     # grid x postcode maps: small (80 x postcodes); checkpointed so the
     # branches below do not recompute the 80-way roll-up
-    maps_all = G.geo_grid_maps(geo, _grid_rows(), weight="epy", scale=k).checkpoint()
+    maps_all = G.geo_grid_maps(geo, _grid_rows(), weight="epy").checkpoint()
     counts = maps_all.groupBy("grid_id").agg(F.count_distinct("geo_code").alias("n_geo_code"))
     first = counts.groupBy("n_geo_code").agg(F.min("grid_id").alias("grid_id"))
     keep = counts.join(first, ["n_geo_code", "grid_id"], "left_semi")
@@ -346,7 +362,7 @@ def score_geo_grid(spark, sf_dir):
         F.sum(y).alias("sy"), F.sum(e).alias("se"), F.sum(y * y).alias("syy"),
         F.sum(y * e).alias("sye"), F.sum(e * e).alias("see"),
         F.count(F.lit(1)).alias("n")).checkpoint()              # postcode grain: small
-    g = grain.join(maps.drop("state"), "riskpostcode")        # postcodes x encodings
+    g = grain.join(G.one_code(maps, ["grid_id"]), "riskpostcode")        # postcodes x encodings
     tr = g.filter("split = 'train'")
     rates = tr.groupBy("grid_id", "geo_code").agg((F.sum("sy") / F.sum("se")).alias("_r"))
     state_rates = tr.groupBy("grid_id", "state").agg((F.sum("sy") / F.sum("se")).alias("_rs"))
@@ -417,8 +433,9 @@ def tariff_classes(spark, sf_dir):
     curve = fit_curve(spark, sf_dir)
     from pyspark.ml.feature import VectorAssembler
     x = VectorAssembler(inputCols=["x"], outputCol="f").transform(curve)
+    bands = curve.count()                             # one row a band: every one may be a split
     dt = DecisionTreeRegressor(featuresCol="f", labelCol="fitted_freq", weightCol="exposure",
-                               maxDepth=3, minInstancesPerNode=2, maxBins=256).fit(x)
+                               maxDepth=3, minInstancesPerNode=2, maxBins=max(32, bands)).fit(x)
     splits = sorted({float(s) for s in _thresholds(dt._call_java("rootNode"))})
     bounds = [-math.inf] + splits + [math.inf]
     from pyspark.ml.feature import Bucketizer
@@ -439,12 +456,15 @@ def _thresholds(node):
 
 @register("burning_model")
 def burning_model(spark, sf_dir):
-    """Gamma GLM (log link) of the risk premium per exposure on versions with
-    claims, exposure as weight; rating factors."""
-    pc = S.policy_claims(spark, sf_dir).filter(F.col("grossincurred_prop") > 0).withColumn(
-        "risk_premium", F.col("grossincurred_prop") / F.col("exposure"))
-    fit = M.fit_gamma(pc, "risk_premium", ["building_type", "sprinkler_type"], weight="exposure")
-    return M.rating_factors(spark, {"burning": fit})
+    """Burning model: a Gamma GLM (log link, exposure weights) of the PREDICTED
+    premium (fitted claims x fitted severity) on all versions; rating factors."""
+    pc = S.policy_claims(spark, sf_dir)
+    freq = M.fit_poisson(pc, "claimcount_prop", ["geo_code", "building_type", "sprinkler_type"])
+    sev = M.fit_gamma(_sev_rows(pc), "severity", ["state", "building_type"], weight="claimcount_prop")
+    scored = sev.predict(freq.predict(pc, "pred_claims"), "pred_severity").withColumn(
+        "premium", F.col("pred_claims") * F.col("pred_severity"))
+    fit = M.fit_gamma(scored, "premium", ["building_type", "sprinkler_type"], weight="exposure")
+    return M.rating_factors(spark, {"burning": fit}, pc)
 
 
 @register("save_model")
@@ -472,7 +492,7 @@ def save_model(spark, sf_dir):
 @register("geo_grid_params")
 def geo_grid_params(spark, sf_dir):
     """Geo grid with its three thresholds nested into one struct column."""
-    g = G.geo_grid(S.claims_geo(spark, sf_dir), _grid_rows(), weight="epy", scale=S.sf_scale(sf_dir))
+    g = G.geo_grid(S.claims_geo(spark, sf_dir), _grid_rows(), weight="epy")
     return G.pack_params(g, ["t_riskpostcode", "t_sa3name", "t_sa4name"])
 
 

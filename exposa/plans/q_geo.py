@@ -26,16 +26,16 @@ def _round(df, cols, d=6):
 # --- category grouping ---------------------------------------------------------
 
 @register("lump_min_occupation", """
-SELECT CASE WHEN g.occupation IS NULL THEN NULL WHEN s.w < 250 THEN 'NEW' ELSE g.occupation END
+SELECT CASE WHEN g.occupation IS NULL THEN NULL WHEN s.w < 5 THEN 'NEW' ELSE g.occupation END
          AS occupation,
        count(*) AS n_rows, round(sum(g.epy), 6) AS exposure
 FROM claims_geo g LEFT JOIN (SELECT occupation, sum(epy) AS w FROM claims_geo GROUP BY ALL) s
   USING (occupation)
 GROUP BY 1""", ("claims_geo",))
 def lump_min_occupation(spark, sf_dir):
-    """Occupations with exposure below 250 merged into 'NEW'."""
+    """Occupations with exposure below 5 (the study's constant) merged into 'NEW'."""
     df = GR.lump_min(S.claims_geo(spark, sf_dir), "occupation", "epy",
-                     250.0 * S.sf_scale(sf_dir), "NEW")
+                     S.LUMP_MIN_EXPOSURE, "NEW")
     return df.groupBy("occupation").agg(F.count(F.lit(1)).alias("n_rows"),
                                         F.round(F.sum("epy"), 6).alias("exposure"))
 
@@ -156,7 +156,7 @@ def impute_electorate(spark, sf_dir):
 @register("geo_rollup", "SELECT * FROM enc_geo", ("enc_geo",))
 def geo_rollup(spark, sf_dir):
     """Two-level roll-up (30 / 120): postcode -> SA3 -> SA4 with origin."""
-    return G.geo_rollup(S.claims_geo(spark, sf_dir), 30.0 * S.sf_scale(sf_dir))
+    return G.geo_rollup(S.claims_geo(spark, sf_dir), S.POSTCODE_THRESHOLD)
 
 
 def rollup3_sql(src: str, t: tuple, part: str = "", final: bool = True) -> str:
@@ -187,17 +187,11 @@ SELECT DISTINCT riskpostcode,
 FROM {rollup3_sql(_PE, ("30.0", "120.0", "500.0"))}""", ("claims_geo",))
 def geo_rollup3(spark, sf_dir):
     """Three-level roll-up (30 / 120 / 500) to postcode, SA3, SA4 or state."""
-    k = S.sf_scale(sf_dir)
-    return G.geo_rollup3(S.claims_geo(spark, sf_dir), 30.0 * k, 120.0 * k, 500.0 * k, weight="epy")
+    return G.geo_rollup3(S.claims_geo(spark, sf_dir), 30.0, 120.0, 500.0, weight="epy")
 
 
 def _grid_rows():
-    rows = []
-    for a in (10, 20, 30, 40, 50):
-        for m3 in (1.5, 2, 3, 4):
-            for m4 in (2, 3, 4, 5):
-                rows.append((len(rows) + 1, float(a), float(a * m3), float(a * m3 * m4)))
-    return rows
+    return G.threshold_grid()
 
 
 _GRID_VALUES = ", ".join(f"({g}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))"
@@ -217,14 +211,13 @@ SELECT c.* FROM c JOIN (SELECT n_geo_code, min(grid_id) AS grid_id FROM c GROUP
 def geo_grid(spark, sf_dir):
     """Number of geo codes for all 80 threshold triples in one job; first
     triple per distinct count."""
-    return G.geo_grid(S.claims_geo(spark, sf_dir), _grid_rows(), weight="epy",
-                      scale=S.sf_scale(sf_dir))
+    return G.geo_grid(S.claims_geo(spark, sf_dir), _grid_rows(), weight="epy")
 
 
 @register("attach_geo_fallback", f"""
-WITH m AS (SELECT DISTINCT riskpostcode,
-                  CASE WHEN state IN ('ACT', 'NT') THEN state ELSE geo_code END AS gc
-           FROM {rollup3_sql(_PE, ("30.0", "120.0", "500.0"))}),
+WITH m AS (SELECT riskpostcode,
+                  min(CASE WHEN state IN ('ACT', 'NT') THEN state ELSE geo_code END) AS gc
+           FROM {rollup3_sql(_PE, ("30.0", "120.0", "500.0"))} GROUP BY riskpostcode),
 seen AS (SELECT DISTINCT m.gc FROM claims_geo g JOIN m USING (riskpostcode) WHERE g.ym <= 1998)
 SELECT coalesce(CASE WHEN m.gc IN (SELECT gc FROM seen) THEN m.gc END, g.state) AS geo_code,
        count(*) AS n_rows
@@ -233,9 +226,8 @@ def attach_geo_fallback(spark, sf_dir):
     """Geo code attached; codes unseen in training (ym <= 1998) fall back
     to the state."""
     geo = S.claims_geo(spark, sf_dir)
-    k = S.sf_scale(sf_dir)
-    m = G.geo_rollup3(geo, 30.0 * k, 120.0 * k, 500.0 * k, weight="epy")
-    seen = geo.filter(F.col("ym") <= 1998).join(m, "riskpostcode").select("geo_code")
+    m = G.geo_rollup3(geo, 30.0, 120.0, 500.0, weight="epy")
+    seen = geo.filter(F.col("ym") <= 1998).join(G.one_code(m), "riskpostcode").select("geo_code")
     out = G.attach_geo(geo, m, train_levels=seen)
     return out.groupBy("geo_code").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -244,7 +236,7 @@ def attach_geo_fallback(spark, sf_dir):
           ("enc_geo",))
 def distinct_geo_codes(spark, sf_dir):
     """Number of distinct codes of the two-level map."""
-    m = G.geo_rollup(S.claims_geo(spark, sf_dir), 30.0 * S.sf_scale(sf_dir))
+    m = G.geo_rollup(S.claims_geo(spark, sf_dir), S.POSTCODE_THRESHOLD)
     return m.agg(F.count_distinct("geo_code").alias("n_geo_code"))
 
 
@@ -265,8 +257,7 @@ SELECT c.* FROM c JOIN (SELECT n_geo_code, min(grid_id) AS grid_id FROM c GROUP
 def geo_grid_policies(spark, sf_dir):
     """The 80-triple geo grid on the second-path policy table, weighted by
     policy exposure (as the study runs it)."""
-    return G.geo_grid(S.policy_claims_second(spark, sf_dir), _grid_rows(), weight="exposure",
-                      scale=S.sf_scale(sf_dir))
+    return G.geo_grid(S.policy_claims_second(spark, sf_dir), _grid_rows(), weight="exposure")
 
 
 @register("geo_rollup3_policies", f"""
@@ -276,6 +267,4 @@ FROM {rollup3_sql(_PE2, ("50.0", "100.0", "200.0"))}""", ("policy_claims_second"
 def geo_rollup3_policies(spark, sf_dir):
     """Three-level roll-up with the study's default thresholds (50 / 100 /
     200) on policy exposure."""
-    k = S.sf_scale(sf_dir)
-    return G.geo_rollup3(S.policy_claims_second(spark, sf_dir), 50.0 * k, 100.0 * k, 200.0 * k,
-                         weight="exposure")
+    return G.geo_rollup3(S.policy_claims_second(spark, sf_dir), *G.ROLLUP3_DEFAULTS.values(), weight="exposure")

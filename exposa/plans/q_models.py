@@ -124,10 +124,10 @@ def sensitivity(spark, sf_dir):
 
 _PREMIUM_SQL = """(
 SELECT p.policyno, p.situation_num, p.policy_version, p.LossofIncome_cover,
-       p.exposure * fp.r AS pred_freq_prop, p.claimcount_prop / p.exposure AS actual_freq_prop,
+       fp.r AS pred_freq_prop, p.claimcount_prop / p.exposure AS actual_freq_prop,
        sp.s AS pred_sev_prop,
        coalesce(p.grossincurred_prop / nullif(p.claimcount_prop, 0), 0.0) AS actual_sev_prop,
-       CASE WHEN p.LossofIncome_cover THEN p.exposure * fl.r ELSE 0.0 END AS pred_freq_loi,
+       CASE WHEN p.LossofIncome_cover THEN fl.r ELSE 0.0 END AS pred_freq_loi,
        CASE WHEN p.LossofIncome_cover THEN sl.s ELSE 0.0 END AS pred_sev_loi
 FROM policy_claims p
 JOIN (SELECT geo_code, sum(claimcount_prop) / sum(exposure) AS r FROM policy_claims GROUP BY ALL) fp USING (geo_code)
@@ -140,10 +140,11 @@ LEFT JOIN (SELECT geo_code, CAST(sum(CAST(grossincurred_lossofinc AS DECIMAL(38,
 
 
 def _premium_frame(spark, sf_dir):
-    """One-factor (geo code) frequency and severity predictions per line;
+    """One-factor (geo code) frequency (claims per unit of exposure) and severity predictions per line;
     loss-of-income predictions only on covered versions, 0 otherwise."""
     pc = S.policy_claims(spark, sf_dir)
-    fp = R.level_rate_predictions(pc, "geo_code", "claimcount_prop", "exposure", "pred_freq_prop")
+    fp = R.level_rate_predictions(pc, "geo_code", "claimcount_prop", "exposure", "pred_freq_prop") \
+        .withColumn("pred_freq_prop", F.col("pred_freq_prop") / F.col("exposure"))
     sp = pc.groupBy("geo_code").agg(E.safe_div(E.money_sum("grossincurred_prop"),
                                                F.sum("claimcount_prop")).alias("pred_sev_prop"))
     cov = pc.filter("LossofIncome_cover")
@@ -155,7 +156,7 @@ def _premium_frame(spark, sf_dir):
             .withColumns({
                 "actual_freq_prop": F.col("claimcount_prop") / F.col("exposure"),
                 "actual_sev_prop": F.coalesce(E.safe_div("grossincurred_prop", "claimcount_prop"), F.lit(0.0)),
-                "pred_freq_loi": F.when(c, F.col("exposure") * F.col("_rl")).otherwise(F.lit(0.0)),
+                "pred_freq_loi": F.when(c, F.col("_rl")).otherwise(F.lit(0.0)),
                 "pred_sev_loi": F.when(c, F.col("_sl")).otherwise(F.lit(0.0))}))
 
 
@@ -188,7 +189,9 @@ def union_scores(spark, sf_dir):
 _REPORT_COLS = ["pred_freq_prop", "actual_freq_prop", "pred_sev_prop", "actual_sev_prop",
                 "pred_freq_loi", "actual_freq_loi", "pred_sev_loi", "actual_sev_loi",
                 "pred_premium_prop", "actual_premium_prop", "residual_prop",
+                "freq_residual_prop", "sev_residual_prop",
                 "pred_premium_loi", "actual_premium_loi", "residual_loi",
+                "freq_residual_loi", "sev_residual_loi",
                 "pred_premium_total", "actual_premium_total"]
 
 
@@ -210,14 +213,18 @@ k AS (SELECT *, pred_freq_prop * pred_sev_prop AS pred_premium_prop,
              actual_freq_loi * actual_sev_loi AS actual_premium_loi FROM j)
 SELECT policyno, situation_num, policy_version,
        {", ".join(f"floor({c} * 1e6 + 0.5) / 1e6 AS {c}" for c in _REPORT_COLS)}
-FROM (SELECT *, actual_premium_prop - pred_premium_prop AS residual_prop,
-             actual_premium_loi - pred_premium_loi AS residual_loi,
+FROM (SELECT *, pred_premium_prop - actual_premium_prop AS residual_prop,
+             pred_premium_loi - actual_premium_loi AS residual_loi,
+             pred_freq_prop - actual_freq_prop AS freq_residual_prop,
+             pred_sev_prop - actual_sev_prop AS sev_residual_prop,
+             pred_freq_loi - actual_freq_loi AS freq_residual_loi,
+             pred_sev_loi - actual_sev_loi AS sev_residual_loi,
              pred_premium_prop + pred_premium_loi AS pred_premium_total,
              actual_premium_prop + actual_premium_loi AS actual_premium_total FROM k)""",
           ("policy_claims",))
 def premium_report(spark, sf_dir):
-    """Predicted vs actual frequency, severity and pure premium per line
-    (loss-of-income scores joined, missing -> 0) and the total premium."""
+    """Predicted vs actual frequency, severity and pure premium per line, with
+    their residuals (predicted minus actual) (loss-of-income scores joined, missing -> 0) and the total premium."""
     p = _premium_frame(spark, sf_dir)
     prop = p.select(*_KEY, "pred_freq_prop", "actual_freq_prop", "pred_sev_prop", "actual_sev_prop")
     prop = prop.toDF(*_KEY, "pred_freq", "actual_freq", "pred_sev", "actual_sev")

@@ -59,15 +59,6 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sf_scale(sf_dir: str, ref_sf: float = 0.01) -> float:
-    """Exposure grows with the scale factor; thresholds follow it.
-
-    ``.../sf0.1`` -> 10.0 relative to sf0.01.  Unknown layout -> 1.0.
-    """
-    m = re.search(r"sf([0-9.]+)/?$", sf_dir.rstrip("/"))
-    return float(m.group(1)) / ref_sf if m else 1.0
-
-
 def clean_claims(raw: DataFrame, patches=CLAIM_PATCHES) -> DataFrame:
     """Study step 2: sprinkler level, Y/N flags, property-cover filter,
     small-amount floor, postcode / state patches."""
@@ -151,7 +142,7 @@ def apply_encodings(geo: DataFrame, enc: dict, walls=GR.WALL_RECODE) -> DataFram
 def claims_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         geo = claims_geo(spark, sf_dir)
-        enc = encodings(geo, POSTCODE_THRESHOLD * sf_scale(sf_dir))
+        enc = encodings(geo)
         return apply_encodings(geo, enc)
     return stage(spark, sf_dir, "claims_encoded", build)
 
@@ -240,11 +231,7 @@ def encode_second(clean: DataFrame) -> DataFrame:
         df = GR.recode(df, c, m)
     df = GR.recode(df, "occupation", occ, strict=False)
     df = fill_unknown(df, list(SECOND_RECODES) + ["occupation"])
-    cover = F.col("LossofIncome_cover")
-    df = df.withColumns({c: F.when(cover & F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c))
-                         for c in ("suminsured_lossofinc", "grossincurred_lossofinc")})
-    return df.withColumn("indem_per_grp", F.when(~cover, F.lit("LoI_NULL"))
-                         .otherwise(F.col("indem_per_grp")))
+    return C.lossofinc_nulls(df, "second")
 
 
 def claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
