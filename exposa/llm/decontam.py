@@ -205,20 +205,21 @@ def item_blocks(items: DataFrame, block_bytes: int):
 
 
 def overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id",
-             item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` with a struct ``overlap`` of the FOUND fields.
+             item_text: str = "text", block_bytes: int = 16 << 20, to: str = "overlap") -> DataFrame:
+    """``docs`` with a struct ``to`` of the FOUND fields (in place of a column of that name).
 
     spans: the words inside any occurrence of a window, as disjoint [start, end) word
     numbers; items: ids with an occurring window; longest...: the longest verbatim match of a
     window's words or more, where it stands, and in which item (earliest place, least id).
     """
-    found = unused(docs, "overlap")[0]
+    docs = docs.drop(to) if to in docs.columns else docs
+    (found,) = unused(docs, "found_overlap")
     out = docs.withColumn(found, F.lit(None).cast(T._parse_datatype_string(FOUND)))
     frame = items.select(items[item_id].cast("bigint").alias("id"), items[item_text].alias("text"))
     passes = 0
     for block in item_blocks(frame, block_bytes):
         out, passes = _pass(out, found, text, block, window), passes + 1
-    return (out if passes else _pass(out, found, text, [], window)).withColumnRenamed(found, "overlap")
+    return (out if passes else _pass(out, found, text, [], window)).withColumnRenamed(found, to)
 
 
 def _pass(docs: DataFrame, found: str, text: str, block: list, window: int) -> DataFrame:
@@ -245,8 +246,7 @@ def _pass(docs: DataFrame, found: str, text: str, block: list, window: int) -> D
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_hit: float = 0.0, **names) -> DataFrame:
     """The documents of which at most ``max_hit`` of the words lie in an occurring window."""
-    (keep,) = unused(docs, "kept")
-    marked = overlaps(docs, items, window, **names)
-    hit = F.aggregate("overlap.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    return marked.withColumn(keep, hit <= F.lit(max_hit) * F.col("overlap.n_words")) \
-        .where(F.col(keep)).drop("overlap", keep)
+    (to,) = unused(docs, "overlap")
+    marked = overlaps(docs, items, window, to=to, **names)
+    hit = F.aggregate(f"{to}.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return marked.where(hit <= F.lit(max_hit) * F.col(f"{to}.n_words")).select(*docs.columns)

@@ -170,14 +170,14 @@ judged AS (
          ELSE 'resolved' END AS outcome
   FROM found g LEFT JOIN canon o ON o.record_id = g.f.id)
 SELECT record_id, canonical_url, warc_date, outcome,
-  CASE WHEN outcome = 'resolved' THEN f.id END AS response_id,
+  CASE WHEN outcome = 'resolved' THEN f.id::VARCHAR END AS response_id,
   CASE WHEN outcome = 'resolved' THEN md5_ END AS payload_md5,
   CASE WHEN outcome = 'resolved' THEN 'cache-control: ' || cc || chr(10) || 'content-type: text/html' ||
        coalesce(chr(10) || 'etag: ' || coalesce(etag, o_etag), '') END AS headers
 FROM judged""")
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every not-modified revisit of the archive, resolved to the response it stands for."""
-    return warc.resolve(archive(spark, sf_dir))
+    return warc.resolve(archive(spark, sf_dir)).withColumn("response_id", F.col("response_id").cast("string"))
 
 
 def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
