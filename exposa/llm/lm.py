@@ -111,6 +111,20 @@ def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps, byte by byte of all (leading bytes are mostly zero), compressed."""
+    import pyarrow as pa
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[0] = keys[0]
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    import pyarrow as pa
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _ask(blocks: DataFrame, order: int, slices: int) -> DataFrame:
     """(slice, n, block, keys, counts): what blocks hold of every slice."""
     def run(batches):
@@ -124,7 +138,7 @@ def _ask(blocks: DataFrame, order: int, slices: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(has, pa.int32()), pa.array([n] * len(has), pa.int32()),
                          pa.array([row["block"]] * len(has), pa.int64()),
-                         pa.array([keys[cuts[s]:cuts[s + 1]].tobytes() for s in has], pa.binary()),
+                         pa.array([_pack(keys[cuts[s]:cuts[s + 1]]) for s in has], pa.binary()),
                          pa.array([count[cuts[s]:cuts[s + 1]].astype(np.uint32).tobytes() for s in has],
                                   pa.binary())],
                         names=["slice", "n", "block", "keys", "counts"])
@@ -138,8 +152,8 @@ def _answer(asked: DataFrame) -> DataFrame:
     The first answer of a slice and order carries the slice's distinct trained n-grams."""
     def run(table):
         import pyarrow as pa
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
         count = [np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]
+        keys = [_unpack(k, len(c)) for k, c in zip(table.column("keys").to_pylist(), count, strict=True)]
         _, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, np.concatenate(count)).astype(np.int64)
         cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
