@@ -37,8 +37,6 @@ from pyspark.sql import functions as F
 from exposa.llm.components import components
 from exposa.llm.tables import cut, shuffle_partitions
 
-SMALL_TABLE = 10_000
-
 
 def rotations(d: int, count: int, seed: int = 7) -> np.ndarray:
     """``count`` random rotations of d dimensions, side by side (d x count * d)."""
@@ -57,8 +55,16 @@ def tables_for(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
-def _read(rows: DataFrame) -> DataFrame:
-    """(id, digest, d, vec): unit vectors as bytes; digest, d and vec are null for unusable ones."""
+def unit(raw: list[bytes], d: int, width: str) -> np.ndarray:
+    """Unit vectors in double precision of raw components (``width``: f4 or f8)."""
+    x = np.frombuffer(b"".join(raw), width).reshape(-1, d).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0
+
+
+def _read(rows: DataFrame, width: str) -> DataFrame:
+    """(id, digest, d, vec): components as bytes; digest (of the unit vector), d and vec are null for
+    unusable vectors."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -68,9 +74,9 @@ def _read(rows: DataFrame) -> DataFrame:
             for v in batch.column("v").to_pylist():
                 x = None if v is None or not len(v) or None in v else np.array(v, np.float64)
                 if x is not None and np.isfinite(x).all() and (x != 0).any():
-                    x = x / np.abs(x).max()
-                    raw = (x / math.sqrt(float(x @ x)) + 0.0).tobytes()
-                    out.append((hashlib.blake2b(raw, digest_size=16).digest(), len(x), raw))
+                    raw = x.astype(width).tobytes()
+                    own = unit([raw], len(x), width).tobytes()
+                    out.append((hashlib.blake2b(own, digest_size=16).digest(), len(x), raw))
                 else:
                     out.append((None, None, None))
             yield pa.RecordBatch.from_arrays(
@@ -81,7 +87,7 @@ def _read(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, digest binary, d int, vec binary")
 
 
-def _codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+def _codes(classes: DataFrame, bits: int, tables: int, width: str) -> DataFrame:
     """Adds factor (of the first rotation's code), code (all signs, packed) and keys."""
     def run(batches):
         import pyarrow as pa
@@ -94,12 +100,11 @@ def _codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 if d not in turn:
                     turn[d] = rotations(d, max(1, -(-bits * tables // d)))
                 at = np.flatnonzero(ds == d).tolist()
-                x = np.stack([np.frombuffer(vecs[i], np.float64) for i in at])
-                turned = x @ turn[d]
+                turned = unit([vecs[i] for i in at], d, width) @ turn[d]
                 sign = turned >= 0
                 f = np.abs(turned[:, :d]).sum(1) / math.sqrt(d)
-                own = sign[:, :bits * tables].reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
-                packed = np.packbits(sign[:, :d], axis=1)
+                own = _keys(sign, bits, tables)
+                packed = np.packbits(sign, axis=1)
                 for k, i in enumerate(at):
                     factor[i], code[i], keys[i] = float(f[k]), packed[k].tobytes(), own[k].tolist()
             yield pa.RecordBatch.from_arrays(
@@ -110,6 +115,11 @@ def _codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                                    "keys array<bigint>")
 
 
+def _keys(sign: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The keys that the signs of a code are cut in."""
+    return sign[:, :bits * tables].reshape(len(sign), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
 def close_pairs(x, sign, factor, threshold: float, confidence: float, turn: np.ndarray,
                 rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (of ``rows`` with ``cols``) at the threshold: estimated from codes, bounded, then exact."""
@@ -168,30 +178,29 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     ``recall`` is the chance that a pair exactly at the threshold meets in some bucket.
     """
     spark = vectors.sparkSession
-    rows = cut(_read(vectors.select(vectors[id].alias("id"), vectors[vector].alias("v"))))
+    width = "f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "f8"
+    rows = cut(_read(vectors.select(vectors[id].alias("id"), vectors[vector].alias("v")), width))
     classes = cut(rows.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("least"), F.count("*").alias("n"), F.first("d").alias("d"), F.first("vec").alias("vec"))
         .withColumn("node", F.monotonically_increasing_id()))
     bits, tables = tables_for(classes.count(), threshold, recall)
-    coded = cut(_codes(classes.select("node", "d", "n", "vec"), bits, tables))
-    keyed = coded.select("*", F.posexplode("keys").alias("table", "key"))
+    coded = cut(_codes(classes.select("node", "d", "n", "vec"), bits, tables, width))
+    # which buckets a vector shares with others is found on its keys alone; only then do vectors move
     bucket = ["d", "table", "key"]
-    sizes = coded.select("d", F.posexplode("keys").alias("table", "key")).groupBy(*bucket) \
-        .agg(F.count("*").alias("size")).where("size > 1")
-    sizes = cut(sizes.withColumn("parts", F.ceil(F.col("size") / F.lit(most)).cast("int")))
-    large = sizes.where("parts > 1").select(*bucket, "parts")
-    if large.count() <= SMALL_TABLE:              # the size that is sent to all tasks is counted first
-        large = F.broadcast(large)
-    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
-    cells = keyed.join(sizes.select(*bucket), bucket, "left_semi").join(large, bucket, "left") \
-        .withColumn("part", part) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))) \
-        .withColumn("cell", F.struct(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")))
+    keyed = coded.select("node", "d", F.posexplode("keys").alias("table", "key"))
+    shared = keyed.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1") \
+        .withColumn("parts", F.ceil(F.col("size") / F.lit(most)).cast("int"))
+    own = keyed.join(shared, bucket).groupBy("node").agg(F.collect_list(F.struct("table", "key", "parts")).alias("own"))
+    cells = coded.drop("keys").join(own, "node").select("*", F.explode("own").alias("b")) \
+        .select("node", "d", "n", "vec", "factor", "code", "b.*") \
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = ["d", "table", "key", "cell_a", "cell_b"]
-    cells = cells.select("d", "table", "key", F.col("cell.a").alias("cell_a"), F.col("cell.b").alias("cell_b"),
-                         "part", "node", "n", "vec", "factor", "code", "keys")
+    cells = cells.select("d", "table", "key", F.least("part", "other").alias("cell_a"),
+                         F.greatest("part", "other").alias("cell_b"), "part", "node", "n", "vec", "factor", "code")
     cells = cells.repartition(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    found = cut(cells.mapInArrow(_cells(threshold, confidence), "node bigint, links bigint, root bigint"))
+    found = cut(cells.mapInArrow(_cells(threshold, confidence, bits, tables, width),
+                                 "node bigint, links bigint, root bigint"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_node = joined.join(classes.select("node", "least"), "node")
@@ -207,18 +216,16 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
                       F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _cells(threshold: float, confidence: float):
+def _cells(threshold: float, confidence: float, bits: int, tables: int, width: str):
     """Task: sorted members of cells to (node, links, root) of those that have links."""
     def work(group):
         import pyarrow as pa
         d, table = group.column("d")[0].as_py(), group.column("table")[0].as_py()
-        x = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float64).reshape(-1, d)
+        x = unit(group.column("vec").to_pylist(), d, width)
         packed = np.frombuffer(b"".join(group.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-        sign = np.unpackbits(packed, axis=1)[:, :d] * 2.0 - 1.0
+        signs = np.unpackbits(packed, axis=1)
+        sign, keys = signs[:, :d] * 2.0 - 1.0, _keys(signs, bits, tables)
         node = group.column("node").to_numpy()
-        keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), -1) \
-            if isinstance(group.column("keys"), pa.ChunkedArray) else \
-            group.column("keys").flatten().to_numpy().reshape(len(x), -1)
         if d not in turned:
             turned[d] = rotations(d, 1)
         links, label = _bucket(table, x, sign, group.column("factor").to_numpy(), keys, group.column("n").to_numpy(),
