@@ -105,13 +105,13 @@ def premium_report(prop: DataFrame, loi: DataFrame, keys: Sequence[str]) -> Data
         "actual_premium_total": F.col("actual_premium_prop") + F.col("actual_premium_loi")})
 
 
-def poisson_draw(u, mu: float = 1.0, kmax: int = 20):
-    """Inverse-CDF Poisson(mu) draw from a uniform column ``u`` (small mu):
-    number of k with CDF(k) < u."""
+def poisson_draw(u):
+    """Inverse-CDF Poisson(1) draw from a uniform column ``u``: number of k with
+    CDF(k) < u.  At k = 19 the CDF is 1 in double precision, so no draw is cut."""
     import math
     cdf, terms = 0.0, []
-    for k in range(kmax):
-        cdf += math.exp(-mu) * mu ** k / math.factorial(k)
+    for k in range(20):
+        cdf += math.exp(-1.0) / math.factorial(k)
         terms.append(F.when(u > F.lit(cdf), 1).otherwise(0))
     out = terms[0]
     for t in terms[1:]:
@@ -138,15 +138,16 @@ def bootstrap_rmse(df: DataFrame, actual: str, pred: str, key, n: int = 20, seed
 
 def poisson_pit(df: DataFrame, y: str, mu: str, key, seed: int = 7) -> DataFrame:
     """Randomised quantile residual u = F(y-1) + V f(y) of a Poisson fit
-    (uniform if the model is right); the CDF is an exact finite sum."""
+    (uniform if the model is right); the CDF is an exact finite sum, made in one
+    pass over 1..y by f(k) = f(k - 1) * mu / k."""
     yy = F.col(y).cast("int")
-    pmf = lambda k: F.exp(-F.col(mu) + k * F.log(F.col(mu)) - F.aggregate(
-        F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")),
-        F.lit(0.0), lambda a, j: a + F.log(j.cast("double"))))
-    below = F.aggregate(F.when(yy > 0, F.sequence(F.lit(0), yy - 1)).otherwise(F.array().cast("array<int>")),
-                        F.lit(0.0), lambda a, k: a + pmf(k))
+    start = F.struct(F.lit(0.0).alias("below"), F.exp(-F.col(mu)).alias("f"))
+    steps = F.when(yy > 0, F.sequence(F.lit(1), yy)).otherwise(F.array().cast("array<int>"))
+    run = F.aggregate(steps, start, lambda a, k: F.struct(
+        (a["below"] + a["f"]).alias("below"), (a["f"] * F.col(mu) / k.cast("double")).alias("f")))
     v = hash_uniform(key, seed)
-    return df.withColumn("pit", below + v * pmf(yy))
+    return df.withColumn("_run", run).withColumn(
+        "pit", F.col("_run.below") + v * F.col("_run.f")).drop("_run")
 
 
 def qq_uniform(df: DataFrame, col: str, n_q: int = 20) -> DataFrame:

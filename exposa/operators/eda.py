@@ -1,9 +1,7 @@
 """Exploratory statistics as aggregate tables (what the study's charts show).
 
-Every table is one or two partial aggregations; quantiles use Spark's exact
-``percentile`` (a value -> count map per group, partial-aggregated; memory
-grows with DISTINCT values of a group, and these run on claim amounts, i.e.
-rows with a claim) unless ``approx=True`` asks for the bounded sketch.
+Every table is a few partial aggregations; quantiles are exact and split large
+groups over partitions (``exact_quantiles``).
 """
 
 from __future__ import annotations
@@ -13,37 +11,59 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposa.functions.expr import count_if, mean_strict, safe_div
+from exposa.functions.expr import count_if, join_null_safe, mean_strict, safe_div
+from exposa.operators.quantiles import exact_quantiles
 from exposa.operators.windows import first_row, last_row
 
 
+_LATEST = ["expirydate", "riskpostcode", "state", "building_type", "sprinkler_type", "occupation"]
+
+
+def _situation_aggs():
+    """Any cover, earliest effect date, and the details of the latest row
+    (latest version dates, then month; of rows equal in these, the least
+    details): all partial aggregates on the situation key."""
+    rank = [(-F.coalesce(c.cast("long"), F.lit(-(1 << 40)))) for c in
+            (F.unix_date("effectdate"), F.unix_date("expirydate"), F.col("ym"), F.col("xm"))]
+    details = [x for c in _LATEST for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c).alias(c))]
+    latest = F.min(F.struct(*[r.alias(f"_r{i}") for i, r in enumerate(rank)], *details))
+    return [F.bool_or("LossofIncome_cover").alias("LossofIncome_cover"),
+            F.min("effectdate").alias("effectdate"), latest.alias("_latest")]
+
+
 def latest_situation(df: DataFrame) -> DataFrame:
     """Per (policyno, situation_num): any cover, earliest effect date, and
     the details of the latest row (latest version dates, then month)."""
     keys = ["policyno", "situation_num"]
-    agg = df.groupBy(*keys).agg(F.bool_or("LossofIncome_cover").alias("LossofIncome_cover"),
-                                F.min("effectdate").alias("effectdate"))
-    d = df.withColumns({"_e": F.unix_date("effectdate"), "_x": F.unix_date("expirydate")})
-    cols = ["expirydate", "riskpostcode", "state", "building_type", "sprinkler_type", "occupation"]
-    latest = last_row(d, keys, ["_e", "_x", "ym", "xm"], cols)
-    return agg.join(latest, keys)
+    return df.groupBy(*keys).agg(*_situation_aggs()).select(
+        *keys, "LossofIncome_cover", "effectdate", *[F.col(f"_latest.{c}").alias(c) for c in _LATEST])
 
 
 def situation_history(df: DataFrame) -> DataFrame:
     """Per (policyno, situation_num): claim count, total, average (NULL if
-    no claim) and median sum insured per line, plus the latest situation."""
+    no claim) and median sum insured per line, plus the latest situation.
+    One aggregation, and one pass for the medians of both lines."""
     keys = ["policyno", "situation_num"]
     aggs = []
     for ln in ("lossofinc", "prop"):
         a = F.col(f"grossincurred_{ln}")
         aggs += [count_if(a > 0).alias(f"n_claims_{ln}"),
-                 F.coalesce(F.sum(a), F.lit(0.0)).alias(f"total_grossincurred_{ln}"),
-                 F.median(f"suminsured_{ln}").alias(f"median_SI_{ln}")]
-    h = df.groupBy(*keys).agg(*aggs)
+                 F.coalesce(F.sum(a), F.lit(0.0)).alias(f"total_grossincurred_{ln}")]
+    h = df.groupBy(*keys).agg(*aggs, *_situation_aggs())
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(ln).alias("line"), F.col(f"suminsured_{ln}").alias("si"))
+        for ln in ("lossofinc", "prop")])).alias("s")).select(*keys, "s.*")
+    m = exact_quantiles(long, [*keys, "line"], "si", [0.5]).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("line") == ln, F.col("quantiles")[0])).alias(f"median_SI_{ln}")
+        for ln in ("lossofinc", "prop")])
+    h = join_null_safe(h, m, keys, "left")
+    out = []
     for ln in ("lossofinc", "prop"):
-        h = h.withColumn(f"avgincurred_{ln}",
-                         safe_div(f"total_grossincurred_{ln}", f"n_claims_{ln}"))
-    return h.join(latest_situation(df), keys, "left")
+        out += [f"n_claims_{ln}", f"total_grossincurred_{ln}", f"median_SI_{ln}"]
+    avg = [safe_div(f"total_grossincurred_{ln}", f"n_claims_{ln}").alias(f"avgincurred_{ln}")
+           for ln in ("lossofinc", "prop")]
+    return h.select(*keys, *out, *avg, "LossofIncome_cover", "effectdate",
+                    *[F.col(f"_latest.{c}").alias(c) for c in _LATEST])
 
 
 def factor_experience(df: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -123,13 +143,11 @@ def linear_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
                  F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
-def box_stats(df: DataFrame, by: Sequence[str], x: str, approx: bool = False) -> DataFrame:
+def box_stats(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Five numbers, 1.5 IQR whiskers and outlier counts per group."""
-    q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-         else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
     s = df.filter(F.col(x).isNotNull()).groupBy(*by).agg(
-        F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"),
-        F.count(F.lit(1)).alias("n"))
+        F.min(x).alias("min"), F.max(x).alias("max"), F.count(F.lit(1)).alias("n"))
+    s = join_null_safe(s, exact_quantiles(df, by, x, [0.25, 0.5, 0.75], "_q"), list(by))
     s = s.select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"), "max", "n")
     s = s.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
@@ -145,34 +163,39 @@ def box_stats(df: DataFrame, by: Sequence[str], x: str, approx: bool = False) ->
 
 
 def median_by(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.median(x).alias(f"median_{x}"), F.count(x).alias("n"))
+    n = df.groupBy(*by).agg(F.count(x).alias("n"))
+    m = exact_quantiles(df, by, x, [0.5]).select(*by, F.col("quantiles")[0].alias(f"median_{x}"))
+    return join_null_safe(n, m, list(by), "left").select(*by, f"median_{x}", "n")
 
 
 def density(df: DataFrame, by: str, x: str, n_grid: int = 32) -> DataFrame:
     """Gaussian kernel density of ``x`` per group on a shared grid.
 
     Bandwidth per group: Silverman's rule 0.9 * min(sd, IQR/1.34) * n^-1/5.
-    Grid: n_grid points from the overall min to max.  Rows are first reduced
-    to (group, value, count), then each distinct value is spread over the
-    grid (explode of a sequence), then summed per grid point.
+    Grid: n_grid points from the overall min to max.  Every grid point is a
+    column of ONE aggregation over the (group, value, count) table.
     """
     d = df.filter(F.col(x).isNotNull())
     bounds = d.select(F.min(x).alias("lo"), F.max(x).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    stats = d.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    stats = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd"))
+    stats = join_null_safe(stats, exact_quantiles(d, [by], x, [0.25, 0.75], "_q"), [by])
     bw = F.lit(0.9) * F.least(F.col("sd"), (F.col("_q")[1] - F.col("_q")[0]) / 1.34) \
         * F.pow(F.col("n"), F.lit(-0.2))
-    stats = stats.select(by, "n", bw.alias("bw"))
-    vals = d.groupBy(by, x).agg(F.count(F.lit(1)).alias("_c")).join(stats, by)
+    stats = stats.select(by, "n", bw.alias("bw")).filter(F.col("bw") > 0)
+    vals = join_null_safe(d.groupBy(by, x).agg(F.count(F.lit(1)).alias("_c")), stats, [by])
     step = (hi - lo) / F.lit(n_grid - 1)
-    grid = vals.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
-    grid = grid.withColumn("grid_x", lo + F.col("g") * step)
-    z = (F.col("grid_x") - F.col(x)) / F.col("bw")
-    k = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5))
-    return grid.filter(F.col("bw") > 0).groupBy(by, "g", "grid_x").agg(
-        (F.sum(k) / F.max("n")).alias("density"))
+    grid = [lo + F.lit(g) * step for g in range(n_grid)]
+
+    def kernel(at):
+        z = (at - F.col(x)) / F.col("bw")
+        return F.sum(F.col("_c") * F.exp(-0.5 * z * z)
+                     / (F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5))) / F.max("n")
+
+    wide = vals.groupBy(by).agg(*[kernel(at).alias(f"_d{g}") for g, at in enumerate(grid)])
+    points = F.array(*[F.struct(F.lit(g).alias("g"), at.alias("grid_x"), F.col(f"_d{g}").alias("density"))
+                       for g, at in enumerate(grid)])
+    return wide.select(by, F.explode(points).alias("p")).select(by, "p.*")
 
 
 def histbin(df: DataFrame, x: str, right: float, bins: int, left: float = 0.0) -> DataFrame:

@@ -13,6 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from exposa.functions.expr import join_null_safe
+from exposa.operators.quantiles import exact_quantiles
+
 # Fixed values of the study.
 WALL_RECODE = {"Polystyrene": "Other", "Glass": "Other"}
 OCCUPATION_EXCLUDED = ["Unknown", "O_Other Community Services", "D- Electricity, Gas & Water"]
@@ -132,7 +135,8 @@ def level_order(df: DataFrame, col: str, weight: str = "exposure",
     heaviest: last for ``median_asc`` (R fct_reorder), first for ``sum_desc``.
     """
     if how == "median_asc":
-        lv = df.groupBy(col).agg(F.median(weight).alias("stat"))
+        q = exact_quantiles(df, [col], weight, [0.5]).select(col, F.col("quantiles")[0].alias("stat"))
+        lv = join_null_safe(df.select(col).distinct(), q, [col], "left")
         w = Window.orderBy(F.asc("stat"), F.asc(col))
     elif how == "sum_desc":
         lv = df.groupBy(col).agg(F.sum(weight).alias("stat"))

@@ -18,6 +18,7 @@ from exposa.models import glm as M
 from exposa.models import metrics as MT
 from exposa.operators import rating as R
 from exposa.operators import sampling as SM
+from exposa.operators.quantiles import exact_quantiles
 from exposa.plans import stages as S
 from exposa.plans.q_geo import _KEY, _split_sql
 from exposa.plans.registry import register
@@ -295,7 +296,6 @@ def simulated_residuals_one_factor(spark, sf_dir):
     one-factor frequency fit against uniform quantiles."""
     p = _one_factor_preds(S.policy_claims(spark, sf_dir), ("geo_code",))
     pit = MT.poisson_pit(p, "claimcount_prop", "pred_geo", _KEY, seed=7)
-    q = pit.agg(F.percentile("pit", F.array(*[F.lit(x) for x in _PROBS])).alias("q")).select(
-        F.posexplode("q").alias("i", "empirical"))
+    q = exact_quantiles(pit, [], "pit", _PROBS).select(F.posexplode("quantiles").alias("i", "empirical"))
     return q.select(F.col("i").cast("int").alias("i"), F.round("empirical", 9).alias("empirical"),
                     ((F.col("i") + 0.5) / 20).alias("theoretical"))

@@ -57,20 +57,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster's shared
-    folder).  Only when nothing is configured (local tests) a scratch folder
-    is created and registered with the SparkContext.
+    folder).  Only when nothing is configured AND the master is local (tests) a
+    scratch folder is created and registered with the SparkContext; elsewhere a
+    folder of one machine would be missing on the others, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Connect: the server owns the context
-        return d or tempfile.gettempdir()
+        if not d:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return d
     if d:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
     d = sc.getCheckpointDir()
     if not d:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         global _LOCAL_CKPT
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="exposa-ckpt-")
