@@ -100,11 +100,6 @@ def fit_tweedie(df, response, factors, power: float = 1.5, exposure=None, weight
                    variance_power=power, **kw)
 
 
-def fit_gaussian(df, response, factors=(), numeric=(), weight=None) -> GLMFit:
-    return fit_glm(df, response, factors, "gaussian", numeric=numeric, weight=weight,
-                   link="identity")
-
-
 def add_prediction(df: DataFrame, fits: dict[str, GLMFit]) -> DataFrame:
     """Append pred_<response>_<name> for every fit (response scale)."""
     out = df

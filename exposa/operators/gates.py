@@ -62,6 +62,12 @@ def assert_no_nulls(df: DataFrame, cols: Sequence[str] | None = None,
     raise_if_bad(null_audit(df, cols, where), "no-NULL assertion")
 
 
+def assert_covered(df: DataFrame, allowed_when_uncovered: Sequence[str],
+                   cover: str = "LossofIncome_cover") -> None:
+    """Raise on a NULL in a covered row, or in an uncovered one outside the listed columns."""
+    raise_if_bad(conditional_null_audit(df, allowed_when_uncovered, cover), "cover-conditional NULL assertion")
+
+
 def join_loss_audit(before: DataFrame, after: DataFrame, dim: DataFrame,
                     key: str = "riskpostcode", dim_key: str = "postcode") -> DataFrame:
     """rows(before) - rows(after) must equal rows whose key is unknown to dim."""

@@ -95,13 +95,16 @@ def occupation_map(df: DataFrame, col: str = "occupation", weight: str = "epy",
     groups stay (ties kept), the rest 'Other'.  Built from the unmerged
     occupations, so every name has an entry.
     """
-    lv = level_weights(df, col, weight, "exposure").filter(F.col(col).isNotNull())
-    spark = df.sparkSession
-    excl = spark.createDataFrame([(e,) for e in excluded] or [], f"{col} string")
-    for c in (severity_cols if severity_top > 0 else ()):
-        excl = excl.unionByName(top_severity(df, col, c, severity_top).select(col))
-    excl = excl.distinct()
-    rest = lv.join(excl, col, "left_anti")
+    # one aggregation: exposure and, per line, the mean positive amount of each level
+    means = [F.avg(F.when(F.col(a) > 0, F.col(a))).alias(f"_m{i}") for i, a in enumerate(severity_cols)]
+    lv = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.sum(weight).alias("exposure"), *means)
+    out = F.col(col).isin(list(excluded)) if excluded else F.lit(False)
+    for i in range(len(severity_cols) if severity_top else 0):
+        top = Window.orderBy(F.desc_nulls_last(f"_m{i}"), F.asc(col))          # level table: one row a name
+        lv = lv.withColumn(f"_s{i}", F.row_number().over(top))
+        out = out | (F.col(f"_m{i}").isNotNull() & (F.col(f"_s{i}") <= severity_top))
+    lv = lv.withColumn("_out", out)
+    rest = lv.filter(~F.col("_out"))
     order = Window.orderBy(F.desc("exposure"), F.asc(col))
     step1 = rest.withColumn("_rn", F.row_number().over(order)).withColumn(
         "_grp", F.when(F.col("_rn") > top_keep,
@@ -110,7 +113,7 @@ def occupation_map(df: DataFrame, col: str = "occupation", weight: str = "epy",
     kept = lump_n_levels(grp_w, "_grp", "_gw", top_n, other, "occupation_risk")
     mapped = step1.join(kept.select("_grp", "occupation_risk"), "_grp").select(
         col, "occupation_risk")
-    excl_map = lv.join(excl, col, "left_semi").select(col, F.col(col).alias("occupation_risk"))
+    excl_map = lv.filter("_out").select(col, F.col(col).alias("occupation_risk"))
     return mapped.unionByName(excl_map)
 
 

@@ -195,9 +195,3 @@ def attach_postcode(claims: DataFrame, dim: DataFrame,
     d = dim.select(F.col("postcode").alias("riskpostcode"), "state", *cols)
     return claims.join(d, ["riskpostcode", "state"], "inner")
 
-
-def add_postcode_details(claims: DataFrame, raw_dim: DataFrame) -> DataFrame:
-    """Build the dimension, reconcile states, inner join (study's step 3)."""
-    dim = postcode_dim(raw_dim, claims)
-    claims2, dim2 = reconcile_state(claims, dim)
-    return attach_postcode(claims2, dim2)

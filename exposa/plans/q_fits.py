@@ -27,7 +27,7 @@ from exposa.operators import consolidate as C
 from exposa.operators import geo as G
 from exposa.operators import sampling as SM
 from exposa.plans import stages as S
-from exposa.plans.q_geo import _KEY, _grid_rows, _split_sql
+from exposa.plans.q_geo import _KEY, _PE_GRID, _grid_rows, _split_sql, rollup3_sql
 from exposa.plans.registry import register
 
 FREQ_FACTORS = ["geo_code", "occupation_risk", "building_type", "sprinkler_type"]
@@ -296,8 +296,6 @@ def ensemble_error(spark, sf_dir):
     return a.unionByName(b).unionByName(c)
 
 
-from exposa.plans.q_geo import _PE_GRID, rollup3_sql  # noqa: E402
-
 _SCORE_GRID_SQL = f"""
 WITH maps AS (
   SELECT DISTINCT grid_id, state, riskpostcode,
@@ -489,25 +487,64 @@ def save_model(spark, sf_dir):
                     F.lit(path).alias("path"))
 
 
-@register("geo_grid_params")
+@register("geo_grid_params", f"""
+WITH c AS (
+  SELECT grid_id, t_riskpostcode, t_sa3name, t_sa4name,
+         count(DISTINCT CASE WHEN state IN ('ACT', 'NT') THEN state ELSE geo_code END) AS n_geo_code
+  FROM {rollup3_sql(_PE_GRID, ("t_riskpostcode", "t_sa3name", "t_sa4name"), part="grid_id")}
+  GROUP BY ALL)
+SELECT c.n_geo_code, c.grid_id, c.t_riskpostcode AS first_threshold, c.t_sa4name AS last_threshold
+FROM c JOIN (SELECT n_geo_code, min(grid_id) AS grid_id FROM c GROUP BY ALL) f
+  USING (n_geo_code, grid_id)""", ("claims_geo",))
 def geo_grid_params(spark, sf_dir):
-    """Geo grid with its three thresholds nested into one struct column."""
+    """Geo grid with its three thresholds nested into one struct column, and
+    the first and last read back from it."""
     g = G.geo_grid(S.claims_geo(spark, sf_dir), _grid_rows(), weight="epy")
-    return G.pack_params(g, ["t_riskpostcode", "t_sa3name", "t_sa4name"])
-
-
-@register("rose_balance")
+    p = G.pack_params(g, ["t_riskpostcode", "t_sa3name", "t_sa4name"])
+    return p.select("n_geo_code", "grid_id", F.col("geo_code_param.t_riskpostcode").alias("first_threshold"),
+                    F.col("geo_code_param.t_sa4name").alias("last_threshold"))
+
+
+def _noise_sql(c):
+    """Box-Muller normal from md5 of (seed, column, key, copy), as ``sampling.hash_normal``."""
+    h = (f"md5(concat_ws('|', '123|{c}', policyno, CAST(situation_num AS VARCHAR), "
+         "CAST(policy_version AS VARCHAR), CAST(copy AS VARCHAR)))")
+    u = [f"CAST(CAST('0x' || substr({h}, {a}, 13) AS BIGINT) AS DOUBLE)" for a in (1, 14)]
+    return (f"sqrt(-2.0 * ln(({u[0]} + 0.5) / 4503599627370496.0)) * "
+            f"cos(2.0 * 3.141592653589793 * ({u[1]} / 4503599627370496.0))")
+
+
+@register("rose_balance", f"""
+WITH v AS (SELECT *, claimcount_lossofinc > 0 AS has_claim FROM policy_claims
+           WHERE suminsured_prop > 0 AND suminsured_lossofinc > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY has_claim ORDER BY
+               md5(concat_ws('|', '123', policyno, CAST(situation_num AS VARCHAR), CAST(policy_version AS VARCHAR)))) AS rk,
+             count(*) OVER (PARTITION BY has_claim) AS n, floor(count(*) OVER () / 2) AS half,
+             stddev_samp(exposure) OVER (PARTITION BY has_claim) AS sd_e,
+             stddev_samp(suminsured_prop) OVER (PARTITION BY has_claim) AS sd_s FROM v),
+c AS (SELECT *, unnest(generate_series(0, greatest(CAST(ceil(half / n) AS BIGINT), 1) - 1)) AS copy FROM r),
+k AS (SELECT * FROM c WHERE copy * n + rk <= half)
+SELECT has_claim, count(*) AS n_rows,
+       round(avg(exposure + {_noise_sql("exposure")} * pow(4.0 / (4 * n), 1.0 / 6) * sd_e), 6) AS mean_exposure,
+       round(avg(suminsured_prop + {_noise_sql("suminsured_prop")} * pow(4.0 / (4 * n), 1.0 / 6) * sd_s), 3)
+         AS mean_suminsured_prop
+FROM k GROUP BY has_claim""", ("policy_claims",))
 def rose_balance(spark, sf_dir):
     """ROSE-style smoothed bootstrap of the loss-of-income claim classes
     (balanced sample; numeric columns jittered); class counts and means."""
     v = C.split_by_cover(S.policy_claims(spark, sf_dir), True)
     r = SM.rose(v, "has_claim", ["exposure", "suminsured_prop"], _KEY, seed=123)
     return r.groupBy("has_claim").agg(F.count(F.lit(1)).alias("n_rows"),
-                                      F.avg("exposure").alias("mean_exposure"),
-                                      F.avg("suminsured_prop").alias("mean_suminsured_prop"))
+                                      F.round(F.avg("exposure"), 6).alias("mean_exposure"),
+                                      F.round(F.avg("suminsured_prop"), 3).alias("mean_suminsured_prop"))
 
 
-@register("minmax_invert")
+@register("minmax_invert", f"""
+WITH s AS ({_split_sql("policy_claims", "LossofIncome_cover", 0.8, 123)}),
+b AS (SELECT min(suminsured_prop) AS lo, max(suminsured_prop) AS hi FROM s WHERE split = 'train')
+SELECT policyno, situation_num, policy_version,
+       round((suminsured_prop - lo) / (hi - lo) * (hi - lo) + lo, 4) AS pred_original_scale
+FROM s, b WHERE split = 'test'""", ("policy_claims",))
 def minmax_invert(spark, sf_dir):
     """Predictions made on the min-max scale (scaled test sums insured used as
     a stand-in prediction) mapped back with the TRAINING bounds."""
@@ -516,7 +553,7 @@ def minmax_invert(spark, sf_dir):
     mm = MinMax(["suminsured_prop"]).fit(sp.filter("split = 'train'"))
     te = mm.transform(sp.filter("split = 'test'")).withColumn("pred_scaled", F.col("suminsured_prop"))
     back = mm.invert(te, "pred_scaled", "suminsured_prop")
-    return back.select(*_KEY, F.col("pred_scaled").alias("pred_original_scale"))
+    return back.select(*_KEY, F.round("pred_scaled", 4).alias("pred_original_scale"))
 
 
 @register("interaction_tweedie")

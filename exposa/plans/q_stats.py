@@ -223,7 +223,7 @@ WITH f AS (SELECT geo_code, sum(claimcount_prop) / sum(exposure) AS fr,
            FROM policy_claims GROUP BY geo_code)
 SELECT p.policyno, p.situation_num, p.policy_version,
        round(p.exposure * f.fr, 9) AS pred_freq, f.sv AS pred_sev,
-       round(p.exposure * f.fr * f.sv, 6) AS pure_premium
+       floor(p.exposure * f.fr * f.sv * 1e4 + 0.5) / 1e4 AS pure_premium
 FROM policy_claims p JOIN f USING (geo_code)""", ("policy_claims",))
 def pure_premium_one_factor(spark, sf_dir):
     """Expected claims x expected severity per version, from one-factor
@@ -236,7 +236,7 @@ def pure_premium_one_factor(spark, sf_dir):
     return out.select("policyno", "situation_num", "policy_version",
                       F.round("pred_freq", 9).alias("pred_freq"),
                       "pred_sev",
-                      F.round("pure_premium", 6).alias("pure_premium"))
+                      (F.floor(F.col("pure_premium") * 1e4 + 0.5) / 1e4).alias("pure_premium"))
 
 
 # --- sampling ----------------------------------------------------------------
@@ -309,7 +309,7 @@ def upsample(spark, sf_dir):
 
 # --- feature preparation -----------------------------------------------------
 
-_BT = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "Unknown"]
+_BT = ["ECONOMY", "High rise", "LARGE", "MEDIUM", "Medium rise", "PROMO", "SMALL", "STANDARD", "Unknown"]
 
 
 @register("dummies_building_type", "SELECT policyno, situation_num, policy_version, "

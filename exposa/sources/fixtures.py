@@ -19,12 +19,37 @@ from pyspark.sql import functions as F
 from exposa.sources.tables import read_table
 
 # Fixed values of the stand-in mapping (not taken from any data).
-AGE_BANDS = [(12, "0-10"), (25, "11-30"), (37, "31-50")]
-AGE_BAND_LAST = "50+"
+# Some source values stand for values that the study's rules name, so every
+# rule meets rows: walls and occupations by brand, floors by the part name's
+# first word, the state of two nations, three postcodes of one nation.
+AGE_BANDS = [(12, "Less than 2 Years"), (25, "Less Than 20 Years"), (37, "1960 - 1980")]
+AGE_BAND_LAST = "Before 1960"
+WALLS = {"Brand#11": "Polystyrene", "Brand#12": "Glass",
+         "Brand#13": "Aluminum/Fibro/Iron/Steel (on Steel Frame)"}
+FLOORS = {"small": "Timber", "hot": "Other"}
+OCCUPATIONS = {"Brand#21": "Unknown", "Brand#22": "O_Other Community Services",
+               "Brand#23": "D- Electricity, Gas & Water"}
+STATES = {"NATION_3": "ACT", "NATION_8": "NT"}
+POSTCODES = {"002080": "004375", "002081": "002309", "002082": "002304"}
+# The second area that the study's hand fix of postcode 002304 chooses.
+AREA_FIX = ("002304", "Shoalhaven", "Southern Highlands and Shoalhaven")
 INDEMNITY_BY_LINE = ["12 mths", "24 mths", "<12 mths"]
+INDEMNITY_UNKNOWN = "UNKNOWN"       # every seventh line number
 ELECTORATE_LABELS = ["Safe", "Fairly Safe", "Marginal", "Very Marginal"]
 
 
+def _named(value: Column, names: dict[str, str], default: Column | None = None) -> Column:
+    e = F.lit(None).cast("string")
+    for k, v in reversed(list(names.items())):
+        e = F.when(value == k, v).otherwise(e)
+    return F.coalesce(e, value if default is None else default)
+
+
+def _named_sql(value: str, names: dict[str, str], default: str | None = None) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())
+    return f"CASE {value} {whens} ELSE {default or value} END"
+
+
 def _age_band(size: Column) -> Column:
     e = None
     for upper, label in AGE_BANDS:
@@ -43,11 +68,11 @@ def _customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")))
     return geo.select(
         "c_custkey", "c_mktsegment",
-        F.col("r_name").alias("state"),
+        _named(F.col("n_name"), STATES, F.col("r_name")).alias("state"),
         F.col("n_name").alias("sa4name"),
         F.concat(F.col("n_name"), F.lit("/"), (F.col("k") % 2).cast("string")).alias("sa3name"),
-        F.lpad((F.lit(2000) + F.col("c_nationkey") * 40 + F.col("k")).cast("string"), 6, "0")
-        .alias("riskpostcode"),
+        _named(F.lpad((F.lit(2000) + F.col("c_nationkey") * 40 + F.col("k")).cast("string"), 6, "0"),
+               POSTCODES).alias("riskpostcode"),
     )
 
 
@@ -64,7 +89,7 @@ def claims_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_bi = F.col("o_orderstatus") == "F"
     bad_building = F.col("p_size") % 10 == 0
     line = F.col("l_linenumber")
-    indem = F.when(line % 3 == 0, INDEMNITY_BY_LINE[0]).when(
+    indem = F.when(line % 7 == 0, INDEMNITY_UNKNOWN).when(line % 3 == 0, INDEMNITY_BY_LINE[0]).when(
         line % 3 == 1, INDEMNITY_BY_LINE[1]).otherwise(INDEMNITY_BY_LINE[2])
     return df.select(
         F.col("o_custkey").cast("string").alias("policyno"),
@@ -90,12 +115,14 @@ def claims_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(0.0)).alias("grossincurred_lossofinc"),
         "riskpostcode", "state",
         F.when(~bad_building, _age_band(F.col("p_size"))).alias("building_age"),
-        F.when(~bad_building, F.col("p_type")).alias("building_type"),
-        F.when(~bad_building, F.col("p_brand")).alias("construction_walls"),
-        F.when(~bad_building, F.substring_index("p_name", " ", 1)).alias("construction_floor"),
+        F.when(~bad_building, F.when(F.col("p_size") % 10 == 1, "Medium rise")
+               .when(F.col("p_size") % 10 == 2, "High rise").otherwise(F.col("p_type"))).alias("building_type"),
+        F.when(~bad_building, _named(F.col("p_brand"), WALLS)).alias("construction_walls"),
+        F.when(~bad_building, _named(F.substring_index("p_name", " ", 1), FLOORS)).alias("construction_floor"),
         F.when(F.col("o_orderpriority") == "5-LOW", "None")
         .otherwise(F.col("o_orderpriority")).alias("sprinkler_type"),
-        F.concat(F.col("c_mktsegment"), F.lit("_"), F.col("p_brand")).alias("occupation"),
+        _named(F.col("p_brand"), OCCUPATIONS, F.concat(F.col("c_mktsegment"), F.lit("_"), F.col("p_brand")))
+        .alias("occupation"),
         F.when(~no_bi, indem).alias("indem_per_grp"),
     )
 
@@ -125,24 +152,26 @@ def postcodes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     extra = base.filter(F.col("postcode").cast("int") % 50 == 0).withColumn(
         "sa3name", F.lit(None).cast("string"))
-    return base.unionByName(extra)
+    code, sa3, sa4 = AREA_FIX
+    second = base.filter(F.lpad("postcode", 6, "0") == code).withColumns({"sa3name": F.lit(sa3), "sa4name": F.lit(sa4)})
+    return base.unionByName(extra).unionByName(second)
 
 
 # ---------------------------------------------------------------------------
 # The same stand-in tables in DuckDB SQL (used by the oracle strings).
 # ---------------------------------------------------------------------------
 
-CUSTOMER_GEO_SQL = """
-SELECT c_custkey, c_mktsegment, r_name AS state, n_name AS sa4name,
+CUSTOMER_GEO_SQL = f"""
+SELECT c_custkey, c_mktsegment, {_named_sql("n_name", STATES, "r_name")} AS state, n_name AS sa4name,
        n_name || '/' || CAST(k % 2 AS VARCHAR) AS sa3name,
-       lpad(CAST(2000 + c_nationkey * 40 + k AS VARCHAR), 6, '0') AS riskpostcode
+       {_named_sql("lpad(CAST(2000 + c_nationkey * 40 + k AS VARCHAR), 6, '0')", POSTCODES)} AS riskpostcode
 FROM (SELECT c_custkey, c_nationkey, c_mktsegment,
              c_custkey % (2 + (c_nationkey % 5) * 6) AS k FROM customer) c
 JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey
 """
 
-CLAIMS_MONTHLY_SQL = """
+CLAIMS_MONTHLY_SQL = f"""
 SELECT CAST(o_custkey AS VARCHAR) AS policyno,
        CAST(1 + l_linenumber % 2 AS INTEGER) AS situation_num,
        make_date(CAST(year(l_shipdate) AS BIGINT), 1, 1) AS effectdate,
@@ -163,17 +192,18 @@ SELECT CAST(o_custkey AS VARCHAR) AS policyno,
             WHEN l_linestatus = 'O' AND l_tax >= 0.07 THEN l_extendedprice * l_tax
             ELSE 0.0 END AS grossincurred_lossofinc,
        g.riskpostcode, g.state,
-       CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_size <= 12 THEN '0-10'
-            WHEN p_size <= 25 THEN '11-30' WHEN p_size <= 37 THEN '31-50'
-            ELSE '50+' END AS building_age,
-       CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_type END AS building_type,
-       CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS construction_walls,
-       CASE WHEN p_size % 10 = 0 THEN NULL ELSE split_part(p_name, ' ', 1) END
+       CASE WHEN p_size % 10 = 0 THEN NULL {" ".join(f"WHEN p_size <= {n} THEN '{v}'" for n, v in AGE_BANDS)}
+            ELSE '{AGE_BAND_LAST}' END AS building_age,
+       CASE p_size % 10 WHEN 0 THEN NULL WHEN 1 THEN 'Medium rise' WHEN 2 THEN 'High rise'
+            ELSE p_type END AS building_type,
+       CASE WHEN p_size % 10 = 0 THEN NULL ELSE {_named_sql("p_brand", WALLS)} END AS construction_walls,
+       CASE WHEN p_size % 10 = 0 THEN NULL ELSE {_named_sql("split_part(p_name, ' ', 1)", FLOORS)} END
          AS construction_floor,
        CASE WHEN o_orderpriority = '5-LOW' THEN 'None' ELSE o_orderpriority END
          AS sprinkler_type,
-       g.c_mktsegment || '_' || p_brand AS occupation,
+       {_named_sql("p_brand", OCCUPATIONS, "g.c_mktsegment || '_' || p_brand")} AS occupation,
        CASE WHEN o_orderstatus = 'F' THEN NULL
+            WHEN l_linenumber % 7 = 0 THEN '{INDEMNITY_UNKNOWN}'
             WHEN l_linenumber % 3 = 0 THEN '12 mths'
             WHEN l_linenumber % 3 = 1 THEN '24 mths' ELSE '<12 mths' END AS indem_per_grp
 FROM lineitem
@@ -182,7 +212,7 @@ JOIN customer_geo g ON o_custkey = g.c_custkey
 JOIN part ON l_partkey = p_partkey
 """
 
-POSTCODES_RAW_SQL = """
+POSTCODES_RAW_SQL = f"""
 WITH geo AS (
   SELECT DISTINCT riskpostcode, state, sa3name, sa4name,
          CAST(riskpostcode AS INTEGER) AS num
@@ -203,4 +233,8 @@ UNION ALL
 SELECT postcode, state, CAST(NULL AS VARCHAR) AS sa3name, sa4name, sa4,
        electoraterating, Lat_precise, Long_precise
 FROM base WHERE CAST(postcode AS INTEGER) % 50 = 0
+UNION ALL
+SELECT postcode, state, '{AREA_FIX[1]}' AS sa3name, '{AREA_FIX[2]}' AS sa4name, sa4,
+       electoraterating, Lat_precise, Long_precise
+FROM base WHERE lpad(postcode, 6, '0') = '{AREA_FIX[0]}'
 """
