@@ -19,6 +19,8 @@ the first in (sent, text) order stands.  Built-in operations only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,16 +93,21 @@ def conversations(messages: DataFrame) -> DataFrame:
     """
     parsed = cut(parse(messages))
     linked = cut(answers(parsed))
-    now = cut(linked.select("msg_id", F.col("parent").alias("up"), F.lit(1).alias("depth")))
+    # pointers are doubled; messages that have reached the first of their chain are done and only
+    # looked up from then on
+    active, done = linked.select("msg_id", F.col("parent").alias("up"), F.lit(1).alias("depth")), []
     for _ in range(DOUBLINGS):
-        further = now.select(F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        joined = cut(now.join(further, "up", "left"))
-        if not joined.where("next is not null").limit(1).count():
+        further = reduce(DataFrame.union, done, active).select(
+            F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        joined = cut(active.join(further, "up", "left"))
+        done.append(joined.where("next is null").select("msg_id", "up", "depth"))
+        active = joined.where("next is not null").select(
+            "msg_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        if active.isEmpty():
             break
-        now = joined.select("msg_id", F.coalesce("next", "up").alias("up"),
-                            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
     else:
         raise RuntimeError("answers form a chain of more than 2**40 messages")
+    now = reduce(DataFrame.union, done)
     placed = parsed.drop("passages").join(linked, "msg_id", "left").join(now, "msg_id", "left").select(
         "msg_id", "sent", "parent", F.coalesce("up", "msg_id").alias("conversation"),
         F.coalesce("depth", F.lit(0)).alias("depth"), F.col("own_text").alias("text"))
