@@ -47,7 +47,32 @@ def op2_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, bits=2)
 
 
-@register("op5_decontaminate")
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op5_decontaminate", f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+b AS (SELECT row_number() OVER () AS n, item_id, {_WORDS.format("text")} AS w FROM benchmark),
+item AS (SELECT n, item_id, k, unnest(range(1, len(w) - k + 2)) AS ip, w
+         FROM (SELECT *, least(10, len(w)) AS k FROM b WHERE len(w) > 0) WHERE k > 0),
+wanted AS (SELECT n, item_id, k, ip, array_to_string(w[ip:ip + k - 1], ' ') AS t FROM item),
+place AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS dp, w
+          FROM d, (SELECT DISTINCT k FROM wanted) WHERE len(w) >= k),
+here AS (SELECT doc_id, k, dp, array_to_string(w[dp:dp + k - 1], ' ') AS t FROM place),
+occ AS (SELECT h.doc_id, h.dp, h.k, x.n, x.item_id, x.ip FROM here h JOIN wanted x ON x.t = h.t AND x.k = h.k),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+        FROM (SELECT doc_id, unnest(range(dp, dp + k)) AS pos FROM occ) GROUP BY doc_id),
+run AS (SELECT doc_id, count(*) + max(k) - 1 AS len
+        FROM (SELECT *, dp - row_number() OVER (PARTITION BY doc_id, n, dp - ip ORDER BY dp) AS island FROM occ)
+        GROUP BY doc_id, n, dp - ip, island),
+most AS (SELECT doc_id, max(len) AS longest FROM run GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s
+        FROM (SELECT DISTINCT doc_id, item_id FROM occ WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest, 0)::INTEGER AS longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN most USING (doc_id) LEFT JOIN ids USING (doc_id)""")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a 10-word window of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,8 +81,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return o.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-                    F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest",
-                    "longest_at", "longest_item")
+                    F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest")
 
 
 @register("op10_language_id")
@@ -84,7 +108,18 @@ def op7_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@register("op3_embedding_near_dups")
+@register("op3_embedding_near_dups", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+root AS (SELECT a, least(a, min(b)) AS r FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(r, vec_id) AS component_id, coalesce(r, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN root ON root.a = vec_id""")
 def op3_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.95 or more, and components, over all vectors whatever their labels."""
     return embed.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
