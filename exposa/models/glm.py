@@ -150,15 +150,19 @@ def glm_importance(spark: SparkSession, fit: GLMFit, top: int | None = 10) -> Da
     return df.limit(top) if top else df
 
 
-def model_performance(spark: SparkSession, fits: dict[str, GLMFit],
-                      rmse: dict[str, float] | None = None) -> DataFrame:
-    """AIC, BIC (from Spark's summary: aic = -2 loglik + 2k) and RMSE."""
+def model_performance(spark: SparkSession, fits: dict, rmse: dict[str, float] | None = None,
+                      likelihoods: dict[str, tuple[float, int, int]] | None = None) -> DataFrame:
+    """AIC, BIC and RMSE.  ``likelihoods``: (log-likelihood, parameters, rows) of the models
+    that Spark's summary has none for (Tweedie, negative binomial)."""
     rows = []
     for name, fit in fits.items():
+        if name in (likelihoods or {}):
+            ll, k, n = likelihoods[name]
+            rows.append((name, -2 * ll + 2 * k, -2 * ll + k * math.log(n), (rmse or {}).get(name)))
+            continue
         s = fit.model.summary
         k = s.rank + (1 if fit.family in ("gamma", "gaussian") else 0)
-        aic = float(s.aic) if fit.family != "tweedie" else float("nan")
-        n = s.numInstances
-        bic = aic - 2 * k + k * math.log(n) if not math.isnan(aic) else float("nan")
+        aic, n = float(s.aic), s.numInstances
+        bic = aic - 2 * k + k * math.log(n)
         rows.append((name, aic, bic, (rmse or {}).get(name)))
     return spark.createDataFrame(rows, "model string, aic double, bic double, rmse double")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from exposa.models.glm import fit_tweedie
+from exposa.models.glm import GLMFit, fit_tweedie
 
 # Lanczos coefficients (g = 7, n = 9): a published constant table.
 _LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028,
@@ -42,6 +42,33 @@ def lgamma_np(x: np.ndarray) -> np.ndarray:
     return out
 
 
+_STEP = 64                # series terms added at a time
+_SMALL = -40.0            # log of a term, against the sum, that no longer changes it
+
+
+def _series(logz: np.ndarray, alpha: float, mode: np.ndarray) -> np.ndarray:
+    """log of the density's series per row, from its largest term outwards.
+
+    Terms fall off on both sides of the mode, so a side ends when its last
+    term is too small to change the sum: no fixed window, and a block of
+    _STEP terms a row at a time whatever the widest row needs."""
+    def term(j, rows):
+        return j * logz[rows][:, None] - lgamma_np(j + 1) - lgamma_np(-alpha * j)
+
+    every = np.arange(len(mode))
+    top = term(mode[:, None], every)[:, 0]
+    total = np.ones(len(mode))
+    for way in (1, -1):
+        rows, at = every, mode.copy()
+        while len(rows):
+            j = at[rows][:, None] + way * np.arange(1, _STEP + 1)
+            t = np.where(j >= 1, term(np.maximum(j, 1.0), rows) - top[rows][:, None], -np.inf)
+            total[rows] += np.exp(t).sum(axis=1)
+            at[rows] += way * _STEP
+            rows = rows[(t[:, -1] > _SMALL)]
+    return top + np.log(total)
+
+
 def tweedie_logpdf(y: np.ndarray, mu: np.ndarray, phi: float, p: float) -> np.ndarray:
     """log density of the compound Poisson-gamma Tweedie, 1 < p < 2."""
     y, mu = np.asarray(y, float), np.asarray(mu, float)
@@ -54,15 +81,7 @@ def tweedie_logpdf(y: np.ndarray, mu: np.ndarray, phi: float, p: float) -> np.nd
         logz = (-alpha * np.log(yp) + alpha * math.log(p - 1) - (1 - alpha) * math.log(phi)
                 - math.log(2 - p))
         jmax = np.maximum(1.0, np.round(yp ** (2 - p) / (phi * (2 - p))))
-        half = np.ceil(10 * np.sqrt(jmax) + 20)
-        lo, hi = np.maximum(1, jmax - half), jmax + half
-        width = int((hi - lo).max()) + 1
-        j = lo[:, None] + np.arange(width)[None, :]
-        valid = j <= hi[:, None]
-        terms = j * logz[:, None] - lgamma_np(j + 1) - lgamma_np(-alpha * j)
-        terms = np.where(valid, terms, -np.inf)
-        mx = terms.max(axis=1)
-        logw = mx + np.log(np.exp(terms - mx[:, None]).sum(axis=1))
+        logw = _series(logz, alpha, jmax)
         theta = mp ** (1 - p) / (1 - p)
         kappa = mp ** (2 - p) / (2 - p)
         out[~zero] = -np.log(yp) + logw + (yp * theta - kappa) / phi
@@ -76,6 +95,17 @@ def _logpdf_udf(phi: float, p: float):
     return f
 
 
+def loglik(df: DataFrame, fit: GLMFit, power: float, weight: str | None = None) -> tuple[float, float, int]:
+    """(log-likelihood, phi, parameters) of a fitted Tweedie GLM; phi by Pearson."""
+    pred = fit.predict(df, "_mu")
+    k, w, y = len(fit.design.names) + 1, F.col(weight) if weight else F.lit(1.0), F.col(fit.response)
+    n, pear = pred.agg(F.count(F.lit(1)), F.sum(w * F.pow(y - F.col("_mu"), 2)
+                                                / F.pow(F.col("_mu"), F.lit(power)))).first()
+    phi = pear / max(n - k, 1)
+    ll = pred.agg(F.sum(w * _logpdf_udf(phi, power)(y.cast("double"), "_mu"))).first()[0]
+    return float(ll), float(phi), k + 1
+
+
 def profile_power(spark: SparkSession, df: DataFrame, response: str, factors: Sequence[str],
                   powers: Sequence[float] = (1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9),
                   exposure: str | None = None, weight: str | None = None) -> DataFrame:
@@ -84,13 +114,6 @@ def profile_power(spark: SparkSession, df: DataFrame, response: str, factors: Se
     rows = []
     for p in powers:
         fit = fit_tweedie(df, response, factors, power=p, exposure=exposure, weight=weight)
-        pred = fit.predict(df, "_mu")
-        k = len(fit.design.names) + 1
-        w = F.col(weight) if weight else F.lit(1.0)
-        n, pear = pred.agg(F.count(F.lit(1)),
-                           F.sum(w * F.pow(F.col(response) - F.col("_mu"), 2)
-                                 / F.pow(F.col("_mu"), F.lit(p)))).first()
-        phi = pear / max(n - k, 1)
-        ll = pred.agg(F.sum(w * _logpdf_udf(phi, p)(F.col(response).cast("double"), "_mu"))).first()[0]
-        rows.append((float(p), float(phi), float(ll), float(-2 * ll + 2 * (k + 1))))
+        ll, phi, k = loglik(df, fit, p, weight)
+        rows.append((float(p), phi, ll, -2 * ll + 2 * k))
     return spark.createDataFrame(rows, "power double, phi double, loglik double, aic double")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from exposa.session import app_id
 
 import math
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
@@ -110,7 +111,7 @@ def add_predictions(spark, sf_dir):
 
 @register("model_performance")
 def model_performance(spark, sf_dir):
-    """AIC, BIC and test RMSE of Poisson and Gamma fits."""
+    """AIC, BIC and test RMSE of Poisson, negative-binomial, Gamma and Tweedie fits."""
     sp = _split(spark, sf_dir)
     tr, te = sp.filter("split = 'train'"), sp.filter("split = 'test'")
     fits = {"poisson": M.fit_poisson(tr, "claimcount_prop", ["geo_code", "building_type"])}
@@ -119,7 +120,14 @@ def model_performance(spark, sf_dir):
     fits["gamma"] = M.fit_gamma(_sev_rows(tr), "severity", ["building_type"])
     rmse["gamma"] = MT.error_metrics(fits["gamma"].predict(_sev_rows(te), "p"), "severity",
                                      ["p"]).first()["rmse"]
-    return M.model_performance(spark, fits, rmse)
+    nb = NB.fit_negbin(tr, "claimcount_prop", ["geo_code", "building_type"])
+    tw = M.fit_tweedie(tr, "grossincurred_prop", ["building_type"], power=1.5)
+    fits |= {"negbin": nb, "tweedie": tw}
+    rmse["negbin"] = MT.error_metrics(nb.predict(te, "p"), "claimcount_prop", ["p"]).first()["rmse"]
+    rmse["tweedie"] = MT.error_metrics(tw.predict(te, "p"), "grossincurred_prop", ["p"]).first()["rmse"]
+    ll, _, k = TW.loglik(tr, tw, 1.5)
+    return M.model_performance(spark, fits, rmse, {
+        "negbin": (nb.loglik, len(nb.coef) + 2, nb.n), "tweedie": (ll, k, nb.n)})
 
 
 @register("glm_importance")
@@ -164,17 +172,31 @@ def simulated_residuals(spark, sf_dir):
 
 @register("residual_diagnostics")
 def residual_diagnostics(spark, sf_dir):
-    """Deviance residual quantiles of the Tweedie fit (normal QQ data)."""
-    pc = S.policy_claims(spark, sf_dir)
-    fit = M.fit_tweedie(pc, "grossincurred_prop", ["building_type"], power=1.5)
-    res = fit.model.summary.residuals("deviance")
-    n = 20
-    probs = [(i + 0.5) / n for i in range(n)]
-    q = res.agg(F.percentile_approx("devianceResiduals", probs, 10000).alias("q"))
+    """Residuals of the Tweedie fit by ventile of the fitted value: mean linear
+    score and fitted value, mean observed, mean deviance and standardised
+    (Pearson over the root of phi) residual, with the normal quantile of the
+    ventile and the standardised residuals' own quantile (QQ data)."""
     from statistics import NormalDist
-    z = [NormalDist().inv_cdf(p) for p in probs]
-    zs = F.array(*[F.lit(v) for v in z])
-    return q.select(F.posexplode("q").alias("i", "residual")).withColumn("normal", zs[F.col("i")])
+
+    from exposa.operators.quantiles import exact_quantiles
+    pc, power, n = S.policy_claims(spark, sf_dir), 1.5, 20
+    fit = M.fit_tweedie(pc, "grossincurred_prop", ["geo_code", "building_type"], power=power)
+    _, phi, _ = TW.loglik(pc, fit, power)
+    y, mu = F.col("grossincurred_prop"), F.col("fitted")
+    dev = 2 * (F.when(y > 0, F.pow(y, 2 - power) / ((1 - power) * (2 - power))).otherwise(F.lit(0.0))
+               - y * F.pow(mu, 1 - power) / (1 - power) + F.pow(mu, 2 - power) / (2 - power))
+    r = fit.predict(pc, "fitted").select(
+        y.alias("observed"), mu.alias("fitted"), F.log(mu).alias("score"),
+        (F.signum(y - mu) * F.sqrt(F.greatest(dev, F.lit(0.0)))).alias("deviance"),
+        ((y - mu) / F.sqrt(F.lit(phi) * F.pow(mu, power))).alias("standardised"))
+    probs = [(i + 0.5) / n for i in range(n)]
+    cuts = exact_quantiles(r, [], "fitted", [i / n for i in range(1, n)]).first()
+    edges = F.array(*[F.lit(float(c)) for c in (cuts["quantiles"] if cuts else [])]).cast("array<double>")
+    by = r.withColumn("ventile", F.size(F.filter(edges, lambda e: e < F.col("fitted")))).groupBy("ventile").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(f"mean_{c}") for c in r.columns])
+    qq = exact_quantiles(r, [], "standardised", probs).select(F.posexplode("quantiles").alias("ventile", "quantile"))
+    normal = F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in probs])
+    return qq.join(by, "ventile", "left").withColumn("normal", normal[F.col("ventile")])
 
 
 @register("logistic_claim")
@@ -377,40 +399,71 @@ def score_geo_grid(spark, sf_dir):
 _TREE_FACTORS = ["geo_code", "occupation_risk", "building_type", "construction_floor"]
 
 
-def _tree_data(spark, sf_dir):
-    pc = C.with_sum_insured(S.policy_claims(spark, sf_dir), "nonzero")
-    return pc.withColumns({"freq_prop": E.freq_sev_cols()["freq_prop"]})
+_TARGETS = {"freq_prop": "prop", "sev_prop": "prop", "freq_lossofinc": "lossofinc", "sev_lossofinc": "lossofinc"}
+
+
+def _tree_data(spark, sf_dir, target):
+    """Rows of a target: frequency on all insured versions of the line, severity on
+    those with a claim; log(sum insured) as the numeric predictor."""
+    ln = _TARGETS[target]
+    rows = C.with_sum_insured(S.policy_claims(spark, sf_dir), "nonzero").filter(F.col(f"suminsured_{ln}") > 0)
+    n, amount = F.col(f"claimcount_{ln}"), F.col(f"grossincurred_{ln}")
+    if target.startswith("sev"):
+        rows = rows.filter((n > 0) & (amount > 0)).withColumn(target, amount / n)
+    else:
+        rows = rows.withColumn(target, n / F.col("exposure"))
+    return rows.withColumn("log_suminsured", F.log(f"suminsured_{ln}"))
+
+
+def _importances(spark, sf_dir, fit):
+    parts = []
+    for target in _TARGETS:
+        cvm, names, _ = fit(_tree_data(spark, sf_dir, target), target, _TREE_FACTORS, ["log_suminsured"], key=_KEY)
+        parts.append(TR.tree_importance(spark, cvm, names, target))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("fit_tree")
 def fit_tree(spark, sf_dir):
-    """Regression tree of property frequency, 3-fold CV over depth;
-    variable importance of the best tree."""
-    cvm, names, _ = TR.fit_tree(_tree_data(spark, sf_dir), "freq_prop", _TREE_FACTORS,
-                                ["suminsured_prop"], key=_KEY)
-    return TR.tree_importance(spark, cvm, names, "freq_prop")
+    """Regression trees of both lines' frequency and severity, 3-fold CV over
+    depth; variable importance of the best trees."""
+    return _importances(spark, sf_dir, TR.fit_tree)
 
 
 @register("fit_forest")
 def fit_forest(spark, sf_dir):
-    """Random forest (10 trees) of property frequency, mtry 1..3 by 3-fold
-    CV; variable importance of the best forest."""
-    cvm, names, _ = TR.fit_forest(_tree_data(spark, sf_dir), "freq_prop", _TREE_FACTORS,
-                                  ["suminsured_prop"], key=_KEY)
-    return TR.tree_importance(spark, cvm, names, "freq_prop")
-
-
-def _curve_data(spark, sf_dir, knots=4):
-    """Per distinct log sum insured band (0.1 wide): claims and exposure, with
-    truncated-power spline columns at exposure quantiles."""
-    pc = S.policy_claims(spark, sf_dir).withColumn(
-        "x", F.round(F.log("suminsured_prop"), 1))
-    agg = pc.groupBy("x").agg(F.sum("claimcount_prop").alias("n"), F.sum("exposure").alias("exposure"))
-    qs = pc.select(F.percentile_approx("x", [(i + 1) / (knots + 1) for i in range(knots)], 10000)).first()[0]
+    """Random forests (10 trees) of both lines' frequency and severity, mtry
+    1..3 by 3-fold CV; variable importance of the best forests."""
+    return _importances(spark, sf_dir, TR.fit_forest)
+
+
+def _curve_data(spark, sf_dir, knots=4, band=0.1, line="prop"):
+    """Per band of log sum insured: claims, exposure and incurred, with
+    truncated-power spline columns at quantiles.
+
+    ``band`` is the width that values are rounded to before the fit (0: distinct
+    values); a band is one row of the fit, so it bounds the curve's rows."""
+    x = F.log(f"suminsured_{line}")
+    pc = S.policy_claims(spark, sf_dir).filter(F.col(f"suminsured_{line}") > 0).withColumn(
+        "x", F.round(F.round(x / band) * band, 9) if band else x)
+    agg = pc.groupBy("x").agg(F.sum(f"claimcount_{line}").alias("n"), F.sum("exposure").alias("exposure"),
+                              F.sum(f"grossincurred_{line}").alias("incurred"))
+    from exposa.operators.quantiles import exact_quantiles
+    qs = exact_quantiles(pc, [], "x", [(i + 1) / (knots + 1) for i in range(knots)]).first()[0]
     cols = {"x2": F.col("x") ** 2, "x3": F.col("x") ** 3}
-    for i, q in enumerate(qs):
+    for i, q in enumerate(sorted(set(qs))):
         cols[f"k{i}"] = F.pow(F.greatest(F.col("x") - F.lit(q), F.lit(0.0)), 3)
-    return agg.withColumns(cols), ["x", "x2", "x3"] + [f"k{i}" for i in range(len(qs))]
+    return agg.withColumns(cols), ["x", *cols]
+
+
+@register("curve_bands", """
+SELECT round(round(ln(suminsured_prop) / 0.1) * 0.1, 9) AS x, sum(claimcount_prop)::BIGINT AS n,
+       round(sum(exposure), 6) AS exposure
+FROM policy_claims WHERE suminsured_prop > 0 GROUP BY 1""", ("policy_claims",))
+def curve_bands(spark, sf_dir):
+    """The bands of log sum insured that the smooth curves are fitted on."""
+    return _curve_data(spark, sf_dir)[0].select("x", F.col("n").cast("long").alias("n"),
+                                                F.round("exposure", 6).alias("exposure"))
 
 
 @register("fit_curve")
@@ -424,6 +477,16 @@ def fit_curve(spark, sf_dir):
     return out.select("x", "n", "exposure", (F.col("fitted_n") / F.col("exposure")).alias("fitted_freq"))
 
 
+@register("fit_curve_severity")
+def fit_curve_severity(spark, sf_dir):
+    """Smooth severity curve over log sum insured: the same spline in a Gamma
+    GLM (log link) of the mean claim of each band, weighted by its claims."""
+    agg, numeric = _curve_data(spark, sf_dir)
+    bands = agg.filter("n > 0 AND incurred > 0").withColumn("severity", F.col("incurred") / F.col("n"))
+    fit = M.fit_glm(bands, "severity", [], "gamma", numeric=numeric, weight="n", reg=1e-4)
+    return fit.predict(bands, "fitted_severity").select("x", "n", "severity", "fitted_severity")
+
+
 @register("tariff_classes")
 def tariff_classes(spark, sf_dir):
     """Tariff classes of log sum insured: an exposure-weighted regression
@@ -584,29 +647,39 @@ def interaction_tweedie(spark, sf_dir):
 
 
 @register("coef_smoothing")
-def coef_smoothing(spark, sf_dir):
-    """Rating factors of the tariff classes of log sum insured (Poisson GLM
-    on the class factor) smoothed by an exposure-weighted quadratic in the
-    class midpoints; the smoothed factor is joined back to every version as
-    a fixed offset column."""
+def coef_smoothing(spark, sf_dir, step=0.5):
+    """Rating factors of the tariff classes of log sum insured smoothed by an
+    exposure-weighted quadratic in the class midpoints, read off at new breaks
+    (every ``step``); the smoothed factors become a fixed offset (added to the
+    log exposure) of a refit on the other factors.  Rows: the old classes with
+    estimate and smooth value, the new ones with the smooth value, and the
+    refit's factors."""
     from pyspark.ml.feature import Bucketizer, VectorAssembler
     classes = tariff_classes(spark, sf_dir).select("cls", "x_min", "x_max").collect()
     bounds = sorted({r["x_min"] for r in classes})[1:]
-    splits = [-math.inf] + bounds + [math.inf]
-    pc = S.policy_claims(spark, sf_dir).withColumn("x", F.round(F.log("suminsured_prop"), 1))
-    pc = Bucketizer(splits=splits, inputCol="x", outputCol="cls").transform(pc).withColumn(
-        "cls", F.col("cls").cast("int").cast("string"))
-    fit = M.fit_poisson(pc, "claimcount_prop", ["cls"])
-    rf = M.rating_factors(spark, {"glm": fit}, pc)
+    pc = S.policy_claims(spark, sf_dir).filter("suminsured_prop > 0").withColumn("x", F.log("suminsured_prop"))
+    pc = Bucketizer(splits=[-math.inf] + bounds + [math.inf], inputCol="x", outputCol="cls").transform(pc) \
+        .withColumn("cls", F.col("cls").cast("int").cast("string"))
+    fit = M.fit_poisson(pc, "claimcount_prop", ["cls", "building_type"])
+    rf = M.rating_factors(spark, {"glm": fit}, pc).filter("factor = 'cls'")
     mid = pc.groupBy("cls").agg(F.avg("x").alias("mid"))
     t = rf.join(mid, F.col("level") == F.col("cls")).withColumns({
         "log_rf": F.log("rf_glm"), "mid2": F.col("mid") ** 2})
     lr = LinearRegression(featuresCol="v", labelCol="log_rf", weightCol="exposure", solver="normal")
     m = lr.fit(VectorAssembler(inputCols=["mid", "mid2"], outputCol="v").transform(t))
-    b1, b2 = map(float, m.coefficients)
-    smooth = F.exp(F.lit(float(m.intercept)) + b1 * F.col("mid") + b2 * F.col("mid2"))
-    table = t.select("cls", "mid", "rf_glm", smooth.alias("rf_smooth"))
-    with_offset = pc.join(table.select("cls", F.log("rf_smooth").alias("offset_smooth")), "cls")
-    per_class = with_offset.groupBy("cls").agg(F.count(F.lit(1)).alias("n_rows"),
-                                              F.max("offset_smooth").alias("offset_smooth"))
-    return table.join(per_class, "cls")
+    (b1, b2), b0 = map(float, m.coefficients), float(m.intercept)
+    smooth = lambda x: F.exp(F.lit(b0) + b1 * x + b2 * x * x)
+    low = F.floor(F.col("x") / step) * step                         # new breaks
+    again = pc.withColumn("new_mid", low + step / 2).withColumn(
+        "exposure_smooth", F.col("exposure") * smooth(F.col("new_mid")))
+    refit = M.fit_poisson(again, "claimcount_prop", ["building_type"], exposure="exposure_smooth")
+    old = t.select(F.lit("class").alias("part"), "level", "mid", F.col("rf_glm").alias("rf"),
+                   smooth(F.col("mid")).alias("rf_smooth"), "exposure")
+    new = again.groupBy("new_mid").agg(F.sum("exposure").alias("exposure")).select(
+        F.lit("new class").alias("part"), F.col("new_mid").cast("string").alias("level"),
+        F.col("new_mid").alias("mid"), F.lit(None).cast("double").alias("rf"),
+        smooth(F.col("new_mid")).alias("rf_smooth"), "exposure")
+    rest = M.rating_factors(spark, {"refit": refit}, pc).select(
+        F.lit("refit").alias("part"), "level", F.lit(None).cast("double").alias("mid"),
+        F.col("rf_refit").alias("rf"), F.lit(None).cast("double").alias("rf_smooth"), "exposure")
+    return old.unionByName(new).unionByName(rest)

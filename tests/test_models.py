@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from exposa.models import glm as M
@@ -105,6 +106,21 @@ def test_tweedie_density_integrates_to_one():
     assert abs(mean - mu) < 1e-2
 
 
+@pytest.mark.parametrize("p", [1.1, 1.5, 1.9])
+def test_tweedie_series_against_a_long_sum(p):
+    y, mu, phi = np.array([0.01, 1.0, 50.0, 4000.0]), np.array([1.0, 2.0, 40.0, 90.0]), 0.9
+    got = TW.tweedie_logpdf(y, mu, phi, p)
+    alpha = (2 - p) / (1 - p)
+    for yy, m, g in zip(y, mu, got):
+        logz = -alpha * math.log(yy) + alpha * math.log(p - 1) - (1 - alpha) * math.log(phi) - math.log(2 - p)
+        j = np.arange(1, 60_000, dtype=float)
+        t = j * logz - TW.lgamma_np(j + 1) - TW.lgamma_np(-alpha * j)
+        top = t.max()
+        want = -math.log(yy) + top + math.log(np.exp(t - top).sum()) + (yy * m ** (1 - p) / (1 - p)
+                                                                       - m ** (2 - p) / (2 - p)) / phi
+        assert abs(g - want) < 1e-8 * max(1.0, abs(want))
+
+
 def test_lgamma_np():
     xs = np.array([0.1, 0.5, 1.0, 2.5, 10.0, 123.4])
     assert np.allclose(TW.lgamma_np(xs), [math.lgamma(x) for x in xs], rtol=1e-12, atol=1e-12)
