@@ -66,11 +66,12 @@ def representative_sums(df: DataFrame, keys: Sequence[str] = VERSION_KEYS,
     """
     keys = list(keys)
     if mode == "literal":
+        from pyspark.sql import Window
         combos = df.groupBy(*keys, prop, loi, indem).agg(F.count(F.lit(1)).alias("_n"))
-        stats = combos.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_rows"), F.max("_n").alias("_max_n"))
-        kept = combos.join(stats, keys).filter(
-            (F.col("_rows") == 1) | F.col(loi).isNotNull() | (F.col("_n") == F.col("_max_n")))
+        version = Window.partitionBy(*keys)          # the combinations of a version: a handful
+        kept = combos.withColumns({"_combos": F.count(F.lit(1)).over(version),
+                                   "_max_n": F.max("_n").over(version)}).filter(
+            (F.col("_combos") == 1) | F.col(loi).isNotNull() | (F.col("_n") == F.col("_max_n")))
         best = kept.groupBy(*keys).agg(
             F.min(F.struct(*_asc_nulls_last([prop, loi, indem]))).alias("_b"))
         return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in (prop, loi, indem)])

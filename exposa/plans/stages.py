@@ -180,8 +180,8 @@ def standardize(rf: DataFrame, base: float = WEIGHT_BASE_MAIN,
     """Study step 6-7: one row per policy version with its representative
     details and sums, recency-weighted, then NULL rules and Unknown levels.
 
-    The three per-version aggregates are all hash-partitioned on the version
-    key, so the two left joins between them add no shuffle.
+    The three per-version aggregates end hash-partitioned on the version key,
+    so the two left joins between them add no shuffle.
     """
     pc = standardize_hasna(rf, base, sums_mode)
     pc = pc.filter(F.col("suminsured_prop") != 0)
