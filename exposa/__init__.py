@@ -9,7 +9,6 @@ operators  DataFrame -> DataFrame operators (gates, joins, windows, grouping,
 models     GLM / tree fits on Spark ML plus the few families Spark lacks
 plans      staged plans (clean -> dimension -> encodings -> policy table) and
            the query catalogue with its DuckDB oracle
-streaming  intentionally empty: the work being rebuilt is batch only
 """
 
 from exposa.session import get_spark, checkpoint_dir

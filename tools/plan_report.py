@@ -37,7 +37,7 @@ def main():
     print("Executed (AQE final) plans; stages read from the shared checkpoint folder.\n")
     print("| query | shuffles | single-partition | broadcast joins | sort-merge joins | windows | aggregates | scans (columns read; pushed filters) |")
     print("|---|---|---|---|---|---|---|---|")
-    for name in HEADLINE:
+    for name in (n for n in HEADLINE if n in QUERIES):
         df = QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
