@@ -45,12 +45,12 @@ def _range(key: Column, splitters: list, kind: str) -> Column:
     return F.when(at == 0, 0).otherwise((at - 1) * step + below(inner))
 
 
-def _draw(rows: DataFrame, chance: Column, seed: int) -> list[tuple[tuple, float]]:
-    """(key, weight) of drawn rows, in key order; a row's weight is one over its chance, times its size."""
+def _draw(rows: DataFrame, chance: Column, seed: int) -> list[tuple[tuple, float, float]]:
+    """(key, bytes, rows) of drawn rows in key order: what each stands for, by one over its chance."""
     u = F.pmod(F.xxhash64("tie", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     got = rows.withColumn("chance", F.least(chance, F.lit(1.0))).where(u < F.col("chance")) \
-        .select("key", (F.col("size") / F.col("chance")).alias("w")).collect()
-    return sorted((tuple(r["key"]), r["w"]) for r in got)
+        .select("key", (F.col("size") / F.col("chance")).alias("b"), (1 / F.col("chance")).alias("n")).collect()
+    return sorted((tuple(r["key"]), r["b"], r["n"]) for r in got)
 
 
 def _quantiles(drawn: list[tuple[tuple, float]], parts: int) -> list[tuple]:
@@ -81,18 +81,23 @@ def assign(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text",
     kind = numeric.schema["key"].dataType.simpleString()
     ranges = min(max(40 * shards, -(-n // RANGE_ROWS)), max(n, 1))
     most_bytes, most_rows = 2 * size / ranges, 2 * n / ranges
-    splitters = _quantiles(_draw(numeric, F.col("size") * (ranges * draws / max(size, 1)), 0), ranges)
+    first = _draw(numeric, F.col("size") * (ranges * draws / max(size, 1)), 0)
+    splitters = _quantiles([(key, b) for key, b, _ in first], ranges)
     for attempt in range(1, ROUNDS + 1):
         dealt = numeric.withColumn("range", _range(F.col("key"), splitters, kind))
-        sums = {r["range"]: (r["b"], r["n"]) for r in
-                dealt.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-        over = {k: max(b / most_bytes, c / most_rows) for k, (b, c) in sums.items()
-                if c > 1 and (b > most_bytes or c > most_rows) and not _one_heavy(b, c, most_bytes)}
+        found = dealt.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n"),
+                                           F.max("size").alias("top")).collect()
+        sums = {r["range"]: (r["b"], r["n"]) for r in found}
+        # a cut falls between records, so one record above the share does not make a range overfull
+        over = {r["range"]: max(r["b"] / most_bytes, r["n"] / most_rows) for r in found
+                if r["n"] > 1 and (r["b"] > most_bytes + r["top"] or r["n"] > most_rows)}
         if not over:
             break
         chance = F.greatest(F.col("size") / most_bytes, F.lit(1 / most_rows)) * F.lit(float(draws * attempt))
         drawn = _draw(dealt.where(F.col("range").isin(*over)), chance, attempt)
         splitters = sorted({*splitters, *_subdivide(drawn, splitters, over)})
+    else:
+        raise RuntimeError(f"ranges are still overfull after {ROUNDS} rounds")
     offsets, bytes_before, rows_before = [], 0, 0
     for k in sorted(sums):
         offsets.append((k, bytes_before, rows_before))
@@ -104,25 +109,25 @@ def assign(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text",
                  .select("id", "size", "crc", (F.col("rows_before") + F.col("nth") - 1).alias("rank"),
                          F.expr(f"cast((2 * (bytes_before + coalesce(own, 0)) + size) * {shards} div "
                                 f"{max(2 * size, 1)} as int)").alias("shard")))
-    first = {r["shard"]: r["r"] for r in placed.groupBy("shard").agg(F.min("rank").alias("r")).collect()}
-    at = F.element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.col("shard")) \
-        if first else F.lit(0)
+    start = {r["shard"]: r["r"] for r in placed.groupBy("shard").agg(F.min("rank").alias("r")).collect()}
+    at = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("shard")) \
+        if start else F.lit(0)
     return placed.select(F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "shard",
                          (F.col("rank") - at).cast("bigint").alias("slot"))
 
 
-def _one_heavy(b: int, c: int, most: float) -> bool:
-    """Two rows or fewer whose bytes alone exceed the limit: no cut helps more than the next one did."""
-    return c <= 2 and b <= 2 * most
-
-
 def _subdivide(drawn: list, splitters: list[tuple], over: dict[int, float]) -> list[tuple]:
     """New splitters inside the overfull ranges, as many as each is over its share."""
     from bisect import bisect_right
     by_range: dict[int, list] = {}
-    for key, w in drawn:
-        by_range.setdefault(bisect_right(splitters, key), []).append((key, w))
-    return [q for k, own in by_range.items() for q in _quantiles(own, max(2, int(2 * over.get(k, 1)) + 1))]
+    for drawn_row in drawn:
+        by_range.setdefault(bisect_right(splitters, drawn_row[0]), []).append(drawn_row)
+    out: set[tuple] = set()
+    for k, own in by_range.items():
+        parts = max(2, int(2 * over.get(k, 1)) + 1)
+        out.update(_quantiles([(key, b) for key, b, _ in own], parts))      # equal bytes
+        out.update(_quantiles([(key, n) for key, _, n in own], parts))      # equal rows
+    return sorted(out)
 
 
 def write(assigned: DataFrame, docs: DataFrame, path: str, id: str = "doc_id") -> None:
