@@ -311,3 +311,20 @@ def test_pipeline_stages_take_awkward_rows(spark, tmp_path):
             assert out.count() <= rows.count()
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == docs.columns
+
+
+def test_embedding_links_just_above_the_threshold(spark):
+    """Planted pairs at cosine 0.950 to 0.960, far apart from each other: every one is a link."""
+    rnd = np.random.default_rng(5)
+    d, rows = 64, []
+    for k in range(3000):
+        x = rnd.standard_normal(d)
+        x /= np.linalg.norm(x)
+        y = rnd.standard_normal(d)
+        y -= (y @ x) * x
+        c = 0.9501 + 0.0099 * k / 3000
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (c * x + math.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for most in (500, 8000):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(df, most=most).collect()}
+        assert got == {i: (1, i - i % 2) for i, _ in rows}
