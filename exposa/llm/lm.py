@@ -15,9 +15,14 @@ unknown word add up to 1 in every state.
 No task and no broadcast ever holds the whole automaton, which grows with the corpus.
 Documents are packed in blocks.  Each block sends the distinct n-grams of its texts, with
 their counts in its training rows, to slices of the n-gram hash range; a slice adds the
-counts up and answers each block in the order it was asked, so an answer is only counts.  A
-block builds the part of the automaton that its texts can reach and goes over them once from
-left to right.  An n-gram that fills a third of the corpus is one entry a block.
+counts up and answers each block in the order it was asked, so an answer is only counts.  An n-gram that
+fills a third of the corpus is one entry a block.
+
+A block does not build states and arcs and carries no state from token to token.  It swaps them
+for columns: for every order from short to long, the weights of all tokens' arcs and of the
+failure arcs of their contexts, looked up at once.  As a context is just the tokens before a
+token, the score is the one that the automaton's path gives, at the price of looking up every
+order for every token.
 
 Null and empty texts have the one token ``end``.  Rows that repeat count as often as they
 stand there and are scored alike.  Rows whose id is null are training rows.  n-grams are

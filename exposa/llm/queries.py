@@ -100,6 +100,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=2)
 
 
+@register("op8_lm_score_order3")
+def op8_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_lm_score, with contexts of two words that fall back to one word, then to none."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+
+
 @register("op7_sampled_shards")
 def op7_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 24 shards of near equal bytes, contiguous in doc_id."""

@@ -328,3 +328,24 @@ def test_embedding_links_just_above_the_threshold(spark):
     for most in (500, 8000):
         got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(df, most=most).collect()}
         assert got == {i: (1, i - i % 2) for i, _ in rows}
+
+
+def test_lm_query_of_order_three(spark):
+    """Scores with contexts of two words, against plain counting."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    tokens = [(i, [*space_words(t), None]) for i, t in rows]
+    grams = lambda t, n: [tuple(([0] * (n - 1) + t)[k:k + n]) for k in range(len(t))]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    count = Counter(g for i, t in tokens if not held(i) for n in (1, 2, 3) for g in grams(t, n))
+    first = sum(not held(i) for i, _ in tokens)
+    count[0,] = count[0, 0] = first                       # the start stands before every training row
+    total, v = sum(c for g, c in count.items() if len(g) == 1 and g != (0,)), sum(len(g) == 1 and g != (0,) for g in count)
+    want = {}
+    for i, t in tokens:
+        p = [(count[w,] + 0.1) / (total + 0.1 * (v + 1)) for w in t]
+        for n in (2, 3):
+            p = [(count[g] + 20 * q) / (count[g[:-1]] + 20) for g, q in zip(grams(t, n), p, strict=True)]
+        want[i] = sum(map(math.log10, p))
+    got = {r.doc_id: r.score for r in queries.QUERIES["op8_lm_score_order3"](spark, SF).collect()}
+    assert got == pytest.approx(want)
+    assert got != pytest.approx({r.doc_id: r.score for r in queries.QUERIES["op8_lm_score"](spark, SF).collect()})
