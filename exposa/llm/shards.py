@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from exposa.llm.tables import cut
+from exposa.llm.tables import cut, unused, with_row_key
 
 RANGE_ROWS = 250_000
 ROUNDS = 24
@@ -64,13 +64,15 @@ def _quantiles(drawn: list[tuple[tuple, float]], parts: int) -> list[tuple]:
 
 
 def assign(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text", overhead: int = 8,
-           draws: int = 16) -> DataFrame:
+           draws: int = 16, row_key: str | None = None) -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row, in order of id within and across shards.
 
     size: UTF-8 bytes of the text plus ``overhead``; slot: the row's place in its shard, from 0.
+    ``row_key``: a column of ``docs`` that tells its rows apart; it is handed on as the last column.
     """
+    carried = ["carried"] if row_key else []
     rows = cut(docs.select(
-        docs[id].alias("id"),
+        docs[id].alias("id"), *([docs[row_key].alias("carried")] if row_key else []),
         (F.coalesce(F.octet_length(docs[text]), F.lit(0)) + F.lit(overhead)).cast("bigint").alias("size"),
         F.crc32(docs[text].cast("binary")).alias("crc"), F.monotonically_increasing_id().alias("tie")))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
@@ -106,14 +108,15 @@ def assign(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text",
     inside = Window.partitionBy("range").orderBy("key")
     placed = cut(dealt.withColumn("own", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
                  .withColumn("nth", F.row_number().over(inside)).join(offsets, "range")
-                 .select("id", "size", "crc", (F.col("rows_before") + F.col("nth") - 1).alias("rank"),
+                 .select("id", *carried, "size", "crc", (F.col("rows_before") + F.col("nth") - 1).alias("rank"),
                          F.expr(f"cast((2 * (bytes_before + coalesce(own, 0)) + size) * {shards} div "
                                 f"{max(2 * size, 1)} as int)").alias("shard")))
     start = {r["shard"]: r["r"] for r in placed.groupBy("shard").agg(F.min("rank").alias("r")).collect()}
     at = F.element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("shard")) \
         if start else F.lit(0)
     return placed.select(F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "shard",
-                         (F.col("rank") - at).cast("bigint").alias("slot"))
+                         (F.col("rank") - at).cast("bigint").alias("slot"),
+                         *[F.col(c).alias(row_key) for c in carried])
 
 
 def _subdivide(drawn: list, splitters: list[tuple], over: dict[int, float]) -> list[tuple]:
@@ -130,6 +133,13 @@ def _subdivide(drawn: list, splitters: list[tuple], over: dict[int, float]) -> l
     return sorted(out)
 
 
-def write(assigned: DataFrame, docs: DataFrame, path: str, id: str = "doc_id") -> None:
-    """Files of each shard: documents joined to their places, written under ``shard=k``."""
-    docs.join(assigned.select(id, "shard", "slot"), id).write.mode("overwrite").partitionBy("shard").parquet(path)
+def write(docs: DataFrame, path: str, shards: int, id: str = "doc_id", text: str = "text", **how) -> None:
+    """Files of each shard: every row of ``docs`` with its shard and slot, written under ``shard=k``.
+
+    Rows meet their places by a key of the row, so null and repeated ids keep every row once.
+    """
+    (row_key,) = unused(docs, "row_key")
+    keyed = with_row_key(docs, row_key)
+    placed = assign(keyed, shards, id, text, row_key=row_key, **how)
+    keyed.join(placed.select(row_key, "shard", "slot"), row_key).drop(row_key) \
+        .write.mode("overwrite").partitionBy("shard").parquet(path)

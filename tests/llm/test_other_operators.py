@@ -349,3 +349,17 @@ def test_lm_query_of_order_three(spark):
     got = {r.doc_id: r.score for r in queries.QUERIES["op8_lm_score_order3"](spark, SF).collect()}
     assert got == pytest.approx(want)
     assert got != pytest.approx({r.doc_id: r.score for r in queries.QUERIES["op8_lm_score"](spark, SF).collect()})
+
+
+def test_shard_files_hold_every_row_once(spark, tmp_path):
+    """Null ids stay, repeated ids are not multiplied, whether rows come from files or not."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(300)]
+    made = frame(spark, rows)
+    made.write.parquet(str(tmp_path / "docs"))
+    places = sorted(map(str, ((i, c, s, t) for i, _, c, s, t in _shards(rows, 4))))
+    for k, docs in enumerate([made, spark.read.parquet(str(tmp_path / "docs"))]):
+        shards.write(docs, str(tmp_path / f"out{k}"), 4)
+        got = spark.read.parquet(str(tmp_path / f"out{k}")).collect()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
+        assert sorted(map(str, ((r.doc_id, zlib.crc32(r.text.encode()), r.shard, r.slot) for r in got))) == places
+        assert all(r["row_key"] == "row_key!" for r in got)
