@@ -232,7 +232,7 @@ def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit("A reader wrote:\n"), quoted(F.col("q.text"), "> "), F.lit("\n"))
     deep = F.concat(quoted(F.col("d.text"), ">> "), F.lit("\n"))
     return joined.select(F.concat_ws("-", F.lpad(F.col("m.conv_id").cast("string"), 12, "0"), "m.turn").alias("msg_id"),
-                         (F.col("m.turn") * 100000000 + F.col("m.conv_id")).alias("sent"),
+                         (F.col("m.conv_id").cast("bigint") * 100000 + F.col("m.turn")).alias("sent"),
                          F.concat(F.coalesce(head, F.lit("")), F.coalesce(deep, F.lit("")), F.col("m.text"))
                          .alias("text"))
 

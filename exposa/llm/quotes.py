@@ -2,15 +2,21 @@
 
 A line's quote level is the number of ``>`` it begins with.  Lines of one level that follow
 each other, up to a blank line, are a passage.  Quoted passages are normalised (lower case,
-one space for any run of white space), hashed, and joined to the latest earlier message that
-has the same passage among its own unquoted ones.  A message answers the original of its
-least-nested linked passage (ties: the later message, then the greater id); following the
-answers gives each message its conversation, its depth, and its place among the messages of
-the conversation, in which a message always comes after the one it answers.
-
-Messages: msg_id (string), sent (long), text; other columns are not read.  A passage that a
-third of all messages hold is split by the time they were sent, as is a conversation.  Chains
-of answers are followed by doubling, so their length costs its logarithm in joins.
+one space for any run of white space) and hashed.  A message can answer an earlier one that has one
+of its quoted passages among its own unquoted ones, and it answers the one that explains most of
+what it quotes: at the least-nested level first, then by the rarest passage they share (the one
+that fewest messages have as their own, then the longest), then by the number of shared passages,
+where a passage quoted ``l`` levels deeper than the answered message itself quotes it counts too;
+ties go to the later message, then the greater id.  Following the answers gives each message its
+conversation, its depth, and its place among the messages of the conversation, in which a message
+always comes after the one it answers.
+
+Messages: msg_id (string), sent (long), text; other columns are not read.  Passages in at most
+``RARE`` messages are joined row by row.  More frequent ones are joined between the distinct sets
+of frequent passages that messages hold; messages with the same set explain the same, so of each
+set only the latest earlier one is looked up, split by the time they were sent, as is a
+conversation.  Chains of answers are followed by doubling, so their length costs its logarithm in
+joins.
 
 Null texts are empty; empty passages are no passages; a quote without an original links
 nothing.  Null times link nothing.  Rows without a msg_id are no messages; of repeated ids
@@ -29,6 +35,7 @@ from exposa.llm.tables import cut
 
 _MARKS = r"^(?:[ \t]*>)+"
 DOUBLINGS = 40
+RARE = 32
 
 
 def _lines(text: Column) -> Column:
@@ -73,17 +80,51 @@ def parse(messages: DataFrame) -> DataFrame:
     return kept.select("msg_id", "sent", text.alias("own_text"), _passages(F.col("lines")).alias("passages"))
 
 
-def answers(parsed: DataFrame) -> DataFrame:
+def _evidence(shared: DataFrame, *pair: str) -> DataFrame:
+    """What each pair of asker and holder shares at each level: rarest own passage, number of passages."""
+    own = F.col("depth") == 0
+    return shared.withColumn("level", F.col("level") - F.col("depth")).groupBy(*pair, "level").agg(
+        F.max(F.when(own, F.struct((-F.col("holders")).alias("rare"), F.col("length").alias("length")))).alias("key"),
+        F.count("*").alias("n")).where("key is not null")
+
+
+def answers(parsed: DataFrame, rare: int = RARE) -> DataFrame:
     """(msg_id, parent): the message each one answers, where a quoted passage has an original."""
-    every = parsed.select("msg_id", "sent", F.explode("passages").alias("p")) \
-        .select("msg_id", "sent", "p.level", F.sha2("p.passage", 256).alias("hash"))
-    quoted = every.where("level > 0").groupBy("hash", "sent", "msg_id").agg(F.min("level").alias("level"))
-    originals = every.where("level = 0").select("hash", "sent", F.struct("msg_id").alias("origin")).distinct()
-    found = latest_before(quoted, originals.withColumn("origin", F.struct("sent", "origin.msg_id")), ["hash"], "sent",
-                          "origin").where("origin is not null")
-    nearest = F.max(F.struct((-F.col("level")).alias("near"), F.col("origin.sent").alias("at"),
-                             F.col("origin.msg_id").alias("id")))
-    return found.groupBy("msg_id").agg(nearest.alias("best")).select("msg_id", F.col("best.id").alias("parent"))
+    every = parsed.select("msg_id", "sent", F.explode("passages").alias("p")).where("sent is not null") \
+        .select("msg_id", "sent", "p.level", F.sha2("p.passage", 256).alias("hash"),
+                F.length("p.passage").alias("length")).distinct()
+    own = F.when(F.col("level") == 0, 1)
+    known = every.groupBy("hash").agg(F.count("*").alias("rows"), F.count(own).alias("holders"))
+    # a passage can tell something where it is quoted and stands in another message too
+    every = cut(every.join(known.where("rows > 1"), "hash"))
+    few = every.where(F.col("rows") <= rare)
+    holder = few.select("hash", F.col("msg_id").alias("parent"), F.col("sent").alias("at"), F.col("level").alias("depth"))
+    quoted = few.where("level > 0").drop("rows")
+    shared = quoted.join(holder, "hash").where("at < sent and depth < level") \
+        .select("msg_id", "parent", "at", "level", "depth", "holders", "length", "hash")
+    # frequent passages: sets of them
+    often = every.where(F.col("rows") > rare).groupBy("msg_id", "sent").agg(
+        F.array_sort(F.collect_list(F.struct("level", "hash", "holders", "length"))).alias("all"))
+    often = cut(often.withColumn("set", F.sha2(F.to_json(F.col("all")), 256)))
+    pairs = shared.select("msg_id", "parent", "at").distinct()
+    more = pairs.join(often.select("msg_id", F.col("all").alias("asked")), "msg_id") \
+        .join(often.select(F.col("msg_id").alias("parent"), F.col("all").alias("held")), "parent") \
+        .select("msg_id", "parent", "at", F.explode("asked").alias("q"), "held") \
+        .select("msg_id", "parent", "at", "q", F.explode(F.filter(
+            "held", lambda h: (h["hash"] == F.col("q.hash")) & (h["level"] < F.col("q.level")))).alias("h")) \
+        .select("msg_id", "parent", "at", "q.level", F.col("h.level").alias("depth"), "q.holders", "q.length", "q.hash")
+    first = _evidence(shared.unionByName(more), "msg_id", "parent", "at")
+    distinct = often.groupBy("set").agg(F.first("all").alias("all")).select("set", F.explode("all").alias("p")) \
+        .select("set", "p.*")
+    held = distinct.select(F.col("set").alias("held"), F.col("level").alias("depth"), "hash")
+    between = _evidence(distinct.where("level > 0").join(held, "hash").where("depth < level"), "set", "held")
+    asked = often.select("msg_id", "sent", "set").join(between, "set").drop("set")
+    second = latest_before(asked, often.select(F.col("set").alias("held"), "sent", F.struct("sent", "msg_id").alias("origin")),
+                           ["held"], "sent", "origin").where("origin is not null") \
+        .select("msg_id", F.col("origin.msg_id").alias("parent"), F.col("origin.sent").alias("at"), "level", "key", "n")
+    best = F.max(F.struct((-F.col("level")).alias("near"), "key", "n", "at", "parent"))
+    return first.select(second.columns).unionByName(second).groupBy("msg_id").agg(best.alias("best")) \
+        .select("msg_id", F.col("best.parent").alias("parent"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:

@@ -363,3 +363,19 @@ def test_shard_files_hold_every_row_once(spark, tmp_path):
         assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
         assert sorted(map(str, ((r.doc_id, zlib.crc32(r.text.encode()), r.shard, r.slot) for r in got))) == places
         assert all(r["row_key"] == "row_key!" for r in got)
+
+
+def test_frequent_passages_do_not_outrank_the_original(spark):
+    """A greeting of a later, unrelated message, against all quoted passages and plain scoring."""
+    rows = [("A", 10, "A long passage of its own\n\nThanks."), ("B", 50, "Thanks."),
+            ("m", 60, "> A long passage of its own\n>\n> Thanks.\nMy answer"),
+            ("n", 70, "> Thanks.\n>> A long passage of its own\n>> Thanks.\nagain"),
+            ("p", 80, "> A long passage of its own\nThanks."), ("q", 85, "Thanks."),
+            ("r", 90, "> Thanks.\n>> A long passage of its own\nend")]
+    rows += [(f"x{k:03d}", 100 + k, "Thanks." if k % 2 else "Thanks.\n\nBest regards") for k in range(100)]
+    rows += [("late", 300, "> Thanks.\n>\n> Best regards\nyes"), ("old", 20, "> Thanks.\nno")]
+    df = spark.createDataFrame(rows, "msg_id string, sent bigint, text string")
+    want = {"m": "A", "p": "A", "r": "p", "late": "x098", "old": "A", "n": "B"}
+    parsed = quotes.parse(df).cache()
+    for rare in (1, 3, 32, 1000):
+        assert {r.msg_id: r.parent for r in quotes.answers(parsed, rare).collect()} == want
