@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposa.llm import bpe, decontam, embed, langid, lm, quotes, shards, simhash, urls, warc
+from exposa.llm import bpe, decontam, embed, langid, lm, mix, quotes, ranked, shards, simhash, urls, variants, warc
 from exposa.llm.tables import table
 
 QUERIES: dict = {}
@@ -241,3 +241,41 @@ def mailbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply-ordered conversations of the mailbox, every message without its quotes."""
     return quotes.conversations(mailbox(spark, sf_dir))
+
+
+@register("op11_ranked_search", f"""
+WITH t AS (SELECT r, doc_id, unnest(w) AS term
+           FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents)),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY r, doc_id, term),
+size AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM size),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+       FROM tf, total GROUP BY term),
+q AS (SELECT i, item_id, term, count(*) AS c
+      FROM (SELECT i, item_id, unnest(w) AS term
+            FROM (SELECT row_number() OVER () AS i, item_id, {_WORDS.format("text")} AS w FROM benchmark))
+      GROUP BY i, item_id, term),
+scored AS (SELECT i, item_id, r, doc_id,
+             sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+           FROM q JOIN df USING (term) JOIN tf USING (term) JOIN size USING (r), total GROUP BY i, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank
+      FROM scored WHERE score > 0)
+WHERE rank <= 20""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_source_mix")
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document in a mix of one and a half times all words, sources weighed 5, 2, 1."""
+    got = mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), (5, 2, 1), times=1.5, most=2.0)
+    return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, with the form and the root that each is a variant of."""
+    known = variants.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"), least=6, often=5, every=199)
+    return variants.group(known, ratio=5)

@@ -50,7 +50,11 @@ def blocks(offsets: np.ndarray, most: int):
 
 def spans(data: np.ndarray, offsets: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the first word of every row (n+1)."""
-    word = rule[data]
+    return runs(rule[data], offsets)
+
+
+def runs(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``spans``, from whether each byte belongs to a word."""
     before = np.empty_like(word)
     after = np.empty_like(word)
     if len(word):
