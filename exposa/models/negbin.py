@@ -1,50 +1,26 @@
 """Negative-binomial (NB2) frequency GLM: log link, log(exposure) offset,
-prior weights; theta by maximum likelihood, alternating with IRLS.
+prior weights; theta by maximum likelihood.
 
-Per iteration, on Spark:
-* IRLS step = one weighted least-squares fit (LinearRegression, normal
-  solver: one distributed X'WX aggregate) on the working response;
-* theta step = Newton on the profile likelihood; score and information are
-  one aggregation each.  Digamma / trigamma differences of integer counts
-  are exact finite sums: psi(y+t) - psi(t) = sum_{k<y} 1/(t+k).
-The feature frame is cached once; coefficients are literals, so the lineage
-does not grow with the iterations.
+The rows are reduced once to distinct (levels, regressors, exposure, claim
+count) cells, the sufficient statistics of both the coefficients and theta
+(digamma differences of integer counts are finite sums, looked up per count).
+Coefficients and theta then advance together, one pass over the cells a step
+(``models.cells``), so the rows are read a fixed number of times.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exposa.models.design import Design
-from exposa.models.glm import fit_poisson
+from exposa.models import cells as CL
+from exposa.models.design import Design, build_design
 from exposa.models.linalg import linear_predictor
 
 
-def _kseq(y: Column) -> Column:
-    return F.when(y > 0, F.sequence(F.lit(0), y.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _digamma_diff(y: Column, theta: float) -> Column:
-    return F.aggregate(_kseq(y), F.lit(0.0), lambda a, k: a + 1.0 / (F.lit(theta) + k))
-
-
-def _trigamma_diff(y: Column, theta: float) -> Column:
-    return F.aggregate(_kseq(y), F.lit(0.0),
-                       lambda a, k: a - 1.0 / ((F.lit(theta) + k) * (F.lit(theta) + k)))
-
-
-def _lgamma_ratio(y: Column, theta: float) -> Column:
-    """lgamma(y + theta) - lgamma(theta) - lgamma(y + 1) for integer y."""
-    return F.aggregate(_kseq(y), F.lit(0.0),
-                       lambda a, k: a + F.log(F.lit(theta) + k) - F.log(k + 1.0))
-
-
 @dataclass
 class NegBinFit:
     response: str
@@ -80,66 +56,13 @@ class NegBinFit:
 
 
 def fit_negbin(df: DataFrame, response: str, factors: Sequence[str], exposure: str | None = "exposure",
-               weight: str | None = None, max_iter: int = 25, tol: float = 1e-8,
+               weight: str | None = None, max_iter: int = 50, tol: float = 1e-10,
                numeric: Sequence[str] = ()) -> NegBinFit:
     """NB2 GLM started from the Poisson fit (theta -> infinity).  ``converged`` of the
     result tells whether the likelihood settled within ``max_iter`` steps."""
-    pois = fit_poisson(df, response, factors, exposure=exposure, weight=weight, numeric=numeric)
-    d = df.withColumn("_log_exposure", F.log(F.col(exposure))) if exposure else df
-    w = F.col(weight) if weight else F.lit(1.0)
-    x = pois.design.transform(d).select(
-        "features", F.col(response).cast("double").alias("_y"),
-        (F.col("_log_exposure") if exposure else F.lit(0.0)).alias("_off"), w.alias("_w")).cache()
-    coef, b0 = [float(v) for v in pois.model.coefficients], float(pois.model.intercept)
-    y, off, pw = F.col("_y"), F.col("_off"), F.col("_w")
-
-    def mu_col(c, b):
-        return F.exp(linear_predictor("features", c, b) + off)
-
-    # moment start for theta (as theta.ml does): n / sum((y/mu - 1)^2)
-    m = x.withColumn("_mu", mu_col(coef, b0))
-    n, s = m.agg(F.sum(pw), F.sum(pw * F.pow(y / F.col("_mu") - 1, 2))).first()
-    theta = float(n / s) if s and s > 0 else 1.0
-    ll_old, it, converged = -math.inf, 0, False
-    for it in range(1, max_iter + 1):
-        m = x.withColumn("_mu", mu_col(coef, b0))
-        # theta: Newton steps on the profile likelihood
-        for _ in range(6):
-            if theta > 1e7:        # Poisson limit: no over-dispersion left to fit
-                break
-            t = theta
-            mu = F.col("_mu")
-            score = pw * (_digamma_diff(y, t) + math.log(t) + 1 - F.log(mu + t) - (y + t) / (mu + t))
-            info = -pw * (_trigamma_diff(y, t) + 1.0 / t - 2.0 / (mu + t) + (y + t) / ((mu + t) * (mu + t)))
-            u, i_ = m.agg(F.sum(score), F.sum(info)).first()
-            step = u / i_ if i_ and i_ > 0 else 0.0
-            theta = max(t + step, t / 10) if step < 0 else t + step
-            if abs(step) < 1e-6 * max(1.0, t):
-                break
-        if theta > 1e7:
-            # Poisson limit: the Poisson start already maximises the likelihood
-            mu = F.col("_mu")
-            ll_old = m.agg(F.sum(pw * (y * F.log(mu) - mu - F.aggregate(
-                _kseq(y), F.lit(0.0), lambda a, k: a + F.log(k + 1.0))))).first()[0]
-            converged = True
-            break
-        # IRLS step for beta given theta
-        mu = F.col("_mu")
-        z = F.log(mu) - off + (y - mu) / mu
-        wt = pw * mu / (1 + mu / theta)
-        lr = LinearRegression(featuresCol="features", labelCol="_z", weightCol="_wt", solver="normal",
-                              regParam=0.0, standardization=False, fitIntercept=True)
-        lm = lr.fit(m.select("features", z.alias("_z"), wt.alias("_wt")))
-        coef, b0 = [float(v) for v in lm.coefficients], float(lm.intercept)
-        m = x.withColumn("_mu", mu_col(coef, b0))
-        mu = F.col("_mu")
-        ll_row = pw * (_lgamma_ratio(y, theta) + theta * math.log(theta) + y * F.log(mu)
-                       - (y + theta) * F.log(theta + mu))
-        ll = m.agg(F.sum(ll_row)).first()[0]
-        if abs(ll - ll_old) < tol * (abs(ll) + tol):
-            ll_old, converged = ll, True
-            break
-        ll_old = ll
-    n_rows = x.count()
-    x.unpersist()
-    return NegBinFit(response, pois.design, coef, b0, theta, ll_old, n_rows, it, exposure, converged=converged)
+    design = build_design(df, factors, numeric)
+    cells = CL.build(df, response, factors, numeric, exposure=exposure, weight=weight, levels=design.labels)
+    fit = CL.fit(cells, [CL.Spec("nb", "negbin")], max_iter=max_iter, tol=tol)["nb"]
+    coef = fit.coefficients
+    return NegBinFit(response, design, [coef[n] for n in design.names], coef["(Intercept)"], fit.theta,
+                     fit.objective, fit.rows, fit.iterations, exposure, converged=fit.converged)
