@@ -31,7 +31,7 @@ from exposa.models.tweedie import lgamma_np, tweedie_logpdf
 from exposa.session import checkpoint_dir
 
 FAMILIES = ("poisson", "negbin", "gamma", "tweedie", "binomial")
-EXTRAS = ("objective", "pearson", "weight", "rows", "score", "info", "spread")
+EXTRAS = ("objective", "pearson", "weight", "rows", "score", "info", "spread", "excess")
 POISSON_LIMIT = 1e7              # theta beyond which no over-dispersion is left to fit
 SUM_PARTS = 64                   # vectors of one model that a task adds up in the first step
 
@@ -94,6 +94,7 @@ class Fit:
     converged: bool = False
     information: np.ndarray | None = None
     spread: float = 0.0              # weighted sum of (y / mu - 1)**2 (poisson)
+    excess: float = 0.0              # weighted sum of (y - mu)**2 - y (poisson): over-dispersion if positive
 
     @property
     def coefficients(self) -> dict[str, float]:
@@ -268,6 +269,7 @@ def _working(family: str, power: float, theta: float, y, off, eta, w, start: boo
         weight, variance = w * mu, mu
         extras["objective"] = w @ (y * np.log(mu) - mu - lgamma_np(y + 1))
         extras["spread"] = w @ ((y / mu - 1) ** 2)
+        extras["excess"] = w @ ((y - mu) ** 2 - y)
     elif family == "negbin":
         weight, variance = w * mu / (1 + mu / theta), mu + mu ** 2 / theta
         inverse, minus_square, logs, logs1 = _count_tables(y, theta)
@@ -409,6 +411,13 @@ def _step_sums(cells: Cells, fits: Sequence[Fit], start: bool) -> dict[int, dict
     return out
 
 
+def _next_theta(theta: float, score: float, info: float) -> float:
+    """A Newton step for 1 / theta, in which the likelihood is near quadratic close to the Poisson limit."""
+    slope, bend = -theta ** 2 * score, theta ** 3 * (2 * score - theta * info)
+    inverse = 1 / theta - slope / bend if bend < 0 else (0.1 if score > 0 else 10) / theta
+    return 1 / min(max(inverse, 0.1 / theta), 10 / theta)
+
+
 def _advance(cells: Cells, fits: list[Fit], max_iter: int, tol: float, start: bool) -> None:
     """IRLS steps of all models until each has settled (or ``max_iter``)."""
     last = {id(f): -math.inf for f in fits}
@@ -425,7 +434,7 @@ def _advance(cells: Cells, fits: list[Fit], max_iter: int, tol: float, start: bo
             s, me = got[k], id(f)
             f.pearson, f.weight, f.rows, f.information = s["pearson"], s["weight"], int(s["rows"]), s["a"]
             if f.spec.family == "poisson":
-                f.spread = s["spread"]
+                f.spread, f.excess = s["spread"], s["excess"]
             if not from_data:
                 worse = not math.isfinite(s["objective"]) or s["objective"] < last[me] - 1e-9 * (abs(last[me]) + 1)
                 if worse and me in before and halved.get(me, 0) < 12:
@@ -447,8 +456,7 @@ def _advance(cells: Cells, fits: list[Fit], max_iter: int, tol: float, start: bo
             before[me] = (f.beta, f.theta)
             f.beta, f.iterations = _solve(s["a"], s["rhs"]), f.iterations + 1
             if f.spec.family == "negbin":
-                move = s["score"] / s["info"] if s["info"] > 0 else (9 if s["score"] > 0 else -0.9) * f.theta
-                f.theta = min(max(f.theta + move, f.theta / 10), f.theta * 10)
+                f.theta = _next_theta(f.theta, s["score"], s["info"])
             still.append(f)
         active = still
         if not active:
@@ -475,12 +483,16 @@ def fit(cells: Cells, specs: Sequence[Spec], max_iter: int = 50, tol: float = 1e
         p = poisson[f.spec.encoding, f.spec.weight]
         f.beta = p.beta
         f.theta = p.weight / p.spread if p.spread > 0 else 1.0
-    if counts:
-        _advance(cells, counts, max_iter, tol, start=False)
+        if p.converged and p.excess <= 0:          # the likelihood falls from the Poisson limit on
+            f.theta, f.iterations, f.converged = math.inf, p.iterations, True
+    open_ = [f for f in counts if not f.converged]
+    if open_:
+        _advance(cells, open_, max_iter, tol, start=False)
     for f in counts:
         if f.theta > POISSON_LIMIT:                # the Poisson limit is the maximum itself
             p = poisson[f.spec.encoding, f.spec.weight]
             f.beta, f.objective, f.information = p.beta, p.objective, p.information
+            f.pearson, f.weight, f.rows = p.pearson, p.weight, p.rows
     return out
 
 
@@ -513,13 +525,14 @@ def tweedie_logliks(cells: Cells, fits: Mapping[str, Fit], phis: Mapping[str, Se
     return {names[k]: v for k, v in got.items()}
 
 
-def tweedie_profile(cells: Cells, powers: Sequence[float], weight: str = "n", rounds: int = 5) -> list[dict]:
+def tweedie_profile(cells: Cells, powers: Sequence[float], weight: str = "n", rounds: int = 5,
+                    tol: float = 1e-8) -> list[dict]:
     """One record a power: fit, phi, log-likelihood and AIC, phi by maximum likelihood as well.
 
     All powers advance together: their coefficients in the passes of one ``fit``, then their
     dispersions, which close in on the maximum from the Pearson estimate by a third each round.
     """
-    fits = fit(cells, [Spec(f"{p:g}", "tweedie", power=float(p), weight=weight) for p in powers])
+    fits = fit(cells, [Spec(f"{p:g}", "tweedie", power=float(p), weight=weight) for p in powers], tol=tol)
     centre = {name: math.log(max(f.dispersion, 1e-300)) for name, f in fits.items()}
     best = {name: (-math.inf, math.nan) for name in fits}
     reach = {name: math.log(2.0) for name in fits}

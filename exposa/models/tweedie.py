@@ -1,23 +1,22 @@
-"""Tweedie pure-premium GLM and its power profile.
+"""The Tweedie density (1 < power < 2) and the log-likelihood of a fitted GLM.
 
-Spark fits the GLM for each power (GeneralizedLinearRegression, tweedie,
-linkPower 0) but gives no likelihood for it, so the log-likelihood is summed
-on Spark from a vectorised series density (Dunn & Smyth) evaluated in a
-pandas_udf on Arrow batches.  phi is the Pearson estimate.
+Spark's GLM gives no likelihood for this family, so it is summed on Spark from
+a vectorised series density (Dunn & Smyth) evaluated in a pandas_udf on Arrow
+batches.  phi is the Pearson estimate.  The profile over powers, which takes
+phi at its maximum, is ``cells.tweedie_profile``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from exposa.models.glm import GLMFit, fit_tweedie
+from exposa.models.glm import GLMFit
 
 # Lanczos coefficients (g = 7, n = 9): a published constant table.
 _LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028,
@@ -104,16 +103,3 @@ def loglik(df: DataFrame, fit: GLMFit, power: float, weight: str | None = None)
     phi = pear / max(n - k, 1)
     ll = pred.agg(F.sum(w * _logpdf_udf(phi, power)(y.cast("double"), "_mu"))).first()[0]
     return float(ll), float(phi), k + 1
-
-
-def profile_power(spark: SparkSession, df: DataFrame, response: str, factors: Sequence[str],
-                  powers: Sequence[float] = (1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9),
-                  exposure: str | None = None, weight: str | None = None) -> DataFrame:
-    """(power, phi, loglik, aic) per power; best = max loglik.  One GLM fit
-    and one likelihood aggregation per power; the data stays on Spark."""
-    rows = []
-    for p in powers:
-        fit = fit_tweedie(df, response, factors, power=p, exposure=exposure, weight=weight)
-        ll, phi, k = loglik(df, fit, p, weight)
-        rows.append((float(p), phi, ll, -2 * ll + 2 * k))
-    return spark.createDataFrame(rows, "power double, phi double, loglik double, aic double")

@@ -11,19 +11,15 @@ from exposa.session import app_id
 import math
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from exposa.functions import expr as E
 from exposa.models import glm as M
 from exposa.models import interaction as IA
 from exposa.models import metrics as MT
 from exposa.models import negbin as NB
 from exposa.models import trees as TR
 from exposa.models import tweedie as TW
-from exposa.models.design import build_design
 from exposa.operators import consolidate as C
 from exposa.operators import geo as G
 from exposa.operators import sampling as SM
@@ -78,24 +74,6 @@ def fit_gamma_severity(spark, sf_dir):
     return M.rating_factors(spark, {"gamma": fit})
 
 
-@register("fit_tweedie_premium")
-def fit_tweedie_premium(spark, sf_dir):
-    """Tweedie pure-premium GLM (p = 1.5, log link, log exposure offset)."""
-    pc = S.policy_claims(spark, sf_dir)
-    fit = M.fit_tweedie(pc, "grossincurred_prop", ["geo_code", "building_type"], power=1.5,
-                        exposure="exposure")
-    return M.rating_factors(spark, {"tweedie": fit}, pc)
-
-
-@register("tweedie_profile")
-def tweedie_profile(spark, sf_dir):
-    """Profile log-likelihood of the Tweedie power over 1.1 .. 1.9."""
-    pc = S.policy_claims(spark, sf_dir)
-    prof = TW.profile_power(spark, pc, "grossincurred_prop", ["building_type"])
-    best = Window.orderBy(F.desc("loglik"))   # nine rows
-    return prof.withColumn("best", F.row_number().over(best) == 1)
-
-
 @register("add_predictions")
 def add_predictions(spark, sf_dir):
     """Test rows with pred_<response>_<model> of Poisson and NB fits trained
@@ -199,26 +177,6 @@ def residual_diagnostics(spark, sf_dir):
     return qq.join(by, "ventile", "left").withColumn("normal", normal[F.col("ventile")])
 
 
-@register("logistic_claim")
-def logistic_claim(spark, sf_dir):
-    """Logistic model of 'has a BI claim' with class weights; test AUC and
-    sensitivity."""
-    v = C.split_by_cover(S.policy_claims(spark, sf_dir), True)
-    sp = SM.stratified_split(v, 0.8, ["has_claim"], _KEY, 123)
-    tr, te = sp.filter("split = 'train'"), sp.filter("split = 'test'")
-    pos_share = tr.select(F.avg(F.col("has_claim").cast("double"))).first()[0]
-    tr = tr.withColumn("_cw", F.when(F.col("has_claim"), 0.5 / pos_share).otherwise(0.5 / (1 - pos_share)))
-    d = build_design(tr, ["geo_code", "indem_per_grp", "building_type"])
-    lr = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_cw", maxIter=100)
-    m = lr.fit(d.transform(tr.withColumn("_label", F.col("has_claim").cast("double"))))
-    from pyspark.ml.functions import vector_to_array
-    sc = m.transform(d.transform(te)).select(
-        vector_to_array("probability")[1].alias("score"), F.col("has_claim").alias("y"))
-    auc = MT.roc_auc(sc, "score", "y")
-    sens = MT.sensitivity(sc, "score", "y", 0.5)
-    return auc.select("auc", "n_pos", "n_neg", sens.select("sensitivity").scalar().alias("sensitivity"))
-
-
 # The study's formulas: log(sum insured) and these factors (severity takes the state
 # instead of the geo code; the BI severity leaves the walls out).
 _RISK = ["building_age", "building_type", "construction_walls", "construction_floor", "sprinkler_type",
@@ -345,14 +303,15 @@ ro AS (SELECT grid_id, sum(sy) / sum(se) AS ro FROM g WHERE split = 'train' GROU
 te AS (SELECT g.*, coalesce(r.r, rs.rs, ro.ro) AS rate FROM g
        LEFT JOIN r USING (grid_id, geo_code) LEFT JOIN rs USING (grid_id, state)
        LEFT JOIN ro USING (grid_id) WHERE g.split = 'test')
-SELECT e.grid_id, k.n_geo_code, 'poisson' AS family, round(e.rmse, 9) AS rmse
+SELECT e.grid_id, k.n_geo_code, round(e.rmse, 9) AS rmse
 FROM (SELECT grid_id, sqrt(sum(syy - 2 * rate * sye + rate * rate * see) / sum(n)) AS rmse
       FROM te GROUP BY grid_id) e JOIN keep k USING (grid_id)"""
 
 
-@register("score_geo_grid", _SCORE_GRID_SQL, ("claims_geo", "policy_claims"))
-def score_geo_grid(spark, sf_dir):
-    """Every distinct geo encoding of the threshold grid scored in ONE job.
+@register("score_geo_grid_rates", _SCORE_GRID_SQL, ("claims_geo", "policy_claims"))
+def score_geo_grid_rates(spark, sf_dir):
+    """Screening of the geo encodings by the code alone, in ONE job (the fits with all
+    factors are ``score_geo_grid``).
 
     The one-factor Poisson frequency fit of an encoding is the claim rate of
     each code (its maximum-likelihood solution) on the training rows, and the
@@ -392,8 +351,8 @@ def score_geo_grid(spark, sf_dir):
     r = F.coalesce("_r", "_rs", "_ro")
     sse = F.col("syy") - 2 * r * F.col("sye") + r * r * F.col("see")
     err = te.groupBy("grid_id").agg(F.sqrt(F.sum(sse) / F.sum("n")).alias("rmse"))
-    return (err.join(keep, "grid_id").select("grid_id", "n_geo_code", F.lit("poisson").alias("family"),
-                                              F.round("rmse", 9).alias("rmse")).orderBy("rmse", "grid_id"))
+    return err.join(keep, "grid_id").select("grid_id", "n_geo_code", F.round("rmse", 9).alias("rmse")) \
+        .orderBy("rmse", "grid_id")
 
 
 _TREE_FACTORS = ["geo_code", "occupation_risk", "building_type", "construction_floor"]
@@ -619,33 +578,6 @@ def minmax_invert(spark, sf_dir):
     return back.select(*_KEY, F.round("pred_scaled", 4).alias("pred_original_scale"))
 
 
-@register("interaction_tweedie")
-def interaction_tweedie(spark, sf_dir):
-    """Tweedie pure-premium fits per line on the training rows; on a held-out
-    half of the covered test rows: total ~ prop + bi + prop:bi (least
-    squares) and the one-regressor residual ~ bi:prop slope."""
-    sp = _split(spark, sf_dir)
-    tr = sp.filter("split = 'train'")
-    te = sp.filter("split = 'test'").filter("LossofIncome_cover")
-    fp = M.fit_tweedie(tr, "grossincurred_prop", ["geo_code", "building_type"], power=1.5)
-    fb = M.fit_tweedie(tr.filter("LossofIncome_cover"), "grossincurred_lossofinc",
-                       ["geo_code", "indem_per_grp"], power=1.5)
-    sc = fb.predict(fp.predict(te, "prop"), "bi").withColumns({
-        "prop_bi": F.col("prop") * F.col("bi"),
-        "total": F.col("grossincurred_prop") + F.col("grossincurred_lossofinc")})
-    sc = SM.stratified_split(sc.drop("split"), 0.5, ["LossofIncome_cover"], _KEY, 321)
-    fit_part = sc.filter("split = 'train'")
-    from pyspark.ml.feature import VectorAssembler
-    x = VectorAssembler(inputCols=["prop", "bi", "prop_bi"], outputCol="x").transform(fit_part)
-    m = LinearRegression(featuresCol="x", labelCol="total", solver="normal").fit(x)
-    resid = fit_part.withColumn("r", F.col("total") - F.col("prop") - F.col("bi"))
-    slope = resid.select(F.regr_slope("r", "prop_bi")).first()[0]
-    rows = [("(Intercept)", float(m.intercept))] + list(zip(["prop", "bi", "prop:bi"],
-                                                            map(float, m.coefficients)))
-    rows.append(("residual ~ bi:prop slope", float(slope) if slope is not None else None))
-    return spark.createDataFrame(rows, "term string, estimate double")
-
-
 @register("coef_smoothing")
 def coef_smoothing(spark, sf_dir, step=0.5):
     """Rating factors of the tariff classes of log sum insured smoothed by an
