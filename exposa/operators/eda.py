@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from exposa.functions.expr import count_if, join_null_safe, mean_strict, safe_div
 from exposa.operators.quantiles import exact_quantiles
 from exposa.operators.windows import first_row, last_row
+from exposa.session import checkpoint_dir
 
 
 _LATEST = ["expirydate", "riskpostcode", "state", "building_type", "sprinkler_type", "occupation"]
@@ -143,23 +144,29 @@ def linear_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
                  F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
+def _value_counts(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
+    """(by..., x, _c): how often each value stands in its group; the one scan of ``df`` that the
+    statistics below need, kept so that each of them reads the counts."""
+    checkpoint_dir(df.sparkSession)
+    return df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c")).checkpoint()
+
+
 def box_stats(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
     """Five numbers, 1.5 IQR whiskers and outlier counts per group."""
-    s = df.filter(F.col(x).isNotNull()).groupBy(*by).agg(
-        F.min(x).alias("min"), F.max(x).alias("max"), F.count(F.lit(1)).alias("n"))
-    s = join_null_safe(s, exact_quantiles(df, by, x, [0.25, 0.5, 0.75], "_q"), list(by))
-    s = s.select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"), "max", "n")
+    d = _value_counts(df, by, x)
+    s = exact_quantiles(d, by, x, [0.25, 0.5, 0.75], "_q", count="_c")
+    s = s.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     s = s.withColumns({"lower_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                        "upper_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    fences = s.select(*by, "lower_fence", "upper_fence")
-    out = (df.filter(F.col(x).isNotNull()).join(fences, list(by))
-           .groupBy(*by).agg(
-               count_if(F.col(x) < F.col("lower_fence")).alias("n_low_outliers"),
-               count_if(F.col(x) > F.col("upper_fence")).alias("n_high_outliers"),
-               F.min(F.when(F.col(x) >= F.col("lower_fence"), F.col(x))).alias("whisker_low"),
-               F.max(F.when(F.col(x) <= F.col("upper_fence"), F.col(x))).alias("whisker_high")))
-    return s.join(out, list(by))
+    low, high = F.col(x) < F.col("lower_fence"), F.col(x) > F.col("upper_fence")
+    of = ["q1", "median", "q3", "lower_fence", "upper_fence"]
+    outliers = lambda here: F.coalesce(F.sum(F.when(here, F.col("_c"))), F.lit(0))
+    out = join_null_safe(d, s, list(by)).groupBy(*by, *of).agg(
+        F.min(x).alias("min"), F.max(x).alias("max"), F.sum("_c").alias("n"),
+        outliers(low).alias("n_low_outliers"), outliers(high).alias("n_high_outliers"),
+        F.min(F.when(~low, F.col(x))).alias("whisker_low"), F.max(F.when(~high, F.col(x))).alias("whisker_high"))
+    return out.select(*by, "min", "q1", "median", "q3", "max", "n", "lower_fence", "upper_fence",
+                      "n_low_outliers", "n_high_outliers", "whisker_low", "whisker_high")
 
 
 def median_by(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
@@ -172,28 +179,31 @@ def density(df: DataFrame, by: str, x: str, n_grid: int = 32) -> DataFrame:
     """Gaussian kernel density of ``x`` per group on a shared grid.
 
     Bandwidth per group: Silverman's rule 0.9 * min(sd, IQR/1.34) * n^-1/5.
-    Grid: n_grid points from the overall min to max.  Every grid point is a
-    column of ONE aggregation over the (group, value, count) table.
+    Grid: n_grid points from the overall min to max.  The claims are read once
+    for the (group, value, count) table; every grid point is a column of ONE
+    aggregation over it, with the two bounds as numbers.
     """
-    d = df.filter(F.col(x).isNotNull())
-    bounds = d.select(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    stats = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(x).alias("sd"))
-    stats = join_null_safe(stats, exact_quantiles(d, [by], x, [0.25, 0.75], "_q"), [by])
-    bw = F.lit(0.9) * F.least(F.col("sd"), (F.col("_q")[1] - F.col("_q")[0]) / 1.34) \
-        * F.pow(F.col("n"), F.lit(-0.2))
+    d = _value_counts(df, [by], x)
+    bounds = d.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = (float(bounds["lo"] or 0), float(bounds["hi"] or 0))
+    means = d.groupBy(by).agg(F.sum("_c").alias("n"), (F.sum(F.col("_c") * F.col(x)) / F.sum("_c")).alias("_m"))
+    spread = join_null_safe(d, means, [by]).groupBy(by, "n").agg(
+        F.sum(F.col("_c") * (F.col(x) - F.col("_m")) * (F.col(x) - F.col("_m"))).alias("_s"))
+    stats = join_null_safe(spread, exact_quantiles(d, [by], x, [0.25, 0.75], "_q", count="_c"), [by])
+    sd = F.sqrt(F.col("_s") / F.nullif(F.col("n") - 1, F.lit(0)))
+    bw = F.lit(0.9) * F.least(sd, (F.col("_q")[1] - F.col("_q")[0]) / 1.34) * F.pow(F.col("n"), F.lit(-0.2))
     stats = stats.select(by, "n", bw.alias("bw")).filter(F.col("bw") > 0)
-    vals = join_null_safe(d.groupBy(by, x).agg(F.count(F.lit(1)).alias("_c")), stats, [by])
-    step = (hi - lo) / F.lit(n_grid - 1)
-    grid = [lo + F.lit(g) * step for g in range(n_grid)]
+    vals = join_null_safe(d, stats, [by])
+    step = (hi - lo) / (n_grid - 1)
+    grid = [lo + g * step for g in range(n_grid)]
 
     def kernel(at):
-        z = (at - F.col(x)) / F.col("bw")
+        z = (F.lit(at) - F.col(x)) / F.col("bw")
         return F.sum(F.col("_c") * F.exp(-0.5 * z * z)
                      / (F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5))) / F.max("n")
 
     wide = vals.groupBy(by).agg(*[kernel(at).alias(f"_d{g}") for g, at in enumerate(grid)])
-    points = F.array(*[F.struct(F.lit(g).alias("g"), at.alias("grid_x"), F.col(f"_d{g}").alias("density"))
+    points = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(at).alias("grid_x"), F.col(f"_d{g}").alias("density"))
                        for g, at in enumerate(grid)])
     return wide.select(by, F.explode(points).alias("p")).select(by, "p.*")
 

@@ -1,6 +1,9 @@
 """Data-quality gates.
 
-Each gate returns a small audit DataFrame computed in ONE aggregation pass
+A rule is a count of bad rows as an aggregate column, so a stage can observe
+its rules while it is written (``stages.stage``).
+
+Each audit returns a small audit DataFrame computed in ONE aggregation pass
 (so it is checkable and cheap at any size); ``raise_if_bad`` turns an audit
 into an exception on the driver, reading only the audit rows.
 """
@@ -21,12 +24,38 @@ def _long(df_one_row: DataFrame, names: Sequence[str], label: str = "column",
     return df_one_row.unpivot([], list(names), label, value)
 
 
+def count_bad(bad: Column) -> Column:
+    """Rows where ``bad`` is true."""
+    return count_if(bad)
+
+
+def null_rules(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, Column]:
+    """Column -> count of its NULLs (rules of a gate, see ``raise_if_counted``)."""
+    return {c: count_if(F.col(c).isNull()) for c in cols or df.columns}
+
+
+def covered_rules(df: DataFrame, allowed_when_uncovered: Sequence[str],
+                  cover: str = "LossofIncome_cover") -> dict[str, Column]:
+    """Covered rows: no NULL anywhere.  Uncovered: NULL only in listed columns."""
+    cols, cov = [c for c in df.columns if c != cover], F.col(cover)
+    out = {f"covered|{c}": count_if(cov & F.col(c).isNull()) for c in cols}
+    out |= {f"uncovered|{c}": count_if(~cov & F.col(c).isNull()) for c in cols if c not in set(allowed_when_uncovered)}
+    return out | {f"cover_null|{cover}": count_if(cov.isNull())}
+
+
+def raise_if_counted(counts: Mapping[str, int], what: str = "gate") -> None:
+    """Raise when a rule counted bad rows."""
+    bad = {k: v for k, v in counts.items() if v}
+    if bad:
+        raise AssertionError(f"{what} failed: {bad}")
+
+
 def null_audit(df: DataFrame, cols: Sequence[str] | None = None,
                where: Column | None = None) -> DataFrame:
     """(column, bad_rows): NULL count per column, optionally on a row subset."""
     cols = list(cols or df.columns)
     src = df if where is None else df.filter(where)
-    one = src.agg(*[count_if(F.col(c).isNull()).alias(c) for c in cols])
+    one = src.agg(*[c.alias(n) for n, c in null_rules(src, cols).items()])
     return _long(one, cols)
 
 
@@ -36,13 +65,7 @@ def conditional_null_audit(df: DataFrame, allowed_when_uncovered: Sequence[str],
 
     Returns (rule, column, bad_rows) from one pass over ``df``.
     """
-    cols = [c for c in df.columns if c != cover]
-    cov = F.col(cover)
-    exprs = [count_if(cov & F.col(c).isNull()).alias(f"covered|{c}") for c in cols]
-    exprs += [count_if(~cov & F.col(c).isNull()).alias(f"uncovered|{c}")
-              for c in cols if c not in set(allowed_when_uncovered)]
-    exprs += [count_if(cov.isNull()).alias(f"cover_null|{cover}")]
-    one = df.agg(*exprs)
+    one = df.agg(*[c.alias(n) for n, c in covered_rules(df, allowed_when_uncovered, cover).items()])
     names = one.columns
     long = _long(one, names, "key")
     return long.select(

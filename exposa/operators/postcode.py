@@ -190,8 +190,16 @@ def _nulls_last_fields(cols):
 
 
 def attach_postcode(claims: DataFrame, dim: DataFrame,
-                    cols: Sequence[str] = ("sa3name", "sa4name", "electoraterating")) -> DataFrame:
-    """Inner join claims to the dimension on (postcode, state)."""
-    d = dim.select(F.col("postcode").alias("riskpostcode"), "state", *cols)
-    return claims.join(d, ["riskpostcode", "state"], "inner")
+                    cols: Sequence[str] = ("sa3name", "sa4name", "electoraterating"),
+                    mark: tuple[str, str] | None = None) -> DataFrame:
+    """Inner join claims to the dimension on (postcode, state).
 
+    ``mark``: keep all claims and say in two columns (true or NULL) whether the pair was found and
+    whether the dimension knows the postcode."""
+    d = dim.select(F.col("postcode").alias("riskpostcode"), "state", *cols)
+    if mark is None:
+        return claims.join(d, ["riskpostcode", "state"], "inner")
+    found, known = mark
+    postcodes = d.select("riskpostcode").distinct().withColumn(known, F.lit(True))
+    return claims.join(d.withColumn(found, F.lit(True)), ["riskpostcode", "state"], "left") \
+        .join(postcodes, "riskpostcode", "left")

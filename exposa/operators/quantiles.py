@@ -1,10 +1,12 @@
 """Exact quantiles of groups of any size.
 
-Rows are counted per (group, value), the counts are range-partitioned on
-(group, value), and each partition's running counts start from the totals of
-the partitions before it.  The rows that hold the wanted ranks are then picked
-by a partial aggregation.  No buffer or window ever holds a whole group, so a
-group with most rows is split like any other.
+Groups are counted first.  A group of at most ``most`` rows is sorted in one
+buffer of a keyed aggregation; that is one shuffle on the group, however many
+groups there are.  Only the groups measured larger take the split path: their
+rows are counted per (group, value), the counts are range-partitioned on
+(group, value), each partition's running counts start from the totals of the
+partitions before it, and the rows that hold the wanted ranks are picked by a
+partial aggregation, so no buffer or window ever holds such a group whole.
 """
 
 from __future__ import annotations
@@ -17,17 +19,43 @@ from pyspark.sql import functions as F
 from exposa.functions.expr import join_null_safe
 from exposa.session import checkpoint_dir
 
+MOST = 20_000
+
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, probs: Sequence[float],
-                    out: str = "quantiles") -> DataFrame:
+                    out: str = "quantiles", count: str | None = None, most: int = MOST) -> DataFrame:
     """(by..., out): array of the linearly interpolated quantiles of ``x`` per
-    group; NULL values do not count, and groups without a value do not appear."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    group; NULL values do not count, and groups without a value do not appear.
+    ``count``: a column that says how often each row counts."""
     group = list(by) or ["_all"]
     d = df.filter(F.col(x).isNotNull())
     d = d if by else d.withColumn("_all", F.lit(1))
-    counts = d.groupBy(*group, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    d = d.select(*group, F.col(x).alias("_x"), (F.col(count) if count else F.lit(1)).cast("bigint").alias("_c"))
+    large = d.groupBy(*group).agg(F.sum("_c").alias("_n")).filter(F.col("_n") > most).select(*group)
+    if large.isEmpty():
+        return _small(d, group, probs).select(*by, F.col("_q").alias(out))
+    flag = large.withColumn("_large", F.lit(True))
+    d = join_null_safe(d, flag, group, "left")
+    got = _small(d.filter("_large IS NULL"), group, probs).unionByName(_large(d.filter("_large"), group, probs))
+    return got.select(*by, F.col("_q").alias(out))
+
+
+def _small(d: DataFrame, group: list[str], probs: Sequence[float]) -> DataFrame:
+    """(group..., _q) by sorting each group's values in one aggregation buffer."""
+    values = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_x", "_c"))),
+                                   lambda s: F.array_repeat(s["_x"], s["_c"].cast("int"))))
+    rows = d.groupBy(*group).agg(values.alias("_v"))
+    place = [F.lit(float(p)) * (F.size("_v") - 1) for p in probs]
+    at = lambda rank: F.get("_v", rank.cast("int"))
+    return rows.select(*group, F.array(*[at(F.floor(h)) + (h - F.floor(h)) * (at(F.ceil(h)) - at(F.floor(h)))
+                                         for h in place]).alias("_q"))
+
+
+def _large(d: DataFrame, group: list[str], probs: Sequence[float]) -> DataFrame:
+    """(group..., _q) by running counts over range partitions of (group, value)."""
+    spark = d.sparkSession
+    checkpoint_dir(spark)
+    counts = d.groupBy(*group, "_x").agg(F.sum("_c").alias("_c"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # checkpoint: both branches below must see the same range partitioning
     counts = counts.repartitionByRange(parts, *group, "_x").withColumn("_pid", F.spark_partition_id()).checkpoint()
@@ -48,4 +76,4 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, probs: Sequence[fl
         c for i, h in enumerate(place) for c in (at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"))])
     q = F.array(*[F.col(f"_lo{i}") + (h - F.floor(h)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
                   for i, h in enumerate(place)])
-    return picks.select(*by, q.alias(out))
+    return picks.select(*group, q.alias("_q"))

@@ -46,11 +46,15 @@ LUMP_MIN_EXPOSURE = 5.0
 _MEMO: dict = {}
 
 
-def stage(spark: SparkSession, sf_dir: str, name: str, build, gate=None) -> DataFrame:
+def stage(spark: SparkSession, sf_dir: str, name: str, build, gate=None, rules=None, keep=None) -> DataFrame:
     """Materialise ``build()`` once per (application, sf_dir, stage name).
 
-    ``gate(stage)`` runs on the written stage before anything reads it and
-    raises where the study stops; a stage that fails its gate is not used."""
+    ``rules(df)``: name -> count of bad rows, an aggregate that is observed while the stage
+    is written, so the gate costs no pass of its own; ``keep(df)`` then chooses the rows and columns that
+    are written.  ``gate(stage)`` is a check that reads the written stage.  Either raises where the
+    study stops; a stage that fails is not used."""
+    from pyspark.sql import Observation
+
     from exposa.session import checkpoint_dir
     app = app_id(spark)
     key = (app, sf_dir.rstrip("/"), name)
@@ -58,7 +62,13 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build, gate=None) -> Data
     if path is None:
         tag = re.sub(r"[^A-Za-z0-9_.-]", "_", sf_dir.strip("/"))
         path = f"{checkpoint_dir(spark).rstrip('/')}/exposa-stages/{app}/{tag}/{name}"
-        build().write.mode("overwrite").parquet(path)
+        df, seen = build(), None
+        if rules is not None:
+            seen = Observation()
+            df = df.observe(seen, *[c.alias(n) for n, c in rules(df).items()])
+        (keep(df) if keep else df).write.mode("overwrite").parquet(path)
+        if seen is not None:
+            Q.raise_if_counted(seen.get, name)
         if gate is not None:
             gate(spark.read.parquet(path))
         _MEMO[key] = path
@@ -120,15 +130,16 @@ def claims_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         cc = claims_clean(spark, sf_dir)
         dim = postcode_dimension(spark, sf_dir)
+        Q.raise_if_bad(dim.groupBy("postcode", "state").agg((F.count(F.lit(1)) - 1).alias("bad_rows")),
+                       "postcode dimension")                 # a pair that stands twice would repeat claims
         fixes = stage(spark, sf_dir, "claim_state_fixes",
                       lambda: claim_state_fixes(claim_pairs(spark, sf_dir), dim))
-        return attach_postcode(apply_state_fixes(cc, fixes), dim)
+        return attach_postcode(apply_state_fixes(cc, fixes), dim, mark=("_found", "_known"))
 
-    def gate(joined):
-        # the join may lose only rows whose postcode the dimension does not know
-        Q.raise_if_bad(Q.join_loss_audit(claims_clean(spark, sf_dir), joined,
-                                         postcode_dimension(spark, sf_dir)), "postcode join")
-    return stage(spark, sf_dir, "claims_geo", build, gate)
+    # the join may lose only rows whose postcode the dimension does not know
+    return stage(spark, sf_dir, "claims_geo", build,
+                 rules=lambda df: {"lost": Q.count_bad(F.col("_found").isNull() & F.col("_known").isNotNull())},
+                 keep=lambda df: df.filter("_found").drop("_found", "_known"))
 
 
 def encodings(geo: DataFrame, threshold: float = POSTCODE_THRESHOLD,
@@ -191,7 +202,7 @@ def standardize(rf: DataFrame, base: float = WEIGHT_BASE_MAIN,
 
 def policy_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "policy_claims",
-                 lambda: standardize(claims_encoded(spark, sf_dir)), Q.assert_no_nulls)
+                 lambda: standardize(claims_encoded(spark, sf_dir)), rules=Q.null_rules)
 
 
 def policy_claims_monthly(spark: SparkSession, sf_dir: str,
@@ -248,7 +259,7 @@ def encode_second(clean: DataFrame) -> DataFrame:
 def claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "claims_second",
                  lambda: encode_second(clean_second(claims_monthly(spark, sf_dir))),
-                 lambda df: Q.assert_covered(df, ["suminsured_lossofinc", "grossincurred_lossofinc"]))
+                 rules=lambda df: Q.covered_rules(df, ["suminsured_lossofinc", "grossincurred_lossofinc"]))
 
 
 def consolidate_second(enc: DataFrame, base: float = WEIGHT_BASE_SECOND) -> DataFrame:
@@ -298,4 +309,4 @@ def policy_claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
         return finish_second(v, dim, fixes)
     # the dimension may leave a rating open (its own audit lists them), nothing else
     return stage(spark, sf_dir, "policy_claims_second", build,
-                 lambda df: Q.assert_no_nulls(df, [c for c in df.columns if c != "electoraterating"]))
+                 rules=lambda df: Q.null_rules(df, [c for c in df.columns if c != "electoraterating"]))

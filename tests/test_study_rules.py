@@ -65,20 +65,24 @@ def test_thresholds_do_not_follow_the_folder_name(spark, tmp_path):
         assert a == b
 
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
-def test_exact_quantiles(spark, parts):
+@pytest.mark.parametrize("parts,most", [(1, 20_000), (3, 20_000), (1, 2), (3, 100), (16, 100)])
+def test_exact_quantiles(spark, parts, most):
+    """One huge and many tiny groups; groups above ``most`` rows take the split path."""
     rng = np.random.default_rng(parts)
-    rows = [("hot", float(v)) for v in rng.integers(0, 90, 3000)] + [("b", 1.0), (None, 4.0), (None, 8.0), ("c", None)]
+    rows = [("hot", float(v)) for v in rng.integers(0, 90, 3000)] + [("b", 1.0), (None, 4.0), (None, 8.0), ("c", None)] \
+        + [(f"t{k}", float(v)) for k in range(200) for v in rng.integers(0, 9, 3)]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.25, 0.333, 0.5, 0.9, 1.0]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "x", probs).collect()}
-        whole = exact_quantiles(df, [], "x", probs).first()["quantiles"]
+        got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "x", probs, most=most).collect()}
+        counted = df.groupBy("g", "x").count()
+        weighed = {r.g: r.quantiles for r in exact_quantiles(counted, ["g"], "x", probs, count="count", most=most).collect()}
+        whole = exact_quantiles(df, [], "x", probs, most=most).first()["quantiles"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert set(got) == {"hot", "b", None}
+    assert set(got) == {"hot", "b", None} | {f"t{k}" for k in range(200)} and weighed == got
     for g in got:
         want = np.quantile([x for h, x in rows if h == g], probs)
         assert np.allclose(got[g], want)
@@ -123,6 +127,34 @@ def test_a_stage_that_fails_its_gate_is_not_used(spark):
     assert S.stage(spark, "/nowhere", "gated", lambda: bad.dropna(), Q.assert_no_nulls).count() == 1
 
 
+def test_rules_are_observed_on_the_write(spark):
+    """The stage is computed once, rules see the rows before ``keep``, and a failing stage is not used."""
+    from exposa.plans import stages as S
+    seen = spark.sparkContext.accumulator(0)
+
+    def build(null):
+        def touch(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        rows = spark.createDataFrame([(1, "a"), (2, None if null else "b"), (3, "c")], "k int, v string")
+        return rows.mapInArrow(touch, rows.schema)
+    rules = lambda df: Q.null_rules(df, ["v"])
+    with pytest.raises(AssertionError, match="'v': 1"):
+        S.stage(spark, "/nowhere", "observed", lambda: build(True), rules=rules, keep=lambda df: df.filter("k <> 2"))
+    assert seen.value == 3
+    got = S.stage(spark, "/nowhere", "observed", lambda: build(False), rules=rules, keep=lambda df: df.filter("k <> 2"))
+    assert sorted(r.k for r in got.collect()) == [1, 3] and seen.value == 6
+    empty = S.stage(spark, "/nowhere", "observed_empty", lambda: build(False).filter("false"), rules=rules)
+    assert empty.count() == 0
+
+
+def test_counted_rules_raise():
+    assert Q.raise_if_counted({"lost": 0, "other": None}) is None
+    with pytest.raises(AssertionError):
+        Q.raise_if_counted({"lost": 2})
+
+
 def test_drop_constant(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "c string, n int, d string")
     kept, gone = Q.drop_constant(df, ["c", "d"])
