@@ -9,7 +9,6 @@ from __future__ import annotations
 from exposa.session import app_id
 
 import math
-from functools import reduce
 
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
@@ -18,7 +17,6 @@ from exposa.models import glm as M
 from exposa.models import interaction as IA
 from exposa.models import metrics as MT
 from exposa.models import negbin as NB
-from exposa.models import trees as TR
 from exposa.models import tweedie as TW
 from exposa.operators import consolidate as C
 from exposa.operators import geo as G
@@ -355,47 +353,6 @@ def score_geo_grid_rates(spark, sf_dir):
         .orderBy("rmse", "grid_id")
 
 
-_TREE_FACTORS = ["geo_code", "occupation_risk", "building_type", "construction_floor"]
-
-
-_TARGETS = {"freq_prop": "prop", "sev_prop": "prop", "freq_lossofinc": "lossofinc", "sev_lossofinc": "lossofinc"}
-
-
-def _tree_data(spark, sf_dir, target):
-    """Rows of a target: frequency on all insured versions of the line, severity on
-    those with a claim; log(sum insured) as the numeric predictor."""
-    ln = _TARGETS[target]
-    rows = C.with_sum_insured(S.policy_claims(spark, sf_dir), "nonzero").filter(F.col(f"suminsured_{ln}") > 0)
-    n, amount = F.col(f"claimcount_{ln}"), F.col(f"grossincurred_{ln}")
-    if target.startswith("sev"):
-        rows = rows.filter((n > 0) & (amount > 0)).withColumn(target, amount / n)
-    else:
-        rows = rows.withColumn(target, n / F.col("exposure"))
-    return rows.withColumn("log_suminsured", F.log(f"suminsured_{ln}"))
-
-
-def _importances(spark, sf_dir, fit):
-    parts = []
-    for target in _TARGETS:
-        cvm, names, _ = fit(_tree_data(spark, sf_dir, target), target, _TREE_FACTORS, ["log_suminsured"], key=_KEY)
-        parts.append(TR.tree_importance(spark, cvm, names, target))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-@register("fit_tree")
-def fit_tree(spark, sf_dir):
-    """Regression trees of both lines' frequency and severity, 3-fold CV over
-    depth; variable importance of the best trees."""
-    return _importances(spark, sf_dir, TR.fit_tree)
-
-
-@register("fit_forest")
-def fit_forest(spark, sf_dir):
-    """Random forests (10 trees) of both lines' frequency and severity, mtry
-    1..3 by 3-fold CV; variable importance of the best forests."""
-    return _importances(spark, sf_dir, TR.fit_forest)
-
-
 def _curve_data(spark, sf_dir, knots=4, band=0.1, line="prop"):
     """Per band of log sum insured: claims, exposure and incurred, with
     truncated-power spline columns at quantiles.

@@ -163,10 +163,9 @@ def test_drop_constant(spark):
 
 def test_trees_take_more_than_256_levels(spark):
     df = spark.range(1200).selectExpr("concat('g', id % 300) AS f", "cast(id % 300 > 150 as double) AS y", "id AS k")
-    cvm, names, _ = TR.fit_tree(df, "y", ["f"], key=["k"], depths=(2,), folds=2)
-    assert TR.tree_importance(spark, cvm, names, "y").first()["importance"] == pytest.approx(1.0)
-    _, _, bins = TR.tree_features(df, ["f"])
-    assert bins == 301
+    got = TR.tune(df, df, {"y": TR.Target("y", ())}, ["f"], TR.tree_candidates(depths=(2,)), ["k"], folds=2)
+    assert TR.tree_importance(spark, got).first()["importance"] == pytest.approx(1.0)
+    assert TR.indexer(df, ["f"])[1] == 301
 
 
 def test_interaction_models_against_numpy(spark):
