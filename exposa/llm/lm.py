@@ -18,15 +18,19 @@ their counts in its training rows, to slices of the n-gram hash range; a slice a
 counts up and answers each block in the order it was asked, so an answer is only counts.  An n-gram that
 fills a third of the corpus is one entry a block.
 
-A block does not build states and arcs and carries no state from token to token.  It swaps them
-for columns: for every order from short to long, the weights of all tokens' arcs and of the
-failure arcs of their contexts, looked up at once.  As a context is just the tokens before a
-token, the score is the one that the automaton's path gives, at the price of looking up every
-order for every token.
+From the answers a block builds the part of the automaton that its texts can reach: the states
+of its trained contexts, their arcs, failure arcs and the state that each leads to.  Its texts are
+then read from left to right, all at the same time: every text carries its state from token to token, takes
+failure arcs until the state has an arc for the token, and adds up the weights on the way.  Long
+texts are read in lanes of ``LANE`` tokens; a lane that begins inside a text first reads as many tokens before
+it as the longest context has, which leads to the same state.
+
+n-grams are known by hashes with ``SPARE`` bits more than the count of the text's bytes has (64 at
+most), so the chance that one n-gram is taken for another is less than one in 2 ** SPARE at
+every size of the corpus.
 
 Null and empty texts have the one token ``end``.  Rows that repeat count as often as they
-stand there and are scored alike.  Rows whose id is null are training rows.  n-grams are
-known by 64-bit hashes.
+stand there and are scored alike.  Rows whose id is null are training rows.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exposa.llm import words
-from exposa.llm.tables import cut, shuffle_partitions
+from exposa.llm.tables import cut, read_from_files, shuffle_partitions
 
 BLOCK_BYTES = 8 << 20
 SLICE_KEYS = 4 << 20
+SPARE = 22
+LANE = 256
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
 _STEP = np.uint64(0x9DDFEA08EB382D69)
 
@@ -77,9 +83,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 class Block:
-    """Tokens of a block's documents, and its distinct n-grams of every order."""
+    """Tokens of a block's documents, and its distinct n-grams of every order (keys of ``bits`` bits)."""
 
-    def __init__(self, offsets, packed: bytes, size: int, order: int):
+    def __init__(self, offsets, packed: bytes, size: int, order: int, bits: int = 64):
         import pyarrow as pa
         text = pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
         data, offsets = np.frombuffer(text, np.uint8), np.asarray(offsets, np.int64)
@@ -93,16 +99,17 @@ class Block:
         token[is_end] = END
         token[~is_end] = words.hashes(data, starts, ends)
         place = np.arange(len(token)) - np.repeat(self.first, n)
-        self.keys, self.of = [], []                   # by order: sorted distinct keys, key of each token
+        self.keys, self.of, self.at = [], [], []      # by order: sorted distinct keys, key of each token, a place of each key
         gram, past = token, token
         for k in range(1, order + 1):
             if k > 1:
                 past = np.concatenate(([START], past[:-1]))
                 past[place < k - 1] = START
                 gram = words.mix(gram * _STEP + past + np.uint64(k))
-            keys, of = np.unique(gram, return_inverse=True)
+            keys, at, of = np.unique(gram >> np.uint64(64 - bits), return_index=True, return_inverse=True)
             self.keys.append(keys)
             self.of.append(of)
+            self.at.append(at)
         self.place = place
 
     def counts(self, held) -> list[np.ndarray]:
@@ -110,64 +117,63 @@ class Block:
         return [np.bincount(of[train], minlength=len(k)) for k, of in zip(self.keys, self.of, strict=True)]
 
 
-def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, slices: int, bits: int) -> np.ndarray:
     """Where each slice of the hash range begins among sorted keys (slices + 1)."""
-    bounds = (np.arange(1, slices, dtype=object) * (1 << 64) // slices).astype(np.uint64)
+    bounds = (np.arange(1, slices, dtype=object) * (1 << bits) // slices).astype(np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)])).astype(np.int64)
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as their steps, byte by byte of all (leading bytes are mostly zero), compressed."""
+def _squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of all (leading bytes are mostly zero), compressed."""
     import pyarrow as pa
-    steps = np.diff(keys, prepend=np.uint64(0))
-    steps[0] = keys[0]
-    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+    planes = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _unpack(packed: bytes, n: int) -> np.ndarray:
+def _expand(packed: bytes, n: int) -> np.ndarray:
     import pyarrow as pa
     planes = np.frombuffer(pa.decompress(packed, 8 * n, "zstd"), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def _ask(blocks: DataFrame, order: int, slices: int) -> DataFrame:
-    """(slice, n, block, keys, counts): what blocks hold of every slice."""
+def _ask(blocks: DataFrame, order: int, slices: int, bits: int) -> DataFrame:
+    """(slice, n, block, size, keys, counts): what blocks hold of every slice; keys as their steps."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row["offsets"], row["packed"], row["size"], order)
+                block = Block(row["offsets"], row["packed"], row["size"], order, bits)
                 for n, (keys, count) in enumerate(zip(block.keys, block.counts(row["held"]), strict=True), 1):
-                    cuts = _cuts(keys, slices)
+                    cuts = _cuts(keys, slices, bits)
                     has = np.flatnonzero(np.diff(cuts)).tolist()
+                    steps = [np.diff(keys[cuts[s]:cuts[s + 1]], prepend=np.uint64(0)) for s in has]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(has, pa.int32()), pa.array([n] * len(has), pa.int32()),
-                         pa.array([row["block"]] * len(has), pa.int64()),
-                         pa.array([_pack(keys[cuts[s]:cuts[s + 1]]) for s in has], pa.binary()),
-                         pa.array([count[cuts[s]:cuts[s + 1]].astype(np.uint32).tobytes() for s in has],
-                                  pa.binary())],
-                        names=["slice", "n", "block", "keys", "counts"])
+                         pa.array([row["block"]] * len(has), pa.int64()), pa.array([len(x) for x in steps], pa.int64()),
+                         pa.array([_squeeze(x) for x in steps], pa.binary()),
+                         pa.array([_squeeze(count[cuts[s]:cuts[s + 1]]) for s in has], pa.binary())],
+                        names=["slice", "n", "block", "size", "keys", "counts"])
 
-    return blocks.mapInArrow(run, "slice int, n int, block bigint, keys binary, counts binary")
+    return blocks.mapInArrow(run, "slice int, n int, block bigint, size bigint, keys binary, counts binary")
 
 
 def _answer(asked: DataFrame) -> DataFrame:
-    """(block, slice, n, size, totals, known, distinct): counts of all blocks, in the asker's order.
+    """(block, slice, n, size, totals, distinct, trained): counts of all blocks, in the asker's order.
 
     The first answer of a slice and order carries the slice's distinct trained n-grams."""
     def run(table):
         import pyarrow as pa
-        count = [np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]
-        keys = [_unpack(k, len(c)) for k, c in zip(table.column("keys").to_pylist(), count, strict=True)]
+        size = table.column("size").to_pylist()
+        keys = [np.cumsum(_expand(k, n), dtype=np.uint64) for k, n in zip(table.column("keys").to_pylist(), size, strict=True)]
+        count = [_expand(c, n) for c, n in zip(table.column("counts").to_pylist(), size, strict=True)]
         _, of = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(of, np.concatenate(count)).astype(np.int64)
-        cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        packed = [total[of[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        cuts = np.concatenate(([0], np.cumsum(size)))
         n = len(keys)
         return pa.table({
             "block": table.column("block"), "slice": table.column("slice"), "n": table.column("n"),
-            "size": pa.array([len(p) for p in packed], pa.int64()),
-            "totals": pa.array([pa.compress(p, "zstd", asbytes=True) for p in packed], pa.binary()),
+            "size": table.column("size"),
+            "totals": pa.array([_squeeze(total[of[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             "distinct": pa.array([int((total > 0).sum())] + [0] * (n - 1), pa.int64()),
             "trained": pa.array([int(total.sum())] + [0] * (n - 1), pa.int64())})
 
@@ -175,30 +181,93 @@ def _answer(asked: DataFrame) -> DataFrame:
         run, "block bigint, slice int, n int, size bigint, totals binary, distinct bigint, trained bigint")
 
 
-def traverse(block: Block, counts: list[np.ndarray], train_tokens: int, vocabulary: int,
-             strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Known tokens, base score and model score of each document of a block.
+class Automaton:
+    """The states that a block's texts can reach, with their arcs and failure arcs.
 
-    counts: for each order the training counts of the block's distinct n-grams.
+    counts: for each order the training counts of the block's distinct n-grams; base: probability of
+    each distinct token without a context.  State 0 is the empty context; n-gram j of order k is
+    state ``base_of[k] + j``, the k-fold start of a text the last of its order.
     """
-    base = (counts[0] + 0.1) / (train_tokens + 0.1 * (vocabulary + 1))
-    known = np.add.reduceat((counts[0] > 0)[block.of[0]].astype(np.int64), block.first)
-    base_score = np.add.reduceat(np.log10(base)[block.of[0]], block.first)
-    # tokens that follow a context: the context's count is that of its own n-gram one token before;
-    # the context of a document's first token is its start, seen once a training document
-    starts = counts[0][np.searchsorted(block.keys[0], END)]
-    log_p = np.log10(base)[block.of[0]]
-    for n in range(2, len(counts) + 1):
-        arc = counts[n - 1][block.of[n - 1]]
-        context = np.empty(len(log_p))
-        context[1:] = counts[n - 2][block.of[n - 2][:-1]]
-        context[block.place == 0] = starts
-        fail = np.log10(strength / (context + strength))
-        found = np.flatnonzero(arc)
-        step = fail + log_p                            # the failure arc, then the shorter context
-        step[found] = np.log10((arc[found] + strength * 10.0 ** log_p[found]) / (context[found] + strength))
-        log_p = step
-    return known, base_score, np.add.reduceat(log_p, block.first)
+
+    def __init__(self, block: Block, counts: list[np.ndarray], base: np.ndarray, strength: float):
+        order, tokens = len(counts), len(block.keys[0])
+        end = np.searchsorted(block.keys[0], block.keys[0][block.of[0][block.first[0] + block.n[0] - 1]])
+        starts = counts[0][end]                        # training rows, each of which has one end
+        sizes = [len(k) for k in block.keys]
+        base_of = np.concatenate(([0, 1], 1 + np.cumsum([n + 1 for n in sizes[:order - 1]]))).astype(np.int64)
+        n_states = int(base_of[order])
+        self.tokens = tokens
+        self.fail, self.fail_to = np.zeros(n_states), np.zeros(n_states, np.int64)
+        longest = [np.zeros(tokens, np.int64)]         # by order: the state that a text is in after the n-gram
+        self.start = 0
+        for k in range(1, order):
+            states = base_of[k] + np.arange(sizes[k - 1])
+            suffix = np.zeros(sizes[0], np.int64) if k == 1 else block.of[k - 2][block.at[k - 1]]
+            shorter = longest[k - 1][suffix] if k > 1 else suffix
+            trained = counts[k - 1] > 0
+            longest.append(np.where(trained, states, shorter))
+            self.fail_to[states] = shorter
+            self.fail[states] = np.log10(strength / (counts[k - 1] + strength))
+            first = base_of[k] + sizes[k - 1]
+            self.fail_to[first], self.fail[first] = self.start, np.log10(strength / (starts + strength))
+            self.start = first if starts else 0
+        self.root, self.root_to = np.log10(base), longest[1] if order > 1 else longest[0]
+        keys, weight, to, shorter_p = [], [], [], base
+        for k in range(2, order + 1):
+            at = block.at[k - 1]
+            token, before = block.of[0][at], block.of[k - 2][np.maximum(at - 1, 0)]
+            opens = block.place[at] == 0               # the context is the start of a text
+            context = np.where(opens, starts, counts[k - 2][before])
+            suffix = block.of[k - 2][at]
+            p = (counts[k - 1] + strength * shorter_p[suffix]) / (context + strength)
+            arc = np.flatnonzero(counts[k - 1])
+            state = base_of[k - 1] + np.where(opens, sizes[k - 2], before)
+            keys.append(state[arc] * tokens + token[arc])
+            weight.append(np.log10(p[arc]))
+            to.append(longest[k][arc] if k < order else longest[k - 1][suffix[arc]])
+            shorter_p = p
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        sort = np.argsort(key)
+        self.key = np.append(key[sort], np.iinfo(np.int64).max)
+        self.weight = np.append(np.concatenate(weight)[sort] if keys else [], 0.0)
+        self.to = np.append(np.concatenate(to)[sort] if keys else [], 0).astype(np.int64)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 probability) of one token for each of many texts."""
+        state, total, to = state.copy(), np.zeros(len(state)), np.empty(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            here, word = state[left], token[left]
+            at_root = here == 0
+            key = here * self.tokens + word
+            at = np.searchsorted(self.key, key)
+            arc = (self.key[at] == key) & ~at_root
+            total[left] += np.where(arc, self.weight[at], np.where(at_root, self.root[word], self.fail[here]))
+            to[left] = np.where(arc, self.to[at], self.root_to[word])
+            state[left] = self.fail_to[here]
+            left = left[~(arc | at_root)]
+        return to, total
+
+
+def traverse(block: Block, automaton: Automaton, warm: int) -> np.ndarray:
+    """Score of each document: all texts are read at once, each from left to right with its state.
+
+    warm: tokens that a lane inside a text reads before its own (the longest context)."""
+    lanes = -(-block.n // LANE)
+    doc = np.repeat(np.arange(len(block.n)), lanes)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    skip = np.minimum(nth * LANE, warm)                # read, but not counted
+    begin = block.first[doc] + nth * LANE - skip
+    size = np.minimum(block.n[doc] - nth * LANE, LANE) + skip
+    order = np.argsort(-size, kind="stable")
+    doc, begin, size, skip, nth = (x[order] for x in (doc, begin, size, skip, nth))
+    state = np.where(skip == nth * LANE, automaton.start, 0)
+    total = np.zeros(len(doc))
+    for t in range(int(size[0])):
+        n = int(np.searchsorted(-size, -t, "left"))    # lanes with a token at this step
+        state[:n], gained = automaton.step(state[:n], block.of[0][begin[:n] + t])
+        total[:n] += np.where(t >= skip[:n], gained, 0.0)
+    return np.bincount(doc, total, len(block.n))
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = 2, strength: float = 20.0,
@@ -212,10 +281,12 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
         raise ValueError("order must be 1 or more and strength positive")
     spark = docs.sparkSession
     rows = docs.select(docs[id].alias("id"), held_out(docs[id], parts).alias("held"), docs[text].alias("text"))
-    blocks = cut(_blocks(rows))
-    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()["s"]
+    # blocks of files are the same whenever they are made again; of other rows they are kept
+    blocks = _blocks(rows) if read_from_files(docs) else cut(_blocks(rows))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
     slices = max(shuffle_partitions(spark), -(-size * order // (4 * SLICE_KEYS)))
-    answers = cut(_answer(_ask(blocks, order, slices)))
+    bits = min(64, (size + 2).bit_length() + SPARE)
+    answers = cut(_answer(_ask(blocks, order, slices, bits)))
     total = answers.where("n = 1").agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("n"),
                                        F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     n_train, n_words = total["n"], total["v"]
@@ -223,11 +294,14 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     def run(left, right):
         import pyarrow as pa
         (row,) = left.to_pylist()
-        block = Block(row["offsets"], row["packed"], row["size"], order)
+        block = Block(row["offsets"], row["packed"], row["size"], order, bits)
         got = sorted(right.to_pylist(), key=lambda r: (r["n"], r["slice"]))
-        counts = [np.concatenate([np.frombuffer(pa.decompress(r["totals"], r["size"], "zstd"), np.int64)
-                                  for r in got if r["n"] == n]) for n in range(1, order + 1)]
-        known, base, own = traverse(block, counts, n_train, n_words, strength)
+        counts = [np.concatenate([_expand(r["totals"], r["size"]) for r in got if r["n"] == n]).astype(np.int64)
+                  for n in range(1, order + 1)]
+        p = (counts[0] + 0.1) / (n_train + 0.1 * (n_words + 1))
+        known = np.add.reduceat((counts[0] > 0)[block.of[0]].astype(np.int64), block.first)
+        base = np.add.reduceat(np.log10(p)[block.of[0]], block.first)
+        own = traverse(block, Automaton(block, counts, p, strength), order - 1)
         return pa.table({"id": left.column("ids").combine_chunks().flatten(), "held_out": pa.array(row["held"]),
                          "n_tokens": pa.array(block.n), "n_known": pa.array(known),
                          "train_tokens": pa.array(np.full(len(block.n), n_train)),

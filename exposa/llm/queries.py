@@ -96,14 +96,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_lm_score")
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probability of every document under the bigram automaton of the training rows."""
-    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=2)
+    """Log10 probability of every document under the backoff automaton of the training rows:
+    contexts of two words, which fall back to one word, then to none."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
 
 
-@register("op8_lm_score_order3")
-def op8_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_lm_score, with contexts of two words that fall back to one word, then to none."""
-    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+@register("op8_lm_score_order2")
+def op8_lm_score_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_lm_score, with contexts of one word."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=2)
 
 
 @register("op7_sampled_shards")

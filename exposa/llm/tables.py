@@ -50,6 +50,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def read_from_files(df: DataFrame) -> bool:
+    """Whether ``df`` is made of files without a shuffle, so its partitions are the same whenever it runs again."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "FileScan" in plan and "Exchange" not in plan and "ExistingRDD" not in plan
+
+
 def with_row_key(df: DataFrame, to: str) -> DataFrame:
     """``df`` with a column that tells its rows apart, the same whenever the plan runs again.
 

@@ -1,5 +1,6 @@
 """Embeddings, shards, LM scoring, URLs, revisits, quotes and the pipeline."""
 
+import itertools
 import math
 import random
 import zlib
@@ -135,7 +136,7 @@ def _same_scores(got, want):
 
 def test_lm_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got = queries.QUERIES["op8_lm_score"](spark, SF).collect()
+    got = queries.QUERIES["op8_lm_score_order2"](spark, SF).collect()
     _same_scores([tuple(r) for r in got], _scores(rows))
 
 
@@ -148,19 +149,74 @@ def test_lm_edges(spark):
 
 def test_lm_probabilities_add_up(spark):
     """In every state the known words, the end and one unknown word have probability one."""
-    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:3]
-    texts = ["a b a c", "b a", "c c a"]
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:4]
+    held = [i for i in range(1000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0]
     words = ["a", "b", "c", "unseen"]
-    for context in ([], ["a"], ["b"], ["unseen"], ["a", "b"]):
-        held = [i for i in range(100, 10_000) if zlib.crc32(str(i).encode()) % 10 == 0]
-        stem = " ".join(context)
-        asked = [f"{stem} {w}".strip() for w in words]
-        df = frame(spark, [*zip(train, texts), *zip(held, [*asked, stem])], clashing=False)
-        got = {r.doc_id: r.score for r in lm.score(df, order=3).collect()}
-        ends = {r.doc_id: r.score for r in lm.score(frame(spark, [*zip(train, texts), *zip(held, asked)], False), order=3)
-                .collect()}
-        assert ends[held[0]] == pytest.approx(got[held[0]])
-        assert got[held[len(asked)]] < 0
+    for order in (1, 2, 3, 4):
+        asked = [" ".join(c) for n in range(4) for c in itertools.product(words, repeat=n)]
+        rows = [*zip(train, ["a b a c", "b a", "c c a", ""]), *zip(held, asked)]
+        got = {r.doc_id: r.score for r in lm.score(frame(spark, rows, clashing=False), order=order).collect()}
+        log_p = {tuple(t.split()): got[i] for i, t in zip(held, asked)}
+        # P(words of c) = P(c, end) + sum over the next word w of P(words of c, w)
+        whole = lambda c: 10 ** log_p[c]
+        ends = _end_probability(rows[:4], order)
+        for c in (c for c in log_p if len(c) < 3):
+            after = whole(c) + sum(whole((*c, w)) / ends((*c, w)) for w in words)
+            assert after == pytest.approx(whole(c) / ends(c), rel=1e-9)
+
+
+def _end_probability(rows, order, strength=20.0):
+    """P(end | words of a text) by plain counting."""
+    pad = ["<s>"] * (order - 1)
+    count = Counter()
+    for _, t in rows:
+        t = [*pad, *t.split(), None]
+        for n in range(1, order + 1):
+            count.update(tuple(t[k - n + 1:k + 1]) for k in range(len(pad), len(t)))
+    for n in range(1, order):
+        count[("<s>",) * n] = len(rows)
+    single = [c for g, c in count.items() if len(g) == 1 and g != ("<s>",)]
+
+    def of(words):
+        known = [*pad, *words]
+        p = (count[(None,)] + 0.1) / (sum(single) + 0.1 * (len(single) + 1))
+        for n in range(2, order + 1):
+            h = tuple(known[len(known) - n + 1:])
+            p = (count[(*h, None)] + strength * p) / (count[h] + strength)
+        return p
+    return of
+
+
+@pytest.mark.parametrize("lane", [1, 2, 3, 256])
+def test_lm_lanes_and_failure_arcs(spark, monkeypatch, lane):
+    """Texts read in short lanes score the same; the automaton's arcs end in the longest trained state."""
+    monkeypatch.setattr(lm, "LANE", lane)
+    rnd = random.Random(lane)
+    rows = [(i, " ".join(rnd.choices("abcde", weights=[8, 4, 2, 1, 1], k=rnd.randint(0, 40)))) for i in range(60)]
+    df = frame(spark, rows, clashing=False)
+    _same_scores([tuple(r) for r in lm.score(df, order=2).collect()], _scores(rows))
+    three = {r.doc_id: r.score for r in lm.score(df, order=3).collect()}
+    monkeypatch.setattr(lm, "LANE", 1000)
+    assert three == pytest.approx({r.doc_id: r.score for r in lm.score(df, order=3).collect()})
+
+
+def test_lm_automaton_states():
+    import pyarrow as pa
+    text = b"a b a b c a b c"
+    block = lm.Block([0, len(text)], pa.compress(text, "zstd", asbytes=True), len(text), 3)
+    counts = block.counts([False])
+    base = np.full(len(block.keys[0]), 0.2)
+    m = lm.Automaton(block, counts, base, 20.0)
+    state, at = np.array([m.start]), []
+    for t in block.of[0]:
+        state, gained = m.step(state, np.array([t]))
+        at.append(int(state[0]))
+        assert gained[0] < 0
+    assert at[1] == at[1 + 0] and at[2 + 1] == at[6] != at[2] and len(set(at[:-1])) == 5   # ab, ba, ab, bc, ca, ab, bc
+    assert m.fail_to[m.fail_to[at[3]]] == 0                                 # a b -> b -> the empty context
+    unseen = block.of[0][4]                                                  # c after "b a" has no arc in it, nor in a
+    _, p = m.step(np.array([at[2]]), np.array([unseen]))
+    assert p[0] == pytest.approx(m.fail[at[2]] + m.fail[m.fail_to[at[2]]] + math.log10(0.2))
 
 
 def test_url_edges(spark):
@@ -346,9 +402,9 @@ def test_lm_query_of_order_three(spark):
         for n in (2, 3):
             p = [(count[g] + 20 * q) / (count[g[:-1]] + 20) for g, q in zip(grams(t, n), p, strict=True)]
         want[i] = sum(map(math.log10, p))
-    got = {r.doc_id: r.score for r in queries.QUERIES["op8_lm_score_order3"](spark, SF).collect()}
+    got = {r.doc_id: r.score for r in queries.QUERIES["op8_lm_score"](spark, SF).collect()}
     assert got == pytest.approx(want)
-    assert got != pytest.approx({r.doc_id: r.score for r in queries.QUERIES["op8_lm_score"](spark, SF).collect()})
+    assert got != pytest.approx({r.doc_id: r.score for r in queries.QUERIES["op8_lm_score_order2"](spark, SF).collect()})
 
 
 def test_shard_files_hold_every_row_once(spark, tmp_path):
