@@ -29,8 +29,8 @@ from exposa.llm import words
 from exposa.llm.tables import unused
 
 SHARD_BYTES = 8 << 20
-FOUND = ("n_words bigint, spans array<struct<start:int,end:int>>, items array<bigint>, longest int, "
-         "longest_at int, longest_item bigint, longest_item_at int")
+FOUND = ("n_words bigint, spans array<struct<start:int,end:int>>, items array<{id}>, longest int, "
+         "longest_at int, longest_item {id}, longest_item_at int")
 
 
 class Index:
@@ -211,11 +211,15 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "t
     spans: the words inside any occurrence of a window, as disjoint [start, end) word
     numbers; items: ids with an occurring window; longest...: the longest verbatim match of a
     window's words or more, where it stands, and in which item (earliest place, least id).
+    Ids keep their type, whole numbers as long.
     """
     docs = docs.drop(to) if to in docs.columns else docs
     (found,) = unused(docs, "found_overlap")
-    out = docs.withColumn(found, F.lit(None).cast(T._parse_datatype_string(FOUND)))
-    frame = items.select(items[item_id].cast("bigint").alias("id"), items[item_text].alias("text"))
+    whole = isinstance(items.schema[item_id].dataType, T.IntegralType)
+    frame = items.select((items[item_id].cast("bigint") if whole else items[item_id]).alias("id"),
+                         items[item_text].alias("text"))
+    kind = FOUND.format(id=frame.schema["id"].dataType.simpleString())
+    out = docs.withColumn(found, F.lit(None).cast(T._parse_datatype_string(kind)))
     passes = 0
     for block in item_blocks(frame, block_bytes):
         out, passes = _pass(out, found, text, block, window), passes + 1

@@ -8,9 +8,10 @@ known letter adds nothing.  The language with the greatest sum is predicted (tie
 name); the score is its share when the mean log frequencies a word are made probabilities.
 
 The model is fitted on a bounded sample: about ``rows_each`` labelled rows a language, drawn
-by a hash of their id, and at most ``words_each`` words and ``grams_each`` n-grams of a length
-a language (the most frequent; all that tie with the first one left out are left out too).  So
-its size is bounded, whatever the corpus.  Every document is predicted, from its whole text.
+by a hash of their id.  All words and n-grams of the drawn rows are part of it; ``words_each`` and
+``grams_each`` make it smaller, to that many words and n-grams of a length a language (the most
+frequent; equal counts in the order of their text).  Every document is predicted, from its whole
+text.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if no row is
 labelled.  A text with letters but without evidence gets the language with most labelled rows
@@ -26,6 +27,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from exposa.llm.tables import unused
 
@@ -157,7 +159,7 @@ def _count(frame: DataFrame, longest: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows_each: int = 4000,
-        words_each: int = 20000, grams_each: int = 20000, longest: int = 4) -> Model:
+        words_each: int | None = None, grams_each: int | None = None, longest: int = 4) -> Model:
     """Model of the labelled rows of ``docs`` that are not held out."""
     from exposa.llm.tables import cut
     rows = docs.select(docs[id].alias("id"), docs[text].alias("text"), docs[lang].alias("lang")) \
@@ -169,21 +171,14 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = [(F.col("lang") == x) & (draw < int(min(1.0, rows_each / labelled[x]) * (1 << 30))) for x in langs]
     counts = cut(_count(rows.where(reduce(lambda a, b: a | b, share)), longest))
-    # how many entries each count has decides the least count that fits the model's size
-    sizes = counts.groupBy("lang", "n", "c").agg(F.count("*").alias("k")).collect()
-    totals: dict[tuple, tuple[int, int]] = {}
-    least: dict[tuple, int] = {}
-    for key in {(r["lang"], r["n"]) for r in sizes}:
-        own = sorted(((r["c"], r["k"]) for r in sizes if (r["lang"], r["n"]) == key), reverse=True)
-        totals[key] = sum(c * k for c, k in own), sum(k for _, k in own)
-        kept, least[key] = 0, own[0][0] + 1
-        for c, k in own:
-            if kept + k > (grams_each if key[1] else words_each):
-                break
-            kept, least[key] = kept + k, c
-    keep = reduce(lambda a, b: a | b, [(F.col("lang") == x) & (F.col("n") == n) & (F.col("c") >= c)
-                                       for (x, n), c in sorted(least.items())])
-    found = [tuple(r) for r in counts.where(keep).select("lang", "n", "gram", "c").toLocalIterator()]
+    sizes = counts.groupBy("lang", "n").agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()
+    totals = {(r["lang"], r["n"]): (r["c"], r["k"]) for r in sizes}
+    most = F.when(F.col("n") == 0, F.lit(words_each).cast("bigint")).otherwise(F.lit(grams_each).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
+    if words_each is not None or grams_each is not None:
+        counts = counts.withColumn("place", place).where(F.coalesce(F.col("place") <= most, F.lit(True)))
+    # bounded by the sample that the model is fitted on
+    found = list(zip(*counts.select("lang", "n", "gram", "c").toArrow().to_pydict().values(), strict=True))
     return Model(langs, sorted(found), totals, [labelled[x] for x in langs])
 
 

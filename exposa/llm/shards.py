@@ -137,7 +137,9 @@ def write(docs: DataFrame, path: str, shards: int, id: str = "doc_id", text: str
     """Files of each shard: every row of ``docs`` with its shard and slot, written under ``shard=k``.
 
     Rows meet their places by a key of the row, so null and repeated ids keep every row once.
+    Columns of ``docs`` named shard or slot give way to these.
     """
+    docs = docs.drop("shard", "slot")
     (row_key,) = unused(docs, "row_key")
     keyed = with_row_key(docs, row_key)
     placed = assign(keyed, shards, id, text, row_key=row_key, **how)

@@ -91,6 +91,12 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """Resolved revisits with the payload they stand for."""
-    bodies = records.select(F.col("record_id").alias("response_id"), "payload")
-    return resolved.join(bodies, "response_id", "left")
+    """Resolved revisits with the payload they stand for (null if it is null), one row a revisit.
+
+    A response row that repeats counts once; of rows with one id and several payloads, that which
+    ``resolve`` took, known by its digest."""
+    bodies = records.where("warc_type = 'response'").groupBy(
+        F.col("record_id").alias("_id"), F.md5(F.col("payload").cast("binary")).alias("_md5")) \
+        .agg(F.min("payload").alias("payload"))
+    return resolved.join(bodies, (F.col("response_id") == F.col("_id")) & F.col("payload_md5").eqNullSafe(F.col("_md5")),
+                         "left").drop("_id", "_md5")

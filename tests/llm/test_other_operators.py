@@ -1,5 +1,6 @@
 """Embeddings, shards, LM scoring, URLs, revisits, quotes and the pipeline."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -62,8 +63,9 @@ def test_embedding_split_buckets(spark):
     rows = [(i, (centre + 0.1 * rnd.standard_normal(16)).tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     one, many = (sorted(map(tuple, embed.near_duplicates(df, most=m).collect())) for m in (1024, 37))
-    assert one == many
-    assert sum(r[1] for r in one) >= 0.99 * 2 * len(_links(rows))
+    links = _links(rows)
+    root, n = union_find(links, range(len(rows))), Counter(x for pair in links for x in pair)
+    assert one == many == sorted((i, n[i], root[i], root[i] == i) for i, _ in rows) and sum(n.values()) > 600
 
 
 def test_rotated_codes_estimate_without_bias():
@@ -421,6 +423,27 @@ def test_shard_files_hold_every_row_once(spark, tmp_path):
         assert all(r["row_key"] == "row_key!" for r in got)
 
 
+def test_shard_files_replace_columns_of_their_names(spark, tmp_path):
+    docs = frame(spark, [(i, "x" * i) for i in range(40)]).selectExpr("*", "'mine' AS shard", "'mine' AS slot")
+    shards.write(docs, str(tmp_path / "out"), 3)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 40 and {r.shard for r in got} == {0, 1, 2} and all(isinstance(r.slot, int) for r in got)
+
+
+def test_payloads_of_repeated_responses(spark):
+    http = "HTTP/1.1 200 OK\r\n\r\n"
+    rows = [(1, "response", "http://a.org/", 10, http, "one")] * 2 + [(1, "response", "http://a.org/", 10, http, "other"),
+            (2, "revisit", "http://a.org/", 20, "HTTP/1.1 304 Not Modified\r\n\r\n", None),
+            (3, "response", "http://b.org/", 10, http, None),
+            (4, "revisit", "http://b.org/", 20, "HTTP/1.1 304 Not Modified\r\n\r\n", None)]
+    df = spark.createDataFrame(rows, "record_id bigint, warc_type string, target_uri string, warc_date bigint, "
+                                     "http string, payload string")
+    got = {r.record_id: r for r in warc.with_payload(warc.resolve(df), df).collect()}
+    assert set(got) == {2, 4} and got[2].payload in ("one", "other") and got[4].payload is None
+    assert got[2].payload_md5 == hashlib.md5(got[2].payload.encode()).hexdigest()
+    assert warc.with_payload(warc.resolve(df), df).count() == 2
+
+
 def test_frequent_passages_do_not_outrank_the_original(spark):
     """A greeting of a later, unrelated message, against all quoted passages and plain scoring."""
     rows = [("A", 10, "A long passage of its own\n\nThanks."), ("B", 50, "Thanks."),

@@ -1,9 +1,13 @@
 """BPE, SimHash, decontamination and language ID against brute force."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -198,6 +202,69 @@ def test_langid_query(spark):
     assert sum(docs[r.doc_id].lang == r.lang_pred for r in held) >= 0.98 * len(held)
 
 
+def _plain_language(train, text):
+    """(language, score) by plain counting over the training rows: words first, then shorter and shorter n-grams."""
+    letters = lambda w: "".join(c for c in w if c.isalpha())
+    found = lambda t: [w for w in map(letters, re.findall(r"[^\W\d_]+", (t or "").lower())) if w]
+    grams = lambda w, n: [w] if n == 0 else [v[i:i + n] for v in [f" {w} " if n > 1 else w]
+                                             for i in range(len(v) - n + 1)]
+    if not hasattr(_plain_language, "memo") or _plain_language.memo[0] is not train:
+        count = {}
+        for lang, t in train:
+            for w in found(t):
+                for n in range(5):
+                    for g in grams(w, n):
+                        count.setdefault(n, Counter())[g, lang] += 1
+        langs = sorted({lang for lang, _ in train})
+        size = {(n, x): sum(c for (_, y), c in v.items() if x == y) for n, v in count.items() for x in langs}
+        known = {n: {g for g, _ in v} for n, v in count.items()}
+        _plain_language.memo = train, count, langs, size, known
+    _, count, langs, size, known = _plain_language.memo
+    log = lambda n, g, x: math.log((count[n][g, x] + 0.5) / (size[n, x] + 0.5 * (len(known[n]) + 1)))
+    total, n_words = dict.fromkeys(langs, 0.0), 0
+    for w, times in Counter(found(text)).items():
+        for n in (0, 4, 3, 2, 1):
+            has = [g for g in grams(w, n) if g in known[n]]
+            if has:
+                for x in langs:
+                    total[x] += times * sum(log(n, g, x) for g in has) / len(has)
+                n_words += times
+                break
+    if not n_words:
+        return None
+    mean = [total[x] / n_words for x in langs]
+    return langs[mean.index(max(mean))], 1 / sum(math.exp(m - max(mean)) for m in mean)
+
+
+def test_langid_scores_by_plain_counting(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    train = [(r.lang, r.text) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None]
+    assert max(Counter(lang for lang, _ in train).values()) < 4000        # so the sample is all of them
+    got = {r.doc_id: r for r in queries.QUERIES["op10_language_id"](spark, SF).collect()}
+    for r in docs:
+        want = _plain_language(train, r.text)
+        if want:
+            assert got[r.doc_id].lang_pred == want[0] and got[r.doc_id].score == pytest.approx(want[1], rel=1e-6)
+
+
+def test_langid_sizes_cut_ties_by_text(spark):
+    rows = [(i, " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)) + " often often", "en")
+            for i in range(1, 4) if zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole, some = langid.fit(df), langid.fit(df, words_each=100, grams_each=10)
+    assert len(whole.index[0]) == 301 and len(some.index[0]) == 100
+    assert set(some.index[0]) == {"often", *sorted(set(whole.index[0]) - {"often"})[:99]}
+    assert all(len(some.index[n]) == 10 for n in (1, 2, 3, 4))
+    assert np.allclose(some.log[0][some.index[0]["often"]], np.log((len(rows) * 2 + 0.5) / (302 * len(rows) + 0.5 * 101)))
+
+
+def test_overlap_of_items_with_text_ids(spark):
+    docs = frame(spark, [(1, "x one two three y"), (2, "none")])
+    items = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), (None, "one two")], "item_id string, text string")
+    got = {r.doc_id: r.overlap for r in decontam.overlaps(docs, items, window=3).collect()}
+    assert got[1]["items"] == ["a", "b"] and got[1]["longest_item"] == "a" and got[2]["items"] == []
+
+
 def test_langid_ignores_held_out_and_null_labels(spark):
     rows = [(i, t, lang) for i in range(60) for t, lang in [("the cat and the hat", "en"), ("le chat et le chien", "fr")]]
     rows += [(i, "zzzz qqqq", "xx") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
