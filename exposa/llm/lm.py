@@ -35,6 +35,8 @@ stand there and are scored alike.  Rows whose id is null are training rows.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,28 +57,37 @@ def held_out(id, parts: int = 10):
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % parts == 0, F.lit(False))
 
 
+def _packed(batches):
+    """Rows (id, held, text) of Arrow batches packed in blocks: ids, held flags, compressed text, offsets."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+    part, k = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        data, offsets = words.column_bytes(batch.column("text"))
+        for at, to in words.blocks(offsets, BLOCK_BYTES):
+            own = batch.slice(at, to - at)
+            text = data[offsets[at]:offsets[to]].tobytes()
+            yield {"block": (part << 32) + k, "ids": own.column("id").to_pylist(),
+                   "held": own.column("held").to_pylist(), "size": len(text),
+                   "offsets": (offsets[at:to + 1] - offsets[at]).tolist(),
+                   "packed": pa.compress(text, "zstd", asbytes=True)}
+            k += 1
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (id, held, text) packed in blocks: ids, held flags, compressed text, offsets."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
-        part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            data, offsets = words.column_bytes(batch.column("text"))
-            for at, to in words.blocks(offsets, BLOCK_BYTES):
-                own = batch.slice(at, to - at)
-                text = data[offsets[at]:offsets[to]].tobytes()
-                yield pa.RecordBatch.from_pylist([{
-                    "block": (part << 32) + k, "ids": own.column("id").to_pylist(),
-                    "held": own.column("held").to_pylist(), "size": len(text),
-                    "offsets": (offsets[at:to + 1] - offsets[at]).tolist(),
-                    "packed": pa.compress(text, "zstd", asbytes=True)}], schema=pa.schema(
-                        [("block", pa.int64()), ("ids", pa.list_(batch.schema.field("id").type)),
-                         ("held", pa.list_(pa.bool_())), ("size", pa.int64()),
-                         ("offsets", pa.list_(pa.int64())), ("packed", pa.binary())]))
-                k += 1
+            id_type = batch.schema.field("id").type
+            break
+        else:
+            return
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())),
+                            ("size", pa.int64()), ("offsets", pa.list_(pa.int64())), ("packed", pa.binary())])
+        for row in _packed(itertools.chain([batch], batches)):
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return rows.mapInArrow(run, f"block bigint, ids array<{kind}>, held array<boolean>, size bigint, "
                                 "offsets array<bigint>, packed binary")
@@ -98,23 +109,25 @@ class Block:
         is_end[self.first + n - 1] = True
         token[is_end] = END
         token[~is_end] = words.hashes(data, starts, ends)
-        place = np.arange(len(token)) - np.repeat(self.first, n)
-        self.keys, self.of, self.at = [], [], []      # by order: sorted distinct keys, key of each token, a place of each key
-        gram, past = token, token
-        for k in range(1, order + 1):
+        self.token, self.bits, self.order = token, bits, order
+        self.place = np.arange(len(token)) - np.repeat(self.first, n)
+        self.keys, self.of, self.at = [], [], []      # see ``grams``, by order
+
+    def grams(self):
+        """Of every order: sorted distinct keys, the key of each token's n-gram, a place of each key."""
+        gram, past = self.token, self.token
+        for k in range(1, self.order + 1):
             if k > 1:
                 past = np.concatenate(([START], past[:-1]))
-                past[place < k - 1] = START
+                past[self.place < k - 1] = START
                 gram = words.mix(gram * _STEP + past + np.uint64(k))
-            keys, at, of = np.unique(gram >> np.uint64(64 - bits), return_index=True, return_inverse=True)
-            self.keys.append(keys)
-            self.of.append(of)
-            self.at.append(at)
-        self.place = place
+            keys, at, of = np.unique(gram >> np.uint64(64 - self.bits), return_index=True, return_inverse=True)
+            yield keys, of.astype(np.int32), at.astype(np.int32)
 
-    def counts(self, held) -> list[np.ndarray]:
-        train = np.repeat(~np.asarray(held, bool), self.n)
-        return [np.bincount(of[train], minlength=len(k)) for k, of in zip(self.keys, self.of, strict=True)]
+    def hold(self) -> Block:
+        """The block with the n-grams of all orders at once."""
+        self.keys, self.of, self.at = (list(x) for x in zip(*self.grams(), strict=True))
+        return self
 
 
 def _cuts(keys: np.ndarray, slices: int, bits: int) -> np.ndarray:
@@ -136,25 +149,30 @@ def _expand(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def _ask(blocks: DataFrame, order: int, slices: int, bits: int) -> DataFrame:
-    """(slice, n, block, size, keys, counts): what blocks hold of every slice; keys as their steps."""
+def _ask(rows: DataFrame, order: int, slices: int, bits: int) -> DataFrame:
+    """(slice, n, block, size, keys, counts): what blocks hold of every slice; keys as their steps.
+
+    rows: blocks, or the rows that they are packed from."""
+    packed = "packed" in rows.columns
+
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row["offsets"], row["packed"], row["size"], order, bits)
-                for n, (keys, count) in enumerate(zip(block.keys, block.counts(row["held"]), strict=True), 1):
-                    cuts = _cuts(keys, slices, bits)
-                    has = np.flatnonzero(np.diff(cuts)).tolist()
-                    steps = [np.diff(keys[cuts[s]:cuts[s + 1]], prepend=np.uint64(0)) for s in has]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(has, pa.int32()), pa.array([n] * len(has), pa.int32()),
-                         pa.array([row["block"]] * len(has), pa.int64()), pa.array([len(x) for x in steps], pa.int64()),
-                         pa.array([_squeeze(x) for x in steps], pa.binary()),
-                         pa.array([_squeeze(count[cuts[s]:cuts[s + 1]]) for s in has], pa.binary())],
-                        names=["slice", "n", "block", "size", "keys", "counts"])
-
-    return blocks.mapInArrow(run, "slice int, n int, block bigint, size bigint, keys binary, counts binary")
+        for row in (r for b in batches for r in b.to_pylist()) if packed else _packed(batches):
+            block = Block(row["offsets"], row["packed"], row["size"], order, bits)
+            train = np.repeat(~np.asarray(row["held"], bool), block.n)
+            for n, (keys, of, _) in enumerate(block.grams(), 1):
+                count = np.bincount(of[train], minlength=len(keys))
+                cuts = _cuts(keys, slices, bits)
+                has = np.flatnonzero(np.diff(cuts)).tolist()
+                steps = [np.diff(keys[cuts[s]:cuts[s + 1]], prepend=np.uint64(0)) for s in has]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(has, pa.int32()), pa.array([n] * len(has), pa.int32()),
+                     pa.array([row["block"]] * len(has), pa.int64()), pa.array([len(x) for x in steps], pa.int64()),
+                     pa.array([_squeeze(x) for x in steps], pa.binary()),
+                     pa.array([_squeeze(count[cuts[s]:cuts[s + 1]]) for s in has], pa.binary())],
+                    names=["slice", "n", "block", "size", "keys", "counts"])
+
+    return rows.mapInArrow(run, "slice int, n int, block bigint, size bigint, keys binary, counts binary")
 
 
 def _answer(asked: DataFrame) -> DataFrame:
@@ -282,11 +300,12 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     spark = docs.sparkSession
     rows = docs.select(docs[id].alias("id"), held_out(docs[id], parts).alias("held"), docs[text].alias("text"))
     # blocks of files are the same whenever they are made again; of other rows they are kept
-    blocks = _blocks(rows) if read_from_files(docs) else cut(_blocks(rows))
+    again = read_from_files(docs)
+    blocks = _blocks(rows) if again else cut(_blocks(rows))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
     slices = max(shuffle_partitions(spark), -(-size * order // (4 * SLICE_KEYS)))
     bits = min(64, (size + 2).bit_length() + SPARE)
-    answers = cut(_answer(_ask(blocks, order, slices, bits)))
+    answers = cut(_answer(_ask(rows if again else blocks, order, slices, bits)))
     total = answers.where("n = 1").agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("n"),
                                        F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     n_train, n_words = total["n"], total["v"]
@@ -294,7 +313,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     def run(left, right):
         import pyarrow as pa
         (row,) = left.to_pylist()
-        block = Block(row["offsets"], row["packed"], row["size"], order, bits)
+        block = Block(row["offsets"], row["packed"], row["size"], order, bits).hold()
         got = sorted(right.to_pylist(), key=lambda r: (r["n"], r["slice"]))
         counts = [np.concatenate([_expand(r["totals"], r["size"]) for r in got if r["n"] == n]).astype(np.int64)
                   for n in range(1, order + 1)]

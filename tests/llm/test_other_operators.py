@@ -205,8 +205,8 @@ def test_lm_lanes_and_failure_arcs(spark, monkeypatch, lane):
 def test_lm_automaton_states():
     import pyarrow as pa
     text = b"a b a b c a b c"
-    block = lm.Block([0, len(text)], pa.compress(text, "zstd", asbytes=True), len(text), 3)
-    counts = block.counts([False])
+    block = lm.Block([0, len(text)], pa.compress(text, "zstd", asbytes=True), len(text), 3).hold()
+    counts = [np.bincount(of, minlength=len(k)) for k, of in zip(block.keys, block.of, strict=True)]
     base = np.full(len(block.keys[0]), 0.2)
     m = lm.Automaton(block, counts, base, 20.0)
     state, at = np.array([m.start]), []
