@@ -9,8 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from exposa.llm import embed, lm, queries, quotes, shards, urls, warc
+from exposa.llm import asof, embed, lm, queries, quotes, shards, urls, warc
 from exposa.llm.asof import latest_before, rank_within
 from tests.llm.common import CLASHING, LONG, ROWS, SF, frame, space_words, union_find
 from tests.oracle_check import compare, duck
@@ -288,10 +289,14 @@ def test_revisits(spark):
     assert warc.resolve(df.where("false")).collect() == []
 
 
-def test_as_of_and_ranks(spark):
+@pytest.mark.parametrize("most", [3, 25, 250_000])
+def test_as_of_and_ranks(spark, monkeypatch, most):
+    monkeypatch.setattr(asof, "SLICE_ROWS", most)
     rnd = random.Random(1)
     known = [(rnd.choice("ab"), rnd.randint(0, 300), rnd.randint(0, 9)) for _ in range(400)]
+    known += [("a", 10**12, 1), ("a", -10**12, 2), *[("b", 50, k) for k in range(60)]]
     asked = [(rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(300)]), n) for n in range(300)]
+    asked += [("b", 50, 1000 + n) for n in range(40)] + [("a", 2 * 10**12, 2000)]
     k = spark.createDataFrame(known, "k string, at bigint, v int").selectExpr("k", "at", "struct(v) AS v")
     a = spark.createDataFrame(asked, "k string, at bigint, n int")
     want = {n: max(((t, v) for key, t, v in known if key == c and at is not None and t < at), default=(None, None))[1]
@@ -305,6 +310,19 @@ def test_as_of_and_ranks(spark):
             assert [r.place for r in own] == list(range(len(own)))
 
 
+def test_a_burst_beside_an_outlying_time_is_cut(spark, monkeypatch):
+    """Equal widths put the burst in one slice; it is cut again until no slice is overfull."""
+    monkeypatch.setattr(asof, "SLICE_ROWS", 100)
+    rows = spark.range(3000).selectExpr("'hot' AS k", "cast(5000 + id div 2 as bigint) AS at") \
+        .union(spark.range(1).selectExpr("'hot'", "1000000000000000"))
+    got, flat = asof._sliced(rows, ["k"], "at", 1024)
+    sizes = got.groupBy("slice").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("slice").collect()
+    assert flat is None and max(r.n for r in sizes) <= 100 and sum(r.n for r in sizes) == 3001
+    assert all(a.hi < b.slice <= b.lo for a, b in zip(sizes[:-1], sizes[1:], strict=True))
+    _, flat = asof._sliced(rows.withColumn("at", F.col("at") * 0), ["k"], "at", 1024)
+    assert [r["_k0"] for r in flat.collect()] == ["hot"]
+
+
 def test_quotes_query(spark):
     """Every turn is linked to the turn it quotes; texts come back without quotes."""
     turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
