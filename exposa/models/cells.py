@@ -31,7 +31,7 @@ from exposa.models.tweedie import lgamma_np, tweedie_logpdf
 from exposa.session import checkpoint_dir
 
 FAMILIES = ("poisson", "negbin", "gamma", "tweedie", "binomial")
-EXTRAS = ("objective", "pearson", "weight", "rows", "score", "info", "spread", "excess")
+EXTRAS = ("objective", "pearson", "weight", "rows", "score", "info", "spread", "excess", "zz")
 POISSON_LIMIT = 1e7              # theta beyond which no over-dispersion is left to fit
 SUM_PARTS = 64                   # vectors of one model that a task adds up in the first step
 
@@ -43,6 +43,7 @@ class Spec:
     power: float = 1.5               # of the variance (tweedie)
     weight: str = "w"                # prior weights: w (the weight column) or n (rows)
     encoding: str | None = None      # name of the encoding whose levels are a factor
+    penalty: tuple[float, ...] | None = None      # of the squared coefficients, in the order of their names
 
 
 @dataclass
@@ -93,6 +94,8 @@ class Fit:
     iterations: int = 0
     converged: bool = False
     information: np.ndarray | None = None
+    rhs: np.ndarray | None = None    # X'Wz at the coefficients that ``information`` (X'WX) belongs to
+    zz: float = 0.0                  # z'Wz
     spread: float = 0.0              # weighted sum of (y / mu - 1)**2 (poisson)
     excess: float = 0.0              # weighted sum of (y - mu)**2 - y (poisson): over-dispersion if positive
 
@@ -400,7 +403,7 @@ def _step_sums(cells: Cells, fits: Sequence[Fit], start: bool) -> dict[int, dict
         family, power, theta, weight = how[k]
         w = batch.w if weight == "w" else batch.n
         w_, z, extras = _working(family, power, theta, batch.y, batch.off, batch.eta(beta, sizes, codes), w, start)
-        extras |= {"weight": w.sum(), "rows": batch.n.sum()}
+        extras |= {"weight": w.sum(), "rows": batch.n.sum(), "zz": w_ @ z ** 2}
         return np.concatenate([*_blocks(batch.dense, codes, sizes, w_, z), [extras[e] for e in EXTRAS]])
 
     out = {}
@@ -433,6 +436,9 @@ def _advance(cells: Cells, fits: list[Fit], max_iter: int, tol: float, start: bo
                 continue
             s, me = got[k], id(f)
             f.pearson, f.weight, f.rows, f.information = s["pearson"], s["weight"], int(s["rows"]), s["a"]
+            f.rhs, f.zz = s["rhs"], s["zz"]
+            penalty = np.zeros(len(f.beta)) if f.spec.penalty is None else np.array(f.spec.penalty)
+            s["objective"] -= penalty @ f.beta ** 2 / 2
             if f.spec.family == "poisson":
                 f.spread, f.excess = s["spread"], s["excess"]
             if not from_data:
@@ -454,7 +460,7 @@ def _advance(cells: Cells, fits: list[Fit], max_iter: int, tol: float, start: bo
             if f.iterations >= max_iter:
                 continue
             before[me] = (f.beta, f.theta)
-            f.beta, f.iterations = _solve(s["a"], s["rhs"]), f.iterations + 1
+            f.beta, f.iterations = _solve(s["a"] + np.diag(penalty), s["rhs"]), f.iterations + 1
             if f.spec.family == "negbin":
                 f.theta = _next_theta(f.theta, s["score"], s["info"])
             still.append(f)

@@ -60,7 +60,7 @@ def fit_negbin(df: DataFrame, response: str, factors: Sequence[str], exposure: s
                numeric: Sequence[str] = ()) -> NegBinFit:
     """NB2 GLM started from the Poisson fit (theta -> infinity).  ``converged`` of the
     result tells whether the likelihood settled within ``max_iter`` steps."""
-    design = build_design(df, factors, numeric)
+    design = build_design(df, factors, numeric, weight=exposure)
     cells = CL.build(df, response, factors, numeric, exposure=exposure, weight=weight, levels=design.labels)
     fit = CL.fit(cells, [CL.Spec("nb", "negbin")], max_iter=max_iter, tol=tol)["nb"]
     coef = fit.coefficients

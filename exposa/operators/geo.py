@@ -5,8 +5,8 @@ Every roll-up starts with ONE partial aggregation of exposure to the
 (thousands) however many claim rows there are.  The passes then run on that
 small table with windows; "code is affected" is membership by VALUE (the
 study tests `%in%` without the state), done as ``max(flag) over (code)``.
-The 80-point threshold grid is expanded with ``explode`` over a literal
-array, so the whole grid is one job and no join.
+The 80-point threshold grid is looked up in breakpoints, the exposures at which
+a postcode's code moves, so the whole grid is one job and no join.
 """
 
 from __future__ import annotations
@@ -57,25 +57,19 @@ def geo_rollup(df: DataFrame, threshold: float = 30.0, weight: str = "epy",
     return pe.select("state", "riskpostcode", "geo_code", origin.alias("origin")).distinct()
 
 
-def _rollup3_passes(pe: DataFrame, thresholds: dict, part: Sequence[str] = ()) -> DataFrame:
-    """Three passes on a postcode-grain table with columns GEO_KEYS, _w.
-
-    ``part`` adds grid-id columns to every window, so many threshold sets
-    run side by side.  Threshold values are read from columns t_<scope>.
-    """
-    part = list(part)
+def _rollup3_passes(pe: DataFrame, thresholds: dict) -> DataFrame:
+    """Three passes on a postcode-grain table with columns GEO_KEYS, _w."""
     pe = pe.withColumn("geo_code", F.col("riskpostcode"))
     scopes = [("riskpostcode", ["state", "sa4name", "sa3name"]),
               ("sa3name", ["state", "sa4name"]),
               ("sa4name", ["state"])]
     for scope, upper in scopes:
         t = thresholds[scope]
-        grp = part + upper + ["geo_code"]
-        code_w = F.sum("_w").over(Window.partitionBy(*grp))
+        code_w = F.sum("_w").over(Window.partitionBy(*upper, "geo_code"))
         pe = pe.withColumn("_cw", code_w).withColumn("_small", F.col("_cw") < t)
         if upper[-1] != "state":
-            pe = pe.withColumn("_small", _any_over(F.col("_small"), *(part + upper)))
-        hit = _any_over(F.col("_small"), *(part + ["geo_code"]))
+            pe = pe.withColumn("_small", _any_over(F.col("_small"), *upper))
+        hit = _any_over(F.col("_small"), "geo_code")
         pe = pe.withColumn("geo_code", F.when(hit, F.col(upper[-1])).otherwise(F.col("geo_code")))
     return pe.drop("_cw", "_small")
 
@@ -105,10 +99,44 @@ def threshold_grid(postcode_steps: Sequence[float] = (10, 20, 30, 40, 50),
             enumerate(((a, m3, m4) for a in postcode_steps for m3 in sa3_mult for m4 in sa4_mult), 1)]
 
 
-def _grid_structs(grid_rows):
-    return F.array(*[F.struct(F.lit(g).alias("grid_id"), F.lit(a).alias("t_riskpostcode"),
-                              F.lit(b).alias("t_sa3name"), F.lit(c).alias("t_sa4name"))
-                     for g, a, b, c in grid_rows])
+def _grid_codes(pe: DataFrame, grid_rows: Sequence[tuple], state_only: Sequence[str]) -> DataFrame:
+    """(grid_id, thresholds, GEO_KEYS, geo_code) of a postcode-grain table for every threshold triple.
+
+    The code of a postcode is a step function of each threshold: it moves up just when the
+    threshold is above the least exposure that would move it, its breakpoint.  Breakpoints of
+    the first threshold need no grid at all, those of the second one copy of the table
+    for each first threshold, those of the third one for each pair; the triples are looked up
+    in these, so windows and exchanges do not depend on the grid, and rows on it only at the end.
+    """
+    nested: dict[float, dict[float, list]] = {}
+    for g, a, b, c in grid_rows:
+        nested.setdefault(a, {}).setdefault(b, []).append((g, c))
+    steps = F.array(*[F.struct(F.lit(a).alias("t_riskpostcode"), F.array(*[
+        F.struct(F.lit(b).alias("t_sa3name"), F.array(*[
+            F.struct(F.lit(g).alias("grid_id"), F.lit(c).alias("t_sa4name")) for g, c in third]).alias("_t3"))
+        for b, third in second.items()]).alias("_t2")) for a, second in nested.items()])
+
+    def least(c, *by):
+        return F.min(c).over(Window.partitionBy(*by))
+
+    def total(*by):
+        return F.sum("_w").over(Window.partitionBy(*by))
+
+    one = ["t_riskpostcode"]
+    two = [*one, "t_sa3name"]
+    d = pe.withColumn("_m", least("_w", "state", "sa4name", "sa3name")).withColumn("_b", least("_m", "riskpostcode"))
+    d = d.withColumn("_s", F.explode(steps)).select(*GEO_KEYS, "_w", "_b", "_s.*")
+    d = d.withColumn("geo_code", F.when(F.col("_b") < F.col("t_riskpostcode"), F.col("sa3name"))
+                     .otherwise(F.col("riskpostcode")))
+    d = d.withColumn("_c", total(*one, "state", "sa4name", "geo_code")) \
+        .withColumn("_m", least("_c", *one, "state", "sa4name")).withColumn("_b", least("_m", *one, "geo_code"))
+    d = d.withColumn("_s", F.explode("_t2")).select(*GEO_KEYS, "_w", "_b", "geo_code", *one, "_s.*")
+    d = d.withColumn("geo_code", F.when(F.col("_b") < F.col("t_sa3name"), F.col("sa4name")).otherwise(F.col("geo_code")))
+    d = d.withColumn("_c", total(*two, "state", "geo_code")).withColumn("_b", least("_c", *two, "geo_code"))
+    d = d.withColumn("_s", F.explode("_t3")).select(*GEO_KEYS, "_b", "geo_code", *two, "_s.*")
+    code = F.when(F.col("_b") < F.col("t_sa4name"), F.col("state")).otherwise(F.col("geo_code"))
+    code = F.when(F.col("state").isin(list(state_only)), F.col("state")).otherwise(code)
+    return d.select("grid_id", *two, "t_sa4name", *GEO_KEYS, code.alias("geo_code"))
 
 
 def geo_grid(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure",
@@ -120,29 +148,17 @@ def geo_grid(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure"
     row (lowest id) per distinct number of codes.  Output: (grid_id,
     thresholds, n_geo_code).
     """
-    pe = postcode_exposure(df, weight)
-    pe = pe.withColumn("_g", F.explode(_grid_structs(grid_rows))).select(*GEO_KEYS, "_w", "_g.*")
-    th = {"riskpostcode": F.col("t_riskpostcode"), "sa3name": F.col("t_sa3name"),
-          "sa4name": F.col("t_sa4name")}
-    out = _rollup3_passes(pe, th, part=["grid_id"])
-    code = F.when(F.col("state").isin(list(state_only)), F.col("state")).otherwise(F.col("geo_code"))
-    counts = out.groupBy("grid_id", "t_riskpostcode", "t_sa3name", "t_sa4name").agg(
-        F.count_distinct(code).alias("n_geo_code"))
-    first = counts.groupBy("n_geo_code").agg(F.min("grid_id").alias("grid_id"))
-    return counts.join(first, ["n_geo_code", "grid_id"], "left_semi")
+    triple = ["grid_id", "t_riskpostcode", "t_sa3name", "t_sa4name"]
+    codes = _grid_codes(postcode_exposure(df, weight), grid_rows, state_only)
+    counts = codes.groupBy(*triple).agg(F.count_distinct("geo_code").alias("n_geo_code"))
+    return counts.groupBy("n_geo_code").agg(F.min(F.struct(*triple)).alias("_f")).select("n_geo_code", "_f.*")
 
 
 def geo_grid_maps(df: DataFrame, grid_rows: Sequence[tuple], weight: str = "exposure",
                   state_only: Sequence[str] = STATE_ONLY) -> DataFrame:
-    """(grid_id, state, riskpostcode, geo_code) for every threshold triple in
-    one job (postcode-grain table exploded over the parameter list)."""
-    pe = postcode_exposure(df, weight)
-    pe = pe.withColumn("_g", F.explode(_grid_structs(grid_rows))).select(*GEO_KEYS, "_w", "_g.*")
-    th = {"riskpostcode": F.col("t_riskpostcode"), "sa3name": F.col("t_sa3name"),
-          "sa4name": F.col("t_sa4name")}
-    out = _rollup3_passes(pe, th, part=["grid_id"])
-    code = F.when(F.col("state").isin(list(state_only)), F.col("state")).otherwise(F.col("geo_code"))
-    return out.select("grid_id", "state", "riskpostcode", code.alias("geo_code")).distinct()
+    """(grid_id, state, riskpostcode, geo_code) for every threshold triple in one job."""
+    codes = _grid_codes(postcode_exposure(df, weight), grid_rows, state_only)
+    return codes.select("grid_id", "state", "riskpostcode", "geo_code").distinct()
 
 
 def one_code(geo_map: DataFrame, within: Sequence[str] = ()) -> DataFrame:

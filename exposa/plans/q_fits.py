@@ -13,10 +13,12 @@ import math
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
+from exposa.models import cells as CL
 from exposa.models import glm as M
 from exposa.models import interaction as IA
 from exposa.models import metrics as MT
 from exposa.models import negbin as NB
+from exposa.models import smooth as SP
 from exposa.models import tweedie as TW
 from exposa.operators import consolidate as C
 from exposa.operators import geo as G
@@ -366,10 +368,23 @@ def _curve_data(spark, sf_dir, knots=4, band=0.1, line="prop"):
                               F.sum(f"grossincurred_{line}").alias("incurred"))
     from exposa.operators.quantiles import exact_quantiles
     qs = exact_quantiles(pc, [], "x", [(i + 1) / (knots + 1) for i in range(knots)]).first()[0]
-    cols = {"x2": F.col("x") ** 2, "x3": F.col("x") ** 3}
-    for i, q in enumerate(sorted(set(qs))):
+    at = sorted(set(qs))
+    u = F.col("x") - F.lit(at[len(at) // 2])                 # powers about the middle knot
+    cols = {"u": u, "u2": u * u, "u3": u * u * u}
+    for i, q in enumerate(at):
         cols[f"k{i}"] = F.pow(F.greatest(F.col("x") - F.lit(q), F.lit(0.0)), 3)
-    return agg.withColumns(cols), ["x", *cols]
+    return agg.withColumns(cols), list(cols)
+
+
+def _smooth(spark, sf_dir, what):
+    """(bands, smooth) of the frequency or severity curve; knot coefficients shrink by a penalty from GCV."""
+    agg, numeric = _curve_data(spark, sf_dir)
+    if what == "frequency":
+        rows, cells = agg, CL.build(agg, "n", [], numeric, exposure="exposure")
+    else:
+        rows = agg.filter("n > 0 AND incurred > 0").withColumn("severity", F.col("incurred") / F.col("n"))
+        cells = CL.build(rows, "severity", [], numeric, weight="n")
+    return rows, SP.fit_smooth(cells, "poisson" if what == "frequency" else "gamma", [c for c in numeric if c[0] == "k"])
 
 
 @register("curve_bands", """
@@ -385,11 +400,10 @@ def curve_bands(spark, sf_dir):
 @register("fit_curve")
 def fit_curve(spark, sf_dir):
     """Smooth frequency curve over log sum insured: cubic regression spline
-    (knots at quantiles) in a Poisson GLM with log exposure offset, lightly
-    ridge-penalised; fitted frequency per band.  An approximation of a GAM."""
-    agg, numeric = _curve_data(spark, sf_dir)
-    fit = M.fit_glm(agg, "n", [], "poisson", numeric=numeric, exposure="exposure", reg=1e-4)
-    out = fit.predict(agg, "fitted_n")
+    (knots at quantiles) in a Poisson GLM with log exposure offset, the penalty of
+    the knots by GCV; fitted frequency per band.  An approximation of a GAM."""
+    rows, smooth = _smooth(spark, sf_dir, "frequency")
+    out = smooth.fit.predict(rows, "fitted_n")
     return out.select("x", "n", "exposure", (F.col("fitted_n") / F.col("exposure")).alias("fitted_freq"))
 
 
@@ -397,10 +411,18 @@ def fit_curve(spark, sf_dir):
 def fit_curve_severity(spark, sf_dir):
     """Smooth severity curve over log sum insured: the same spline in a Gamma
     GLM (log link) of the mean claim of each band, weighted by its claims."""
-    agg, numeric = _curve_data(spark, sf_dir)
-    bands = agg.filter("n > 0 AND incurred > 0").withColumn("severity", F.col("incurred") / F.col("n"))
-    fit = M.fit_glm(bands, "severity", [], "gamma", numeric=numeric, weight="n", reg=1e-4)
-    return fit.predict(bands, "fitted_severity").select("x", "n", "severity", "fitted_severity")
+    rows, smooth = _smooth(spark, sf_dir, "severity")
+    return smooth.fit.predict(rows, "fitted_severity").select("x", "n", "severity", "fitted_severity")
+
+
+@register("curve_penalties")
+def curve_penalties(spark, sf_dir):
+    """Penalties tried for both curves: effective parameters, GCV and which is chosen."""
+    rows = []
+    for what in ("frequency", "severity"):
+        _, smooth = _smooth(spark, sf_dir, what)
+        rows += [(what, *r, r[0] == smooth.penalty) for r in smooth.table]
+    return spark.createDataFrame(rows, "curve string, penalty double, parameters double, gcv double, chosen boolean")
 
 
 @register("tariff_classes")

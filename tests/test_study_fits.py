@@ -119,3 +119,102 @@ def test_logistic_on_a_tenfold_down_sample(spark):
     table = {r.term: r for r in QUERIES["logistic_coefficients"](spark, SF).collect()}
     assert table["(Intercept)"].std_error > 0 and 0 <= table["log_suminsured_lossofinc"].p_value <= 1
     assert np.allclose(np.sqrt(np.diag(fit.covariance())), np.sqrt(np.diag(np.linalg.pinv(info))), rtol=1e-3)
+
+
+# ---- fits of other modules: numbers, not just rows
+
+def _policies(spark):
+    return S.policy_claims(spark, SF)
+
+
+def test_importance_is_the_t_value(spark):
+    """Against the covariance of the same model fitted on design cells."""
+    from exposa.models import cells as CL
+    from exposa.models import glm as M
+    factors = ["geo_code", "building_type", "sprinkler_type"]
+    levels = M.fit_poisson(_policies(spark), "claimcount_prop", factors).design.labels        # the same base levels
+    cells = CL.build(_policies(spark), "claimcount_prop", factors, exposure="exposure", levels=levels)
+    fit = CL.fit(cells, [CL.Spec("m", "poisson")])["m"]
+    t = {n: abs(b) / math.sqrt(v) for n, b, v in zip(fit.names, fit.beta, fit.covariance().diagonal(), strict=True)}
+    t.pop("(Intercept)")
+    got = [(r.term, r.importance) for r in QUERIES["glm_importance"](spark, SF).collect()]
+    want = sorted(t.items(), key=lambda kv: -kv[1])[:10]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-3)
+    assert {n for n, _ in got[:8]} <= {n for n, _ in want}
+
+
+def test_saved_model_scores_the_same(spark):
+    r = QUERIES["save_model"](spark, SF).first()
+    claims = _policies(spark).agg(F.sum("claimcount_prop")).first()[0]
+    assert r.reloaded_sum == pytest.approx(r.original_sum, rel=1e-12) == pytest.approx(claims, rel=1e-6)
+
+
+def test_residual_diagnostics_recomputed(spark):
+    from exposa.models import cells as CL
+    cells = CL.build(_policies(spark), "grossincurred_prop", ["geo_code", "building_type"])
+    fit = CL.fit(cells, [CL.Spec("m", "tweedie", power=1.5)])["m"]
+    d = fit.predict(_policies(spark), "mu").select(F.col("grossincurred_prop").alias("y"), "mu").toPandas()
+    y, mu = d["y"].to_numpy(), d["mu"].to_numpy()
+    phi = ((y - mu) ** 2 / mu ** 1.5).sum() / (len(y) - len(fit.beta))
+    got = sorted(QUERIES["residual_diagnostics"](spark, SF).collect(), key=lambda r: r.ventile)
+    standard = np.quantile((y - mu) / np.sqrt(phi * mu ** 1.5), [(k + 0.5) / 20 for k in range(20)])
+    assert [r.quantile for r in got] == pytest.approx(standard.tolist(), rel=1e-2, abs=1e-4)
+    held = [r for r in got if r.n_rows]
+    assert sum(r.n_rows for r in held) == len(y)
+    assert sum(r.n_rows * r.mean_observed for r in held) == pytest.approx(y.sum())
+    assert sum(r.n_rows * r.mean_fitted for r in held) == pytest.approx(mu.sum(), rel=1e-3)
+    fitted = [r.mean_fitted for r in held]
+    assert fitted == sorted(fitted) and [r.normal for r in got] == sorted(r.normal for r in got)
+
+
+def test_curves_solve_the_penalised_equations(spark):
+    """X'(y - mu) = D b for the frequency curve, its Gamma form for the severity, and the totals."""
+    from exposa.plans import q_fits as QF
+    for what, y, w in (("frequency", "n", None), ("severity", "severity", "n")):
+        rows, smooth = QF._smooth(spark, SF, what)
+        d = smooth.fit.predict(rows, "mu").toPandas()
+        X = np.column_stack([np.ones(len(d)), *[d[c] for c in smooth.fit.cells.numeric]])
+        pull = d[y] - d["mu"] if what == "frequency" else d[w] * (d[y] - d["mu"]) / d["mu"]
+        size = np.abs(X).T @ np.abs(pull)
+        assert smooth.fit.converged and (np.abs(X.T @ pull - np.array(smooth.fit.spec.penalty) * smooth.fit.beta) < 1e-4 * size).all()
+        chosen = [r for r in QUERIES["curve_penalties"](spark, SF).collect() if r.curve == what and r.chosen]
+        assert len(chosen) == 1 and 4 <= chosen[0].parameters <= X.shape[1] + 1e-6
+    c = QUERIES["fit_curve"](spark, SF).toPandas()
+    assert (c["fitted_freq"] * c["exposure"]).sum() == pytest.approx(c["n"].sum(), rel=1e-6)
+
+
+def test_gcv_from_moments_matches_the_hat_matrix():
+    from exposa.models import smooth as SP
+    rng = np.random.default_rng(6)
+    X = np.column_stack([np.ones(50), rng.normal(size=(50, 4))])
+    w, z, shrink = rng.random(50) + 0.5, rng.normal(size=50), np.array([0, 0, 0, 1.0, 1.0])
+    a, rhs, zz = X.T @ (w[:, None] * X), X.T @ (w * z), (w * z * z).sum()
+    for penalty, used, score in SP.gcv(a, rhs, zz, 50, shrink, [1e-6, 0.3, 10.0, 1e6]):
+        root = np.sqrt(w)[:, None] * X
+        hat = root @ np.linalg.inv(a + penalty * np.diag(shrink)) @ root.T
+        error = ((np.eye(50) - hat) @ (np.sqrt(w) * z)) ** 2
+        assert used == pytest.approx(np.trace(hat)) and score == pytest.approx(50 * error.sum() / (50 - np.trace(hat)) ** 2)
+
+
+def test_tariff_classes_hold_the_best_split(spark):
+    c = QUERIES["fit_curve"](spark, SF).toPandas().sort_values("x")
+    rows = sorted(QUERIES["tariff_classes"](spark, SF).collect(), key=lambda r: r.cls)
+    assert sum(r.n for r in rows) == c["n"].sum() and sum(r.exposure for r in rows) == pytest.approx(c["exposure"].sum())
+    assert all(a.x_max < b.x_min for a, b in zip(rows[:-1], rows[1:]))
+    x, f, w = (c[k].to_numpy() for k in ("x", "fitted_freq", "exposure"))
+
+    def loss(part):
+        return (w[part] * (f[part] - np.average(f[part], weights=w[part])) ** 2).sum()
+    best = min(range(2, len(x) - 1), key=lambda k: loss(np.arange(len(x)) < k) + loss(np.arange(len(x)) >= k))
+    assert any(r.x_max == pytest.approx(x[best - 1]) for r in rows)
+
+
+def test_smoothing_is_the_weighted_quadratic(spark):
+    d = QUERIES["coef_smoothing"](spark, SF).toPandas()
+    old, new, refit = (d[d["part"] == p] for p in ("class", "new class", "refit"))
+    X = np.stack([np.ones(len(old)), old["mid"], old["mid"] ** 2], axis=1)
+    root = np.sqrt(old["exposure"].to_numpy())
+    b = np.linalg.lstsq(root[:, None] * X, root * np.log(old["rf"]), rcond=None)[0]
+    assert np.allclose(np.exp(X @ b), old["rf_smooth"], rtol=1e-5)
+    assert np.allclose(np.exp(b[0] + b[1] * new["mid"] + b[2] * new["mid"] ** 2), new["rf_smooth"], rtol=1e-5)
+    assert new["exposure"].sum() == pytest.approx(old["exposure"].sum()) and (refit["rf"] > 0).all() and len(refit) > 1

@@ -243,3 +243,28 @@ def test_shared_folder_is_required_on_a_cluster():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError):
         session.checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=sc))
+
+
+def test_grid_by_breakpoints_equals_each_roll_up(spark):
+    """Shared names across states and areas, thresholds equal to exposures; against one roll-up a triple."""
+    from exposa.operators import geo as G
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(160):
+        state = ["N", "S", "ACT"][k % 3]
+        rows.append((state, f"A{k % 5}", f"B{k % 13}", f"{k % 120:03d}", float(rng.integers(1, 30))))
+    df = spark.createDataFrame(rows, "state string, sa4name string, sa3name string, riskpostcode string, exposure double")
+    grid = G.threshold_grid((3, 9, 20), (1.5, 3), (2, 4))
+    got = {g: set() for g, *_ in grid}
+    for r in G.geo_grid_maps(df, grid).collect():
+        got[r.grid_id].add((r.riskpostcode, r.geo_code))
+    counts = {}
+    for g, a, b, c in grid:
+        want = {(r.riskpostcode, r.geo_code) for r in G.geo_rollup3(df, a, b, c).collect()}
+        assert got[g] == want, (a, b, c)
+        counts.setdefault(len({code for _, code in want}), (g, a, b, c))
+    first = {r.n_geo_code: (r.grid_id, r.t_riskpostcode, r.t_sa3name, r.t_sa4name) for r in G.geo_grid(df, grid).collect()}
+    assert first == counts and len(counts) > 2
+    many = G.threshold_grid(range(1, 40), (1.5, 2, 3, 4), (2, 3, 4, 5))
+    plans = [G.geo_grid_maps(df, g)._jdf.queryExecution().executedPlan().toString() for g in (grid, many)]
+    assert len({p.count("Exchange hashpartitioning") for p in plans}) == len({p.count("Window [") for p in plans}) == 1
