@@ -1,17 +1,18 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint is eight positional bytes.  Two fingerprints that differ in at most ``bits``
-bits differ in at most ``bits`` bytes, so they share at least ``8 - bits`` positional bytes:
-the guaranteed minimum of matches.  A posting list of one positional byte would hold 1/256
-of all fingerprints; the lists here are those of every set of ``8 - bits`` positions, so a
-list already stands for the guaranteed minimum.  Within a list the shared positional bytes
-of a pair are tallied, pairs that reach the minimum are kept, and their bit distance is
-verified.
-
-Copies count once (lists hold distinct fingerprints), so a list has at most 256**bits
-members whatever the data.  Members of a short list are compared with each other; a longer
-one is searched for each member's neighbours instead, and gives links to a neighbour of its
-part of the list only, so what a list gives out grows with its length, not its square.
+bits differ in at most ``bits`` bytes, so they share at least ``8 - bits`` positional bytes.
+A posting list of one positional byte would hold 1/256 of all fingerprints; the lists here are
+those of every set of ``7 - bits`` positions, one fewer than the pair is sure to share, so the pair
+stands together in at least ``8 - bits`` lists: the guaranteed minimum of matches.  The lists
+that each pair shares are tallied, pairs that reach the minimum are kept (others share no more than
+one list), and their bit distance is verified.
+
+Copies count once (lists hold distinct fingerprints).  Only short lists give out their pairs.  A
+list of more than ``SHORT_LIST`` members, which a group of near copies makes, is searched for
+each member's neighbours instead; what is close in it is verified there, and it gives links to a
+neighbour of its part of the list only, so what a list gives out grows with its length, not its
+square.  A pair within ``bits`` bits thus stands in a long list, or reaches the minimum in short ones.
 
 Null and empty texts and texts without a word have fingerprint zero and are linked like any
 other.  Repeated rows are documents of their own.  Extra columns pass through.
@@ -102,8 +103,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3,
 
 
 def position_sets(bits: int) -> list[int]:
-    """Masks (signed) of every choice of 8 - bits of the eight byte positions."""
-    masks = (sum(0xFF << 8 * p for p in s) for s in combinations(range(8), 8 - bits))
+    """Masks (signed) of every choice of 7 - bits of the eight byte positions."""
+    masks = (sum(0xFF << 8 * p for p in s) for s in combinations(range(8), 7 - bits))
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -113,15 +114,14 @@ def _flips(free: int, bits: int) -> np.ndarray:
     return np.array([sum(1 << b for b in s) for k in range(1, bits + 1) for s in combinations(at, k)], np.uint64)
 
 
+def list_pairs(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a short list; ``members`` are distinct and sorted."""
+    a, b = np.triu_indices(len(members), 1)
+    return members[b], members[a]
+
+
 def list_links(members: np.ndarray, bits: int, free: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what one posting list joins; ``members`` are distinct and sorted."""
-    if len(members) <= SHORT_LIST:
-        a, b = np.triu_indices(len(members), 1)
-        diff = members[a] ^ members[b]
-        shared = (diff[:, None] >> (np.arange(8, dtype=np.uint64) * np.uint64(8)) & np.uint64(0xFF) == 0).sum(1)
-        keep = shared >= 8 - bits
-        keep[keep] = np.bitwise_count(diff[keep]) <= bits
-        return members[b[keep]], members[a[keep]]
+    """Links that join what the close pairs of a long list join; ``members`` are distinct and sorted."""
     label, place = np.arange(len(members)), []
     for flip in _flips(free, bits):
         at = np.minimum(np.searchsorted(members, members ^ flip), len(members) - 1)
@@ -139,12 +139,9 @@ def list_links(members: np.ndarray, bits: int, free: int) -> tuple[np.ndarray, n
     return members[moved], members[label[moved]]
 
 
-def links(prints: DataFrame, column: str = "simhash", bits: int = 2) -> DataFrame:
-    """(a, b) links that connect exactly the fingerprints that chains of close pairs connect.
-
-    ``prints`` holds distinct fingerprints.  Every link is a chain of pairs that differ in
-    ``bits`` bits or fewer.
-    """
+def tally(prints: DataFrame, column: str = "simhash", bits: int = 2) -> DataFrame:
+    """(a, b, lists, near): pairs of fingerprints that short lists hold, with the number of those, and
+    links that long lists have verified (near), which count as the minimum."""
     if not 0 <= bits <= 3:
         raise ValueError("bits must be 0 to 3: lists of fewer positions are not bounded well")
     masks = position_sets(bits)
@@ -171,13 +168,28 @@ def links(prints: DataFrame, column: str = "simhash", bits: int = 2) -> DataFram
     def out(pa, now, starts):
         p, _, m = now
         size = np.diff(starts)
-        found = [list_links(np.sort(m[a:a + n].view(np.uint64)), bits, ~masks[p[a]] & (1 << 64) - 1)
-                 for a, n in zip(starts[:-1][size > 1].tolist(), size[size > 1].tolist(), strict=True)]
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in (0, 1)], names=["a", "b"])
+        for near, some in ((False, (size > 1) & (size <= SHORT_LIST)), (True, size > SHORT_LIST)):
+            found = [list_links(own, bits, ~masks[p[a]] & (1 << 64) - 1) if near else list_pairs(own)
+                     for a, n in zip(starts[:-1][some].tolist(), size[some].tolist(), strict=True)
+                     for own in (np.sort(m[a:a + n].view(np.uint64)),)]
+            if found:
+                a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(b), pa.array(np.full(len(a), 8 - bits if near else 1, np.int64)),
+                     pa.array(np.full(len(a), near))], names=["a", "b", "lists", "near"])
 
-    return lists.select("positions", "shared", "member").mapInArrow(run, "a bigint, b bigint")
+    pairs = lists.select("positions", "shared", "member").mapInArrow(run, "a bigint, b bigint, lists bigint, near boolean")
+    return pairs.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.bool_or("near").alias("near"))
+
+
+def links(prints: DataFrame, column: str = "simhash", bits: int = 2) -> DataFrame:
+    """(a, b) links that connect exactly the fingerprints that chains of close pairs connect.
+
+    ``prints`` holds distinct fingerprints.  Every link is a pair that differs in ``bits`` bits or
+    fewer, or a chain of such pairs.
+    """
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+    return tally(prints, column, bits).where((F.col("lists") >= 8 - bits) & (F.col("near") | close)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3,

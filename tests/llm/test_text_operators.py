@@ -117,6 +117,29 @@ def test_simhash_links_join_what_pairs_join(spark, bits):
     assert got == union_find(near, signed)
 
 
+@pytest.mark.parametrize("short", [4, 32, 1000])
+def test_simhash_tally_rejects_pairs_that_lists_bring_together(spark, monkeypatch, short):
+    """Pairs that share five bytes meet in one list, those that share six in six; any length of lists
+    gives the same components."""
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    rnd = random.Random(8)
+    seed = rnd.getrandbits(64)
+    far = [seed ^ sum(rnd.randrange(1, 256) << 8 * p for p in rnd.sample(range(8), 3)) for _ in range(30)]
+    near = [seed ^ 1 << k for k in range(0, 64, 9)]
+    prints = sorted({seed, *far, *near})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "simhash bigint")
+    got = union_find([(r.a, r.b) for r in simhash.links(df).collect()], signed)
+    assert got == union_find([(signed[i], signed[j]) for i in range(len(prints)) for j in range(i)
+                              if (prints[i] ^ prints[j]).bit_count() <= 2], signed)
+    if short == 1000:
+        same = lambda x, y: sum((x ^ y) >> 8 * p & 255 == 0 for p in range(8))
+        whole = {s: p for s, p in zip(signed, prints, strict=True)}
+        lists = {(r.a, r.b): r.lists for r in simhash.tally(df).collect()}
+        assert all(n == math.comb(same(whole[a], whole[b]), 5) for (a, b), n in lists.items())
+        assert sum(n == 1 for n in lists.values()) >= 20 and sum(n >= 6 for n in lists.values()) >= 28
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)] + [(500, 400), (400, 500), (7, 7), (900, 901)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
