@@ -46,3 +46,14 @@ def test_consolidate_is_one_aggregate(spark):
         "grossincurred_lossofinc": F.lit(None).cast("double"), "LossofIncome_cover": F.lit(True)})
     plan = _plan(C.consolidate(df))
     assert "Window" not in plan and plan.count("Exchange") <= 1
+
+
+def test_statistics_read_their_data_once(spark):
+    """Bounds on scans and exchanges of the statistics that once took hundreds (density) or a dozen (box plots)."""
+    from exposa.plans.catalog import QUERIES
+    for name, exchanges in (("density_claim_type", 12), ("box_stats_occupation", 8), ("situation_history", 8),
+                            ("geo_grid", 16)):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert plan.count("FileScan") <= 2 and plan.count("Exchange") <= exchanges, \
+            (name, plan.count("FileScan"), plan.count("Exchange"))
+        assert plan.count("ScalarSubquery") <= 2
