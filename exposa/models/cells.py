@@ -532,13 +532,14 @@ def tweedie_logliks(cells: Cells, fits: Mapping[str, Fit], phis: Mapping[str, Se
 
 
 def tweedie_profile(cells: Cells, powers: Sequence[float], weight: str = "n", rounds: int = 5,
-                    tol: float = 1e-8) -> list[dict]:
+                    tol: float = 1e-8, max_iter: int = 25) -> list[dict]:
     """One record a power: fit, phi, log-likelihood and AIC, phi by maximum likelihood as well.
 
     All powers advance together: their coefficients in the passes of one ``fit``, then their
     dispersions, which close in on the maximum from the Pearson estimate by a third each round.
     """
-    fits = fit(cells, [Spec(f"{p:g}", "tweedie", power=float(p), weight=weight) for p in powers], tol=tol)
+    fits = fit(cells, [Spec(f"{p:g}", "tweedie", power=float(p), weight=weight) for p in powers],
+               max_iter=max_iter, tol=tol)
     centre = {name: math.log(max(f.dispersion, 1e-300)) for name, f in fits.items()}
     best = {name: (-math.inf, math.nan) for name in fits}
     reach = {name: math.log(2.0) for name in fits}
