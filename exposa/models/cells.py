@@ -410,7 +410,7 @@ def _step_sums(cells: Cells, fits: Sequence[Fit], start: bool) -> dict[int, dict
     d = 1 + len(cells.numeric)
     for k, v in _over_cells(cells, cells.fit_part, fits, of).items():
         a, rhs = _system(v[:-len(EXTRAS)], d, cells.sizes(fits[k].spec))
-        out[k] = dict(zip(EXTRAS, v[-len(EXTRAS):], strict=True)) | {"a": a, "rhs": rhs}
+        out[k] = dict(zip(EXTRAS, v[-len(EXTRAS):].tolist(), strict=True)) | {"a": a, "rhs": rhs}
     return out
 
 
@@ -418,7 +418,7 @@ def _next_theta(theta: float, score: float, info: float) -> float:
     """A Newton step for 1 / theta, in which the likelihood is near quadratic close to the Poisson limit."""
     slope, bend = -theta ** 2 * score, theta ** 3 * (2 * score - theta * info)
     inverse = 1 / theta - slope / bend if bend < 0 else (0.1 if score > 0 else 10) / theta
-    return 1 / min(max(inverse, 0.1 / theta), 10 / theta)
+    return float(1 / min(max(inverse, 0.1 / theta), 10 / theta))
 
 
 def _advance(cells: Cells, fits: list[Fit], max_iter: int, tol: float, start: bool) -> None:
@@ -438,7 +438,7 @@ def _advance(cells: Cells, fits: list[Fit], max_iter: int, tol: float, start: bo
             f.pearson, f.weight, f.rows, f.information = s["pearson"], s["weight"], int(s["rows"]), s["a"]
             f.rhs, f.zz = s["rhs"], s["zz"]
             penalty = np.zeros(len(f.beta)) if f.spec.penalty is None else np.array(f.spec.penalty)
-            s["objective"] -= penalty @ f.beta ** 2 / 2
+            s["objective"] -= float(penalty @ f.beta ** 2) / 2
             if f.spec.family == "poisson":
                 f.spread, f.excess = s["spread"], s["excess"]
             if not from_data:
