@@ -1,16 +1,22 @@
 """Benchmark decontamination with suffix arrays over the training shards.
 
-Words become numbers of the benchmark's vocabulary (0: a word it lacks).  Each shard (a run
-of a partition's documents) gets the suffix array of its word sequence: the sorted starts of
-all suffixes that could match a window at all, that is whose words up to the window's length
-are benchmark words and follow each other somewhere in the benchmark.  Every other suffix
-matches no test suffix that far, so leaving it out loses nothing.  Each test suffix is then
-binary-searched in every shard's array, word by word; the interval that is left holds the
-places where its window occurs, and neighbouring windows that occur side by side join to the
-longest verbatim matches.  Matches are compared byte by byte, so equal hashes are no match.
-
-The test items are read in blocks of at most ``block_bytes``, the proven size of what a task
-is sent; each further block is one more pass over the documents, without a shuffle.
+Words become numbers of the benchmark's vocabulary (0: a word it lacks).  A run is a stretch of
+benchmark words that follow each other, pair by pair, somewhere in the benchmark; no match can
+leave its run.  Each shard (a run of a partition's documents) gets the suffix array of its runs
+that are long enough to hold a window: their suffixes, cut at the end of the run, in the order of
+their words, by prefix doubling.  Each test suffix that begins a window is binary-searched in
+every shard's array; the interval it gets holds all places of its window.  These places are then
+searched in the suffix array of the test items, which gives the longest verbatim match at each,
+and where it stands.  Both searches compare names of blocks of 2^j words, from long to short, so
+a match of n words costs log n binary searches.  Names stand for the words themselves (the
+vocabulary compares bytes), so no hash decides anything.
+
+A place has one line for each window length, however many items hold the window: windows held by
+the same items share one list, and a document gets the union of its lists.
+
+The test items are cut in blocks of at most ``block_bytes`` (or one item) by a Spark job; the driver
+holds one block at a time.  A benchmark of one block is one pass over the documents without a
+shuffle; the matches of each further block are written under a key of the row, and joined at last.
 
 Null, empty and word-free texts have no words and match nothing.  An item without a word is
 no window; items of fewer words than a window are one window of all their words.  Item rows
@@ -20,25 +26,91 @@ columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from exposa.llm import words
-from exposa.llm.tables import unused
+from exposa.llm.tables import cut, unused, with_row_key
 
 SHARD_BYTES = 8 << 20
 FOUND = ("n_words bigint, spans array<struct<start:int,end:int>>, items array<{id}>, longest int, "
          "longest_at int, longest_item {id}, longest_item_at int")
 
 
+class Suffixes:
+    """Suffix array of ``number``: the places ``at`` sorted by the ``run`` words (up to ``limit``) from each on.
+
+    ``names[j]`` numbers the blocks of 2^j words (fewer at the end of a run) in the order of their
+    words; ``tables[j]`` holds the pairs of names of which those of ``names[j + 1]`` are made.
+    """
+
+    def __init__(self, number: np.ndarray, run: np.ndarray, at: np.ndarray, limit: int):
+        self.run, self.names, self.tables = run, [number.astype(np.int64)], []
+        self.base = max(len(number), int(number.max(initial=0))) + 1
+        h, limit = 1, min(limit, int(run.max(initial=0)))
+        while h < limit:
+            table, place = np.unique(self._pairs(self.names[-1], h, run > h), return_inverse=True)
+            self.tables.append(table)
+            self.names.append(place.reshape(-1) + 1)
+            h *= 2
+        self.order = at[np.argsort(self.names[-1][at], kind="stable")]
+
+    def _pairs(self, names: np.ndarray, h: int, goes_on: np.ndarray) -> np.ndarray:
+        after = np.zeros_like(names)
+        after[:-h] = names[h:]
+        return names * self.base + np.where(goes_on, after, 0)
+
+    def _bound(self, j: int, skip: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, after: bool):
+        """First place in [lo, hi) whose block at ``skip`` words on is not below (``after``: is above) ``value``."""
+        names, a, b = self.names[j], lo.copy(), hi.copy()
+        while len(open_ := np.flatnonzero(a < b)):
+            mid = (a[open_] + b[open_]) >> 1
+            place, on = self.order[mid], skip[open_]
+            here = np.where(self.run[place] > on, names[np.minimum(place + on, len(names) - 1)], 0)
+            right = here <= value[open_] if after else here < value[open_]
+            a[open_[right]] = mid[right] + 1
+            b[open_[~right]] = mid[~right]
+        return a
+
+    def find(self, number: np.ndarray, run: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ``run`` words from each place ``at`` on, how many a suffix here begins with at most, and the
+        interval [lo, hi) of the suffixes that do."""
+        names = [number.astype(np.int64)]
+        for j, table in enumerate(self.tables):
+            h, known = 1 << j, names[-1]
+            whole = np.flatnonzero((run >= 2 * h) & (known > 0))
+            after = known[whole + h]
+            whole = whole[(after > 0) & (after < self.base)]
+            if not len(whole):
+                break
+            key = known[whole] * self.base + known[whole + h]
+            place = np.minimum(np.searchsorted(table, key), len(table) - 1)
+            names.append(np.zeros_like(known))
+            names[-1][whole] = np.where(table[place] == key, place + 1, 0)
+        found, lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.full(len(at), len(self.order))
+        for j in range(len(names) - 1, -1, -1):
+            live = np.flatnonzero(run[at] - found >= 1 << j)
+            value = names[j][at[live] + found[live]]
+            live, value = live[value > 0], value[value > 0]
+            a = self._bound(j, found[live], lo[live], hi[live], value, False)
+            b = self._bound(j, found[live], a, hi[live], value, True)
+            has = b > a
+            live = live[has]
+            lo[live], hi[live] = a[has], b[has]
+            found[live] += 1 << j
+        return found, lo, hi
+
+
 class Index:
-    """Test suffixes of a block of items: the distinct windows, and where they stand."""
+    """Test suffixes of a block of items: their array, the window each begins, and the ids that hold it."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
+    def __init__(self, items: list[tuple[int | str | None, str | None]], window: int):
         import pyarrow as pa
-        by_text: dict[bytes, list] = {}
+        by_text: dict[bytes, set] = {}
         data, offsets = words.column_bytes(pa.array([t for _, t in items], pa.string()))
         starts, ends, first = words.spans(data, offsets, words.ALNUM_WORDS)
         raw = data.tobytes()
@@ -46,33 +118,50 @@ class Index:
             key = b" ".join(raw[s:e] for s, e in zip(starts[first[k]:first[k + 1]].tolist(),
                                                      ends[first[k]:first[k + 1]].tolist(), strict=True))
             if key:
-                by_text.setdefault(key, []).append(i)
-        self.ids = [sorted({i for i in v if i is not None}) for v in by_text.values()]
+                by_text.setdefault(key, set()).add(i)
+        self.ids = sorted({i for v in by_text.values() for i in v if i is not None})
+        rank = {i: n for n, i in enumerate(self.ids)}
+        of_text = [sorted(rank[i] for i in v if i is not None) for v in by_text.values()]
         lists = [k.split(b" ") for k in by_text]
         number = {w: n for n, w in enumerate(sorted({w for x in lists for w in x}), 1)}
         self.words = [b"", *number]
         self.length = np.array([len(w) for w in self.words])
         self.at_word = np.concatenate(([0], np.cumsum(self.length)))
         self.bytes = np.frombuffer(b"".join(self.words), np.uint8)
-        lo = self.at_word[1:-1]
-        keys = words.hashes(self.bytes, lo, self.at_word[2:])
+        keys = words.hashes(self.bytes, self.at_word[1:-1], self.at_word[2:])
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_word = keys[order], (order + 1).astype(np.int32)
-        n_pairs = len(self.words)
-        pairs = {a * n_pairs + b for x in lists for a, b in zip([number[w] for w in x], [number[w] for w in x][1:],
-                                                               strict=False)}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        # windows by length: each distinct one, and its (text, place) occurrences
-        self.windows: dict[int, tuple[np.ndarray, list]] = {}
-        found: dict[int, dict[tuple, list]] = {}
-        for t, x in enumerate(lists):
-            x = [number[w] for w in x]
-            k = min(window, len(x))
-            for p in range(len(x) - k + 1):
-                found.setdefault(k, {}).setdefault(tuple(x[p:p + k]), []).append((t, p))
-        for k, v in found.items():
-            self.windows[k] = np.array(sorted(v), np.int32).reshape(-1, k), [v[w] for w in sorted(v)]
-        self.begins = {k: np.isin(np.arange(n_pairs), w[:, 0]) for k, (w, _) in self.windows.items()}
+        # all texts one after another
+        size = np.array([len(x) for x in lists], np.int64)
+        self.window = window
+        self.sequence = np.array([number[w] for x in lists for w in x], np.int64)
+        self.text = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(size) - size, size)
+        self.left = size[self.text] - self.place if len(size) else self.place
+        inner = np.flatnonzero(self.left > 1)
+        self.pairs = np.unique(self.sequence[inner] * len(self.words) + self.sequence[inner + 1])
+        need = np.minimum(window, self.left + self.place)
+        self.at = np.flatnonzero(self.left >= need)                # each begins a window
+        self.need = need[self.at]
+        self.least, self.longest = int(self.need.min(initial=window)), int(size.max(initial=0))
+        self.suffixes = Suffixes(self.sequence, self.left, self.at, self.longest)
+        # equal windows, and equal lists of the ids that hold them
+        known: dict[bytes, int] = {}
+        raw, width = self.sequence.tobytes(), self.sequence.itemsize
+        self.which = np.array([known.setdefault(raw[p * width:(p + k) * width], len(known))
+                               for p, k in zip(self.at.tolist(), self.need.tolist(), strict=True)], np.int64)
+        holders = np.unique(np.stack([self.which, self.text[self.at]]), axis=1)
+        lists_of: dict[tuple, int] = {}
+        self.list_of = np.zeros(len(known), np.int64)
+        cuts = np.searchsorted(holders[0], np.arange(len(known) + 1))
+        for w, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            self.list_of[w] = lists_of.setdefault(
+                tuple(sorted({i for t in holders[1, a:b].tolist() for i in of_text[t]})), len(lists_of))
+        self.lists = [np.array(x, np.int64) for x in lists_of]
+        # which of several places of a match is told: the least id's (no id after all others), then the earliest
+        self.first_id = np.array([x[0] if x else len(self.ids) for x in of_text], np.int64)
+        self.told = np.empty(len(self.text), np.int64)
+        self.told[np.lexsort((self.place, self.first_id[self.text]))] = np.arange(len(self.text))
 
     def number(self, data, starts, ends) -> np.ndarray:
         """Vocabulary number of every word; bytes are compared, so a hash alone decides nothing."""
@@ -97,51 +186,15 @@ class Index:
         follow = np.zeros(len(number), bool)
         if len(number) > 1:
             a = np.flatnonzero((number[:-1] > 0) & (number[1:] > 0))
-            key = number[a].astype(np.int64) * len(self.words) + number[a + 1]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            follow[a] = self.pairs[at] == key if len(self.pairs) else False
+            if len(self.pairs):
+                key = number[a].astype(np.int64) * len(self.words) + number[a + 1]
+                follow[a] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
         ends = first[1:] - 1
         follow[ends[(ends >= 0) & (np.diff(first) > 0)]] = False
         stop = np.where(follow, len(number), np.arange(len(number)))
         stop = np.minimum.accumulate(stop[::-1])[::-1]
         return np.where(number > 0, stop - np.arange(len(number)) + 1, 0)
 
-    def occurrences(self, number: np.ndarray, run: np.ndarray):
-        """(place, window length, text, place in the text) of every window in a shard."""
-        out = []
-        for k, (windows, where) in self.windows.items():
-            at = np.flatnonzero((run >= k) & self.begins[k][number])
-            if not len(at):
-                continue
-            suffixes = number[at[:, None] + np.arange(k)]
-            order = np.lexsort(suffixes.T[::-1])
-            lo, hi = search(suffixes[order], windows)
-            for w in np.flatnonzero(hi > lo).tolist():
-                places = at[order[lo[w]:hi[w]]]
-                for t, p in where[w]:
-                    out.append(np.stack([places, np.full(len(places), k), np.full(len(places), t),
-                                         np.full(len(places), p)]))
-        return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-
-
-def search(array: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Interval of sorted rows equal to each wanted row: one binary search a word, for all at once."""
-    lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(array), np.int64)
-    for d in range(wanted.shape[1]):
-        column, value = array[:, d], wanted[:, d]
-        ends = []
-        for after in (False, True):
-            a, b = lo.copy(), hi.copy()
-            while (open_ := a < b).any():
-                mid = (a + b) >> 1
-                cell = column[np.minimum(mid, len(column) - 1)]
-                right = open_ & ((cell <= value) if after else (cell < value))
-                a = np.where(right, mid + 1, a)
-                b = np.where(open_ & ~right, mid, b)
-            ends.append(a)
-        lo, hi = ends
-    return lo, hi
-
 
 def _merge(intervals: list[tuple[int, int]]) -> list[dict]:
     out: list[list[int]] = []
@@ -153,59 +206,116 @@ def _merge(intervals: list[tuple[int, int]]) -> list[dict]:
     return [{"start": s, "end": e} for s, e in out]
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [lo, hi), one after another."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
 def _shard(index: Index, data, offsets) -> list[dict]:
     """What each document of a shard has in common with the items."""
     starts, ends, first = words.spans(data, offsets, words.ALNUM_WORDS)
-    number = index.number(data, starts, ends)
-    place, k, t, p = index.occurrences(number, index.runs(number, first))
     result = [{"n_words": int(n), "spans": [], "items": [], "longest": 0, "longest_at": None,
                "longest_item": None, "longest_item_at": None} for n in np.diff(first)]
-    if not len(place):
+    number = index.number(data, starts, ends)
+    run = index.runs(number, first)
+    inside = np.flatnonzero(run)
+    begins = np.ones(len(inside), bool)
+    begins[1:] = run[inside[:-1]] == 1
+    inside = inside[run[inside[begins]][np.cumsum(begins) - 1] >= index.least]
+    number, run = number[inside], run[inside]
+    own = Suffixes(number, run, np.flatnonzero(run >= index.least), index.longest)
+    if not len(own.order):
         return result
-    # windows on one diagonal, a word apart each, are one longer match
-    order = np.lexsort((place, place - p, t, k))
-    place, k, t, p = place[order], k[order], t[order], p[order]
+    found, lo, hi = own.find(index.sequence, np.minimum(index.left, index.window), index.at)
+    hit = np.flatnonzero(found == index.need)
+    which, one = np.unique(index.which[hit], return_index=True)
+    if not len(which):
+        return result
+    hit = hit[one]                                # one suffix for each window that occurs
+    n = hi[hit] - lo[hit]
+    local = own.order[_ranges(lo[hit], hi[hit])]
+    window, k, suffix = np.repeat(which, n), np.repeat(index.need[hit], n), np.repeat(index.at[hit], n)
+    place = inside[local]
     row = np.searchsorted(first, place, "right") - 1
-    new = np.ones(len(place), bool)
-    new[1:] = ((place[1:] != place[:-1] + 1) | (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-               | (row[1:] != row[:-1]))
-    begin = np.flatnonzero(new)
-    length = np.diff(np.concatenate((begin, [len(place)]))) - 1 + k[begin]
-    by_row: dict[int, list] = {}
-    for r, s, n, text, q in zip(row[begin].tolist(), (place[begin] - first[row[begin]]).tolist(), length.tolist(),
-                                t[begin].tolist(), p[begin].tolist(), strict=True):
-        by_row.setdefault(r, []).append((s, n, text, q))
-    for r, found in by_row.items():
-        s, n, text, q = min(found, key=lambda f: (-f[1], f[0], index.ids[f[2]][:1], f[3]))
-        result[r] |= {"spans": _merge([(s, s + n) for s, n, _, _ in found]),
-                      "items": sorted({i for f in found for i in index.ids[f[2]]}), "longest": n, "longest_at": s,
-                      "longest_item": next(iter(index.ids[text]), None), "longest_item_at": q}
+    # words inside of an occurrence, as spans of their documents
+    step = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(step, place, 1)
+    np.add.at(step, place + k, -1)
+    covered = np.concatenate(([False], np.cumsum(step)[:-1] > 0, [False]))
+    edge = np.zeros(len(starts) + 1, bool)
+    edge[first] = True
+    opens = np.flatnonzero(covered[1:] & (edge | ~covered[:-1]))
+    closes = np.flatnonzero(covered[:-1] & (edge | ~covered[1:]))
+    of = np.searchsorted(first, opens, "right") - 1
+    for r, s, e in zip(of.tolist(), (opens - first[of]).tolist(), (closes - first[of]).tolist(), strict=True):
+        result[r]["spans"].append({"start": s, "end": e})
+    # items: the union of the lists of a document's windows
+    lists = np.unique(row * len(index.lists) + index.list_of[window])
+    rows, at = np.unique(lists // len(index.lists), return_index=True)
+    for r, a, b in zip(rows.tolist(), at.tolist(), [*at[1:].tolist(), len(lists)], strict=True):
+        has = np.zeros(len(index.ids), bool)
+        for i in (lists[a:b] % len(index.lists)).tolist():
+            has[index.lists[i]] = True
+        result[r]["items"] = [index.ids[i] for i in np.flatnonzero(has).tolist()]
+    # the longest match of each place; a short item's only window is all of it
+    distinct, back = np.unique(local, return_inverse=True)
+    found, lo, hi = index.suffixes.find(number, run, distinct)
+    longer = found[back] >= index.window
+    length = np.where(longer, found[back], k)
+    order = np.lexsort((place, -length, row))
+    best = order[np.unique(row[order], return_index=True)[1]]
+    for i in best.tolist():
+        p = suffix[i]
+        if longer[i]:
+            same = index.suffixes.order[lo[back[i]]:hi[back[i]]]
+            p = same[index.told[same].argmin()]
+        item = index.first_id[index.text[p]]
+        result[row[i]] |= {"longest": int(length[i]), "longest_at": int(place[i] - first[row[i]]),
+                           "longest_item": index.ids[item] if item < len(index.ids) else None, "longest_item_at": int(index.place[p])}
     return result
 
 
 def _both(a: dict, b: dict) -> dict:
-    if (b["longest"], -(b["longest_at"] or 0)) > (a["longest"], -(a["longest_at"] or 0)):
-        a, b = b, a
-    return a | {"items": sorted({*a["items"], *b["items"]}),
-                "spans": _merge([(x["start"], x["end"]) for x in a["spans"] + b["spans"]])}
+    """What a document has in common with the items of two blocks."""
+    def told(o):
+        id = o["longest_item"]
+        return -o["longest"], o["longest_at"] or 0, id is None, [] if id is None else [id], o["longest_item_at"] or 0
+
+    return min(a, b, key=told) | {
+        "n_words": a["n_words"], "items": sorted({*a["items"], *b["items"]}),
+        "spans": _merge([(x["start"], x["end"]) for x in a["spans"] + b["spans"]])}
 
 
 def item_blocks(items: DataFrame, block_bytes: int):
     """The items as lists of at most ``block_bytes`` of text (or one item), fetched one at a time."""
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        n = len((row["text"] or "").encode())
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row["id"], row["text"]))
-        size += n
-    if block:
-        yield block
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = items.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    if total <= block_bytes:
+        yield [tuple(r) for r in items.collect()]
+        return
+
+    def number(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        block, full = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            out = []
+            for n in batch.column("size").to_pylist():
+                if full and full + n > block_bytes:
+                    block, full = block + 1, 0
+                full += n
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "block"])
+
+    sized = items.select("id", "text", size.alias("size"))
+    kept = cut(sized.mapInArrow(number, T.StructType([*sized.schema.fields, T.StructField("block", T.LongType())])))
+    for (block,) in kept.select("block").distinct().sort("block").collect():
+        yield [tuple(r) for r in kept.where(F.col("block") == block).select("id", "text").collect()]
 
 
 def overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id",
-             item_text: str = "text", block_bytes: int = 16 << 20, to: str = "overlap") -> DataFrame:
+             item_text: str = "text", block_bytes: int = 8 << 20, to: str = "overlap") -> DataFrame:
     """``docs`` with a struct ``to`` of the FOUND fields (in place of a column of that name).
 
     spans: the words inside any occurrence of a window, as disjoint [start, end) word
@@ -214,20 +324,29 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "t
     Ids keep their type, whole numbers as long.
     """
     docs = docs.drop(to) if to in docs.columns else docs
-    (found,) = unused(docs, "found_overlap")
+    found, more, key = unused(docs, "found_overlap", "more_overlaps", "overlap_row")
     whole = isinstance(items.schema[item_id].dataType, T.IntegralType)
     frame = items.select((items[item_id].cast("bigint") if whole else items[item_id]).alias("id"),
                          items[item_text].alias("text"))
-    kind = FOUND.format(id=frame.schema["id"].dataType.simpleString())
-    out = docs.withColumn(found, F.lit(None).cast(T._parse_datatype_string(kind)))
-    passes = 0
-    for block in item_blocks(frame, block_bytes):
-        out, passes = _pass(out, found, text, block, window), passes + 1
-    return (out if passes else _pass(out, found, text, [], window)).withColumnRenamed(found, to)
-
-
-def _pass(docs: DataFrame, found: str, text: str, block: list, window: int) -> DataFrame:
-    kind, columns = docs.schema[found].dataType, docs.columns
+    kind = T._parse_datatype_string(FOUND.format(id=frame.schema["id"].dataType.simpleString()))
+    blocks = item_blocks(frame, block_bytes)
+    block, further = next(blocks, []), next(blocks, None)
+    if further is None:
+        return _pass(docs, found, kind, text, block, window).withColumnRenamed(found, to)
+    columns, docs = docs.columns, with_row_key(docs, key)
+    out = _pass(docs, found, kind, text, block, window)
+    parts = []
+    while further is not None:
+        part = _pass(docs.select(key, text), found, kind, text, further, window)
+        parts.append(cut(part.where(F.col(f"{found}.longest") > 0).select(key, found)))
+        further = next(blocks, None)
+    rest = reduce(DataFrame.union, parts).groupBy(key).agg(F.collect_list(found).alias(more))
+    return _joined(out.join(rest, key, "left"), found, more).select(*columns, F.col(found).alias(to))
+
+
+def _pass(docs: DataFrame, found: str, kind: T.StructType, text: str, block: list, window: int) -> DataFrame:
+    """``docs`` with what they have in common with one block of items."""
+    columns = docs.columns
 
     def run(batches):
         import pyarrow as pa
@@ -239,11 +358,25 @@ def _pass(docs: DataFrame, found: str, text: str, block: list, window: int) -> D
             for at, to in words.blocks(offsets, SHARD_BYTES):
                 lo = offsets[at]
                 new += _shard(index, data[lo:offsets[to]], offsets[at:to + 1] - lo)
-            old = batch.column(found).to_pylist() if batch.column(found).null_count < batch.num_rows else []
-            new = [_both(a, b) if a else b for a, b in zip(old, new, strict=True)] if old else new
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(new, to_arrow_type(kind))],
+                                             names=[*columns, found])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(found, kind)]))
+
+
+def _joined(docs: DataFrame, found: str, more: str) -> DataFrame:
+    """Column ``found`` with the matches of further blocks, at most one a block."""
+    kind = docs.schema[found].dataType
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+        for batch in batches:
+            new = [reduce(_both, rest or [], one) for one, rest in
+                   zip(batch.column(found).to_pylist(), batch.column(more).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(new, to_arrow_type(kind)) if c == found else batch.column(c) for c in columns],
-                names=columns)
+                [pa.array(new, to_arrow_type(kind)) if c == found else batch.column(c) for c in batch.schema.names],
+                names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 

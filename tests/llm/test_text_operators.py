@@ -187,6 +187,67 @@ def test_decontam_random():
         assert got == [_overlap(t, items, 4) for t in texts]
 
 
+def test_suffix_array_and_longest_prefixes():
+    rnd = random.Random(5)
+    for _ in range(200):
+        size, other = rnd.choice([2, 3, 40]), rnd.choice([3, 60])
+        texts, asked = ([[rnd.randint(1, k) for _ in range(rnd.randint(1, 25))] for _ in range(rnd.randint(1, 4))]
+                        for k in (size, other))
+        flat = lambda x: (np.array([w for t in x for w in t]), np.array([len(t) - i for t in x for i in range(len(t))]))
+        suffixes = lambda x: [t[i:] for t in x for i in range(len(t))]
+        number, run = flat(texts)
+        array = decontam.Suffixes(number, run, np.arange(len(number)), 1000)
+        own = suffixes(texts)
+        assert [own[i] for i in array.order] == sorted(own)
+        number, run = flat(asked)
+        found, lo, hi = array.find(number, run, np.arange(len(number)))
+        for x, n, a, b in zip(suffixes(asked), found.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            shared = lambda y: next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))  # noqa: B023, E731
+            assert n == max(map(shared, own))
+            assert sorted(array.order[a:b].tolist()) == [i for i, y in enumerate(own) if y[:n] == x[:n]]
+
+
+def test_decontam_tells_where_the_longest_match_is():
+    rnd = random.Random(8)
+    for _ in range(200):
+        items = [(rnd.choice([1, 2, 3, None]), " ".join(rnd.choices("abc", k=rnd.randint(0, 12)))) for _ in range(4)]
+        texts = [" ".join(rnd.choices("abcd", k=rnd.randint(0, 30))) for _ in range(5)]
+        data, offsets = words.column_bytes(pa.array(texts, pa.string()))
+        for text, o in zip(texts, decontam._shard(decontam.Index(items, 4), data, offsets), strict=True):
+            d, best = text.split(), []
+            for i, t in items:
+                w = t.split()
+                for p in range(len(w)):
+                    for s in range(len(d)):
+                        n = next((k for k, (x, y) in enumerate(zip(d[s:], w[p:], strict=False)) if x != y),
+                                 min(len(d) - s, len(w) - p))
+                        if n >= 4 or 0 < n == len(w) and p == 0:
+                            best.append((-n, s, [] if i is None else [i], p, i))
+            # the least id counts, and none only where there is no other
+            ids = {t: sorted(i for i, u in items if u == t and i is not None) for _, t in items}
+            if best:
+                n, s = min(best)[:2]
+                told = min((not ids[t], ids[t][:1], p) for _, t in items for p in range(len(t.split()))
+                           if t.split()[p:p - n] == d[s:s - n] and (-n >= 4 or (p == 0 and -n == len(t.split()))))
+                assert (o["longest"], o["longest_at"], o["longest_item_at"]) == (-n, s, told[2])
+                assert o["longest_item"] == (told[1][0] if told[1] else None)
+            else:
+                assert o["longest"] == 0 and o["longest_at"] is None and o["spans"] == []
+
+
+def test_decontam_window_of_many_items():
+    """A window that 1,000 items share costs a line a place, not a line a place and item."""
+    shared = "one two three four five six seven eight nine ten"
+    items = [(i, f"{shared} only{i}") for i in range(1000)]
+    index = decontam.Index(items, 10)
+    assert len(index.lists) <= 1001
+    texts = [" x ".join([shared] * 40)] * 40 + [f"{shared} only7", shared + " only7 tail"]
+    data, offsets = words.column_bytes(pa.array(texts, pa.string()))
+    got = decontam._shard(index, data, offsets)
+    assert all(o["items"] == list(range(1000)) and len(o["spans"]) == 40 for o in got[:40])
+    assert [(o["longest"], o["longest_item"], len(o["items"])) for o in got[40:]] == [(11, 7, 1000)] * 2
+
+
 def test_decontam_query(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -288,6 +349,22 @@ def test_overlap_of_items_with_text_ids(spark):
     assert got[1]["items"] == ["a", "b"] and got[1]["longest_item"] == "a" and got[2]["items"] == []
 
 
+def test_decontam_blocks_of_files(spark, tmp_path):
+    """Many blocks of items give what one gives: rows from files, null and repeated ids, clashing names."""
+    rnd = random.Random(2)
+    text = lambda n: " ".join(rnd.choices("abcdef", k=n))
+    rows = [(rnd.choice([None, 1, 2, i]), text(rnd.randint(0, 40))) for i in range(200)] + ROWS
+    frame(spark, rows).selectExpr("*", "'x' AS overlap_row").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    items = spark.createDataFrame([(rnd.choice([None, *"pqrst"]), text(rnd.randint(0, 9))) for _ in range(60)],
+                                  "item_id string, text string")
+    whole, parts = (decontam.overlaps(docs, items, window=4, block_bytes=b) for b in (1 << 20, 60))
+    assert whole.columns == parts.columns == [c for c in docs.columns if c != "overlap"] + ["overlap"]
+    key = lambda df: sorted(str((r.doc_id, r.text, r.overlap_row, r.overlap)) for r in df.collect())
+    assert key(whole) == key(parts) and len(rows) == parts.count()
+    assert [len(b) for b in decontam.item_blocks(items.withColumnRenamed("item_id", "id"), 60)] != [60]
+
+
 def test_langid_ignores_held_out_and_null_labels(spark):
     rows = [(i, t, lang) for i in range(60) for t, lang in [("the cat and the hat", "en"), ("le chat et le chien", "fr")]]
     rows += [(i, "zzzz qqqq", "xx") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
