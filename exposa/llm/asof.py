@@ -43,11 +43,11 @@ def _sliced(rows: DataFrame, keys: list[str], order: str, slices: int) -> tuple[
     rows = rows.withColumn("slice", F.expr(f"{r['lo']}L + (`{order}` - {r['lo']}L) div {width}L * {width}L"))
     columns = [c for c in rows.columns if c != "slice"]
     while True:
-        full = rows.groupBy(*keys, "slice").agg(F.count("*").alias("n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")) \
-            .where((F.col("n") > SLICE_ROWS) & F.col("slice").isNotNull())
+        full = rows.groupBy(*keys, "slice").agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")) \
+            .where((F.col("_n") > SLICE_ROWS) & F.col("slice").isNotNull())
         full = cut(full.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("slice").alias("_slice"), "_lo",
                                (F.col("_lo") < F.col("_hi")).alias("_wide"),
-                               F.expr(f"(_hi - _lo) div (2 * n div {SLICE_ROWS} + 1) + 1").alias("_width")))
+                               F.expr(f"(_hi - _lo) div (2 * _n div {SLICE_ROWS} + 1) + 1").alias("_width")))
         n = {x["_wide"]: x["n"] for x in full.groupBy("_wide").agg(F.count("*").alias("n")).collect()}
         if not n.get(True):
             flat = full.select(*[f"_k{i}" for i in range(len(keys))], "_slice", F.lit(True).alias("_flat"))

@@ -11,12 +11,15 @@ ties go to the later message, then the greater id.  Following the answers gives
 conversation, its depth, and its place among the messages of the conversation, in which a message
 always comes after the one it answers.
 
-Messages: msg_id (string), sent (long), text; other columns are not read.  Passages in at most
-``RARE`` messages are joined row by row.  More frequent ones are joined between the distinct sets
-of frequent passages that messages hold; messages with the same set explain the same, so of each
-set only the latest earlier one is looked up, split by the time they were sent, as is a
-conversation.  Chains of answers are followed by doubling, so their length costs its logarithm in
-joins.
+Messages: msg_id (string), sent (long), text; other columns are not read.  One aggregation a passage
+tells when it was first a message's own, and so which level of quotes a message's answer is found
+at and which passage decides (its key).  Pairs of messages are then formed only through passages
+that stand in at most ``RARE`` messages.  What is left are pairs that share nothing but more frequent
+passages: there the distinct sets of passages asked for meet the distinct sets of those held that have
+the key, and of all holders that explain a set equally well only the latest earlier one is looked up,
+split by the time they were sent, as is a conversation.  So a signature in all messages makes lines
+in proportion to them times the distinct sets whose rarest passage is the signature.  Chains of
+answers are followed by doubling, so their length costs its logarithm in joins.
 
 Null texts are empty; empty passages are no passages; a quote without an original links
 nothing.  Null times link nothing.  Rows without a msg_id are no messages; of repeated ids
@@ -80,50 +83,56 @@ def parse(messages: DataFrame) -> DataFrame:
     return kept.select("msg_id", "sent", text.alias("own_text"), _passages(F.col("lines")).alias("passages"))
 
 
-def _evidence(shared: DataFrame, *pair: str) -> DataFrame:
-    """What each pair of asker and holder shares at each level: rarest own passage, number of passages."""
-    own = F.col("depth") == 0
-    return shared.withColumn("level", F.col("level") - F.col("depth")).groupBy(*pair, "level").agg(
-        F.max(F.when(own, F.struct((-F.col("holders")).alias("rare"), F.col("length").alias("length")))).alias("key"),
-        F.count("*").alias("n")).where("key is not null")
-
-
 def answers(parsed: DataFrame, rare: int = RARE) -> DataFrame:
     """(msg_id, parent): the message each one answers, where a quoted passage has an original."""
     every = parsed.select("msg_id", "sent", F.explode("passages").alias("p")).where("sent is not null") \
         .select("msg_id", "sent", "p.level", F.sha2("p.passage", 256).alias("hash"),
                 F.length("p.passage").alias("length")).distinct()
-    own = F.when(F.col("level") == 0, 1)
-    known = every.groupBy("hash").agg(F.count("*").alias("rows"), F.count(own).alias("holders"))
+    own = F.col("level") == 0
+    known = every.groupBy("hash").agg(F.count("*").alias("rows"), F.count(F.when(own, 1)).alias("holders"),
+                                      F.min(F.when(own, F.col("sent"))).alias("first"))
     # a passage can tell something where it is quoted and stands in another message too
     every = cut(every.join(known.where("rows > 1"), "hash"))
-    few = every.where(F.col("rows") <= rare)
-    holder = few.select("hash", F.col("msg_id").alias("parent"), F.col("sent").alias("at"), F.col("level").alias("depth"))
-    quoted = few.where("level > 0").drop("rows")
-    shared = quoted.join(holder, "hash").where("at < sent and depth < level") \
-        .select("msg_id", "parent", "at", "level", "depth", "holders", "length", "hash")
-    # frequent passages: sets of them
-    often = every.where(F.col("rows") > rare).groupBy("msg_id", "sent").agg(
-        F.array_sort(F.collect_list(F.struct("level", "hash", "holders", "length"))).alias("all"))
-    often = cut(often.withColumn("set", F.sha2(F.to_json(F.col("all")), 256)))
-    pairs = shared.select("msg_id", "parent", "at").distinct()
-    more = pairs.join(often.select("msg_id", F.col("all").alias("asked")), "msg_id") \
-        .join(often.select(F.col("msg_id").alias("parent"), F.col("all").alias("held")), "parent") \
-        .select("msg_id", "parent", "at", F.explode("asked").alias("q"), "held") \
-        .select("msg_id", "parent", "at", "q", F.explode(F.filter(
-            "held", lambda h: (h["hash"] == F.col("q.hash")) & (h["level"] < F.col("q.level")))).alias("h")) \
-        .select("msg_id", "parent", "at", "q.level", F.col("h.level").alias("depth"), "q.holders", "q.length", "q.hash")
-    first = _evidence(shared.unionByName(more), "msg_id", "parent", "at")
-    distinct = often.groupBy("set").agg(F.first("all").alias("all")).select("set", F.explode("all").alias("p")) \
-        .select("set", "p.*")
-    held = distinct.select(F.col("set").alias("held"), F.col("level").alias("depth"), "hash")
-    between = _evidence(distinct.where("level > 0").join(held, "hash").where("depth < level"), "set", "held")
-    asked = often.select("msg_id", "sent", "set").join(between, "set").drop("set")
-    second = latest_before(asked, often.select(F.col("set").alias("held"), "sent", F.struct("sent", "msg_id").alias("origin")),
-                           ["held"], "sent", "origin").where("origin is not null") \
-        .select("msg_id", F.col("origin.msg_id").alias("parent"), F.col("origin.sent").alias("at"), "level", "key", "n")
-    best = F.max(F.struct((-F.col("level")).alias("near"), "key", "n", "at", "parent"))
-    return first.select(second.columns).unionByName(second).groupBy("msg_id").agg(best.alias("best")) \
+    # the least-nested level with an original, and the keys: its rarest, then longest passages with one
+    keys = every.where("level > 0 and first < sent").groupBy("msg_id", "level", "holders", "length") \
+        .agg(F.sort_array(F.collect_list("hash")).alias("keys")).groupBy("msg_id").agg(F.max(F.struct(
+            (-F.col("level")).alias("near"), (-F.col("holders")).alias("rarity"), "length", "keys")).alias("k")) \
+        .select("msg_id", (-F.col("k.near")).alias("near"), "k.keys")
+    # the answered message has what is asked for at ``depth``
+    asked = cut(every.join(keys, "msg_id").where("level >= near")
+                .select("msg_id", "sent", "hash", "rows", "first", "keys", (F.col("level") - F.col("near")).alias("depth")))
+    is_key = (F.col("depth") == 0) & F.array_contains("keys", F.col("hash"))
+    holder = every.where(F.col("rows") <= rare).select(
+        "hash", F.col("level").alias("depth"), F.col("msg_id").alias("parent"), F.col("sent").alias("at"))
+    few = asked.where(F.col("rows") <= rare).join(holder, ["hash", "depth"]).where("at < sent") \
+        .groupBy("msg_id", "parent", "at").agg(F.count("*").alias("n"), F.max(is_key).alias("has_key"))
+    # frequent passages: sets of them, as depth and hash
+    named = lambda depth: F.concat_ws(":", depth, "hash")
+    held = cut(every.where(F.col("rows") > rare).groupBy("msg_id", "sent").agg(
+        F.sort_array(F.collect_list(named("level"))).alias("held"))
+        .withColumn("kind", F.sha2(F.concat_ws(",", "held"), 256)))
+    wanted = cut(asked.where((F.col("rows") > rare) & ((F.col("depth") > 0) | (F.col("first") < F.col("sent"))))
+                 .groupBy("msg_id", "sent").agg(F.sort_array(F.collect_list(named("depth"))).alias("wanted"),
+                                                F.sort_array(F.collect_list(F.when(is_key, named("depth")))).alias("keys"))
+                 .withColumn("set", F.sha2(F.concat_ws("|", F.concat_ws(",", "wanted"), F.concat_ws(",", "keys")), 256)))
+    shared = F.size(F.array_intersect("wanted", "held")).cast("bigint")
+    none = F.array().cast("array<string>")
+    first = few.join(wanted.select("msg_id", "wanted", "keys"), "msg_id", "left") \
+        .join(held.select(F.col("msg_id").alias("parent"), "held"), "parent", "left") \
+        .withColumns({c: F.coalesce(c, none) for c in ("wanted", "keys", "held")}) \
+        .where(F.col("has_key") | F.arrays_overlap("keys", "held")) \
+        .select("msg_id", "parent", "at", (F.col("n") + shared).alias("n"))
+    # pairs of frequent passages alone
+    sets = wanted.where(F.size("keys") > 0).groupBy("set").agg(F.first("wanted").alias("wanted"), F.first("keys").alias("keys"))
+    kinds = held.groupBy("kind").agg(F.first("held").alias("held"))
+    between = cut(sets.select("set", "wanted", F.explode("keys").alias("key"))
+                  .join(kinds.select("kind", "held", F.explode(F.filter("held", lambda h: h.startswith("0:"))).alias("key")), "key")
+                  .select("set", "kind", shared.alias("n")).distinct())
+    asking = wanted.select("msg_id", "sent", "set").join(between.select("set", "n").distinct(), "set")
+    origins = between.join(held.select("kind", "sent", F.struct("sent", "msg_id").alias("origin")), "kind").drop("kind")
+    second = latest_before(asking, origins, ["set", "n"], "sent", "origin").where("origin is not null") \
+        .select("msg_id", F.col("origin.msg_id").alias("parent"), F.col("origin.sent").alias("at"), "n")
+    return first.unionByName(second).groupBy("msg_id").agg(F.max(F.struct("n", "at", "parent")).alias("best")) \
         .select("msg_id", F.col("best.parent").alias("parent"))
 
 

@@ -476,3 +476,60 @@ def test_frequent_passages_do_not_outrank_the_original(spark):
     parsed = quotes.parse(df).cache()
     for rare in (1, 3, 32, 1000):
         assert {r.msg_id: r.parent for r in quotes.answers(parsed, rare).collect()} == want
+
+
+def _plain_answers(mail):
+    """The message that each (id, sent, {(level, passage)}) answers, pair by pair."""
+    holders = Counter(p for _, _, said in mail for level, p in said if level == 0)
+    out = {}
+    for i, sent, said in mail:
+        best = []
+        for j, at, held in mail:
+            for near in {level for level, _ in said if level} if at < sent else ():
+                keys = [(-holders[p], len(p)) for level, p in said if level == near and (0, p) in held]
+                if keys:
+                    n = sum((level - near, p) in held for level, p in said if level >= near)
+                    best.append((-near, max(keys), n, at, j))
+        if best:
+            out[i] = max(best)[-1]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_answers_against_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+    passages = ["thanks", "regards", *[f"passage {'x' * (k % 4)} {k}" for k in range(10)]]
+    weights = [12, 8, 5, *[1] * (len(passages) - 3)]
+    mail = []
+    for k in range(90):
+        said = [(0, rnd.choices(passages, weights)[0]) for _ in range(rnd.randint(0, 3))]
+        said += [(rnd.choice([1, 1, 2, 3]), rnd.choices(passages, weights)[0]) for _ in range(rnd.randint(0, 4))]
+        mail.append((f"m{k:02d}", rnd.randint(0, 60), said))
+    rows = [(i, sent, "\n\n".join("> " * level + p for level, p in said)) for i, sent, said in mail]
+    parsed = quotes.parse(spark.createDataFrame(rows, "msg_id string, sent bigint, text string")).cache()
+    want = _plain_answers([(i, sent, set(said)) for i, sent, said in mail])
+    assert len(want) > 30
+    for rare in (0, 2, 8, 1000):
+        assert {r.msg_id: r.parent for r in quotes.answers(parsed, rare).collect()} == want
+
+
+def test_a_signature_in_all_messages_stays_linear(spark, monkeypatch):
+    """Threads with a frequent passage of their own, and one signature everywhere: lines grow with the messages."""
+    def lines(n):
+        rows = [(f"t{k // 10:03d}-{k % 10}", k, (f"> Opening of thread {k // 10}\n>\n> Sent from afar\n\n" if k % 10 else
+                 f"Opening of thread {k // 10}\n\n") + f"Opening of thread {k // 10}\n\nSent from afar") for k in range(n)]
+        rows += [(f"s{k:03d}", n + k, "> Sent from afar\n\nSent from afar") for k in range(n // 10)]
+        seen = []
+
+        def counted(asking, known, *rest):
+            seen.append(asking.count() + known.count())
+            return latest_before(asking, known, *rest)
+
+        monkeypatch.setattr(quotes, "latest_before", counted)
+        parsed = quotes.parse(spark.createDataFrame(rows, "msg_id string, sent bigint, text string"))
+        got = {r.msg_id: r.parent for r in quotes.answers(parsed, 4).collect()}
+        assert all(got[f"t{k // 10:03d}-{k % 10}"] == f"t{k // 10:03d}-{k % 10 - 1}" for k in range(n) if k % 10)
+        return seen[0]
+
+    few, many = lines(100), lines(400)
+    assert many <= 5 * few
