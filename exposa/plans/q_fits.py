@@ -31,8 +31,7 @@ FREQ_FACTORS = ["geo_code", "occupation_risk", "building_type", "sprinkler_type"
 
 
 def _split(spark, sf_dir):
-    pc = S.policy_claims(spark, sf_dir)
-    return SM.stratified_split(pc, 0.8, ["LossofIncome_cover"], _KEY, 123)
+    return S.policy_split(spark, sf_dir)
 
 
 def _coef_table(spark, fit, model_name):

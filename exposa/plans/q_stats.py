@@ -340,7 +340,7 @@ SELECT policyno, situation_num, policy_version,
 FROM s, b WHERE split = 'test'""", ("policy_claims",))
 def minmax_scale(spark, sf_dir):
     """Test rows scaled with the TRAINING min / max."""
-    sp = SM.stratified_split(S.policy_claims(spark, sf_dir), 0.8, ["LossofIncome_cover"], _KEY, 123)
+    sp = S.policy_split(spark, sf_dir)
     mm = PR.MinMax(["suminsured_prop"]).fit(sp.filter(F.col("split") == "train"))
     out = mm.transform(sp.filter(F.col("split") == "test"))
     return out.select(*_KEY, F.round("suminsured_prop", 9).alias("suminsured_prop"))
@@ -368,7 +368,7 @@ SELECT occupation_risk NOT IN (SELECT occupation_risk FROM s WHERE split = 'trai
 FROM s WHERE split = 'test' GROUP BY 1""", ("policy_claims",))
 def novel_levels(spark, sf_dir):
     """Test rows whose occupation group is unseen in training."""
-    sp = SM.stratified_split(S.policy_claims(spark, sf_dir), 0.8, ["LossofIncome_cover"], _KEY, 123)
+    sp = S.policy_split(spark, sf_dir)
     out = GR.novel_levels(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "test"),
                           "occupation_risk")
     return out.groupBy("novel_level").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -381,7 +381,7 @@ SELECT geo_code, round(sum(exposure), 6) AS exposure FROM s WHERE split = 'train
 GROUP BY geo_code""", ("policy_claims",))
 def drop_unused_levels(spark, sf_dir):
     """Training level table of geo codes restricted to levels with test rows."""
-    sp = SM.stratified_split(S.policy_claims(spark, sf_dir), 0.8, ["LossofIncome_cover"], _KEY, 123)
+    sp = S.policy_split(spark, sf_dir)
     lv = GR.level_weights(sp.filter(F.col("split") == "train"), "geo_code", "exposure")
     out = PR.drop_unused_levels(lv, sp.filter(F.col("split") == "test"), "geo_code")
     return out.withColumn("exposure", F.round("exposure", 6))
