@@ -31,16 +31,23 @@ class Design:
         return self.model.transform(casted)
 
 
+def bases_first_by(df: DataFrame, factors: Sequence[str], weight: str | None) -> dict[str, list[str]]:
+    """Per factor its levels, the base first: most ``weight`` (or rows), then the rest alphabetically.
+    All factors share one aggregation; only the level lists reach the driver."""
+    agg = F.sum("w") if weight else F.count(F.lit(1))
+    level = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).cast("string").alias("v"))
+                                for i, f in enumerate(factors)]))
+    out: dict[str, list] = {f: [] for f in factors}
+    for r in (df.select(level.alias("l"), (F.col(weight) if weight else F.lit(1)).alias("w")).filter("l.v IS NOT NULL")
+              .groupBy("l.i", "l.v").agg(agg.alias("w")).collect()):
+        out[factors[r["i"]]].append((-(r["w"] or 0), r["v"]))
+    ranked = {f: [v for _, v in sorted(found)] for f, found in out.items()}
+    return {f: levels[:1] + sorted(levels[1:]) for f, levels in ranked.items()}
+
+
 def base_first_by(df: DataFrame, factor: str, weight: str | None) -> list[str]:
-    """Levels ordered with the base first: most ``weight`` (or rows), then
-    the rest alphabetically.  Only the level list reaches the driver."""
-    agg = F.sum(weight) if weight else F.count(F.lit(1))
-    rows = (df.groupBy(F.col(factor).cast("string").alias("lv")).agg(agg.alias("w"))
-            .filter(F.col("lv").isNotNull()).collect())
-    if not rows:
-        return []
-    base = sorted(rows, key=lambda r: (-(r["w"] or 0), r["lv"]))[0]["lv"]
-    return [base] + sorted(r["lv"] for r in rows if r["lv"] != base)
+    """Levels of one factor, the base first (see ``bases_first_by``)."""
+    return bases_first_by(df, [factor], weight)[factor]
 
 
 def build_design(df: DataFrame, factors: Sequence[str], numeric: Sequence[str] = (),
@@ -56,8 +63,10 @@ def build_design(df: DataFrame, factors: Sequence[str], numeric: Sequence[str] =
     from pyspark.ml import Pipeline
     factors, numeric = list(factors), list(numeric)
     labels, stages, names, used = {}, [], [], []
+    open_ = [f for f in factors if not (levels or {}).get(f)]
+    counted = bases_first_by(df, open_, weight) if open_ else {}
     for f in factors:
-        lv = (levels or {}).get(f) or base_first_by(df, f, weight)
+        lv = (levels or {}).get(f) or counted[f]
         labels[f] = lv
         if len(lv) < 2:
             continue

@@ -8,6 +8,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,13 @@ def fit_glm(df: DataFrame, response: str, factors: Sequence[str], family: str =
         glr.setOffsetCol(off)
     if weight:
         glr.setWeightCol(weight)
-    model = glr.fit(x)
+    # the solver reads its rows once a step: keep what it reads, and not the rows' whole making
+    used = [c for c in ("features", label, off, weight) if c]
+    rows = x.select(*dict.fromkeys(used)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = glr.fit(rows)
+    finally:
+        rows.unpersist()
     fit = GLMFit(family, response, design, model, off, weight, variance_power, scale=scale)
     fit._exposure = exposure
     return fit
