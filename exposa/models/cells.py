@@ -232,6 +232,14 @@ class _Batch:
         self.off, self.y, self.w, self.n = get("off"), get("y"), get("w"), get("n").astype(float)
         self.dense = [np.ones(batch.num_rows), *[get(f"x{i}") for i in range(n_numeric)]]
 
+        self._pairs: dict = {}
+
+    def pair(self, i: int, j: int, size: int) -> np.ndarray:
+        """Codes of a pair of factors, the same for all models of the batch."""
+        if (i, j, size) not in self._pairs:
+            self._pairs[i, j, size] = self.codes[i] * size + self.codes[j]
+        return self._pairs[i, j, size]
+
     def levels(self, lookup) -> list[np.ndarray]:
         return self.codes if lookup is None else [*self.codes, lookup[self.key]]
 
@@ -266,7 +274,8 @@ def _working(family: str, power: float, theta: float, y, off, eta, w, start: boo
         extras["objective"] = w @ (y * np.log(mu) + (1 - y) * np.log1p(-mu))
         extras["pearson"] = w @ ((y - mu) ** 2 / v)
         return w * v, eta + (y - mu) / v, extras
-    mu = np.exp(np.clip(eta + off, -80, 80))
+    score = np.clip(eta + off, -80, 80)
+    mu = np.exp(score)
     z = eta + (y - mu) / mu
     if family == "poisson":
         weight, variance = w * mu, mu
@@ -281,25 +290,29 @@ def _working(family: str, power: float, theta: float, y, off, eta, w, start: boo
         extras["info"] = -w @ (minus_square + 1 / theta - 2 / (mu + theta) + (y + theta) / (mu + theta) ** 2)
     else:
         p = 2.0 if family == "gamma" else power
-        weight, variance = w * mu ** (2 - p), mu ** p
-        extras["objective"] = w @ (-y / mu - np.log(mu)) if p == 2 else \
-            w @ (y * mu ** (1 - p) / (1 - p) - mu ** (2 - p) / (2 - p))
+        rest = np.ones_like(mu) if p == 2 else np.exp((2 - p) * score)      # mu ** (2 - p)
+        weight, variance = w * rest, mu ** 2 / rest
+        extras["objective"] = w @ (-y / mu - score) if p == 2 else w @ (y * (rest / mu) / (1 - p) - rest / (2 - p))
     extras["pearson"] = w @ ((y - mu) ** 2 / variance)
     return weight, z, extras
 
 
-def _blocks(dense, codes, sizes, weight, z) -> list[np.ndarray]:
+def _blocks(batch: _Batch, codes, sizes, weight, z) -> list[np.ndarray]:
     """X'WX and X'Wz in blocks: dense x dense, dense x factor, factor x later factor; then the right side.
 
     A factor's block with itself is diagonal and equals its block with the intercept."""
-    out = [np.array([[(weight * a) @ b for b in dense] for a in dense])]
+    dense, shared = batch.dense, len(batch.codes)
+    weighted = [weight, *[weight * a for a in dense[1:]]]
+    out = [np.array([[wa @ b for b in dense] for wa in weighted])]
     for size, code in zip(sizes, codes, strict=True):
-        out += [np.bincount(code, weight * a, size) for a in dense]
+        out += [np.bincount(code, wa, size) for wa in weighted]
     for i in range(len(codes)):
         for j in range(i + 1, len(codes)):
-            out.append(np.bincount(codes[i] * sizes[j] + codes[j], weight, sizes[i] * sizes[j]))
-    out.append(np.array([(weight * a) @ z for a in dense]))
-    out += [np.bincount(code, weight * z, size) for size, code in zip(sizes, codes, strict=True)]
+            both = batch.pair(i, j, sizes[j]) if j < shared else codes[i] * sizes[j] + codes[j]
+            out.append(np.bincount(both, weight, sizes[i] * sizes[j]))
+    out.append(np.array([wa @ z for wa in weighted]))
+    wz = weight * z
+    out += [np.bincount(code, wz, size) for size, code in zip(sizes, codes, strict=True)]
     return [b.ravel() for b in out]
 
 
@@ -404,7 +417,7 @@ def _step_sums(cells: Cells, fits: Sequence[Fit], start: bool) -> dict[int, dict
         w = batch.w if weight == "w" else batch.n
         w_, z, extras = _working(family, power, theta, batch.y, batch.off, batch.eta(beta, sizes, codes), w, start)
         extras |= {"weight": w.sum(), "rows": batch.n.sum(), "zz": w_ @ z ** 2}
-        return np.concatenate([*_blocks(batch.dense, codes, sizes, w_, z), [extras[e] for e in EXTRAS]])
+        return np.concatenate([*_blocks(batch, codes, sizes, w_, z), [extras[e] for e in EXTRAS]])
 
     out = {}
     d = 1 + len(cells.numeric)

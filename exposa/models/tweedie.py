@@ -50,9 +50,18 @@ def _series(logz: np.ndarray, alpha: float, mode: np.ndarray) -> np.ndarray:
 
     Terms fall off on both sides of the mode, so a side ends when its last
     term is too small to change the sum: no fixed window, and a block of
-    _STEP terms a row at a time whatever the widest row needs."""
+    _STEP terms a row at a time whatever the widest row needs.  The gamma functions
+    depend on the place alone, so they are looked up where places are fewer than terms."""
+    def gammas(j):
+        low = j.min(initial=np.inf)
+        places = j.max(initial=-np.inf) - low + 1
+        if not places < j.size:
+            return lgamma_np(j + 1) + lgamma_np(-alpha * j)
+        own = low + np.arange(int(places))
+        return (lgamma_np(own + 1) + lgamma_np(-alpha * own))[(j - low).astype(np.int64)]
+
     def term(j, rows):
-        return j * logz[rows][:, None] - lgamma_np(j + 1) - lgamma_np(-alpha * j)
+        return j * logz[rows][:, None] - gammas(j)
 
     every = np.arange(len(mode))
     top = term(mode[:, None], every)[:, 0]
@@ -60,10 +69,13 @@ def _series(logz: np.ndarray, alpha: float, mode: np.ndarray) -> np.ndarray:
     for way in (1, -1):
         rows, at = every, mode.copy()
         while len(rows):
-            j = at[rows][:, None] + way * np.arange(1, _STEP + 1)
+            width = _STEP if way == 1 else min(_STEP, int(at[rows].max()) - 1)      # no term is below 1
+            if width < 1:
+                break
+            j = at[rows][:, None] + way * np.arange(1, width + 1)
             t = np.where(j >= 1, term(np.maximum(j, 1.0), rows) - top[rows][:, None], -np.inf)
             total[rows] += np.exp(t).sum(axis=1)
-            at[rows] += way * _STEP
+            at[rows] += way * width
             rows = rows[(t[:, -1] > _SMALL)]
     return top + np.log(total)
 
