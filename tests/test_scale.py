@@ -7,12 +7,16 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from exposa import session
 from exposa.models import tweedie as TW
 from exposa.models.design import base_first_by, bases_first_by
 from exposa.operators import consolidate as C
 from exposa.operators import sampling as SM
+from exposa.sources import fixtures
 from exposa.sources.schema import VERSION_KEYS
 
+SF = "/root/testdata/sf0.001"
+
 
 def _exchanges(df) -> int:
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -97,6 +101,24 @@ def test_versions_move_rows_once(spark):
     assert _exchanges(C.policy_version(C.versions(df, _PICKS))) == 1
 
 
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    # before: the session's number of shuffle partitions, so that what a task sorts grew with the table
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    df = C.recency_weight(_monthly(spark), "start")
+    got = C.versions(df, _PICKS)
+    assert got.rdd.getNumPartitions() == 30
+    lines = fixtures.read_table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    dealt = fixtures.claims_monthly(spark, SF)
+    assert dealt.rdd.getNumPartitions() == -(-lines // 500)
+    monkeypatch.setattr(fixtures, "SENT_PARTS", 0)                       # the parts are dealt out too
+    both = fixtures.claims_monthly(spark, SF)
+    monkeypatch.setattr(session, "TASK_ROWS", 1 << 40)
+    want = fixtures.claims_monthly(spark, SF)
+    assert want.exceptAll(dealt).isEmpty() and want.exceptAll(both).isEmpty() and dealt.count() == both.count() == lines
+    assert _rows(C.versions(df, _PICKS)) == _rows(got)
+
+
 def test_levels_of_all_factors_at_once(spark):
     df = spark.createDataFrame([("a", None, 1.0), ("b", "x", 3.0), ("a", "y", 1.0), ("c", "x", None)],
                                "f string, g string, e double")
