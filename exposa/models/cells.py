@@ -1,7 +1,7 @@
 """Generalised linear models on distinct design cells, many models in one pass.
 
-``build`` reduces the rows once to distinct (levels, numeric regressors, offset, response) cells
-with their prior weight and row count.  That is all a GLM needs of the rows, whatever its
+``build`` reduces the rows to distinct (levels, numeric regressors, offset, response) cells
+with their prior weight and row count, coded before the one exchange that meets equal cells.  That is all a GLM needs of the rows, whatever its
 family, so every later pass reads the cells only, and the number of passes over the rows does not
 depend on models or iterations.
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposa.models.tweedie import lgamma_np, tweedie_logpdf
-from exposa.session import checkpoint_dir
+from exposa.session import TASK_ROWS, checkpoint_dir
 
 FAMILIES = ("poisson", "negbin", "gamma", "tweedie", "binomial")
 EXTRAS = ("objective", "pearson", "weight", "rows", "score", "info", "spread", "excess", "zz")
@@ -159,16 +159,20 @@ def build(df: DataFrame, response: str, factors: Sequence[str], numeric: Sequenc
     rows = df.select(*by, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
                      (base if base is not None else F.lit(1.0)).cast("double").alias("b")) \
         .dropna(subset=[f"x{i}" for i in range(len(numeric))] + ["off", "y", "w"])
-    plain = [f"f{i}" for i in range(len(factors))] + [f"x{i}" for i in range(len(numeric))]
-    grouped = rows.groupBy(*plain, "key", "part", "off", "y").agg(
-        F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).checkpoint()
-    fitted = grouped if fit_part is None else grouped.filter(F.col("part") == fit_part)
+    own = F.lit(True) if fit_part is None else F.coalesce(F.col("part") == fit_part, F.lit(False))
 
+    # levels, keys and the number of rows: one aggregation
     level = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"f{i}").alias("v")) for i in range(len(factors))],
                               F.struct(F.lit(-1).alias("i"), F.col("key").alias("v"))))
     found: dict[int, list] = {i: [] for i in range(-1, len(factors))}
-    for r in fitted.select(level.alias("l"), "b").groupBy("l").agg(F.sum("b").alias("b")).collect():
-        if r["l"]["v"] is not None:
+    keys, total = [], 0
+    for r in rows.select(level.alias("l"), "b", own.alias("own")).groupBy("l").agg(
+            F.sum(F.when(F.col("own"), F.col("b"))).alias("b"), F.count_if("own").alias("own"),
+            F.count(F.lit(1)).alias("n")).collect():
+        if r["l"]["i"] == -1:
+            total += r["n"]
+            keys.append(r["l"]["v"])
+        if r["l"]["v"] is not None and r["own"]:
             found[r["l"]["i"]].append((-(r["b"] or 0.0), r["l"]["v"]))
     known = {}
     for i, f in enumerate(factors):
@@ -178,14 +182,13 @@ def build(df: DataFrame, response: str, factors: Sequence[str], numeric: Sequenc
             ranked = [v for _, v in sorted(found[i])]
             known[f] = ranked[:1] + sorted(ranked[1:])
     used = [f for f in factors if len(known[f]) > 1]
-    made, keys = {}, []
-    if key:
-        keys = sorted(r["key"] for r in grouped.select("key").distinct().collect())
-        trained = {v: -b for b, v in found[-1]}
-        made = {name: _encoding(keys, trained, m) for name, m in (encodings or {}).items()}
+    keys = sorted(keys) if key else []
+    trained = {v: -b for b, v in found[-1]}
+    made = {name: _encoding(keys, trained, m) for name, m in (encodings or {}).items()} if key else {}
 
     lists = [(f"f{factors.index(f)}", f"f{k}", known[f][1:]) for k, f in enumerate(used)]
-    rest = [f"x{i}" for i in range(len(numeric))]
+    cell = [b for _, b, _ in lists] + [f"x{i}" for i in range(len(numeric))] + ["part", "off", "y", "key"]
+    plain = [c for c in cell if c[0] != "f" and c != "key"]
 
     def code(batches):
         import pyarrow as pa
@@ -197,13 +200,21 @@ def build(df: DataFrame, response: str, factors: Sequence[str], numeric: Sequenc
                 at = pc.fill_null(pc.index_in(batch.column(name).cast(pa.string()), value_set=values), -plus)
                 return pc.add(at, plus).cast(pa.int32())
             arrays = {b: coded(a, v, 1) for a, b, v in sets}
-            arrays |= {x: batch.column(x) for x in [*rest, "part", "off", "y", "w", "n"]}
-            yield pa.RecordBatch.from_pydict(arrays | {"key": coded("key", places, 0)})
-
-    schema = ", ".join([f"{b} int" for _, b, _ in lists] + [f"{x} double" for x in rest]
-                       + ["part string", "off double", "y double", "w double", "n bigint", "key int"])
+            arrays |= {x: batch.column(x) for x in [*plain, "w"]} | {"key": coded("key", places, 0)}
+            sums = pa.table(arrays).group_by(cell, use_threads=False).aggregate([("w", "sum"), ("w", "count")])
+            names = {"w_sum": "w", "w_count": "n"}
+            yield from sums.rename_columns([names.get(c, c) for c in sums.column_names]).select(
+                [*cell, "w", "n"]).combine_chunks().to_batches()
+
+    types = {b: "int" for _, b, _ in lists} | {"part": "string", "key": "int"}
+    schema = ", ".join([f"{c} {types.get(c, 'double')}" for c in cell] + ["w double", "n bigint"])
+    # one exchange, of coded rows already added up by batch, in partitions that a task can group in memory
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    table = grouped.mapInArrow(code, schema).repartition(parts).checkpoint()
+    spread = max(parts, -(-total // TASK_ROWS))
+    table = rows.drop("b").mapInArrow(code, schema).repartition(spread, *cell).groupBy(*cell).agg(
+        F.sum("w").alias("w"), F.sum("n").alias("n")).checkpoint()
+    if spread > parts:
+        table = table.coalesce(parts)                # a pass sends a vector a task and model
     return Cells(table, used, {f: known[f] for f in used}, numeric, fit_part, exposure, parts, made)
 
 

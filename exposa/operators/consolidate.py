@@ -14,7 +14,7 @@ versions follow in place; policies measured larger take the operators above.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -200,7 +200,10 @@ def _versions_in_place(df: DataFrame, rows: int, picks: Sequence[Pick], weight:
     from pyspark.sql import Window
     used = [*keys, "ym", "xm", "epy", weight, "grossincurred_prop", "grossincurred_lossofinc", "LossofIncome_cover",
             *[c for p in picks for c in (*p.cols, *([p.where] if p.where else []))]]
-    d = dealt(df.select(*dict.fromkeys(used)), rows, *within)
+    df = df.select(*dict.fromkeys(used))
+    runs = _runs(df, picks, [*keys, *within, *[p.where for p in picks if p.where]])
+    df, picks = _pack(df, runs), [replace(p, cols=_packed_cols(p.cols, runs)) for p in picks]
+    d = dealt(df, rows, *within)
     for i, p in enumerate(picks):
         combo = Window.partitionBy(*keys, *([p.where] if p.where else []), *p.cols)
         d = d.withColumns({f"_n{i}": F.count(F.lit(1)).over(combo)} | (
@@ -223,7 +226,83 @@ def _versions_in_place(df: DataFrame, rows: int, picks: Sequence[Pick], weight:
             often = F.struct(*[F.col(f"_m{i}.{f}") for c in p.cols for f in (f"{c}__null", c)])
             out = out.withColumn(f"_b{i}", F.least(F.col(f"_k{i}"), often))
         out = out.withColumns({c: F.when(ok, F.col(f"_b{i}.{c}")) for c in p.cols})
-    return out.drop(*[f"_{x}{i}" for x in "bkm" for i in range(len(picks))])
+    out = out.drop(*[f"_{x}{i}" for x in "bkm" for i in range(len(picks))])
+    return out.select(*[v for c in out.columns for v in (runs[c].unpacked() if c in runs else [F.col(c)])])
+
+
+MOST_LEVELS = 10_000       # levels of a text column up to which its rows are moved as a number
+MOST_CODES = 1 << 62
+_BREAK = "\u0001"
+
+
+@dataclass(frozen=True)
+class _Run:
+    """Adjoining text columns of a pick as one number: the places of their values among the column's
+    sorted levels, NULL last, as digits.  Numbers are equal and ordered as the values are."""
+    name: str
+    cols: tuple[str, ...]
+    levels: tuple[list[str], ...]
+
+    def unpacked(self) -> list[Column]:
+        out, rest = [], self.name
+        for c, levels in reversed(list(zip(self.cols, self.levels, strict=True))):
+            n = len(levels)
+            place, rest = F.expr(f"int(pmod({rest}, {n + 1}))"), f"({rest} div {n + 1})"
+            at = F.get(F.split(F.lit(_BREAK.join(levels)), _BREAK, -1), place)
+            out.insert(0, F.when(place < n, at).alias(c))
+        return out
+
+
+def _levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted values of each text column that has few enough of them, by name."""
+    if not cols:
+        return {}
+    about = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    few = [c for c in cols if about[c] <= MOST_LEVELS]
+    if not few:
+        return {}
+    found: dict[str, list[str]] = {c: [] for c in few}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in few])).alias("l")
+    for r in df.select(each).distinct().select("l.*").filter("v IS NOT NULL").collect():
+        found[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in found.items() if not any(_BREAK in x for x in v)}
+
+
+def _runs(df: DataFrame, picks: Sequence[Pick], apart: Sequence[str]) -> dict[str, _Run]:
+    """Runs of the picks by name, for columns that are in one pick only and not in ``apart``."""
+    types = dict(df.dtypes)
+    often = [c for p in picks for c in p.cols]
+    levels = _levels(df, [c for c in often if types[c] == "string" and often.count(c) == 1 and c not in apart])
+    runs: list[list[str]] = []
+    for p in picks:
+        size, last = MOST_CODES, False
+        for c in p.cols:
+            if c in levels:
+                size *= len(levels[c]) + 1
+                if not last or size > MOST_CODES:
+                    runs.append([])
+                    size = len(levels[c]) + 1
+                runs[-1].append(c)
+            last = c in levels
+    return {f"_r{i}": _Run(f"_r{i}", tuple(r), tuple(levels[c] for c in r)) for i, r in enumerate(runs)}
+
+
+def _packed_cols(cols: Sequence[str], runs: dict[str, _Run]) -> tuple[str, ...]:
+    of = {c: r.name for r in runs.values() for c in r.cols}
+    return tuple(dict.fromkeys(of.get(c, c) for c in cols))
+
+
+def _pack(df: DataFrame, runs: dict[str, _Run]) -> DataFrame:
+    """``df`` with a number for the columns of each run; the levels are sent to the rows."""
+    for r in runs.values():
+        number = F.lit(0).cast("bigint")
+        for k, (c, levels) in enumerate(zip(r.cols, r.levels, strict=True)):
+            places = df.sparkSession.createDataFrame(list(enumerate(levels)), f"{r.name}_{k} bigint, {r.name}_v{k} string")
+            df = df.join(F.broadcast(places), F.col(c) == F.col(f"{r.name}_v{k}"), "left")
+            number = number * F.lit(len(levels) + 1) + F.coalesce(F.col(f"{r.name}_{k}"), F.lit(len(levels)))
+        df = df.withColumn(r.name, number).drop(
+            *r.cols, *[f"{r.name}_{x}{k}" for x in ("", "v") for k in range(len(r.cols))])
+    return df
 
 
 def policy_version(df: DataFrame, within: Sequence[str] = ("policyno", "situation_num"),

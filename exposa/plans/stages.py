@@ -17,7 +17,7 @@ downstream plan small, as the study's saved stages do.
 
 from __future__ import annotations
 
-from exposa.session import app_id, dealt
+from exposa.session import app_id
 
 import re
 
@@ -287,12 +287,33 @@ def consolidate_second(enc: DataFrame, base: float = WEIGHT_BASE_SECOND) -> Data
     return patch_codes(pc, CLAIM_PATCHES)
 
 
-def finish_second(versions: DataFrame, dim: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Postcode details joined AFTER consolidation, versions numbered, NULL
-    rules for uncovered versions."""
+_SITUATION = ["policyno", "situation_num"]
+
+
+def by_situation(versions: DataFrame) -> DataFrame:
+    """One row per situation: its versions in the order of their dates, as an array.  The versions of a
+    situation lie together when they are made, so nothing moves, and read back they are numbered in place."""
+    dates = ["effectdate", "expirydate"]
+    rest = [c for c in versions.columns if c not in (*_SITUATION, *dates)]
+    return versions.groupBy(*_SITUATION).agg(F.sort_array(F.collect_list(F.struct(*dates, *rest))).alias("versions"))
+
+
+def _pair(postcode, state):
+    return F.concat(F.length(postcode).cast("string"), F.lit("|"), postcode, state)
+
+
+def finish_second(situations: DataFrame, dim: DataFrame, fixes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Postcode details joined AFTER consolidation, versions numbered, NULL rules for uncovered
+    versions.  Only versions that the join keeps are numbered; which do is known from the distinct
+    ``pairs`` (riskpostcode, state) of all versions, a line a pair of the dimension."""
     from exposa.operators.postcode import apply_state_fixes, attach_postcode
-    pc = attach_postcode(apply_state_fixes(versions, fixes), dim)
-    pc = C.policy_version(dealt(pc, versions.count(), "policyno", "situation_num")).drop("effectdate", "expirydate")
+    own = pairs.withColumn("_pair", _pair(F.col("riskpostcode"), F.col("state")))
+    kept = [r["_pair"] for r in attach_postcode(apply_state_fixes(own, fixes), dim).select("_pair").distinct().collect()]
+    left = F.filter("versions", lambda v: _pair(v["riskpostcode"], v["state"]).isin(kept))
+    pc = situations.select(*_SITUATION, F.posexplode(left).alias("policy_version", "_v")) \
+        .select(*_SITUATION, "_v.*", (F.col("policy_version") + 1).alias("policy_version"))
+    pc = attach_postcode(apply_state_fixes(pc, fixes), dim).drop("effectdate", "expirydate")
+    pc = pc.select(*[c for c in pc.columns if c != "policy_version"], "policy_version")
     pc = pc.withColumn("building_info_na", F.col("building_age").isNull())
     cover = F.col("LossofIncome_cover")
     return pc.withColumns({
@@ -307,13 +328,13 @@ def policy_claims_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build():
         v = stage(spark, sf_dir, "versions_second",
-                  lambda: consolidate_second(claims_second(spark, sf_dir)))
+                  lambda: by_situation(consolidate_second(claims_second(spark, sf_dir))))
         pairs = stage(spark, sf_dir, "version_pairs_second",
-                      lambda: v.select("riskpostcode", "state").distinct())
+                      lambda: v.select(F.explode("versions").alias("v")).select("v.riskpostcode", "v.state").distinct())
         dim = stage(spark, sf_dir, "postcode_dim_second",
                     lambda: reconcile_dim(pairs, postcode_dim(postcodes(spark, sf_dir), pairs)))
         fixes = stage(spark, sf_dir, "state_fixes_second", lambda: claim_state_fixes(pairs, dim))
-        return finish_second(v, dim, fixes)
+        return finish_second(v, dim, fixes, pairs)
     # the dimension may leave a rating open (its own audit lists them), nothing else
     return stage(spark, sf_dir, "policy_claims_second", build,
                  rules=lambda df: Q.null_rules(df, [c for c in df.columns if c != "electoraterating"]))

@@ -8,10 +8,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from exposa import session
+from exposa.models import cells as CL
 from exposa.models import tweedie as TW
 from exposa.models.design import base_first_by, bases_first_by
 from exposa.operators import consolidate as C
+from exposa.operators import postcode as PC
 from exposa.operators import sampling as SM
+from exposa.plans import stages as S
 from exposa.sources import fixtures
 from exposa.sources.schema import VERSION_KEYS
 
@@ -137,3 +140,80 @@ def test_tweedie_series_shares_gamma_functions(monkeypatch):
     monkeypatch.undo()
     one = [TW.tweedie_logpdf(y[i:i + 1], np.array([600.0]), 300.0, 1.5)[0] for i in range(0, 2000, 97)]
     np.testing.assert_allclose(got[::97], one, rtol=1e-12)
+
+
+def test_versions_move_numbers_for_texts(spark, monkeypatch):
+    # before: every detail of a row was moved as text (score_geo_grid: 95 bytes a row)
+    df = C.recency_weight(_monthly(spark), "start")
+    picks = [C.Pick(("state", "building_type")), C.Pick(("suminsured_prop",)),
+             C.Pick(("suminsured_lossofinc", "indem_per_grp"), where="LossofIncome_cover")]
+    runs = C._runs(df, picks, VERSION_KEYS)
+    assert [r.cols for r in runs.values()] == [("state", "building_type"), ("indem_per_grp",)]
+    packed = C._pack(df, runs)
+    assert [c for c, t in packed.dtypes if t == "string"] == ["policyno"]
+    back = packed.select(*[v for c in packed.columns for v in (runs[c].unpacked() if c in runs else [F.col(c)])])
+    assert _rows(back) == _rows(df)
+    got = {}
+    for how in (picks, _PICKS):
+        for levels, codes in ((C.MOST_LEVELS, C.MOST_CODES), (C.MOST_LEVELS, 6), (2, C.MOST_CODES), (-1, C.MOST_CODES)):
+            monkeypatch.setattr(C, "MOST_LEVELS", levels)
+            monkeypatch.setattr(C, "MOST_CODES", codes)
+            out = C.versions(df, how)
+            got[levels, codes] = out.columns, _rows(out)
+        assert all(v == got[-1, 1 << 62] for v in got.values())
+        monkeypatch.undo()
+
+
+def test_packed_numbers_are_ordered_as_their_values(spark):
+    rows = [(a, b) for a in ("", "b", "B", "\u00e9", None) for b in ("x", "\U0001f600", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    runs = C._runs(df, [C.Pick(("a", "b"))], [])
+    both = C._pack(df, runs).select("_r0", *runs["_r0"].unpacked())
+    by_number = [(r.a, r.b) for r in both.orderBy("_r0").collect()]
+    assert by_number == [tuple(r) for r in df.orderBy(*[F.col(c).asc_nulls_last() for c in "ab"]).collect()]
+    assert both.select("_r0").distinct().count() == len(rows)
+
+
+def _versions(spark):
+    days = [None, *[dt.date(1990 + k, 1, 1) for k in range(6)]]
+    rows = [(None if p == 7 else str(p), s, day, day and dt.date(day.year + 1, 1, 1), ["1", "2", "3", None][(p + k) % 4],
+             "NS"[k % 2], k % 3 > 0, 5.0, "i", "age" if k % 2 else None)
+            for p in range(20) for s in (1, 2) for k, day in enumerate(days) if (p + s + k) % 5]
+    return spark.createDataFrame(rows, "policyno string, situation_num int, effectdate date, expirydate date, riskpostcode string, "
+                                 "state string, LossofIncome_cover boolean, suminsured_lossofinc double, indem_per_grp string, "
+                                 "building_age string")
+
+
+def test_second_path_numbers_versions_in_place(spark, tmp_path):
+    # before: the versions were moved and sorted again to be numbered
+    v = _versions(spark)
+    dim = spark.createDataFrame([("1", "N", "a", "A", "Safe"), ("1", "S", "b", "B", None), ("2", "N", "c", "C", "Safe")],
+                                "postcode string, state string, sa3name string, sa4name string, electoraterating string")
+    fixes = spark.createDataFrame([("2", "N")], "riskpostcode string, dim_state string")
+    want = C.policy_version(PC.attach_postcode(PC.apply_state_fixes(v, fixes), dim)).drop("effectdate", "expirydate")
+    stages = {"v": S.by_situation(v), "dim": dim, "fixes": fixes, "pairs": v.select("riskpostcode", "state").distinct()}
+    for name, df in stages.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    got = S.finish_second(*[spark.read.parquet(f"{tmp_path}/{name}") for name in stages])
+    own = lambda df: sorted(map(repr, df.select(
+        "policyno", "situation_num", "policy_version", "riskpostcode", "state", "sa3name", "building_age").collect()))
+    assert own(got) == own(want) and 0 < got.count() < v.count()
+    assert got.columns == [*want.columns, "building_info_na"]
+    assert _exchanges(got) == 0
+    df = _monthly(spark).withColumn("date_weights", F.lit(1.0)).withColumn("riskpostcode", F.lit("1"))
+    assert _exchanges(S.by_situation(C.versions(df, _PICKS))) == 1
+
+
+def test_cells_are_moved_once_and_coded(spark, monkeypatch):
+    # before: rows were grouped with their levels as text, written, moved and written again
+    df = _monthly(spark).withColumn("y", (F.col("grossincurred_prop") > 0).cast("double"))
+    want = CL.fit(CL.build(df, "y", ["building_type"], ["suminsured_prop"]), [CL.Spec("m", "poisson")])["m"]
+    written, real = [], type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a, **b: written.append(self) or real(self, *a, **b))
+    monkeypatch.setattr(CL, "TASK_ROWS", 50)
+    cells = CL.build(df, "y", ["building_type"], ["suminsured_prop"])
+    assert len(written) == 1 and _exchanges(written[0].select("*")) == 1 and dict(written[0].dtypes)["f0"] == "int"
+    assert written[0].rdd.getNumPartitions() == 30 and cells.table.rdd.getNumPartitions() == cells.parts
+    got = CL.fit(cells, [CL.Spec("m", "poisson")])["m"]
+    assert got.names == want.names and got.rows == want.rows
+    np.testing.assert_allclose(got.beta, want.beta, rtol=1e-9)
