@@ -48,15 +48,17 @@ _GRID_LINES = {
 
 
 def grid_encodings(policies, grid_rows) -> tuple[dict[str, dict[str, str]], dict[str, int]]:
-    """Encoding name -> (postcode -> code), and -> number of codes: the first grid row of each
-    distinct number.  A line a postcode and encoding reaches the driver, whatever the policies."""
+    """Encoding name -> (postcode -> code), and -> number of codes: every distinct map of the grid, named by its
+    first grid row.  A line a postcode and encoding reaches the driver, whatever the policies."""
     maps = G.geo_grid_maps(policies, grid_rows, weight="exposure").checkpoint()
+    codes = G.one_code(maps, ["grid_id"])
     counts = maps.groupBy("grid_id").agg(F.count_distinct("geo_code").alias("n_geo_code"))
-    first = counts.groupBy("n_geo_code").agg(F.min("grid_id").alias("grid_id"))
+    line = F.to_json(F.struct("riskpostcode", "geo_code"))
+    digests = codes.groupBy("grid_id").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256).alias("map"))
+    first = counts.join(digests, "grid_id").groupBy("n_geo_code", "map").agg(F.min("grid_id").alias("grid_id"))
     sizes = {str(r["grid_id"]): r["n_geo_code"] for r in first.collect()}
     levels: dict[str, dict[str, str]] = {g: {} for g in sizes}
-    kept = maps.join(first.select("grid_id"), "grid_id", "left_semi")
-    for r in G.one_code(kept, ["grid_id"]).collect():
+    for r in codes.filter(F.col("grid_id").isin([int(g) for g in sizes])).collect():
         levels[str(r["grid_id"])][r["riskpostcode"]] = r["geo_code"]
     return levels, sizes
 
@@ -92,22 +94,31 @@ def score_geo_grid(spark, sf_dir):
     """Poisson and negative-binomial frequency models of every distinct geo encoding, both
     lines, with the study's factors, recency weights and exposure offset; the family with
     the lesser assessment RMSE, and its RMSE on the untouched test rows.  Fits are not rebalanced:
-    that would bias the level of a count model."""
+    that would bias the level of a count model.
+
+    One row a line and number of codes, of the first grid row with that number (the study's choice);
+    ``encodings`` holds the scores of every distinct encoding with that number, the least RMSE first."""
     policies = S.policy_claims_second(spark, sf_dir)
     encodings, sizes = grid_encodings(policies, _grid_rows())
     out = []
     for line in _GRID_LINES:
         scored = score_encodings(policies, encodings, line)
-        for e in encodings:
+        rows: dict[int, list] = {}
+        for e in sorted(encodings, key=int):
             by = {fam: scored[e, fam] for fam in ("poisson", "negbin")}
             known = [fam for fam in by if by[fam][1] is not None]
             best = min(known, key=lambda fam: (by[fam][1], fam), default=None)
-            out.append((line, int(e), sizes[e], best, by[best][1] if best else None, by["poisson"][1], by["negbin"][1],
-                        by[best][2] if best else None, float(by["negbin"][0].theta),
-                        by["poisson"][0].converged and by["negbin"][0].converged))
-    grid = spark.createDataFrame(out, "line string, grid_id int, n_geo_code bigint, family string, rmse double, "
-                                      "rmse_poisson double, rmse_negbin double, test_rmse double, theta double, "
-                                      "converged boolean")
+            rows.setdefault(sizes[e], []).append(
+                (int(e), best, by[best][1] if best else None, by["poisson"][1], by["negbin"][1],
+                 by[best][2] if best else None, float(by["negbin"][0].theta),
+                 by["poisson"][0].converged and by["negbin"][0].converged))
+        for n, of in rows.items():
+            ranked = sorted(of, key=lambda r: (math.inf if r[2] is None else r[2], r[0]))
+            out.append((line, of[0][0], n, *of[0][1:], ranked))
+    scores = "family string, rmse double, rmse_poisson double, rmse_negbin double, test_rmse double, theta double, " \
+             "converged boolean"
+    grid = spark.createDataFrame(out, f"line string, grid_id int, n_geo_code bigint, {scores}, "
+                                      f"encodings array<struct<grid_id int, {scores}>>")
     return grid.orderBy("line", "rmse", "grid_id")
 
 

@@ -50,6 +50,33 @@ def test_grid_takes_the_better_family_on_both_lines(spark):
         assert errors == sorted(errors) and len({r.n_geo_code for r in rows if r.line == line}) == len(errors) > 3
 
 
+def test_encodings_of_equal_size_are_all_scored(spark):
+    # before: only the first encoding of each number of codes, whatever the others' codes
+    areas = [("S", "S1", "X", "p1", 5.0), ("S", "S1", "X", "p2", 100.0), ("S", "S1", "V", "p7", 50.0),
+             ("S", "S2", "Z", "p5", 20.0), ("S", "S2", "W", "p6", 20.0)]
+    own = spark.createDataFrame(areas, "state string, sa4name string, sa3name string, riskpostcode string, exposure double")
+    got, sizes = Q.grid_encodings(own, [(1, 10.0, 25.0, 0.0), (2, 0.0, 10.0, 0.0), (3, 1.0, 10.0, 0.0), (4, 0.0, 0.0, 0.0)])
+    assert sizes == {"1": 3, "2": 3, "4": 5}                                       # 3 has the map of 2
+    assert got["1"] == {"p1": "X", "p2": "X", "p7": "p7", "p5": "S2", "p6": "S2"}
+    assert got["2"] == {"p1": "S1", "p2": "S1", "p7": "S1", "p5": "p5", "p6": "p6"}
+
+
+def test_grid_rows_hold_every_distinct_encoding(spark):
+    policies = S.policy_claims_second(spark, SF)
+    maps = {}
+    for r in Q.G.one_code(Q.G.geo_grid_maps(policies, Q._grid_rows()), ["grid_id"]).collect():
+        maps.setdefault(r.grid_id, {})[r.riskpostcode] = r.geo_code
+    want = {frozenset(m.items()) for m in maps.values()}
+    rows = QUERIES["score_geo_grid"](spark, SF).collect()
+    for line in ("prop", "lossofinc"):
+        each = [e for r in rows if r.line == line for e in r.encodings]
+        assert {frozenset(maps[e.grid_id].items()) for e in each} == want and len(each) >= len(want)
+    for r in rows:
+        first = min(r.encodings, key=lambda e: e.grid_id)
+        assert first.grid_id == r.grid_id and (first.family, first.rmse, first.test_rmse) == (r.family, r.rmse, r.test_rmse)
+        assert [e.rmse for e in r.encodings] == sorted(e.rmse for e in r.encodings)
+
+
 def test_grid_parts(spark):
     """Four fifths train, four fifths of these fit, the same share of claims in each."""
     own = Q.grid_parts(S.policy_claims_second(spark, SF), "suminsured_prop > 0", "claimcount_prop > 0").cache()
