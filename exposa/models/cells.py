@@ -21,19 +21,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposa.models.tweedie import lgamma_np, tweedie_logpdf
+from exposa.models.tweedie import lgamma_np, log_scale
 from exposa.session import TASK_ROWS, checkpoint_dir
 
 FAMILIES = ("poisson", "negbin", "gamma", "tweedie", "binomial")
 EXTRAS = ("objective", "pearson", "weight", "rows", "score", "info", "spread", "excess", "zz")
 POISSON_LIMIT = 1e7              # theta beyond which no over-dispersion is left to fit
 SUM_PARTS = 64                   # vectors of one model that a task adds up in the first step
+MAP_LEVELS = 8                   # levels of a factor up to which its coefficients are a literal map
+PASS_ROWS = 2 * TASK_ROWS        # rows of a task of a pass, at the least: each sends a vector a model
 
 
 @dataclass(frozen=True)
@@ -62,6 +66,25 @@ class Cells:
     exposure: str | None
     parts: int                       # partitions of the table
     encodings: dict[str, Encoding] = field(default_factory=dict)
+    tasks: int = 0                   # of a pass
+    _held: DataFrame | None = field(default=None, repr=False)
+    _users: int = field(default=0, repr=False)
+
+    @contextmanager
+    def held(self):
+        """The cells as Arrow batches of one part each, a row a batch, kept by the executors while any
+        caller is inside, so that a pass hands whole batches to Python instead of rows."""
+        if self._held is None:
+            few = self.table.coalesce(self.tasks) if self.tasks else self.table
+            self._held = few.mapInArrow(_packed, "part string, cells binary").persist(StorageLevel.MEMORY_AND_DISK)
+        self._users += 1
+        try:
+            yield self._held
+        finally:
+            self._users -= 1
+            if not self._users:
+                self._held.unpersist()
+                self._held = None
 
     def rows(self, part: str | None) -> DataFrame:
         return self.table if part is None else self.table.filter(F.col("part") == part)
@@ -118,21 +141,37 @@ class Fit:
         a, s = _unit(self.information)
         return self.dispersion * np.linalg.pinv(a, rcond=1e-11, hermitian=True) * np.outer(s, s)
 
-    def linear(self, levels: Mapping[str, Column] | None = None) -> Column:
-        """The linear predictor as a column (offset included); for models without an encoding."""
+    def linear(self, levels: Mapping[str, Column] | None = None, sent: Mapping[str, Column] | None = None) -> Column:
+        """The linear predictor as a column (offset included); for models without an encoding.
+        sent: coefficients of factors (null for the base) that the rows already have."""
         eta, at = F.lit(float(self.beta[0])), 1
         for x in self.cells.numeric:
             eta, at = eta + F.lit(float(self.beta[at])) * F.col(x), at + 1
         for f in self.cells.factors:
             own = self.cells.levels[f][1:]
+            if sent and f in sent:
+                eta, at = eta + F.coalesce(sent[f], F.lit(0.0)), at + len(own)
+                continue
             pairs = [F.lit(v) for k, lv in enumerate(own) for v in (lv, float(self.beta[at + k]))]
             value = (levels or {}).get(f, F.col(f)).cast("string")
             eta, at = eta + F.coalesce(F.create_map(*pairs)[value], F.lit(0.0)), at + len(own)
         return eta + F.log(F.col(self.cells.exposure)) if self.cells.exposure else eta
 
     def predict(self, df: DataFrame, out: str) -> DataFrame:
-        eta = self.linear()
-        return df.withColumn(out, 1 / (1 + F.exp(-eta)) if self.spec.family == "binomial" else F.exp(eta))
+        """``df`` with the fitted mean.  Coefficients of a factor with many levels are sent to the rows and
+        looked up by hash: a literal map is searched from its start for every row."""
+        columns, sent, at = df.columns, {}, 1 + len(self.cells.numeric)
+        for i, f in enumerate(self.cells.factors):
+            own = self.cells.levels[f][1:]
+            if len(own) > MAP_LEVELS:
+                table = df.sparkSession.createDataFrame([(v, float(self.beta[at + k])) for k, v in enumerate(own)],
+                                                        f"_v{i} string, _b{i} double")
+                df = df.join(F.broadcast(table), F.col(f).cast("string") == F.col(f"_v{i}"), "left")
+                sent[f] = F.col(f"_b{i}")
+            at += len(own)
+        eta = self.linear(sent=sent)
+        return df.withColumn(out, 1 / (1 + F.exp(-eta)) if self.spec.family == "binomial" else F.exp(eta)) \
+            .select(*[c for c in columns if c != out], out)
 
 
 def build(df: DataFrame, response: str, factors: Sequence[str], numeric: Sequence[str] = (),
@@ -215,7 +254,30 @@ def build(df: DataFrame, response: str, factors: Sequence[str], numeric: Sequenc
         F.sum("w").alias("w"), F.sum("n").alias("n")).checkpoint()
     if spread > parts:
         table = table.coalesce(parts)                # a pass sends a vector a task and model
-    return Cells(table, used, {f: known[f] for f in used}, numeric, fit_part, exposure, parts, made)
+    tasks = min(parts, max(_parallelism(spark), -(-total // PASS_ROWS)))
+    return Cells(table, used, {f: known[f] for f in used}, numeric, fit_part, exposure, parts, made, tasks)
+
+
+def _parallelism(spark) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Connect
+        return 1
+
+
+def _packed(batches):
+    """Batches of cells, each of one part, in Arrow's stream format."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    for batch in batches:
+        of, rest = batch.column("part"), batch.drop_columns(["part"])
+        for part in pc.unique(of).to_pylist():
+            own = rest.filter(pc.is_null(of) if part is None else pc.equal(of, part))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as out:
+                out.write_batch(own)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                             names=["part", "cells"])
 
 
 def _encoding(keys: list[str], trained: Mapping[str, float], levels: Mapping[str, str]) -> Encoding:
@@ -377,17 +439,17 @@ def _solve(a: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 
 
 def _summed(vectors: DataFrame, in_parts: bool) -> dict[int, np.ndarray]:
-    """Vectors of (model, part, v) added up by model; of many tasks, within parts of them first."""
+    """Vectors (the bytes of doubles) of (model, part, v) added up by model; of many tasks, within parts first."""
     def add(table):
         import pyarrow as pa
-        total = sum(np.asarray(v) for v in table.column("v").combine_chunks().to_numpy(zero_copy_only=False))
+        total = sum(np.frombuffer(v.as_buffer()) for v in table.column("v"))
         return pa.table({"model": table.column("model").slice(0, 1), "part": table.column("part").slice(0, 1),
-                         "v": pa.array([total], pa.list_(pa.float64()))})
-    schema = "model int, part int, v array<double>"
+                         "v": pa.array([total.tobytes()], pa.binary())})
+    schema = "model int, part int, v binary"
     if in_parts:
         vectors = vectors.groupBy("model", "part").applyInArrow(add, schema)
     summed = vectors.withColumn("part", F.lit(0)).groupBy("model", "part").applyInArrow(add, schema)
-    return {r["model"]: np.array(r["v"]) for r in summed.collect()}
+    return {r["model"]: np.frombuffer(r["v"]).copy() for r in summed.collect()}
 
 
 def _over_cells(cells: Cells, part: str | None, fits: Sequence[Fit], of) -> dict[int, np.ndarray]:
@@ -402,9 +464,7 @@ def _over_cells(cells: Cells, part: str | None, fits: Sequence[Fit], of) -> dict
         from pyspark import TaskContext
         total: list = [None] * len(betas)
         with np.errstate(over="ignore", under="ignore", divide="ignore", invalid="ignore"):
-            for arrow in batches:
-                if not arrow.num_rows:
-                    continue
+            for arrow in (pa.ipc.open_stream(c.as_buffer()).read_next_batch() for b in batches for c in b.column("cells")):
                 batch = _Batch(arrow, n_factors, n_numeric)
                 for k, lookup in enumerate(lookups):
                     v = of(batch, k, batch.levels(lookup), sizes[k], betas[k])
@@ -414,9 +474,11 @@ def _over_cells(cells: Cells, part: str | None, fits: Sequence[Fit], of) -> dict
             if v is not None:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k], pa.int32()), pa.array([place], pa.int32()),
-                     pa.array([v], pa.list_(pa.float64()))], names=["model", "part", "v"])
+                     pa.array([np.asarray(v, float).tobytes()], pa.binary())], names=["model", "part", "v"])
 
-    return _summed(cells.rows(part).mapInArrow(run, "model int, part int, v array<double>"), cells.parts > SUM_PARTS)
+    with cells.held() as held:
+        own = held if part is None else held.filter(F.col("part") == part)
+        return _summed(own.select("cells").mapInArrow(run, "model int, part int, v binary"), (cells.tasks or cells.parts) > SUM_PARTS)
 
 
 def _step_sums(cells: Cells, fits: Sequence[Fit], start: bool) -> dict[int, dict]:
@@ -508,6 +570,13 @@ def fit(cells: Cells, specs: Sequence[Spec], max_iter: int = 50, tol: float = 1e
         at = (f.spec.encoding, f.spec.weight)
         poisson.setdefault(at, new(Spec("", "poisson", weight=f.spec.weight, encoding=f.spec.encoding)))
     first = [f for f in out.values() if f.spec.family not in ("poisson", "negbin")] + list(poisson.values())
+    with cells.held():
+        _fit_all(cells, first, counts, poisson, max_iter, tol)
+    return out
+
+
+def _fit_all(cells: Cells, first: list[Fit], counts: list[Fit], poisson: Mapping, max_iter: int, tol: float) -> None:
+    """The negative binomial models ``counts`` from their Poisson limits, which are among ``first``."""
     _advance(cells, first, max_iter, tol, start=True)
     for f in counts:
         p = poisson[f.spec.encoding, f.spec.weight]
@@ -523,7 +592,6 @@ def fit(cells: Cells, specs: Sequence[Spec], max_iter: int = 50, tol: float = 1e
             p = poisson[f.spec.encoding, f.spec.weight]
             f.beta, f.objective, f.information = p.beta, p.objective, p.information
             f.pearson, f.weight, f.rows = p.pearson, p.weight, p.rows
-    return out
 
 
 def squared_errors(cells: Cells, fits: Mapping[str, Fit], part: str | None) -> dict[str, tuple[float, int]]:
@@ -540,19 +608,38 @@ def squared_errors(cells: Cells, fits: Mapping[str, Fit], part: str | None) -> d
     return {names[k]: (float(v[0]), int(v[1])) for k, v in got.items()}
 
 
-def tweedie_logliks(cells: Cells, fits: Mapping[str, Fit], phis: Mapping[str, Sequence[float]]) -> dict[str, np.ndarray]:
-    """Name -> log-likelihood for each of its dispersions, all models and dispersions in one pass."""
+def tweedie_fixed(cells: Cells, fits: Mapping[str, Fit]) -> dict[str, float]:
+    """Name -> phi times the part of the log-likelihood that depends on the fitted means, in one pass."""
     names, own = list(fits), list(fits.values())
-    how = [(f.spec.power, f.spec.weight, list(phis[name])) for name, f in fits.items()]
+    how = [(f.spec.power, f.spec.weight) for f in own]
 
     def of(batch, k, codes, sizes, beta):
-        power, weight, values = how[k]
+        power, weight = how[k]
         w = batch.w if weight == "w" else batch.n
         mu = np.exp(batch.eta(beta, sizes, codes) + batch.off)
-        return np.array([w @ tweedie_logpdf(batch.y, mu, phi, power) for phi in values])
+        rest = mu ** (2 - power)
+        some = batch.y > 0
+        return np.array([w[some] @ (batch.y[some] * rest[some] / mu[some]) / (1 - power) - w @ rest / (2 - power)])
+
+    return {names[k]: float(v[0]) for k, v in _over_cells(cells, cells.fit_part, own, of).items()}
+
+
+def tweedie_logliks(cells: Cells, fits: Mapping[str, Fit], phis: Mapping[str, Sequence[float]],
+                    fixed: Mapping[str, float] | None = None) -> dict[str, np.ndarray]:
+    """Name -> log-likelihood for each of its dispersions, all models and dispersions in one pass over the
+    responses, and one over the means if ``fixed`` (see ``tweedie_fixed``) is not known."""
+    names, own = list(fits), list(fits.values())
+    how = [(f.spec.power, f.spec.weight, list(phis[name])) for name, f in fits.items()]
+    fixed = tweedie_fixed(cells, fits) if fixed is None else fixed
+
+    def of(batch, k, codes, sizes, beta):
+        power, weight, values = how[k]
+        some = batch.y > 0
+        w, y = (batch.w if weight == "w" else batch.n)[some], batch.y[some]
+        return np.array([w @ log_scale(y, phi, power) for phi in values])
 
     got = _over_cells(cells, cells.fit_part, own, of)
-    return {names[k]: v for k, v in got.items()}
+    return {names[k]: v + fixed[names[k]] / np.array(how[k][2]) for k, v in got.items()}
 
 
 def tweedie_profile(cells: Cells, powers: Sequence[float], weight: str = "n", rounds: int = 5,
@@ -562,14 +649,26 @@ def tweedie_profile(cells: Cells, powers: Sequence[float], weight: str = "n", ro
     All powers advance together: their coefficients in the passes of one ``fit``, then their
     dispersions, which close in on the maximum from the Pearson estimate by a third each round.
     """
-    fits = fit(cells, [Spec(f"{p:g}", "tweedie", power=float(p), weight=weight) for p in powers],
-               max_iter=max_iter, tol=tol)
+    with cells.held():
+        fits = fit(cells, [Spec(f"{p:g}", "tweedie", power=float(p), weight=weight) for p in powers],
+                   max_iter=max_iter, tol=tol)
+        best = _tweedie_phis(cells, fits, rounds)
+    out = []
+    for name, f in fits.items():
+        ll, phi = best[name]
+        out.append({"power": f.spec.power, "fit": f, "phi": phi, "loglik": ll, "aic": -2 * ll + 2 * (f.rank + 1)})
+    return out
+
+
+def _tweedie_phis(cells: Cells, fits: Mapping[str, Fit], rounds: int) -> dict[str, tuple[float, float]]:
+    """Name -> (log-likelihood, dispersion) at the best dispersion tried."""
+    fixed = tweedie_fixed(cells, fits)
     centre = {name: math.log(max(f.dispersion, 1e-300)) for name, f in fits.items()}
     best = {name: (-math.inf, math.nan) for name in fits}
     reach = {name: math.log(2.0) for name in fits}
     for _ in range(rounds):
         phis = {name: [math.exp(centre[name] + k * reach[name]) for k in (-1, 0, 1)] for name in fits}
-        for name, v in tweedie_logliks(cells, fits, phis).items():
+        for name, v in tweedie_logliks(cells, fits, phis, fixed).items():
             k = int(np.argmax(v))
             best[name] = max(best[name], (float(v[k]), phis[name][k]))
             if k == 1:                              # inside: the top of the parabola, and closer
@@ -579,8 +678,4 @@ def tweedie_profile(cells: Cells, powers: Sequence[float], weight: str = "n", ro
                 reach[name] /= 3
             else:
                 centre[name] = math.log(phis[name][k])
-    out = []
-    for name, f in fits.items():
-        ll, phi = best[name]
-        out.append({"power": f.spec.power, "fit": f, "phi": phi, "loglik": ll, "aic": -2 * ll + 2 * (f.rank + 1)})
-    return out
+    return best

@@ -80,6 +80,48 @@ def _series(logz: np.ndarray, alpha: float, mode: np.ndarray) -> np.ndarray:
     return top + np.log(total)
 
 
+_WIDE = 2.0               # a piece of log z; the series has its zeros at log z = .. + i pi, so 20 nodes give full precision
+_NODES = 20
+_PIECES: dict = {}        # (power, number of the piece) -> Chebyshev coefficients
+
+
+def series_mode(logz: np.ndarray, p: float) -> np.ndarray:
+    """Place of the series' largest term, which y and phi decide through log z alone."""
+    return np.maximum(1.0, np.round(np.exp((p - 1) * logz + (2 - p) * (math.log(p - 1) - math.log(2 - p)))))
+
+
+def log_series(logz: np.ndarray, p: float) -> np.ndarray:
+    """``_series`` of a power as a function of log z: summed at the nodes of the pieces in use, once a
+    process, and interpolated there to rounding error, so a value costs the same whatever its number of terms."""
+    from numpy.polynomial import chebyshev
+    out = np.full(len(logz), np.nan)
+    known = np.isfinite(logz)
+    at = np.floor(logz[known] / _WIDE).astype(np.int64)
+    pieces, own = np.unique(at, return_inverse=True)
+    if len(missing := [int(k) for k in pieces if (p, int(k)) not in _PIECES]):
+        nodes = np.cos(np.pi * (np.arange(_NODES) + 0.5) / _NODES)
+        x = (_WIDE * (np.array(missing)[:, None] + (nodes + 1) / 2)).ravel()
+        values = _series(x, (2 - p) / (1 - p), series_mode(x, p)).reshape(len(missing), _NODES)
+        to = np.linalg.inv(chebyshev.chebvander(nodes, _NODES - 1))
+        _PIECES.update({(p, k): c for k, c in zip(missing, values @ to.T, strict=True)})
+    if len(pieces):
+        table = np.array([_PIECES[p, int(k)] for k in pieces]).T
+        t = 2 * (2 * (logz[known] / _WIDE - at) - 1)
+        b1, b2 = np.zeros(len(t)), np.zeros(len(t))
+        for c in table[:0:-1]:                           # Clenshaw
+            b1, b2 = c[own] + t * b1 - b2, b1
+        out[known] = table[0][own] + t / 2 * b1 - b2
+    return out
+
+
+def log_scale(y: np.ndarray, phi: float, p: float) -> np.ndarray:
+    """log density of y > 0 without its part in mu, which is (y theta - kappa) / phi."""
+    alpha = (2 - p) / (1 - p)
+    logy = np.log(y)
+    logz = -alpha * logy + alpha * math.log(p - 1) - (1 - alpha) * math.log(phi) - math.log(2 - p)
+    return log_series(logz, p) - logy
+
+
 def tweedie_logpdf(y: np.ndarray, mu: np.ndarray, phi: float, p: float) -> np.ndarray:
     """log density of the compound Poisson-gamma Tweedie, 1 < p < 2."""
     y, mu = np.asarray(y, float), np.asarray(mu, float)
@@ -88,14 +130,9 @@ def tweedie_logpdf(y: np.ndarray, mu: np.ndarray, phi: float, p: float) -> np.nd
     out[zero] = -(mu[zero] ** (2 - p)) / (phi * (2 - p))
     if (~zero).any():
         yp, mp = y[~zero], mu[~zero]
-        alpha = (2 - p) / (1 - p)
-        logz = (-alpha * np.log(yp) + alpha * math.log(p - 1) - (1 - alpha) * math.log(phi)
-                - math.log(2 - p))
-        jmax = np.maximum(1.0, np.round(yp ** (2 - p) / (phi * (2 - p))))
-        logw = _series(logz, alpha, jmax)
         theta = mp ** (1 - p) / (1 - p)
         kappa = mp ** (2 - p) / (2 - p)
-        out[~zero] = -np.log(yp) + logw + (yp * theta - kappa) / phi
+        out[~zero] = log_scale(yp, phi, p) + (yp * theta - kappa) / phi
     return out
 
 

@@ -149,19 +149,28 @@ def _coefficients(spark, fits: dict):
 
 # ---- Tweedie premiums
 
-def tweedie_parts(policies):
-    """Test rows (a fifth), rows kept back for the interaction (a quarter of the rest) and training rows,
-    stratified by the BI cover; regressors and total loss on each."""
+_TWEEDIE_COLS = ["covered", "total", "grossincurred_prop", "grossincurred_lossofinc", "log_suminsured_prop",
+                 "log_suminsured_lossofinc", "date_weights", "exposure", "geo_code", *RISK]
+
+
+def tweedie_split(policies):
+    """Test rows (a fifth) and the others, stratified by the BI cover; regressors and total loss on each."""
     own = policies.filter("suminsured_prop > 0")
-    split = SM.stratified_split(own, 0.8, ["LossofIncome_cover"], _KEY, 123)
-    inner = SM.stratified_split(split.filter("split = 'train'").drop("split"), 0.75, ["LossofIncome_cover"], _KEY, 321)
-    both = inner.withColumn("part", F.when(F.col("split") == "train", "train").otherwise("interaction")) \
-        .unionByName(split.filter("split = 'test'").withColumn("part", F.lit("test")))
-    return both.drop("split").withColumns({
+    return SM.stratified_split(own, 0.8, ["LossofIncome_cover"], _KEY, 123).withColumns({
         "log_suminsured_prop": F.log("suminsured_prop"),
         "log_suminsured_lossofinc": F.log(F.greatest("suminsured_lossofinc", F.lit(1.0))),
         "covered": F.col("LossofIncome_cover") & (F.col("suminsured_lossofinc") > 0),
-        "total": F.col("grossincurred_prop") + F.col("grossincurred_lossofinc")})
+        "total": F.col("grossincurred_prop") + F.col("grossincurred_lossofinc")}) \
+        .select("split", *_KEY, "LossofIncome_cover", *_TWEEDIE_COLS)
+
+
+def tweedie_parts(split):
+    """Parts of the rows of a ``tweedie_split``: test, rows kept back for the interaction (a quarter of the rest)
+    and training rows, stratified by the BI cover."""
+    inner = SM.stratified_split(split.filter("split = 'train'").drop("split"), 0.75, ["LossofIncome_cover"], _KEY, 321)
+    both = inner.withColumn("part", F.when(F.col("split") == "train", "train").otherwise("interaction")) \
+        .unionByName(split.filter("split = 'test'").withColumn("part", F.lit("test")))
+    return both.select("part", *_TWEEDIE_COLS)
 
 
 def tweedie_line(rows, line: str, exposure: str | None = None, powers=POWERS) -> dict:
@@ -170,15 +179,18 @@ def tweedie_line(rows, line: str, exposure: str | None = None, powers=POWERS) ->
     own = rows.filter("part = 'train'").filter("covered" if line == "lossofinc" else "true")
     cells = CL.build(own, f"grossincurred_{line}", ["geo_code", *RISK], [f"log_suminsured_{line}"], exposure=exposure,
                      weight="date_weights")
-    profile = CL.tweedie_profile(cells, powers)
-    best = max(profile, key=lambda r: (r["loglik"], -r["power"]))["power"]
-    return {"profile": profile, "power": best,
-            "fit": CL.fit(cells, [CL.Spec("tweedie", "tweedie", power=best)])["tweedie"]}
+    with cells.held():
+        profile = CL.tweedie_profile(cells, powers)
+        best = max(profile, key=lambda r: (r["loglik"], -r["power"]))["power"]
+        return {"profile": profile, "power": best,
+                "fit": CL.fit(cells, [CL.Spec("tweedie", "tweedie", power=best)])["tweedie"]}
 
 
 def _tweedie(spark, sf_dir):
     def build():
-        rows = tweedie_parts(S.policy_claims(spark, sf_dir)).checkpoint()
+        # each split is written before the next reads it, in the columns that the fits need
+        split = S.stage(spark, sf_dir, "tweedie_split", lambda: tweedie_split(S.policy_claims(spark, sf_dir)))
+        rows = S.stage(spark, sf_dir, "tweedie_parts", lambda: tweedie_parts(split))
         return rows, {line: tweedie_line(rows, line) for line in ("prop", "lossofinc")}
     return _once(spark, sf_dir, "tweedie", build)
 

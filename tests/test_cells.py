@@ -187,3 +187,55 @@ def test_empty_and_missing(spark):
     assert not none["m"].converged and none["nb"].rows == 0
     with pytest.raises(ValueError):
         CL.fit(CL.build(df, "n", ["f"]), [CL.Spec("m", "cauchy")])
+
+
+def test_density_by_pieces_is_the_series(spark):
+    # before: every response's series was summed again for every dispersion, in every round
+    from exposa.models import tweedie as T
+    rng = np.random.default_rng(8)
+    y = np.exp(rng.uniform(-2, 12, 500))
+    for p in (1.05, 1.5, 1.9):
+        for phi in (2.0, 300.0):
+            alpha = (2 - p) / (1 - p)
+            logz = -alpha * np.log(y) + alpha * math.log(p - 1) - (1 - alpha) * math.log(phi) - math.log(2 - p)
+            mode = np.maximum(1.0, np.round(y ** (2 - p) / (phi * (2 - p))))
+            assert np.allclose(T.series_mode(logz, p), mode, rtol=1e-9, atol=1.0)
+            want = T._series(logz, alpha, mode)
+            assert np.allclose(T.log_series(logz, p), want, rtol=1e-10, atol=1e-10)
+    series, calls = T._series, []
+    T._series = lambda logz, *a: calls.append(len(logz)) or series(logz, *a)
+    try:
+        many = np.exp(rng.uniform(0, 9, 20_000))
+        T._PIECES.clear()
+        T.log_scale(many, 50.0, 1.5)
+        T.log_scale(many, 50.0, 1.5)
+    finally:
+        T._series = series
+    assert len(calls) == 1 and calls[0] < 1000
+    assert np.isnan(T.log_series(np.array([np.nan, np.inf]), 1.5)).all() and len(T.log_series(np.array([]), 1.5)) == 0
+
+
+def test_a_pass_reads_held_batches(spark, rows):
+    # before: every pass handed each cell to Python as a row, and its sums back as arrays
+    cells = CL.build(_frame(spark, rows), "n", ["a", "b"], ["x"], exposure="exposure", weight="w")
+    with cells.held() as held:
+        assert dict(held.dtypes)["cells"] == "binary" and held.count() < cells.table.count()
+        assert held.rdd.getNumPartitions() == cells.tasks <= cells.parts and held.storageLevel.useMemory
+        with cells.held() as again:
+            assert again is held
+        assert cells._held is held
+    assert cells._held is None and not held.storageLevel.useMemory
+
+
+def test_predict_looks_levels_up_without_a_literal_map(spark):
+    # before: a map literal of all levels, searched from its start for every row
+    n = 40
+    df = spark.createDataFrame([(f"l{i % n}", float(i % 7 + i % n / 10)) for i in range(400)] + [(None, 2.0), ("l0", 3.0)],
+                               "f string, y double")
+    f = CL.fit(CL.build(df, "y", ["f"]), [CL.Spec("m", "poisson")])["m"]
+    scored = f.predict(df.withColumn("k", F.lit(1)), "mu")
+    assert scored.columns == ["f", "y", "k", "mu"] and scored.count() == df.count()
+    assert "l17" not in scored._jdf.queryExecution().optimizedPlan().expressions().toString()
+    got = {r.f: r.mu for r in scored.collect()}
+    for level in (None, "l0", "l17"):
+        assert math.isclose(got[level], math.exp(f.beta[0] + f.coefficients.get(f"f_{level}", 0.0)), rel_tol=1e-9)
